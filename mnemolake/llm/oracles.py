@@ -56,4 +56,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES = {"op1_chat_format": OP1, "op4_secret_scan": OP4, "op5_decontamination": OP5}
+OP3 = r"""
+WITH p AS (
+  SELECT page_id, rtrim(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1), '.') AS host,
+    rtrim(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS path, page_id % 366 AS day FROM pages
+), k AS (
+  SELECT page_id, day, 'domain' AS kind, unnest(CASE WHEN len(string_split(host, '.')) < 2 THEN [host] ELSE list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END) AS key FROM p
+  UNION ALL SELECT page_id, day, 'url', host || path FROM p
+), e AS (SELECT kind, key, CAST('0x' || substr(md5(kind || ':' || key), 1, 7) AS BIGINT) AS h FROM (SELECT DISTINCT kind, key FROM k WHERE key <> '')),
+v AS (
+  SELECT kind, key, h, f, t FROM (
+    SELECT kind, key, h, (h // 7) % 200 AS f, CASE WHEN h % 2 = 0 THEN (h // 7) % 200 + 60 END AS t FROM e
+    UNION ALL SELECT kind, key, h, (h // 7) % 200 + 120, NULL FROM e WHERE h % 4 = 0)
+  WHERE h % 3 <> 0
+), m AS (SELECT page_id, 'list' || (h % 5) AS l, h % 5 = 4 AS allows FROM k JOIN v USING (kind, key) WHERE day >= f AND (t IS NULL OR day < t)),
+a AS (SELECT page_id, string_agg(DISTINCT l, ',' ORDER BY l) AS lists, bool_or(NOT allows) AND NOT bool_or(allows) AS blocked FROM m GROUP BY page_id)
+SELECT page_id, host, coalesce(lists, '') AS lists, coalesce(blocked, false) AS blocked FROM p LEFT JOIN a USING (page_id)
+"""
+
+ORACLES = {"op3_url_filter": OP3, "op1_chat_format": OP1, "op4_secret_scan": OP4, "op5_decontamination": OP5}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import chat_format, decontamination, packing, secret_scan, sharding, token_output
+from mnemolake.llm import chat_format, decontamination, fingerprints, language_id, packing, secret_scan, sharding, token_output, url_filter
 from mnemolake.llm.common import table
 from mnemolake.llm.oracles import ORACLES
 
@@ -32,6 +32,32 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries for the hosts, domains and pages at hand, dealt by digests: stands in for list files, which the tables lack."""
+    host = url_filter.host_of(F.col("url"))
+    domains = pages.select(F.explode(url_filter.domain_keys(host)).alias("key")).where("key <> ''").distinct().select(F.lit("domain").alias("kind"), "key")
+    urls = pages.select(url_filter.page_of(F.col("url")).alias("key")).where("key <> ''").distinct().select(F.lit("url").alias("kind"), "key")
+    sums = domains.union(urls).withColumn("h", F.conv(F.substring(F.md5(F.concat_ws(":", "kind", "key").cast("binary")), 1, 7), 16, 10).cast("bigint"))
+    listed = sums.where("h % 3 <> 0").withColumns({"list": F.concat(F.lit("list"), (F.col("h") % 5).cast("string")), "verdict": F.when(F.col("h") % 5 == 4, "allow").otherwise("block")})
+    day = lambda n: F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast({n} as int))")
+    added = listed.select("list", "kind", "key", "verdict", F.lit("add").alias("action"), day("(h div 7) % 200").alias("at"))
+    removed = listed.where("h % 2 = 0").select("list", "kind", "key", "verdict", F.lit("remove").alias("action"), day("(h div 7) % 200 + 60").alias("at"))
+    again = listed.where("h % 4 = 0").select("list", "kind", "key", "verdict", F.lit("add").alias("action"), day("(h div 7) % 200 + 120").alias("at"))
+    return added.union(removed).union(again)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of `pages` as a capture fetched on day page_id mod 366 of 2024."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(page_id % 366 as int))"))
+    found = url_filter.filter_urls(captures, list_entries(pages))
+    return found.select("page_id", "host", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan_secrets(docs)
@@ -67,6 +93,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language_id.fitted(language_id.labelled_sample(docs.where(~held_out)))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
