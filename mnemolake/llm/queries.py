@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import chat_format, decontamination, fingerprints, language_id, packing, secret_scan, sharding, token_output, url_filter
+from mnemolake.llm import chat_format, decontamination, fingerprints, language_id, ngram_join, packing, secret_scan, sharding, token_output, url_filter
 from mnemolake.llm.common import table
 from mnemolake.llm.oracles import ORACLES
 
@@ -93,6 +93,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
