@@ -184,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, li
         if rows:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(pack, PACKED_SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(pack, PACKED_SCHEMA)
 
 
 PACKED_NAMES = ["doc_id", "start", "length", "input_ids", "doc_tokens", "sequence_id", "offset", "loss_tokens"]

@@ -168,7 +168,7 @@ def write_token_blocks(
         if keys:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(blocks, BLOCK_SCHEMA), "token-blocks")
 
 
