@@ -4,7 +4,8 @@ A text is the set of its distinct word shingles, as 64-bit hashes. All sets shar
 shingles last, otherwise by hash. Two sets with a Jaccard likeness of t or more have a common shingle among
 the first n - ceil(t n) + 1 of either (the prefix), so sets meet in groups by prefix shingle. In a group, a pair goes on if
 its sizes and the parity sketches of the sets (a bit for each hash cell, flipped by every member; sets
-that differ in d shingles have sketches that differ in d bits at most) do not rule it out. Only the connected components of these
+that differ in d shingles have sketches that differ in d bits at most) do not rule it out. Groups with the same
+members are one, and only the connected components of these
 pairs are kept, never the pairs. Inside a component, the whole sets are stored in a prefix tree; a set is looked up by walking
 the tree with the overlap that its paths share, and subtrees are left out where the sizes and the remaining lengths cannot
 reach the bound, or where all sets are in one component with it already.
@@ -23,16 +24,18 @@ from pyspark.sql import functions as F
 
 from mnemolake.llm.common import written
 from mnemolake.llm.components import components, group_forest, settled
-from mnemolake.llm.shingles import shingle_hashes, word_hashes
+from mnemolake.llm.shingles import mixed, shingle_hashes, word_hashes
 
 #: A shingle is frequent if it is in so many distinct sets of those that a task sees one after another ...
 LOCAL_SETS, LOCAL_COUNT = 4096, 4
 #: ... and in so many of all. Of more than FREQUENT_MOST, the most frequent count; this only shapes the order.
 FREQUENT_COUNT, FREQUENT_MOST = 32, 1 << 18
 #: Members of a group that one call compares at once; larger groups are dealt out, see group_forest().
-PREFIX_GROUP, TREE_GROUP = 8192, 1024
-#: Bits of a parity sketch.
-PARITY = 512
+PREFIX_GROUP, TREE_GROUP = 8192, 2048
+#: A parity sketch has a power of two of bits, so many at least, and three times the difference that linked sets of the size may have.
+LEAST_BITS = 256
+#: Rows of one shingle that are held to compare a group's members with other groups'.
+HELD_ROWS = 1 << 20
 #: Cells of the filter in front of the second reading of texts.
 CELLS = 1 << 18
 
@@ -50,6 +53,10 @@ class Bound:
         """Least intersection of linked sets of n and m members."""
         return -(-self.num * (n + m) // (self.num + self.den))
 
+    def bits(self, n: int) -> int:
+        most = 2 * n * (self.den - self.num) // (self.den + self.num)
+        return max(LEAST_BITS, 1 << (3 * most).bit_length())
+
     def links(self, common: int, n: int, m: int) -> bool:
         return self.den * common >= self.num * (n + m - common)
 
@@ -96,8 +103,9 @@ def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens[~last], tokens[last]])
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((tokens % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(bool)).tobytes()
+def parity(tokens: np.ndarray, bits: int) -> bytes:
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
 
 
 def shingled(docs: DataFrame, words: int, bound: Bound) -> DataFrame:
@@ -126,7 +134,7 @@ def shingled(docs: DataFrame, words: int, bound: Bound) -> DataFrame:
                     seen.add(digest)
                 prefix = ordered(tokens, frequent)[: bound.prefix(len(tokens))].view(np.int64) if first else None
                 size += 0 if prefix is None else len(prefix)
-                rows.append((doc_id.as_py(), text_hash.as_py(), len(tokens), int.from_bytes(digest[:8], "little", signed=True), digest, parity(tokens) if first else None, prefix))
+                rows.append((doc_id.as_py(), text_hash.as_py(), len(tokens), int.from_bytes(digest[:8], "little", signed=True), digest, parity(tokens, bound.bits(len(tokens))) if first else None, prefix))
                 if size > 1_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                     rows, size = [], 0
@@ -143,32 +151,62 @@ def shingled(docs: DataFrame, words: int, bound: Bound) -> DataFrame:
 
 
 def shared_postings(sets: DataFrame) -> DataFrame:
-    """grp (prefix shingle), key: postings of shingles that several sets have in their prefixes."""
+    """grp, key: the sets that meet at some prefix shingle. A group's name is a hash of its members, so that the many shingles that
+    the same sets share make one group (a clash of names joins two groups, which only adds comparisons)."""
     spark = sets.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def several(batches):
-        held_token, held_key, met = None, None, False  # the last row, and whether its shingle was met before it
-        for batch in batches:
-            tokens, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            if held_token is not None:
-                tokens, keys = np.concatenate([[held_token], tokens]), np.concatenate([[held_key], keys])
+    def groups(batches):
+        told: set[int] = set()
+        tokens, keys = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last shingle's rows so far
+        spilled = None  # a shingle with more rows than are held: they go out under its own name
+
+        def out(names, members):
+            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(members)], names=["grp", "key"])
+
+        def whole(tokens, keys):
             new = np.ones(len(tokens), bool)
             new[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
             tokens, keys = tokens[new], keys[new]
-            if not len(tokens):
-                continue
-            same = tokens[1:] == tokens[:-1]
-            keep = np.concatenate([[met], same]) | np.concatenate([same, [False]])
-            held_token, held_key = tokens[-1], keys[-1]
-            met = bool(same[-1]) if len(same) else met
-            if keep[:-1].any():
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[:-1][keep[:-1]]), pa.array(keys[:-1][keep[:-1]])], names=["grp", "key"])
-        if held_token is not None and met:
-            yield pa.RecordBatch.from_arrays([pa.array([held_token], pa.int64()), pa.array([held_key], pa.int64())], names=["grp", "key"])
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            sizes = np.diff(np.append(starts, len(tokens)))
+            names = mixed(np.add.reduceat(mixed(keys.view(np.uint64)), starts) ^ sizes.astype(np.uint64))
+            _, first = np.unique(names, return_index=True)
+            fresh = np.zeros(len(names), bool)
+            fresh[first] = True
+            fresh &= sizes > 1
+            at = np.flatnonzero(fresh)
+            fresh[at] = [x not in told for x in names[at].tolist()]
+            if len(told) > 500_000:
+                told.clear()
+            told.update(names[fresh].tolist())
+            keep = np.repeat(fresh, sizes)
+            return out(np.repeat(names, sizes)[keep], keys[keep])
 
-    postings = sets.where("prefix is not null").select(F.explode("prefix").alias("grp"), "key")
-    return settled(postings.repartition(n, "grp").sortWithinPartitions("grp", "key").mapInArrow(several, "grp bigint, key bigint"), "postings")
+        for batch in batches:
+            more = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            if spilled is not None:
+                own = more[0] == spilled
+                if own.any():
+                    yield out(mixed(more[0][own].view(np.uint64)), more[1][own])
+                more = more[0][~own], more[1][~own]
+                if not len(more[0]):
+                    continue
+                spilled = None
+            tokens, keys = np.concatenate([tokens, more[0]]), np.concatenate([keys, more[1]])
+            last = int((tokens != tokens[-1]).sum())
+            if last:
+                yield whole(tokens[:last], keys[:last])
+                tokens, keys = tokens[last:], keys[last:]
+            if len(tokens) > HELD_ROWS:
+                spilled = tokens[0]
+                yield out(mixed(tokens.view(np.uint64)), keys)
+                tokens, keys = tokens[:0], keys[:0]
+        if len(tokens):
+            yield whole(tokens, keys)
+
+    postings = sets.where("prefix is not null").select(F.explode("prefix").alias("token"), "key")
+    return settled(postings.repartition(n, "token").sortWithinPartitions("token", "key").mapInArrow(groups, "grp bigint, key bigint").distinct(), "postings")
 
 
 def _by_sub(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -215,7 +253,13 @@ def sketch_kernel(bound: Bound):
         rows = list({r[0]: r for r in rows}.values())
         keys = [r[0] for r in rows]
         n = np.array([r[2] for r in rows], np.int64)
-        bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+        sketches = [np.frombuffer(r[3], np.uint8) for r in rows]
+        width = np.array([len(x) for x in sketches])
+        tables, place = {}, np.zeros(len(rows), np.int64)
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            place[own] = np.arange(len(own))
+            tables[w] = np.stack([sketches[i] for i in own.tolist()]).view(np.uint64)
         first: dict[int, int] = {}
         label = np.array([first.setdefault(r[1], i) if r[1] is not None else i for i, r in enumerate(rows)], np.int64)
         edges, low = [], 0
@@ -225,12 +269,18 @@ def sketch_kernel(bound: Bound):
             at = low + np.flatnonzero(label[low:i] != label[i])
             if not len(at):
                 continue
-            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
-            near = at[apart * (bound.den + bound.num) <= (n[at] + n[i]) * (bound.den - bound.num)]
-            for j in near.tolist():
-                if label[j] != label[i]:
-                    edges.append((keys[i], keys[j]))
-                    label[label == label[i]] = label[j]
+            own = tables[width[i]][place[i]]
+            while len(at) and len(own):
+                w = len(own) * 8
+                here = at[width[at] == w]
+                at = at[width[at] < w]
+                if len(here):
+                    apart = np.bitwise_count(tables[w][place[here]] ^ own).sum(axis=1, dtype=np.int64)
+                    for j in here[apart * (bound.den + bound.num) <= (n[here] + n[i]) * (bound.den - bound.num)].tolist():
+                        if label[j] != label[i]:
+                            edges.append((keys[i], keys[j]))
+                            label[label == label[i]] = label[j]
+                own = own[: len(own) // 2] ^ own[len(own) // 2 :]  # the same sketch with half the cells
         return edges
 
     def kernel(rows: DataFrame) -> DataFrame:
