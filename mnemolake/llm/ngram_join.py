@@ -38,6 +38,8 @@ LEAST_BITS = 256
 HELD_ROWS = 1 << 20
 #: Cells of the filter in front of the second reading of texts.
 CELLS = 1 << 18
+#: Near sets (of about 50 bytes) that may be broadcast to the texts; of more, both sides are shuffled.
+MOST_BROADCAST = 500_000
 
 
 class Bound:
@@ -405,7 +407,8 @@ def linked_sets(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, pref
     cells = chosen.select(cell(F.col("text_hash")).alias("cell")).distinct()
     source = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.col("text").cast("binary")).alias("_hash"), F.col("text").cast("binary").alias("text"))
     some = source.join(F.broadcast(cells), cell(F.col("_hash")) == F.col("cell"), "left_semi")
-    texts = chosen.join(some, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("key", "text")
+    few = chosen.count() <= MOST_BROADCAST
+    texts = (F.broadcast(chosen) if few else chosen).join(some, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("key", "text")
     exact, loose = group_forest(chosen.select("grp", "key"), tree_kernel(bound, words), tree_group, texts)
     return components(settled(exact, "links"))
 
