@@ -166,6 +166,15 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
         ),
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
     )
+    more = F.aggregate(  # characters that the text gains
+        found,
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")),
+        lambda s, x: F.struct(
+            F.greatest(s["at"], x["end"]).alias("at"),
+            (s["n"] + F.when(x["start"] >= s["at"], len("[REDACTED]") - (x["end"] - x["start"])).otherwise(-F.greatest(x["end"] - s["at"], F.lit(0)))).alias("n"),
+        ),
+        lambda s: s["n"],
+    )
     changed = F.size(found) > 0
     columns = []
     for c in docs.columns:
@@ -173,7 +182,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
         if c == "text":
             columns.append(F.when(changed, cut).otherwise(old).alias(c))
         elif c == "n_chars":
-            columns.append(F.when(changed, F.length(cut)).otherwise(old).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(changed, F.length(text) + more).otherwise(old).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(old)
     return scanned.select(*columns)
