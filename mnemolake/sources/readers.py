@@ -82,9 +82,9 @@ def front_matter(text: Column) -> Column:
 
 def read_markdown_records(spark: SparkSession, path: str) -> DataFrame:
     """id, layer, kind, status, title, summary, content of canonical Markdown files; files without an id are left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("value").alias("text"))
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"))
     m = raw.withColumn("f", front_matter(F.col("text")))
-    section = lambda name: F.trim(F.regexp_extract("text", rf"(?s)## {name}\n(.*?)(?=\n## |\Z)", 1))
+    section = lambda name: F.regexp_replace(F.regexp_extract("text", rf"(?s)## {name}\n(.*?)(?=\n## |\Z)", 1), r"^\s+|\s+$", "")
     at = lambda k: F.try_element_at("f", F.lit(k)).alias(k)
     return m.select(at("id"), at("layer"), at("kind"), at("status"), F.regexp_extract("text", r"(?m)^# (.+)$", 1).alias("title"), section("Summary").alias("summary"), section("Content").alias("content")).where("id is not null and id <> ''")
 
