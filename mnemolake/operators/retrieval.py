@@ -23,6 +23,17 @@ def runs_of_three(items: Column, between: str) -> Column:
     return F.array_compact(F.zip_with(F.zip_with(items, rest(2), join), rest(3), join))
 
 
+def against_all(queries: DataFrame, rows: DataFrame, key: str, condition: Column, block_rows: int = 4096) -> DataFrame:
+    """A stated query set against all rows, in blocks of about `block_rows` queries, each small enough to be broadcast."""
+    n = -(-queries.count() // block_rows) or 1
+    blocks = [queries if n == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+    out = None
+    for block in blocks:
+        met = rows.join(F.broadcast(block), condition)
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
 def trigram_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """gram, key: the distinct character trigrams of folded texts."""
     grams = F.array_distinct(runs_of_three(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), ""), lambda c: c != ""), ""))

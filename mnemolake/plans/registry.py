@@ -305,11 +305,11 @@ def l2_projection(spark, sf):
 
 @query(r"""WITH s AS (SELECT session_id, coalesce(nullif(substr(array_to_string(list_concat(list_filter([CASE WHEN regexp_matches(content, '(?i)timeout|error|failed|blocked') THEN 'failure' END, CASE WHEN regexp_matches(content, '(?i)wrong|incorrect|redo') THEN 'revision' END,
   CASE WHEN regexp_matches(content, '(?i)new task|new topic|moving on') THEN 'new-task' END], lambda x: x IS NOT NULL), list_sort(t[1:8])), '|'), 1, 220), ''), 'empty') AS signature FROM
-  (SELECT session_id, content, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(l) AS w, unnest(range(len(l))) AS i FROM (SELECT regexp_extract_all(lower(content), '[\p{L}\p{N}\p{M}\p{Pc}./:-]{2,}') AS l)) GROUP BY w)) AS t FROM """ + f"(SELECT session_id, message_index, role, substr(content, 1, 12) AS content FROM {RECORDS})" + r"""))
- SELECT signature, count(DISTINCT session_id) AS episodes, count(*) AS records FROM s GROUP BY signature HAVING count(DISTINCT session_id) >= 2""")
+  (SELECT session_id, content, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(l) AS w, unnest(range(len(l))) AS i FROM (SELECT regexp_extract_all(lower(content), '[\p{L}\p{N}\p{M}\p{Pc}./:-]{2,}') AS l)) GROUP BY w)) AS t FROM """ + f"{RECORDS}" + r"""))
+ SELECT signature, count(DISTINCT session_id) AS episodes, count(*) AS records FROM s GROUP BY signature""")
 def policy_buckets(spark, sf):
-    """Over the first words of a message, so that invented texts share some buckets."""
-    return M.policy_buckets(S.records_view(spark, sf).withColumn("content", F.substring("content", 1, 12)))
+    """All buckets: the invented texts share few."""
+    return M.policy_buckets(S.records_view(spark, sf), least_episodes=1)
 
 
 @query("""SELECT event_id, user_id, round(gap, 6) AS gap_seconds, CASE WHEN gap IS NULL OR gap > 7200 THEN 'new-task' ELSE 'follow-up' END AS relation FROM
@@ -375,14 +375,15 @@ def casefold_dedupe(spark, sf):
 
 
 UNIT = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE), list_transform(embedding, lambda y: y::DOUBLE)))) AS v FROM embeddings)"
-COSINES = f"(SELECT q.vec_id AS query_id, d.vec_id AS id, greatest(-1, least(1, list_dot_product(q.v, d.v))) AS cos FROM {UNIT} q, {UNIT} d WHERE q.vec_id < 10 AND d.vec_id <> q.vec_id)"
+COSINES = f"(SELECT q.vec_id AS query_id, d.vec_id AS id, greatest(-1, least(1, list_dot_product(q.v, d.v))) AS cos FROM {UNIT} q, {UNIT} d WHERE q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id)"
 
 
 def cosines(spark, sf):
-    """Ten stated query vectors (a parameter of this demonstration) against all vectors."""
+    """The stated query set, every vector whose id is divisible by 20, against all vectors."""
     vectors = S.table(spark, sf, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("v"))
-    asked = F.broadcast(vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
-    return vectors.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("id"), V.cosine(F.col("q"), F.col("v")).alias("cos"), "v")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    met = R.against_all(asked, vectors, "query_id", F.col("vec_id") != F.col("query_id"))
+    return met.select("query_id", F.col("vec_id").alias("id"), V.cosine(F.col("q"), F.col("v")).alias("cos"), "v")
 
 
 @query(f"SELECT query_id, id, round(cos, 6) AS cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, id) AS rank FROM {COSINES}) WHERE rank <= 64 AND cos >= 0.2")
