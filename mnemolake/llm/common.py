@@ -39,6 +39,14 @@ def sweep_scratch(spark: SparkSession) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Bound what a task holds of its Arrow input: the session's batches have `rows` rows at most from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def free_name(taken: list[str], name: str) -> str:
     """name, with underscores in front until no column has it (columns compare without case)."""
     have = {c.lower() for c in taken}

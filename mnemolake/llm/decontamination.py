@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import ALNUM, free_name
+from mnemolake.llm.common import ALNUM, free_name, small_batches
 
 #: Bytes of benchmark texts that one broadcast block holds at most (an item is never split).
 BLOCK_BYTES = 16 << 20
@@ -77,6 +77,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_byt
     each. Words are compared by content, never by hash. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     names = docs.columns
     count, hits, found = (free_name(names, x) for x in ("n_words", "hit_words", "items"))
     out = docs.select("*", F.lit(0).cast("bigint").alias(count), F.array().cast("array<int>").alias(hits), F.array().cast("array<string>").alias(found))
@@ -109,6 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share
     them), and a document goes if `drop_share` or more of its words are hit. n_chars, where docs has it, follows the text.
     Documents without hits stay as they are."""
     spark = docs.sparkSession
+    small_batches(spark)
     names, schema = docs.columns, docs.schema
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None

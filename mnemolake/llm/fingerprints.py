@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.llm.common import small_batches
 from mnemolake.llm.shingles import shingle_hashes, word_hashes
 
 SKETCH_SIZE = 256
@@ -142,5 +143,6 @@ def edited_fingerprints(docs: DataFrame, k: int = SKETCH_SIZE, words: int = SHIN
         if rows:
             yield out()
 
+    small_batches(docs.sparkSession)
     ranges, _ = with_successors(docs)
     return ranges.mapInArrow(compare, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import free_name
+from mnemolake.llm.common import free_name, small_batches
 from mnemolake.llm.shingles import mixed
 
 ORDER = 4
@@ -215,14 +215,14 @@ class Scorer:
 
 def _calibrate(model: Model, held: list[tuple[str, bytes]]) -> None:
     """The rejection limit lies well above what labelled texts have (three times the distance from their median to
-    the 99.5 % quantile beyond it); the score's sharpness makes labels most likely."""
+    the 99.5 % quantile beyond it, and more where few texts calibrate); the score's sharpness makes labels most likely."""
     scorer = Scorer(model)
     found = [(name, t[:-1] / t[-1]) for name, text in held if name in model.languages and (t := scorer.totals(text))[-1]]
     if not found:
         return
     best = np.array([x.min() for _, x in found])
     high, middle = np.quantile(best, 0.995), np.median(best)
-    model.limit = float(high + 3 * (high - middle) + 0.5)
+    model.limit = float(high + 3 * (high - middle) + 0.5 + 8 / np.sqrt(len(best)))
 
     def likely(sharpness: float) -> float:
         return sum(float(np.log2(np.exp2(-(x - x.min()) * sharpness).sum())) + (x[model.languages.index(name)] - x.min()) * sharpness for name, x in found)
@@ -258,6 +258,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs.select("*", F.lit(UNKNOWN).alias(added[0]), F.lit(0.0).alias(added[1]), F.lit(None).cast("double").alias(added[2]), F.lit(True).alias(added[3]))
     text_at = names.index("text")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded sample
     schema = docs.select("*", *(F.lit(None).cast(t).alias(n) for n, t in kinds.items())).schema
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import written
+from mnemolake.llm.common import small_batches, written
 from mnemolake.llm.components import components, group_forest, settled
 from mnemolake.llm.shingles import mixed, shingle_hashes, word_hashes
 
@@ -114,6 +114,7 @@ def shingled(docs: DataFrame, words: int, bound: Bound) -> DataFrame:
     """A written row for each document: doc_id, text_hash, n_shingles, key (hash of the set; null if empty), digest, and, for the
     first of equal sets that a task sees, parity and prefix (array of shingles)."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(frequent_shingles(docs, words))  # FREQUENT_MOST hashes at most
     names = ["doc_id", "text_hash", "n_shingles", "key", "digest", "parity", "prefix"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]

@@ -19,9 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.llm.common import small_batches
 from mnemolake.llm.tokens import encoder
 
 
+#: Ids that a task takes in before it hands out what it has packed.
+FLUSH_BYTES = 2 << 20
+
+
 @dataclass(frozen=True)
 class Limits:
     """Of a sequence. pool: items among which the heuristic chooses at once."""
@@ -146,13 +151,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, li
     of their own. Other columns are ignored. An empty table gives no rows.
     """
     end = np.array([end_id], "<u4").tobytes()
+    small_batches(docs.sparkSession)
 
     def pack(batches):
         made, packer = encoder(tokenizer, spaces), Packer(limits)
         number = TaskContext.get().partitionId() << 33
         known: dict[int, tuple[int | None, int]] = {}  # of documents with pieces that wait: doc_id, tokens
         rows: list[tuple] = []
-        count = 0
+        count = size = 0
 
         def place(sequences):
             nonlocal number
@@ -178,9 +184,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, li
                 known[count] = key.as_py(), len(ids) // 4
                 place(packer.add(Piece(count, 0, ids)))
                 count += 1
-                if len(rows) >= 4096:
+                size += len(ids)
+                if size >= FLUSH_BYTES and rows:
                     yield flush()
-        place(packer.finish())
+                    size = 0
+        for sequence in packer.finish():
+            place([sequence])
+            if len(rows) >= 1024:
+                yield flush()
         if rows:
             yield flush()
 
