@@ -20,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import written
+from mnemolake.llm.common import small_batches, written
 from mnemolake.llm.tokens import encoder
 
 # Fixed values of the Simple-8b format: fields in a word and bits of each, by selector.
 FIELDS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
+#: Bits of small ids.
+_BITS = np.array([max(1, i.bit_length()) for i in range(1 << 16)], np.int8)
 MAGIC = b"S8B1"
 
 #: A block is closed once it has so many ids; a longer document is a block of its own.
@@ -39,9 +41,8 @@ def simple8b_encode(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    bits = np.searchsorted(1 << np.arange(1, 61, dtype=np.uint64), ids, "right").astype(np.int8) + 1
+    bits = _BITS[ids] if int(ids.max()) < len(_BITS) else np.searchsorted(1 << np.arange(1, 61, dtype=np.uint64), ids, "right").astype(np.int8) + 1
     choice = np.full(n, ESCAPE, np.int8)
-    at = np.arange(n, dtype=np.int32)
     low, high = int(bits.min()), int(bits.max())
     for selector in range(len(FIELDS) - 1, -1, -1):  # the fullest word that fits wins
         fields, width = FIELDS[selector], WIDTHS[selector]
@@ -50,13 +51,27 @@ def simple8b_encode(ids: np.ndarray) -> np.ndarray:
         if width >= high:
             choice[:] = selector
             continue
-        too_wide = np.where(bits > width, at, n + 60)
-        reach = np.minimum.accumulate(too_wide[::-1])[::-1] - at
-        choice[(reach >= fields)] = selector
+        # runs of ids that fit the width; the unused fields of the last word count as fitting
+        wide = np.flatnonzero(bits > width)
+        gaps = np.diff(wide, prepend=-1, append=n + 60)
+        long = np.flatnonzero(gaps > fields)
+        if not len(long):
+            continue
+        first = wide[long - 1] + 1 if long[0] else np.concatenate([[0], wide[long[1:] - 1] + 1])
+        last = first + gaps[long] - 1 - fields
+        if len(long) < 64:
+            for a, b in zip(first.tolist(), last.tolist(), strict=True):
+                choice[a : b + 1] = selector
+            continue
+        change = np.zeros(n + 1, np.int8)
+        change[first[first < n]] = 1
+        change[np.minimum(last[first < n] + 1, n)] -= 1
+        choice[np.cumsum(change[:n], dtype=np.int8).view(bool)] = selector
     counts = np.array([*FIELDS, 1, 1], np.int64)[choice].tolist()
     starts, i = [], 0
+    add = starts.append
     while i < n:
-        starts.append(i)
+        add(i)
         i += counts[i]
     starts = np.array(starts, np.int64)
     chosen = choice[starts]
@@ -140,6 +155,7 @@ def write_token_blocks(
     ordered by text, and repeated rows are kept. Other columns are ignored. An empty table has no blocks.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     end = np.array([end_id], "<u4").tobytes()
 
