@@ -38,7 +38,7 @@ LEAST_BITS = 256
 HELD_ROWS = 1 << 20
 #: Cells of the filter in front of the second reading of texts.
 CELLS = 1 << 18
-#: Near sets (of about 50 bytes) that may be broadcast to the texts; of more, both sides are shuffled.
+#: Rows (of about 50 bytes) of near sets, or of documents that go, that may be broadcast to the texts; of more, both sides are shuffled.
 MOST_BROADCAST = 500_000
 
 
@@ -443,7 +443,9 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, **lim
     gone = found.where("n_shingles > 0 and not (doc_id <=> component_id and text_hash = component_hash)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     repeated = found.where("n_shingles > 0 and doc_id <=> component_id and text_hash = component_hash").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
     own = F.xxhash64(F.col("text").cast("binary"))
-    left = docs.join(written(gone, "gone"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (own == F.col("_hash")), "left_anti")
+    gone = written(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    left = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (own == F.col("_hash")), "left_anti")
     again = written(repeated, "repeated")
     if not again.head(1):
         return left
