@@ -76,15 +76,22 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_byt
     Null and empty texts have no words; items with null text or id have no n-grams; equal items count
     each. Words are compared by content, never by hash. An empty benchmark hits nothing.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    return _scanned(docs, _shared(docs, benchmark, block_bytes), n)
+
+
+def _shared(docs: DataFrame, benchmark: DataFrame, limit: int) -> list:
+    """The benchmark's blocks, broadcast."""
+    return [docs.sparkSession.sparkContext.broadcast(rows) for rows in _blocks(benchmark, limit)]
+
+
+def _scanned(docs: DataFrame, blocks: list, n: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     names = docs.columns
     count, hits, found = (free_name(names, x) for x in ("n_words", "hit_words", "items"))
     out = docs.select("*", F.lit(0).cast("bigint").alias(count), F.array().cast("array<int>").alias(hits), F.array().cast("array<string>").alias(found))
     schema = out.schema
     text_at = names.index("text")
-    for rows in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(rows)
+    for shared in blocks:
 
         def scan(batches, shared=shared):
             grams = NgramSet(shared.value, n)
@@ -108,42 +115,45 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_byt
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5) -> DataFrame:
     """docs without the benchmark's passages: hit words are cut out of the text (with what lies between
     them), and a document goes if `drop_share` or more of its words are hit. n_chars, where docs has it, follows the text.
+    Hits of all benchmark blocks are gathered on the original text before anything is decided or cut.
     Documents without hits stay as they are."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     names, schema = docs.columns, docs.schema
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
     chars_type = pa.int32() if chars_at is not None and schema[chars_at].dataType.typeName() == "integer" else pa.int64()
-    out = docs
-    for rows in _blocks(benchmark, BLOCK_BYTES):
-        shared = spark.sparkContext.broadcast(rows)
-
-        def clean(batches, shared=shared):
-            grams = NgramSet(shared.value, n)
-            for batch in batches:
-                keep, texts, changed = [], [], False
-                for text in batch.column(text_at):
-                    old = text.as_py()
-                    words = words_of(old)
-                    hit, _ = grams.scan(words)
-                    stays = not hit.any() or hit.mean() < drop_share
-                    keep.append(stays)
-                    if stays and hit.any():
-                        changed = True
-                        old = without_words(old, hit)
-                    texts.append(old)
-                columns = list(batch.columns)
-                if changed:
-                    lengths = columns[chars_at].to_pylist() if chars_at is not None else []
-                    old_texts = columns[text_at].to_pylist()
-                    columns[text_at] = pa.array(texts, pa.string())
-                    if chars_at is not None:
-                        columns[chars_at] = pa.array([c if a == b else len(b) for c, a, b in zip(lengths, old_texts, texts, strict=True)], chars_type)
-                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(clean, schema)
-    return out
+    *others, last = _shared(docs, benchmark, BLOCK_BYTES)
+    out, several = docs, bool(others)  # with the hits of the other blocks behind it, if there are any; the last block is scanned where texts are cut
+    if several:
+        scanned = _scanned(docs, others, n)
+        out = scanned.drop(scanned.columns[-3], scanned.columns[-1])
+
+    def clean(batches):
+        grams = NgramSet(last.value, n)
+        for batch in batches:
+            keep, texts, changed = [], [], False
+            earlier = batch.column(len(names)) if several else repeat(None, len(batch))
+            for text, found in zip(batch.column(text_at), earlier, strict=True):
+                old = text.as_py()
+                hit, _ = grams.scan(words_of(old))
+                if found is not None:
+                    hit[found.as_py()] = True
+                stays = not hit.any() or hit.mean() < drop_share
+                keep.append(stays)
+                if stays and hit.any():
+                    changed = True
+                    old = without_words(old, hit)
+                texts.append(old)
+            columns = list(batch.columns[: len(names)])
+            if changed:
+                lengths = columns[chars_at].to_pylist() if chars_at is not None else []
+                old_texts = columns[text_at].to_pylist()
+                columns[text_at] = pa.array(texts, pa.string())
+                if chars_at is not None:
+                    columns[chars_at] = pa.array([c if a == b else len(b) for c, a, b in zip(lengths, old_texts, texts, strict=True)], chars_type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return out.mapInArrow(clean, schema)
 
 
 def without_words(text: str, hit: np.ndarray) -> str:

@@ -153,6 +153,21 @@ def test_decontaminate_cuts_spans_and_drops(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontamination.decontaminate(documents(spark, rows, ", n_chars bigint"), bench).collect()}
     assert got == {1: (f"{long} -- ! end", len(f"{long} -- ! end")), 3: ("clean", 5), 4: (None, None)}
 
+def test_decontaminate_in_blocks_equals_one_block(spark, monkeypatch):
+    w = [f"w{i}" for i in range(100)]
+    passages = [w[0:12], w[6:18], w[40:52], w[70:82]]
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id bigint, text string")
+    rows = [
+        (1, " ".join(w[:39]), 0), (2, " ".join([*w[40:52], *["x"] * 12, *w[70:82]]), 0), (3, " ".join([*w[20:30], *w[40:46], *w[0:12], *w[46:52], *w[52:70]]), 0), (4, None, None), (5, "clean", 5),
+    ]
+    docs = documents(spark, rows, ", n_chars bigint")
+    clean = lambda: {tuple(r) for r in decontamination.decontaminate(docs, bench).collect()}
+    want = clean()
+    assert {r[0] for r in want} == {1, 3, 4, 5} and (1, " " + " ".join(w[18:39]), len(" ".join(w[18:39])) + 1) in want
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 20)
+    assert len(list(decontamination._blocks(bench, 20))) > 1
+    assert clean() == want
+
 
 # tokens, output, packing
 
