@@ -77,12 +77,29 @@ def fingerprint_documents(docs: DataFrame, k: int = SKETCH_SIZE, words: int = SH
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(made, "doc_id bigint, fingerprint string, n_shingles double")
 
 
+def _real_borders(ids: DataFrame, rough: list[int], lowest: int) -> list[int]:
+    """The least doc_id at or above each rough border, without the lowest of all: one pass, a row for each border and task."""
+    edges = np.array(rough, np.int64)
+
+    def least(batches):
+        found, seen = np.full(len(edges) + 1, 2**63 - 1, np.int64), np.zeros(len(edges) + 1, bool)
+        for batch in batches:
+            values = np.asarray(batch.column(0).drop_null(), np.int64)
+            part = np.searchsorted(edges, values, "right")
+            np.minimum.at(found, part, values)
+            seen[part] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen)), pa.array(found[seen])], names=["part", "doc_id"])
+
+    rows = ids.mapInArrow(least, "part bigint, doc_id bigint").groupBy("part").agg(F.min("doc_id").alias("doc_id")).collect()
+    return sorted({r["doc_id"] for r in rows} - {lowest})
+
+
 def with_successors(docs: DataFrame, partitions: int | None = None) -> tuple[DataFrame, int]:
     """docs (doc_id, text as binary) dealt into ranges of doc_id in one shuffle, each range with the first
     document of the next one behind it (after the last range: the first of all).
 
-    Range borders are values of doc_id, from a quantile sketch of that column alone; the document at a
-    border goes to the range before it as well. Columns: part, follows (0 own, 1 of the next range), doc_id, text;
+    Range borders are values of doc_id, from a quantile sketch of that column alone (whose doubles are only
+    rough borders, each snapped to the least id from there on); the document at a border goes to the range before it as well. Columns: part, follows (0 own, 1 of the next range), doc_id, text;
     partitions hold whole ranges and are sorted by these columns.
     """
     spark = docs.sparkSession
@@ -90,7 +107,8 @@ def with_successors(docs: DataFrame, partitions: int | None = None) -> tuple[Dat
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     lowest, nulls = ids.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     probabilities = [i / n for i in range(1, n)]
-    borders = sorted({int(x) for x in ids.approxQuantile("doc_id", probabilities, 1 / (8 * n))} - {lowest}) if lowest is not None and n > 1 else []
+    rough = sorted({min(int(x), 2**63 - 1) for x in ids.approxQuantile("doc_id", probabilities, 1 / (8 * n))}) if lowest is not None and n > 1 else []
+    borders = _real_borders(ids, rough, lowest) if rough else []
     first, last, edges = None if nulls else lowest, len(borders), np.array(borders, np.int64)
 
     def deal(batches):

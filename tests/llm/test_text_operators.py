@@ -90,6 +90,16 @@ def test_edited_fingerprints(spark):
     assert sum(map(len, got.values())) == len(rows)
 
 
+def test_edited_fingerprints_of_ids_beyond_doubles(spark):
+    rng = random.Random(12)
+    rows = [(2**62 + 2 * i + 1, " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(1, 30)))) for i in range(0, 40_000, 97)] + [(-(2**62) - i, f"low {i}") for i in range(1, 300, 7)] + [(2**63 - 1, "the last")]
+    rng.shuffle(rows)
+    assert fingerprints.with_successors(documents(spark, rows).selectExpr("doc_id", "cast(text as binary) as text"))[1] > 1
+    order = sorted(rows)
+    want = [(d, brute.sha(t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2])) for k, (d, t) in enumerate(order)]
+    assert sorted((r["doc_id"], r["edited_sha256"]) for r in fingerprints.edited_fingerprints(documents(spark, rows)).collect()) == want
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "only one document here now")], [(None, "a b c d e f"), (None, None), (3, "x")]])
 def test_edited_fingerprints_of_few_rows(spark, rows):
     got = fingerprints.edited_fingerprints(documents(spark, rows)).collect()
