@@ -7,8 +7,8 @@ for contexts, with a row of back-off weights, so that a lookup is a binary searc
 with the lowest cross-entropy per character wins. Rejection is calibrated on labelled texts that the
 models have not seen.
 
-The models are fitted on the driver on a bounded sample of labelled rows (SAMPLE_DOCS texts of each
-language, of SAMPLE_BYTES bytes at most); every text is then scored whole, word by word, with a cache of words.
+The models are fitted on the driver on a bounded sample of labelled rows (SAMPLE_DOCS distinct texts of every
+label, of SAMPLE_BYTES bytes at most; longer texts fill up where there are too few, by their start); every text is then scored whole, word by word, with a cache of words.
 """
 
 from __future__ import annotations
@@ -19,20 +19,22 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.llm.common import free_name, small_batches
 from mnemolake.llm.shingles import mixed
 
 ORDER = 4
-#: Bound of the labelled sample: texts of each language, and bytes of a text that may be in it.
+#: Bound of the labelled sample: texts of each language, and bytes of a text that are in it.
 SAMPLE_DOCS = 600
 SAMPLE_BYTES = 20_000
-#: Languages at most (the most frequent labels); the bound of what the driver holds.
-MOST_LANGUAGES = 64
-#: Of a worker's cache of word scores.
+#: Tables of more languages than this are kept sparse, so that a model grows with its sample, not with languages times n-grams.
+DENSE_LANGUAGES = 64
+#: Of a worker's cache of word scores: words, and numbers in all; and of the words that are scored at once.
 CACHE_WORDS = 300_000
+CACHE_CELLS = CACHE_WORDS * (DENSE_LANGUAGES + 1)
+PART_WORDS = 20_000
 UNKNOWN = "und"
 
 _START, _END = 1, 2
@@ -82,6 +84,36 @@ def _rows(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+@dataclass
+class Sparse:
+    """Rows of a table that mostly holds one value: row i has values[starts[i]:starts[i + 1]] in the columns of the same places."""
+
+    starts: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+
+    def at(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position among rows, column and value of each entry of these rows."""
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        which = np.repeat(np.arange(len(rows)), sizes)
+        own = np.arange(len(which)) + np.repeat(self.starts[rows] - np.cumsum(sizes) + sizes, sizes)
+        return which, self.columns[own], self.values[own]
+
+
+def _table(keys: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]], other: float) -> np.ndarray | Sparse:
+    """Values by key, and by language in columns; `other` where a language lacks the key."""
+    if len(own) <= DENSE_LANGUAGES:
+        out = np.full((len(keys), len(own)), other)
+        for j, (k, values) in enumerate(own):
+            out[np.searchsorted(keys, k), j] = values
+        return out
+    row = np.concatenate([np.searchsorted(keys, k) for k, _ in own])
+    order = np.argsort(row, kind="stable")
+    columns = np.repeat(np.arange(len(own), dtype=np.int32), [len(k) for k, _ in own])
+    starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(keys)))])
+    return Sparse(starts, columns[order], np.concatenate([v for _, v in own])[order])
+
+
 @dataclass
 class Model:
     """grams[n], shares[n]: sorted n-gram hashes and, by language, their discounted probabilities; contexts[n],
@@ -91,9 +123,9 @@ class Model:
     languages: list[str]
     order: int
     grams: list[np.ndarray]
-    shares: list[np.ndarray]
+    shares: list[np.ndarray | Sparse]
     contexts: list[np.ndarray]
-    weights: list[np.ndarray]
+    weights: list[np.ndarray | Sparse]
     uniform: float
     limit: float = float("inf")
     sharpness: float = 1.0
@@ -104,9 +136,17 @@ class Model:
         p = np.full((len(at), len(self.languages)), self.uniform)
         for n in range(1, self.order + 1):
             row, there = _rows(_context_hashes(flat, at, n), self.contexts[n])
-            p *= np.where(there[:, None], self.weights[n][row], 1.0)
+            if isinstance(table := self.weights[n], Sparse):
+                which, column, value = table.at(row[there])
+                p[np.flatnonzero(there)[which], column] *= value
+            else:
+                p *= np.where(there[:, None], table[row], 1.0)
             row, there = _rows(_gram_hashes(flat, at, n), self.grams[n])
-            p += np.where(there[:, None], self.shares[n][row], 0.0)
+            if isinstance(table := self.shares[n], Sparse):
+                which, column, value = table.at(row[there])
+                p[np.flatnonzero(there)[which], column] += value
+            else:
+                p += np.where(there[:, None], table[row], 0.0)
         sizes = np.array([len(w) + 1 for w in words], np.int64)
         sums = np.add.reduceat(-np.log2(p), np.cumsum(sizes) - sizes)
         return np.concatenate([sums, sizes[:, None]], axis=1)
@@ -133,14 +173,10 @@ def fitted(samples: list[tuple[str, bytes]], order: int = ORDER) -> Model | None
     grams, shares, contexts, weights = [np.zeros(0)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
     for n in range(1, order + 1):
         g, c = (np.unique(np.concatenate([x[n][k] for x in per])) for k in (0, 2))
-        share, weight = np.zeros((len(g), len(names))), np.ones((len(c), len(names)))
-        for j, x in enumerate(per):
-            share[np.searchsorted(g, x[n][0]), j] = x[n][1]
-            weight[np.searchsorted(c, x[n][2]), j] = x[n][3]
         grams.append(g)
-        shares.append(share)
+        shares.append(_table(g, [(x[n][0], x[n][1]) for x in per], 0.0))
         contexts.append(c)
-        weights.append(weight)
+        weights.append(_table(c, [(x[n][2], x[n][3]) for x in per], 1.0))
     model = Model(names, order, grams, shares, contexts, weights, 1.0 / symbols)
     _calibrate(model, [s for s, out in zip(samples, held, strict=True) if out])
     return model
@@ -174,6 +210,9 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        columns = len(model.languages) + 1
+        self.most = min(CACHE_WORDS, CACHE_CELLS // columns)
+        self.part = min(PART_WORDS, max(1, PART_WORDS * (DENSE_LANGUAGES + 1) // columns))
         self._empty()
 
     def _empty(self):
@@ -186,7 +225,7 @@ class Scorer:
         rows = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         if len(words) and rows.min() < 0:
             new = list(dict.fromkeys(words[i] for i in np.flatnonzero(rows < 0).tolist()))
-            if len(self.known) + len(new) > CACHE_WORDS:
+            if len(self.known) + len(new) > self.most:
                 self._empty()
                 new = list(dict.fromkeys(words))
             at = len(self.known)
@@ -195,8 +234,8 @@ class Scorer:
             letters = [letters_of(w) for w in new]
             full = [i for i, w in enumerate(letters) if w]
             self.scores[at : at + len(new)] = 0
-            for a in range(0, len(full), 20_000):
-                part = full[a : a + 20_000]
+            for a in range(0, len(full), self.part):
+                part = full[a : a + self.part]
                 self.scores[at + np.array(part)] = self.model.bits([letters[i] for i in part])
             self.known.update(zip(new, range(at, at + len(new)), strict=True))
             rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -231,21 +270,27 @@ def _calibrate(model: Model, held: list[tuple[str, bytes]]) -> None:
 
 
 def labelled_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, bytes]]:
-    """(lang, text) of the texts with the least hashes in each language; null labels and texts are left out.
+    """(lang, text) of the distinct texts with the least hashes in each language; null labels, null and empty texts are left out.
 
-    Languages share out evenly by a first cut on the hash, so that few rows meet in the ranking.
+    Where a language has too few texts of `most_bytes` bytes at most, longer ones fill up its sample, each by the whole
+    words among its first `most_bytes` bytes. Languages share out evenly by a first cut on the hash, so that few rows meet in the ranking.
     """
-    labelled = docs.where("lang is not null and text is not null").select("lang", "text").where(F.octet_length("text").between(1, most_bytes))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not sizes:
-        return []
-    spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    cut: Column | None = None
-    for name, n in sizes.items():
-        own = (F.col("lang") == name) & (spread < min(1 << 30, int((1 << 30) * docs_per_language * 4 / n) + 1))
-        cut = own if cut is None else cut | own
-    ranked = labelled.where(cut).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(spread, "text"))).where(F.col("_n") <= docs_per_language)
-    return [(r["lang"], r["text"].encode("utf-8")) for r in ranked.orderBy(spread, "lang", "text").select("lang", "text").collect()]
+    long, raw = F.octet_length("text") > most_bytes, F.col("text").cast("binary")
+    labelled = docs.where("lang is not null and text <> ''").select("lang", long.alias("_long"), F.when(long, F.substring(raw, 1, most_bytes)).otherwise(raw).alias("_body"))
+    spread = F.pmod(F.xxhash64("_body"), F.lit(1 << 30))
+    kinds = lambda of: F.approx_count_distinct(F.when(of, F.xxhash64("_body")))
+    sizes = labelled.groupBy("lang").agg(kinds(~F.col("_long")).alias("_short_kinds"), kinds(F.col("_long")).alias("_long_kinds"))  # a row for each label
+    below = lambda n: F.lit(float((1 << 30) * docs_per_language * 4)) / F.greatest(F.col(n), F.lit(1))
+    cut = F.when(~F.col("_long"), below("_short_kinds")).when(F.col("_short_kinds") < 2 * docs_per_language, below("_long_kinds"))
+    texts = labelled.join(F.broadcast(sizes), "lang").where(spread < cut).select("lang", "_long", "_body").distinct()
+    ranked = texts.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_long", spread, "_body"))).where(F.col("_n") <= docs_per_language)
+    rows = ranked.orderBy(spread, "lang", "_body").select("lang", "_long", "_body").collect()
+    return [(r["lang"], _whole_words(bytes(r["_body"])) if r["_long"] else bytes(r["_body"])) for r in rows]
+
+
+def _whole_words(start: bytes) -> bytes:
+    """The start of a text without the word that its end may cut, unless it is the only one."""
+    return start.rsplit(None, 1)[0] if len(start.split(None, 1)) > 1 else start
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -302,6 +303,34 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(documents(spark, tests[:2], ", x string"), None).collect()} == {"und"}
 
 
+def test_labelled_sample_keeps_every_label_and_no_copies(spark):
+    rng = random.Random(9)
+    word = lambda k: "".join(chr(0x4E00 + 8 * k + rng.randrange(8)) for _ in range(5))
+    text = lambda k, n: " ".join(word(k) for _ in range(n))
+    train = [(i, text(i % 80, 40), f"l{i % 80:02}") for i in range(640)] + [(700 + i, text(90, 200), "long") for i in range(8)]
+    train += [(800 + i, "copy of a text", "few") for i in range(300)] + [(1200 + i, f"text {chr(97 + i)}", "few") for i in range(5)]
+    sample = language_id.labelled_sample(documents(spark, train, ", lang string"), 6, 1000)
+    assert Counter(x for x, _ in sample) == {**{f"l{k:02}": 6 for k in range(80)}, "long": 6, "few": 6}
+    assert len(set(sample)) == len(sample) and max(len(t) for _, t in sample) <= 1000
+    starts = {t for _, t, name in train if name == "long"}
+    assert all(any(whole.startswith(t.decode() + " ") for whole in starts) for name, t in sample if name == "long")
+    model = language_id.fitted(sample)
+    tests = [(k, text(k, 20), f"l{k:02}") for k in range(80)] + [(90, text(90, 20), "long")]
+    got = language_id.identify(documents(spark, tests, ", lang string"), model).collect()
+    assert all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in got)
+
+
+def test_sparse_models_equal_dense_ones(monkeypatch):
+    rng = random.Random(10)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(60)).encode()
+    samples = [(letters, text(letters)) for letters in ("abcd", "bcde", "xyé", "eab") * 8]
+    dense, words = language_id.fitted(samples), ["abc", "x", "zzz", "éy", "deab"]
+    monkeypatch.setattr(language_id, "DENSE_LANGUAGES", 1)
+    sparse = language_id.fitted(samples)
+    assert isinstance(sparse.shares[2], language_id.Sparse)
+    assert (sparse.bits(words) == dense.bits(words)).all() and (sparse.limit, sparse.sharpness) == (dense.limit, dense.sharpness)
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     model = language_id.fitted([("a", b"abab abba baab"), ("b", b"bcbc ccbb")] * 4, order=3)
     symbols = [*"abc", chr(2)]
