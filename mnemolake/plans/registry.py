@@ -249,15 +249,20 @@ GOLD = "(SELECT item_id AS query_id, doc_id, b.text AS passage, d.text AS text F
 
 
 def gold(spark, sf):
-    """Pairs of a question and a document that holds its whole passage: candidates by a rare trigram of words, then verified."""
-    def grams(c):  # the first and last words of a passage may be cut
-        return F.array_distinct(R.runs_of_three(F.split(c, " "), " "))
+    """Pairs of a question and a document that holds its whole passage: candidates by a long trigram of words, then verified.
+    Passages of fewer than five words have no trigram without their first and last words, and are held against all documents."""
+    def grams(words):
+        return F.array_distinct(R.runs_of_three(words, " "))
 
     docs, items = S.table(spark, sf, "documents"), S.table(spark, sf, "benchmark")
-    probes = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.array_max(F.transform(F.slice(grams(F.col("text")), 2, 20), lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"].alias("gram"))
-    held = docs.select("doc_id", F.explode(grams(F.col("text"))).alias("gram")).join(R.small(probes.select("gram").distinct()), "gram", "left_semi")
-    pairs = held.join(probes, "gram").join(docs.select("doc_id", "text"), "doc_id")
-    return pairs.where(F.contains("text", F.col("passage"))).select("query_id", "doc_id", "passage", "text")
+    words = F.split("text", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))  # a document may go on where a passage starts or ends
+    probes = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.array_max(F.transform(grams(inner), lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"].alias("gram"))
+    held = docs.select("doc_id", F.explode(grams(words)).alias("gram")).join(R.small(probes.select("gram").distinct()), "gram", "left_semi")
+    pairs = held.join(probes, "gram").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
+    short = probes.where("gram is null and passage is not null").select("query_id", "passage")
+    names = ["query_id", "doc_id", "passage", "text"]
+    return pairs.select(names).unionByName(R.against_all(short, docs.select("doc_id", "text"), "query_id", F.contains("text", F.col("passage"))).select(names))
 
 
 @query(f"SELECT query_id, doc_id, CAST(len(string_split(substr(text, 1, instr(text, passage)), chr(10))) AS INTEGER) AS line FROM {GOLD}")

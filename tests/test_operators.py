@@ -9,6 +9,7 @@ from mnemolake.operators import evaluation as E
 from mnemolake.operators import memory as M
 from mnemolake.operators import retrieval as R
 from mnemolake.operators import team as T
+from mnemolake.plans import registry
 from mnemolake.sources import readers as S
 from mnemolake.streaming import capture as C
 
@@ -129,3 +130,12 @@ def test_link_resolution_and_neighbours(spark):
     known = spark.createDataFrame([("a/x.md",), ("a/y.md",)], "path string")
     links = spark.createDataFrame([("a/x.md", "y.md"), ("a/x.md", "a/y.md"), ("a/x.md", "z.md")], "path string, target string")
     assert sorted((r["target"], r["resolved"] or "") for r in R.resolved_links(links, known).collect()) == [("a/y.md", "a/y.md"), ("y.md", "a/y.md"), ("z.md", "")]
+
+
+def test_gold_finds_passages_that_the_text_goes_on_after(spark, tmp_path):
+    items = [(1, "aa bb cc dd ee wlongest15"), (2, "one two three"), (3, "word"), (4, "p q r s t u v"), (5, "no such passage in any text"), (6, None), (7, "f g h i"), (8, "  x  y ")]
+    texts = ["start aa bb cc dd ee wlongest15, and on", "aa bb cc dd ee wlongest15\nNext", "(one two three)", "swordfish", "xp q r s t u vx", "ef g h ij", "a  x  y b", None, ""]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["query_id"], r["doc_id"]) for r in registry.gold(spark, str(tmp_path)).collect())
+    assert got == sorted((i, d) for i, p in items for d, t in enumerate(texts) if p is not None and t is not None and p in t)
