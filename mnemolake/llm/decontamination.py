@@ -28,7 +28,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class NgramSet:
-    """n-grams of items. Items with fewer than n words, but with some, are one n-gram of their own length."""
+    """n-grams of items. Items with fewer than n words, but with some, are one n-gram of their own length.
+    An item without an id has n-grams, too, but is not among the items found."""
 
     def __init__(self, items, n: int):
         self.vocabulary: dict[bytes, int] = {}
@@ -38,7 +39,7 @@ class NgramSet:
             size = min(n, len(ids))
             for i in range(len(ids) - size + 1 if size else 0):
                 found = self.grams.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), [])
-                if item not in found[-1:]:
+                if item is not None and item not in found[-1:]:
                     found.append(item)
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
@@ -52,20 +53,20 @@ class NgramSet:
             if size > len(words):
                 continue
             for i in np.flatnonzero(runs[size:] - runs[:-size] == size).tolist():
-                if found := grams.get(tuple(ids[i : i + size].tolist())):
+                if (found := grams.get(tuple(ids[i : i + size].tolist()))) is not None:
                     hit[i : i + size] = True
                     items.update(found)
         return hit, items
 
 
 def _blocks(benchmark: DataFrame, limit: int):
-    """Lists of (item, text) of about `limit` bytes at most; one is on the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null and item is not null")
+    """Lists of (item, text) of about `limit` bytes at most, one at least; one is on the driver at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // limit) * 2 if total > limit else 1
     for k in range(n):
         own = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        if rows := own.collect():  # of the size checked above
+        if (rows := own.collect()) or n == 1:  # of the size checked above
             yield [(r["item"], r["text"]) for r in rows]
 
 
@@ -73,8 +74,8 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_byt
     """docs with the columns n_words (long), hit_words (array of word numbers in any occurrence) and
     items (array of item_ids, as strings, sorted) behind its own; clashing names get an underscore in front.
 
-    Null and empty texts have no words; items with null text or id have no n-grams; equal items count
-    each. Words are compared by content, never by hash. An empty benchmark hits nothing.
+    Null and empty texts have no words; items with null text have no n-grams, those with a null id
+    hit words but are not in items; equal items count each. Words are compared by content, never by hash. An empty benchmark hits nothing.
     """
     return _scanned(docs, _shared(docs, benchmark, block_bytes), n)
 

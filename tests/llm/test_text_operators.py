@@ -156,6 +156,16 @@ def test_contamination_against_brute_force(spark):
     assert {len(r["hit_words"]) for r in decontamination.scan_documents(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_items_without_id_hit_and_words_count_without_benchmark(spark):
+    docs = documents(spark, [(1, "One two three four"), (2, "five"), (3, None)])
+    bench = spark.createDataFrame([(None, "two three"), (7, "three four"), (8, None)], "item_id bigint, text string")
+    found = lambda b: {r["doc_id"]: (r["n_words"], r["hit_words"], r["items"]) for r in decontamination.scan_documents(docs, b).collect()}
+    assert found(bench) == {1: (4, [1, 2, 3], ["7"]), 2: (1, [], []), 3: (0, [], [])}
+    assert found(bench.where("item_id is null")) == {1: (4, [1, 2], []), 2: (1, [], []), 3: (0, [], [])}
+    for none in (bench.limit(0), bench.where("text is null")):
+        assert found(none) == {1: (4, [], []), 2: (1, [], []), 3: (0, [], [])}
+
+
 def test_decontaminate_cuts_spans_and_drops(spark):
     passage = "one two three four five six seven eight nine ten"
     long = " ".join(f"w{i}" for i in range(30))
