@@ -1,4 +1,4 @@
-"""Layered conversation memory: ingest, projections, pooling, recency, rewards, deduplication, timelines."""
+"""Layered conversation memory: ingest, projections, recency, rewards, deduplication, timelines."""
 
 from __future__ import annotations
 
