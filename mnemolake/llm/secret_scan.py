@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import free_name
+from mnemolake.llm.common import free_name, let, running
 
 
 @dataclass(frozen=True)
@@ -36,12 +36,13 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
 
-#: Further kinds, of well-known public token formats.
+#: Further kinds, of well-known public token formats. No expression repeats a group (Java's engine recurses there) or starts
+#: anew all along a run that it has scanned to its end, so that each takes time in proportion to the text.
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("repo_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,1000}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("live_key", r"sk_live_[0-9A-Za-z]{20,}"),
 )
 RULES = BASE + MORE
@@ -90,26 +91,28 @@ def _walk(nodes, states):
     return states
 
 
+SPAN = "struct<start:int,ord:int,kind:string,end:int>"
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, ord, kind, end) of the rule's matches in text, in code points, end exclusive."""
-    kind = "array<struct<start:int,ord:int,kind:string,end:int>>"
-    parts = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"),
-        F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length).alias("whole"),
-        F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length).alias("part"),
-    )
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["0"])
-        end = start + F.coalesce(x["1"], F.lit(0))
-        found = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["2"] >= rule.least, F.concat(state["found"], F.array(found))).otherwise(state["found"]).alias("found"))
-
-    parts = F.transform(parts, lambda x: F.struct(x["gap"].alias("0"), x["whole"].alias("1"), x["part"].alias("2")))
-    all_found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda s: s["found"])
+    """Array of (start, ord, kind, end) of the rule's matches in text, in code points, end exclusive.
+
+    A match's end is the running total of the gaps and matches up to it, in which nothing is appended match by match."""
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)), F.length)
+
+    def placed(whole: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole)), F.length)
+        ends = running(F.zip_with(gaps, whole, lambda g, w: g + w), lambda a, b: a + b)
+        own = whole if not rule.group else lengths(rule.group)
+        found = F.transform(
+            F.arrays_zip(ends.alias("end"), whole.alias("whole"), own.alias("own")),
+            lambda x: F.struct((x["end"] - x["whole"]).alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), x["end"].alias("end"), x["own"].alias("own")),
+        )
+        return F.transform(F.filter(found, lambda x: x["own"] >= rule.least), lambda x: F.struct(x["start"], x["ord"], x["kind"], x["end"])).cast(f"array<{SPAN}>")
+
     # a rule of one class has no match before one that is long enough for it
     fast = re.sub(r"\+$", f"{{{rule.least},}}", rule.pattern) if rule.pattern.startswith("[") and not rule.group else rule.pattern
-    return F.when(text.rlike(fast), all_found).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(fast), let(lengths(0), placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def candidates(docs: DataFrame, key: Column, text: Column, rules: tuple[Rule, ...]) -> DataFrame:
@@ -127,9 +130,11 @@ def candidates(docs: DataFrame, key: Column, text: Column, rules: tuple[Rule, ..
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the column spans behind its own: array of (start, ord, kind, end), by start, then rule.
 
-    Null and empty texts have no spans; repeated rows each have theirs; a clashing name gets an
-    underscore in front. The key of the index is a hash of doc_id and text: equal keys of different
-    rows only add candidates, which are verified.
+    Null and empty texts have no spans; repeated rows each have theirs; an empty table gives no rows; a clashing
+    name gets an underscore in front. A text of any length is scanned whole, in time about in proportion to it, with
+    any number of matches. Matches of one rule that start together can't be; of several rules that do, the rule listed
+    first comes first. The key of the index is a hash of doc_id and text: equal keys of different rows only add
+    candidates, which are verified.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64("doc_id", "text")
@@ -138,7 +143,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     indexed = tuple(r for r in rules if trigram_query(r.pattern) is not None)
     hits = candidates(docs, key, text, indexed)
     joined = docs.withColumn(own, key).join(hits.select(F.col("key").alias(own), F.col("rules").alias(own + "_rules")), own, "left")
-    none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
+    none = F.array().cast(f"array<{SPAN}>")
     lists = []
     for order, rule in enumerate(rules):
         spans = spans_of(text, rule, order)
@@ -151,38 +156,62 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Code points of the pieces in which a text is cut where spans are replaced, so that no step counts from its start.
+PIECE = 1024
+MARK = "[REDACTED]"
+
+
+def kept_intervals(spans: Column, length: Column) -> Column:
+    """Array of (a, b), start inclusive, end exclusive: what spans (sorted by start) leave of a text, before, between and after them.
+    Overlapping spans are one; of neighbours, each is one."""
+
+    def between(s: Column) -> Column:
+        def parts(ends: Column) -> Column:
+            places = F.sequence(F.lit(0), F.size(s) - 1)
+            heads = F.filter(places, lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(ends, i - 1)))
+            before = F.transform(heads, lambda i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).alias("a"), F.get(s, i)["start"].alias("b")))
+            return F.concat(before, F.array(F.struct(F.element_at(ends, -1).alias("a"), length.alias("b"))))
+
+        return let(running(F.transform(s, lambda x: x["end"]), lambda x, y: F.greatest(x, y)), parts)
+
+    return let(spans, between)
+
+
+def cut_to(text: Column, intervals: Column) -> Column:
+    """Intervals of text with MARK between each two."""
+
+    def joined(pieces: Column) -> Column:
+        def interval(x: Column) -> Column:
+            a, b = (F.floor(x[k] / PIECE).cast("int") for k in "ab")
+            first = F.coalesce(F.get(pieces, a), F.lit(""))
+            within = F.substring(first, x["a"] - a * PIECE + 1, x["b"] - x["a"])
+            tail = F.substring(first, x["a"] - a * PIECE + 1, F.lit(PIECE))
+            last = F.substring(F.coalesce(F.get(pieces, b), F.lit("")), F.lit(1), x["b"] - b * PIECE)
+            return F.when(a == b, within).otherwise(F.array_join(F.concat(F.array(tail), F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), F.array(last)), ""))
+
+        return F.array_join(F.transform(intervals, interval), MARK)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), joined)
+
+
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every span replaced by [REDACTED]; overlapping spans are one. n_chars, where there is one, follows the text.
-    Texts without secrets stay as they are."""
+
+    Texts without secrets, null and empty ones stay as they are; repeated rows each are redacted; an empty table gives no rows.
+    The columns are those of docs, whatever their names. Texts of any length with any number of spans are cut in one go."""
     found = free_name(docs.columns, "spans")
-    scanned = scan_secrets(docs, rules)
+    kept = free_name([*docs.columns, found], "kept")
     text = F.col("text").cast("string")
-    cut = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("[REDACTED]"))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    more = F.aggregate(  # characters that the text gains
-        found,
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            (s["n"] + F.when(x["start"] >= s["at"], len("[REDACTED]") - (x["end"] - x["start"])).otherwise(-F.greatest(x["end"] - s["at"], F.lit(0)))).alias("n"),
-        ),
-        lambda s: s["n"],
-    )
-    changed = F.size(found) > 0
+    scanned = scan_secrets(docs, rules)
+    scanned = scanned.withColumn(kept, F.when(F.size(found) > 0, kept_intervals(F.col(found), F.length(text))))
     columns = []
     for c in docs.columns:
         old = F.col(f"`{c}`")
         if c == "text":
-            columns.append(F.when(changed, cut).otherwise(old).alias(c))
+            columns.append(F.when(F.col(kept).isNull(), old).otherwise(cut_to(text, F.col(kept))).alias(c))
         elif c == "n_chars":
-            columns.append(F.when(changed, F.length(text) + more).otherwise(old).cast(docs.schema[c].dataType).alias(c))
+            length = F.aggregate(kept, F.lit(-len(MARK)), lambda n, x: n + x["b"] - x["a"] + len(MARK))
+            columns.append(F.when(F.col(kept).isNull(), old).otherwise(length).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(old)
     return scanned.select(*columns)
