@@ -36,24 +36,41 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
-    """A hash for each word (run of bytes other than ASCII white space, A-Z lower-cased) of a UTF-8 text."""
+def word_hashes(text: bytes | None, table: bytes = LOWER) -> np.ndarray:
+    """A hash for each word (run of bytes that `table` does not turn into ASCII white space) of a UTF-8 text."""
     if not text:
         return np.zeros(0, np.uint64)
-    if len(text) > 2 * PIECE:
-        out, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + PIECE)
-            while end < len(text) and not _GAP[text[end]]:
-                end += 1
-            out.append(word_hashes(text[at:end]) if end - at <= 2 * PIECE else _hashed(text[at:end]))
-            at = end
-        return np.concatenate(out)
-    return _hashed(text)
-
-
-def _hashed(text: bytes) -> np.ndarray:
-    data = np.frombuffer(text.translate(LOWER), np.uint8)
+    data = text.translate(table)
+    if len(data) <= 2 * PIECE:
+        return _hashed(data)[0]
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + PIECE)
+        while end < len(data) and not _GAP[data[end]]:
+            end += 1
+        out.append(_hashed(data[at:end])[0])
+        at = end
+    return np.concatenate(out)
+
+
+def placed_words(text: bytes, table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and byte behind the last of each word."""
+    data = text.translate(table)
+    if len(data) <= 2 * PIECE:
+        return _hashed(data)
+    found, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + PIECE)
+        while end < len(data) and not _GAP[data[end]]:
+            end += 1
+        hashes, starts, ends = _hashed(data[at:end])
+        found.append((hashes, starts + at, ends + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(text, np.uint8)
     up, down = _powers(len(data) + 1)
     inside = np.empty(len(data) + 2, np.int8)
     inside[0] = inside[-1] = 0
@@ -63,17 +80,21 @@ def _hashed(text: bytes) -> np.ndarray:
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    return mixed((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
-def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of n words; of fewer words, but some, the whole sequence is one."""
-    if not len(words):
-        return words
-    n = min(n, len(words))
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words, in order; none if there are fewer."""
     m = len(words) - n + 1
+    if m <= 0 or n <= 0:
+        return words[:0]
     out = words[:m].copy()
     for k in range(1, n):
         out *= _U(_BASE)
         out += words[k : k + m]
-    return np.unique(mixed(out + _U(n)))
+    return mixed(out + _U(n))
+
+
+def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of n words; of fewer words, but some, the whole sequence is one."""
+    return np.unique(run_hashes(words, min(n, len(words))))
