@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.llm.common import let, running
+
 #: Turn numbers that make up one rendered part.
 PART = 64
 LOSS_ROLES = ("assistant",)
@@ -34,9 +36,10 @@ def unescaped(text: Column) -> Column:
 def folded(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, turn, messages (array of role, text) for each conversation and turn.
 
-    events: conv_id, turn, seq, event, role, text. Null role and text are empty; null events are
-    messages; null conv_id is a conversation and null turn or seq sorts first. Ties of seq are ordered by
-    event, role and text. A delta, edit or regeneration of a turn without a message opens one.
+    events: conv_id, turn, seq, event, role, text; other columns, whatever their names, are ignored. Null role and text are
+    empty; null events are messages; null conv_id is a conversation and null turn or seq sorts first. Ties of seq are ordered by
+    event, role and text, and equal rows all count. A delta, edit or regeneration of a turn without a message opens one. An
+    empty log gives no rows. A turn's log is one row: its texts are joined once each, however many deltas there are.
     """
     one = F.struct(
         F.col("seq").cast("bigint").alias("seq"),
@@ -44,20 +47,26 @@ def folded(events: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    start = F.array().cast("array<struct<role:string,text:string>>")
 
-    def step(done: Column, e: Column) -> Column:
-        last = F.element_at(done, -1)
-        rest = F.slice(done, 1, F.size(done) - 1)
-        text = F.when(e["kind"] == 2, F.concat(last["text"], e["text"])).when(e["kind"] == 3, e["text"]).otherwise(F.lit(""))
-        opens = (e["kind"] <= 1) | (F.size(done) == 0)
-        fresh = F.struct(e["role"].alias("role"), F.when(e["kind"] == 4, F.lit("")).otherwise(e["text"]).alias("text"))
-        return F.when(opens, F.concat(done, F.array(fresh))).otherwise(F.concat(rest, F.array(F.struct(last["role"].alias("role"), text.alias("text")))))
+    def final(log: Column) -> Column:
+        """A message: what follows the last event that sets its text, joined."""
+        last = F.array_max(F.filter(F.transform(log, lambda e, i: F.when((i == 0) | (e["kind"] != 2), i).otherwise(-1)), lambda i: i >= 0))
+        start = lambda at: F.when(F.get(log, at)["kind"] == 4, F.lit("")).otherwise(F.get(log, at)["text"])
+        text = let(last, lambda at: F.concat(start(at), F.array_join(F.transform(F.slice(log, at + 2, F.size(log)), lambda e: e["text"]), "")))
+        return F.struct(F.get(log, 0)["role"].alias("role"), text.alias("text"))
+
+    def messages(log: Column) -> Column:
+        opens = F.filter(F.transform(log, lambda e, i: F.when((i == 0) | (e["kind"] <= 1), i).otherwise(-1)), lambda i: i >= 0)
+
+        def cut(at: Column) -> Column:
+            until = lambda k: F.coalesce(F.get(at, k + 1), F.size(log))
+            return F.transform(at, lambda a, k: let(F.slice(log, a + 1, until(k) - a), final))
+
+        return let(opens, cut)
 
     grouped = events.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(one)).alias("log"))
     plain = F.transform("log", lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text")))
-    messages = F.when(F.forall("log", lambda e: e["kind"] <= 1), plain).otherwise(F.aggregate("log", start, step))
-    return grouped.select("conv_id", "turn", messages.alias("messages"))
+    return grouped.select("conv_id", "turn", F.when(F.forall("log", lambda e: e["kind"] <= 1), plain).otherwise(let(F.col("log"), messages)).alias("messages"))
 
 
 def rendered(messages: DataFrame, part: int = PART) -> DataFrame:
@@ -72,18 +81,14 @@ def rendered(messages: DataFrame, part: int = PART) -> DataFrame:
             (F.length(escaped(m["role"])) + 16).alias("head"), F.length(escaped(m["text"])).alias("body"), bears(m).alias("loss")
         ),
     )
-    spans = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + x["head"] + x["body"] + 4).alias("at"),
-            F.when(x["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + x["head"]).alias("start"), x["body"].alias("length"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
+    def spans(sizes: Column) -> Column:
+        ends = running(F.transform(sizes, lambda x: x["head"] + x["body"] + 4), lambda a, b: a + b)
+        placed = F.transform(F.arrays_zip(ends.alias("end"), sizes.alias("x")), lambda s: F.struct((s["end"] - s["x"]["body"] - 4).alias("start"), s["x"]["body"].alias("length"), s["x"]["loss"].alias("loss")))
+        return F.transform(F.filter(placed, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["length"]))
+
     groups = messages.withColumn("part", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / part)).groupBy("conv_id", "part")
     turns = groups.agg(F.sort_array(F.collect_list(F.struct("turn", "messages"))).alias("t")).select("conv_id", "part", F.flatten(F.col("t.messages")).alias("turns"))
-    return turns.select("conv_id", "part", F.array_join(F.transform("turns", turn), "").alias("formatted"), spans.alias("loss_spans"))
+    return turns.select("conv_id", "part", F.array_join(F.transform("turns", turn), "").alias("formatted"), let(lengths, spans).alias("loss_spans"))
 
 
 def read_back(parts: DataFrame) -> DataFrame:
