@@ -7,12 +7,15 @@ for contexts, with a row of back-off weights, so that a lookup is a binary searc
 with the lowest cross-entropy per character wins. Rejection is calibrated on labelled texts that the
 models have not seen.
 
-The models are fitted on the driver on a bounded sample of labelled rows (SAMPLE_DOCS distinct texts of every
-label, of SAMPLE_BYTES bytes at most; longer texts fill up where there are too few, by their start); every text is then scored whole, word by word, with a cache of words.
+The models are fitted on the driver on a bounded sample of labelled rows (SAMPLE_DOCS distinct texts of every label, of
+SAMPLE_BYTES bytes at most; longer texts fill up where there are too few, by their start; with very many labels, fewer and
+shorter ones, so that all of the sample has about SAMPLE_TOTAL bytes at most); every text is then scored whole, word by word,
+with a cache of words.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
@@ -22,20 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import free_name, small_batches
+from mnemolake.llm.common import free_name, resident, small_batches
 from mnemolake.llm.shingles import mixed
 
 ORDER = 4
 #: Bound of the labelled sample: texts of each language, and bytes of a text that are in it.
 SAMPLE_DOCS = 600
 SAMPLE_BYTES = 20_000
+#: Bytes of all of the sample; beyond it, labels get fewer texts, LEAST_DOCS at least, and then shorter ones. No label is left out.
+SAMPLE_TOTAL, LEAST_DOCS, LEAST_BYTES = 64 << 20, 40, 500
 #: Tables of more languages than this are kept sparse, so that a model grows with its sample, not with languages times n-grams.
 DENSE_LANGUAGES = 64
 #: Of a worker's cache of word scores: words, and numbers in all; and of the words that are scored at once.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 CACHE_CELLS = CACHE_WORDS * (DENSE_LANGUAGES + 1)
-PART_WORDS = 20_000
+PART_WORDS = 5_000
 UNKNOWN = "und"
+#: Rows of labels that may be broadcast.
+MOST_BROADCAST = 100_000
 
 _START, _END = 1, 2
 #: ASCII other than letters parts words; case is folded on whole words later.
@@ -269,20 +276,31 @@ def _calibrate(model: Model, held: list[tuple[str, bytes]]) -> None:
     model.sharpness = min((0.5, 1.0, 2.0, 4.0, 8.0, 16.0), key=likely)
 
 
+def sample_bounds(labels: int, docs: int, size: int) -> tuple[int, int]:
+    """Texts of a label and bytes of a text, so that all labels together keep to SAMPLE_TOTAL as long as LEAST_BYTES allow."""
+    docs = max(min(docs, LEAST_DOCS), min(docs, SAMPLE_TOTAL // (max(1, labels) * size)))
+    return docs, max(min(size, LEAST_BYTES), min(size, SAMPLE_TOTAL // (max(1, labels) * docs)))
+
+
 def labelled_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, bytes]]:
     """(lang, text) of the distinct texts with the least hashes in each language; null labels, null and empty texts are left out.
 
     Where a language has too few texts of `most_bytes` bytes at most, longer ones fill up its sample, each by the whole
     words among its first `most_bytes` bytes. Languages share out evenly by a first cut on the hash, so that few rows meet in the ranking.
+    Both bounds shrink where there are very many labels, see sample_bounds().
     """
+    labelled = docs.where("lang is not null and text <> ''")
+    labels = labelled.select("lang").distinct().count()
+    docs_per_language, most_bytes = sample_bounds(labels, docs_per_language, most_bytes)
     long, raw = F.octet_length("text") > most_bytes, F.col("text").cast("binary")
-    labelled = docs.where("lang is not null and text <> ''").select("lang", long.alias("_long"), F.when(long, F.substring(raw, 1, most_bytes)).otherwise(raw).alias("_body"))
+    labelled = labelled.select("lang", long.alias("_long"), F.when(long, F.substring(raw, 1, most_bytes)).otherwise(raw).alias("_body"))
     spread = F.pmod(F.xxhash64("_body"), F.lit(1 << 30))
     kinds = lambda of: F.approx_count_distinct(F.when(of, F.xxhash64("_body")))
-    sizes = labelled.groupBy("lang").agg(kinds(~F.col("_long")).alias("_short_kinds"), kinds(F.col("_long")).alias("_long_kinds"))  # a row for each label
+    sizes = labelled.groupBy("lang").agg(kinds(~F.col("_long")).alias("_short_kinds"), kinds(F.col("_long")).alias("_long_kinds"))
+    sizes = F.broadcast(sizes) if labels <= MOST_BROADCAST else sizes  # a row for each label
     below = lambda n: F.lit(float((1 << 30) * docs_per_language * 4)) / F.greatest(F.col(n), F.lit(1))
     cut = F.when(~F.col("_long"), below("_short_kinds")).when(F.col("_short_kinds") < 2 * docs_per_language, below("_long_kinds"))
-    texts = labelled.join(F.broadcast(sizes), "lang").where(spread < cut).select("lang", "_long", "_body").distinct()
+    texts = labelled.join(sizes, "lang").where(spread < cut).select("lang", "_long", "_body").distinct()
     ranked = texts.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_long", spread, "_body"))).where(F.col("_n") <= docs_per_language)
     rows = ranked.orderBy(spread, "lang", "_body").select("lang", "_long", "_body").collect()
     return [(r["lang"], _whole_words(bytes(r["_body"])) if r["_long"] else bytes(r["_body"])) for r in rows]
@@ -296,7 +314,9 @@ def _whole_words(start: bytes) -> bytes:
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score (0 to 1), bits_per_char and rejected behind its own columns (clashing names get
     underscores in front). A null text or one without letters has lang_pred `und`, score 0, and is rejected; a text
-    whose cross-entropy is above the calibrated limit is rejected too. Without a model all are `und`."""
+    whose cross-entropy is above the calibrated limit is rejected too. Without a model all are `und`. Of languages with the
+    same cross-entropy the first by name wins. Repeated rows are rows of their own with equal results; an empty table gives
+    no rows. Texts of any length are scored whole."""
     names = docs.columns
     added = [free_name(names, x) for x in ("lang_pred", "score", "bits_per_char", "rejected")]
     kinds = dict(zip(added, ("string", "double", "double", "boolean"), strict=True))
@@ -304,11 +324,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.select("*", F.lit(UNKNOWN).alias(added[0]), F.lit(0.0).alias(added[1]), F.lit(None).cast("double").alias(added[2]), F.lit(True).alias(added[3]))
     text_at = names.index("text")
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded sample
+    shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # of a bounded sample
     schema = docs.select("*", *(F.lit(None).cast(t).alias(n) for n, t in kinds.items())).schema
 
     def predict(batches):
-        scorer = Scorer(shared.value)
+        scorer = resident(("language", token), lambda: Scorer(shared.value))
         for batch in batches:
             texts = batch.column(text_at)
             found = [scorer.predict(t.as_py().encode("utf-8") if t.is_valid else None) for t in texts]

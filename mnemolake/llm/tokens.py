@@ -15,10 +15,10 @@ import re
 
 import numpy as np
 
-from mnemolake.llm.common import LOWER
+from mnemolake.llm.common import LOWER, resident
 
-#: Entries of either cache in a Python worker; about 200 bytes each.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's cache of pretokens, of which the entries of the last round stay for one more, and of chunks; about 250 bytes each.
+CACHE_ENTRIES, CACHE_CHUNKS = 100_000, 40_000
 #: Longer chunks are encoded but not kept.
 CACHE_CHUNK_BYTES = 256
 
@@ -115,7 +115,7 @@ class Encoder:
                         if lead and (not text or text[0].isspace() or text[-1].isspace()):
                             return None
                         x = self._chunk(lead + text)
-                        if len(self.kept) >= CACHE_ENTRIES:
+                        if len(self.kept) >= CACHE_CHUNKS:
                             self.kept.clear()
                         if len(c) <= CACHE_CHUNK_BYTES:
                             self.kept[c] = x
@@ -139,12 +139,14 @@ class Encoder:
             return self._chunk(head) + b"".join(ids)
         return self._library(data.decode("utf-8"))
 
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+    def encode_with_starts(self, text: str | bytes | None) -> tuple[bytes, np.ndarray]:
+        """The ids, and of each the place of its first code point in the text, by the library."""
+        if not text:
+            return b"", np.zeros(0, np.int64)
+        found = self.tokenizer.encode(text.decode("utf-8") if isinstance(text, bytes) else text, add_special_tokens=False)
+        return np.array(found.ids, "<u4").tobytes(), np.array([a for a, _ in found.offsets], np.int64)
 
 
 def encoder(path: str, spaces: str) -> Encoder:
-    """One encoder for each Python worker, kept between tasks."""
-    if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = Encoder(path, spaces)
-    return _ENCODERS[path, spaces]
+    """One encoder for each Python worker, kept until a task asks for another model."""
+    return resident((path, spaces), lambda: Encoder(path, spaces))
