@@ -7,7 +7,7 @@ import gc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import written
+from mnemolake.llm.common import discard, written
 
 
 def settled(df: DataFrame, tag: str) -> DataFrame:
@@ -29,8 +29,11 @@ def components(edges: DataFrame) -> DataFrame:
     very many edges is pre-aggregated, and the number of rounds grows with the logarithm of a component's width.
     """
 
+    tables: list[DataFrame] = []
+
     def measured(df: DataFrame) -> tuple[DataFrame, tuple]:
         out = written(df, "cc")
+        tables.append(out)
         seen = tuple(out.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         return fit(out, seen[0]), seen
 
@@ -47,6 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = fit(large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b"))), n).distinct()
         last = seen
         now, seen = measured(small)
+        discard(tables.pop(0))  # of the round before: nothing that is still to run reads it
         if last == seen:
             break
     return now.select(F.col("a").alias("key"), F.col("b").alias("root")).union(fit(now.select(F.col("b").alias("key"), F.col("b").alias("root")), n).distinct())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import small_batches
+from mnemolake.llm.common import resident, small_batches
 from mnemolake.llm.shingles import shingle_hashes, word_hashes
 
 SKETCH_SIZE = 256
@@ -139,6 +139,7 @@ def edited_fingerprints(docs: DataFrame, k: int = SKETCH_SIZE, words: int = SHIN
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def compare(batches):
+        resident()
         held, rows = None, []  # held: the document whose successor is to come
 
         def out():

@@ -6,7 +6,7 @@ the first n - ceil(t n) + 1 of either (the prefix), so sets meet in groups by pr
 its sizes and the parity sketches of the sets (a bit for each hash cell, flipped by every member; sets
 that differ in d shingles have sketches that differ in d bits at most) do not rule it out. Groups with the same
 members are one, and only the connected components of these
-pairs are kept, never the pairs. Inside a component, the whole sets are stored in a prefix tree; a set is looked up by walking
+pairs are kept, never the pairs. Inside a component, the whole sets are stored, in the shared order, in a prefix tree; a set is looked up by walking
 the tree with the overlap that its paths share, and subtrees are left out where the sizes and the remaining lengths cannot
 reach the bound, or where all sets are in one component with it already.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import small_batches, written
+from mnemolake.llm.common import resident, small_batches, written
 from mnemolake.llm.components import components, group_forest, settled
 from mnemolake.llm.shingles import mixed, shingle_hashes, word_hashes
 
@@ -67,6 +67,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """Sorted hashes of the shingles that many texts have; counted over all texts, FREQUENT_MOST at most."""
 
     def count(batches):
+        resident()
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
 
@@ -98,11 +99,12 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """tokens, sorted by hash, in the shared order."""
+    """tokens, sorted by hash, in the shared order: as numbers that ascend in it, frequent shingles in the upper half."""
+    ranks = tokens >> np.uint64(1)
     if not len(frequent) or not len(tokens):
-        return tokens
+        return ranks
     last = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
-    return np.concatenate([tokens[~last], tokens[last]])
+    return np.concatenate([ranks[~last], ranks[last] | np.uint64(1 << 63)])
 
 
 def parity(tokens: np.ndarray, bits: int) -> bytes:
@@ -110,16 +112,16 @@ def parity(tokens: np.ndarray, bits: int) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
-def shingled(docs: DataFrame, words: int, bound: Bound) -> DataFrame:
-    """A written row for each document: doc_id, text_hash, n_shingles, key (hash of the set; null if empty), digest, and, for the
+def shingled(docs: DataFrame, words: int, bound: Bound, shared) -> DataFrame:
+    """shared: the frequent shingles, broadcast. A written row for each document: doc_id, text_hash, n_shingles, key (hash of the set; null if empty), digest, and, for the
     first of equal sets that a task sees, parity and prefix (array of shingles)."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(frequent_shingles(docs, words))  # FREQUENT_MOST hashes at most
     names = ["doc_id", "text_hash", "n_shingles", "key", "digest", "parity", "prefix"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 
     def made(batches):
+        resident()
         frequent = shared.value
         seen: set[bytes] = set()
         for batch in batches:
@@ -368,14 +370,14 @@ class PrefixTree:
             node, at = child, at + same
 
 
-def tree_kernel(bound: Bound, words: int):
-    """Forest of the exact links of a group. Payload: text."""
+def tree_kernel(bound: Bound, words: int, shared):
+    """Forest of the exact links of a group. Payload: text. shared: the frequent shingles, broadcast."""
 
     def solve(rows):
         tree, keys, edges, comps = PrefixTree(bound), [], [], {}
         for key, comp, text in {r[0]: r for r in rows}.values():
             x = len(keys)
-            tokens = shingle_hashes(word_hashes(text), words)
+            tokens = ordered(shingle_hashes(word_hashes(text), words), shared.value)
             keys.append(key)
             tree.parent.append(x)
             if comp is not None:
@@ -396,7 +398,7 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, prefix_group: int = PREFIX_GROUP, tree_group: int = TREE_GROUP) -> DataFrame:
+def linked_sets(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, shared, prefix_group: int = PREFIX_GROUP, tree_group: int = TREE_GROUP) -> DataFrame:
     """key, root of the sets that have links to other sets."""
     sketches = sets.where("prefix is not null").groupBy("key").agg(F.min("n_shingles").alias("n"), F.min("parity").alias("parity"))
     edges, _ = group_forest(shared_postings(sets), sketch_kernel(bound), prefix_group, sketches)
@@ -410,7 +412,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, pref
     some = source.join(F.broadcast(cells), cell(F.col("_hash")) == F.col("cell"), "left_semi")
     few = chosen.count() <= MOST_BROADCAST
     texts = (F.broadcast(chosen) if few else chosen).join(some, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("key", "text")
-    exact, loose = group_forest(chosen.select("grp", "key"), tree_kernel(bound, words), tree_group, texts)
+    exact, loose = group_forest(chosen.select("grp", "key"), tree_kernel(bound, words, shared), tree_group, texts)
     return components(settled(exact, "links"))
 
 
@@ -424,8 +426,9 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     Other columns are ignored. An empty table gives no rows.
     """
     bound = Bound(num, den)
-    sets = shingled(docs, words, bound)
-    roots = linked_sets(docs, sets, words, bound, **limits)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))  # FREQUENT_MOST hashes at most
+    sets = shingled(docs, words, bound, shared)
+    roots = linked_sets(docs, sets, words, bound, shared, **limits)
     per_key = sets.where("key is not null").groupBy("key").agg(F.min(_place()).alias("first"))
     rooted = per_key.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
@@ -438,7 +441,8 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 8, den: int =
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, **limits) -> DataFrame:
     """docs with one document of each component: its first by (doc_id, text). Of repeated equal rows one stays;
-    texts without words all stay."""
+    texts without words, null and empty ones, all stay. An empty table gives no rows. The columns are those of docs, whatever
+    their names; other columns than doc_id and text decide nothing. Texts of any length are compared whole."""
     found = similar_documents(docs.select("doc_id", "text"), words, num, den, **limits)
     gone = found.where("n_shingles > 0 and not (doc_id <=> component_id and text_hash = component_hash)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     repeated = found.where("n_shingles > 0 and doc_id <=> component_id and text_hash = component_hash").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")

@@ -1,7 +1,7 @@
 """Packing: vector bin packing of token pieces by the dot-product heuristic.
 
 Every item has three sizes: tokens, segments (1) and loss-bearing tokens, and a sequence has a limit
-on each. A task fills one sequence at a time: of the items that fit, it takes the one whose size
+on each. Which tokens bear loss follows from spans of the text (as operator 1 gives them for assistant turns); without spans all do. A task fills one sequence at a time: of the items that fit, it takes the one whose size
 vector (as shares of the limits) has the largest dot product with the room that is left. Where no
 whole item fills the last gap, an item is cut there. What is left at the end of a task is cut into
 sequences whose lengths are powers of two, which need no padding.
@@ -12,6 +12,7 @@ A task packs its own input partition, so nothing is shuffled and a lost task is
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -142,13 +143,25 @@ class Packer:
 PACKED_SCHEMA = "doc_id bigint, start bigint, length bigint, input_ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, limits: Limits = Limits()) -> DataFrame:
+def loss_mask(starts: np.ndarray, spans: list[tuple[int, int]], end: bool) -> np.ndarray:
+    """Whether each token (first code point in `starts`, ascending) begins in a span (start, length); last, `end` for the end id."""
+    edges = np.array([(a, a + n) for a, n in sorted(spans) if n > 0], np.int64).reshape(-1, 2)
+    tops = np.maximum.accumulate(edges[:, 1]) if len(edges) else edges[:, 1]
+    at = np.searchsorted(edges[:, 0], starts, "right")
+    inside = (at > 0) & (starts < np.concatenate([[0], tops])[at])
+    return np.append(inside, end)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, limits: Limits = Limits(), loss_spans: str | None = None) -> DataFrame:
     """Pack every text of docs (doc_id, text), with end_id after each, into sequences.
 
+    loss_spans: a column of docs, array of (start, length) in code points of the text: only tokens that begin in a span bear loss,
+    and the end id does if the text does to its end. Null spans are none. Without the column every id bears loss.
+
     A row for each piece: doc_id, start, length, input_ids (binary, little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset, loss_tokens. sequence_id is the task's number times 2^33 plus a
     count. Null and empty texts have the end id alone. Rows with equal or null doc_id are documents
-    of their own. Other columns are ignored. An empty table gives no rows.
+    of their own. Other columns are ignored. An empty table gives no rows. Texts of any length are encoded whole.
     """
     end = np.array([end_id], "<u4").tobytes()
     small_batches(docs.sparkSession)
@@ -179,10 +192,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, li
             return out
 
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = made.encode(text.as_py()) + end
+            for key, text, spans in zip(batch.column(0), batch.column(1), batch.column(2) if loss_spans else repeat(None), strict=loss_spans is not None):
+                raw = text.as_py()
+                if spans is None:
+                    ids, mask = made.encode(raw) + end, None
+                else:
+                    own = [(x["start"], x["length"]) for x in spans.as_py() or ()]
+                    ids, starts = made.encode_with_starts(raw)
+                    chars = len(raw.decode("utf-8")) if raw else 0
+                    mask = loss_mask(starts, own, any(a < chars <= a + n for a, n in own))
+                    ids += end
                 known[count] = key.as_py(), len(ids) // 4
-                place(packer.add(Piece(count, 0, ids)))
+                place(packer.add(Piece(count, 0, ids, mask)))
                 count += 1
                 size += len(ids)
                 if size >= FLUSH_BYTES and rows:
@@ -195,7 +216,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, li
         if rows:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(pack, PACKED_SCHEMA)
+    spans = [F.col(f"`{loss_spans}`").cast("array<struct<start:bigint,length:bigint>>").alias("spans")] if loss_spans else []
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"), *spans).mapInArrow(pack, PACKED_SCHEMA)
 
 
 PACKED_NAMES = ["doc_id", "start", "length", "input_ids", "doc_tokens", "sequence_id", "offset", "loss_tokens"]

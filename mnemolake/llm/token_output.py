@@ -12,8 +12,6 @@ unused fields. Blocks hold whole documents, so each decodes alone and with array
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -153,6 +151,7 @@ def write_token_blocks(
 
     Null and empty texts have the end id alone. Null document ids come first; rows with equal ids are
     ordered by text, and repeated rows are kept. Other columns are ignored. An empty table has no blocks.
+    Texts of any length are encoded whole; a document longer than `block_ids` is a block of its own.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -217,6 +216,3 @@ def read_token_blocks(blocks: DataFrame) -> DataFrame:
 
     return joined.mapInArrow(documents, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -46,8 +47,17 @@ def components(rows, words, num, den):
     return [(len(s), least[find(i)] if s else rows[i][0]) for i, s in enumerate(sets)]
 
 
+def hit_words(text, items, n=10):
+    return _contamination(text, items, n)[1]
+
+
 def contamination(text, items, n=10):
     """Words, hit words, items with hits."""
+    words, hit, found = _contamination(text, items, n)
+    return len(words), len(hit), sorted(found)
+
+
+def _contamination(text, items, n):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded(t))
     words, hit, found = split(text), set(), set()
     for item, t in items:
@@ -58,7 +68,7 @@ def contamination(text, items, n=10):
             if tuple(words[i : i + size]) in grams:
                 hit.update(range(i, i + size))
                 found.add(str(item))
-    return len(words), len(hit), sorted(found)
+    return words, hit, found
 
 
 SECRETS = (
@@ -80,3 +90,98 @@ def jaccard(a, b):
 
 def sha(text):
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
+_M = (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C15
+
+
+def mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _M
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _M
+    return x ^ (x >> 31)
+
+
+def sketch(text, k, words):
+    """The k least 48-bit hashes of the distinct shingles, by plain integers."""
+    def polynomial(values, base):
+        out = 0
+        for i, v in enumerate(values):
+            out = (out + v * pow(base, i, 1 << 64)) & _M
+        return out
+
+    w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", folded(text))]
+    hashes = [mixed(polynomial((mixed((b + 1) * _BASE & _M) for b in x), _BASE)) for x in w]
+    n = min(words, len(w))
+    runs = {mixed((polynomial(reversed(hashes[i : i + n]), _BASE) + n) & _M) >> 16 for i in range(len(w) - n + 1)} if n else set()
+    return sorted(runs)[:k]
+
+
+def estimate(a, b, k):
+    """Likeness by two sketches."""
+    union = sorted(set(a) | set(b))[:k]
+    return sum(x in a and x in b for x in union) / len(union) if union else 1.0
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney character models, with dictionaries of strings."""
+
+    def __init__(self, samples, order):
+        self.order, counts = order, defaultdict(Counter)
+        for i, (name, text) in enumerate(samples):
+            if i % 4 != 3:
+                counts[name].update(self.words(text))
+        for i, (name, text) in enumerate(samples):
+            if i % 4 == 3 and not counts[name]:
+                counts[name].update(self.words(text))
+        self.names = sorted(x for x in counts if counts[x])
+        self.symbols = len({c for x in self.names for w in counts[x] for c in w}) + 2
+        self.tables = {x: self.fit(counts[x]) for x in self.names}
+
+    @staticmethod
+    def words(text):
+        parts = re.split(r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", text.decode("utf-8", "replace"))
+        return [w for w in ("".join(c for c in x.lower() if c.isalpha()) for x in parts) if w]
+
+    def grams(self, word, n):
+        flat = "\x01" * (self.order - 1) + word + "\x02"
+        return [flat[i - n + 1 : i + 1] for i in range(self.order - 1, len(flat))]
+
+    def fit(self, words):
+        out = {}
+        for n in range(self.order, 0, -1):
+            count = Counter()
+            if n == self.order:
+                for w, times in words.items():
+                    for g in self.grams(w, n):
+                        count[g] += times
+            else:
+                count.update(g[1:] for g in {g for w in words for g in self.grams(w, n + 1)})
+            n1, n2 = sum(c == 1 for c in count.values()), sum(c == 2 for c in count.values())
+            discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+            total, left = Counter(), defaultdict(float)
+            for g, c in count.items():
+                total[g[:-1]] += c
+                left[g[:-1]] += min(c, discount)
+            out[n] = {g: (c - discount) / total[g[:-1]] for g, c in count.items()}, {ctx: left[ctx] / t for ctx, t in total.items()}
+        return out
+
+    def probability(self, name, gram):
+        """Of a gram's last character after the others."""
+        p = 1 / self.symbols
+        for n in range(1, self.order + 1):
+            share, weight = self.tables[name][n]
+            own = gram[len(gram) - n :]
+            p = p * weight.get(own[:-1], 1.0) + share.get(own, 0.0)
+        return p
+
+    def bits(self, name, word):
+        return sum(-math.log2(self.probability(name, g)) for g in self.grams(word, self.order))
+
+    def best(self, text):
+        """Language and bits a character of a text; None without letters."""
+        words = Counter(self.words(text or b""))
+        size = sum((len(w) + 1) * n for w, n in words.items())
+        if not size:
+            return None
+        return min((sum(self.bits(x, w) * n for w, n in words.items()) / size, x) for x in self.names)[::-1]

@@ -115,6 +115,23 @@ def test_url_filter(spark):
     assert not any(r["blocked"] for r in url_filter.filter_urls(captures, lists.limit(0)).collect())
 
 
+def test_url_filter_keeps_clashing_columns(spark):
+    lists = spark.createDataFrame([("bad", "domain", "a.org", "block", "add", 1), ("bad", "domain", "a.org", "block", "add", 1)], "list string, kind string, key string, verdict string, action string, at int")
+    captures = spark.createDataFrame([("http://a.org/x", 2, "h", "l", True, "p", "k", 9)] * 2 + [(None, None, "h", None, None, None, None, None)], "url string, fetched_at int, host string, lists string, blocked boolean, _page string, key string, time int")
+    out = url_filter.filter_urls(captures, lists)
+    assert out.columns == [*captures.columns, "_host", "_lists", "_blocked"]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([("http://a.org/x", 2, "h", "l", True, "p", "k", 9, "a.org", ["bad"], True)] * 2 + [(None, None, "h", None, None, None, None, None, "", [], False)], key=repr)
+    assert url_filter.filter_urls(captures.limit(0), lists.limit(0)).count() == 0
+
+
+def test_as_of_lookup(spark):
+    for n in (1, 2, 3, 4, 7, 8, 9, 100):
+        steps = [(3 * i, i % 2 == 0) for i in range(n)]
+        df = spark.createDataFrame([(steps, t) for t in range(-1, 3 * n + 2)], "s array<struct<at:int,gone:boolean>>, t int")
+        got = df.select(url_filter.in_force(F.col("s"), F.col("t")).alias("x"), "t").collect()
+        assert all((r["x"] and r["x"]["at"]) == (None if r["t"] < 0 else min(r["t"] // 3, n - 1) * 3) for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     df = llm_queries.queries()[name](spark, sf_dir)

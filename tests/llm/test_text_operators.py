@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemolake.llm import chat_format, decontamination, fingerprints, language_id, packing, secret_scan, sharding, shingles, token_output, tokens
+from mnemolake.llm.common import running
 from tests.llm import brute
 
 ODD = [
@@ -47,6 +50,27 @@ def test_chat_folds_events(spark):
     assert chat_format.format_conversations(log.limit(0)).count() == 0
 
 
+def test_chat_streams_and_extra_columns(spark):
+    rows = [(1, 0, 0, "message", "assistant", "<")] + [(1, 0, i, "delta", None, "é</s>") for i in range(1, 20_001)] + [(1, 0, 30_000, "message", "assistant", "z")]
+    rows += [(None, None, None, None, None, None)] * 2 + [(5, 0, 1, "regenerate", "assistant", "gone"), (5, 0, 2, "edit", None, "kept"), (5, 0, 2, "edit", None, "kept"), (5, 0, 3, "delta", None, "!")]
+    log = spark.createDataFrame(rows, "conv_id bigint, turn bigint, seq bigint, event string, role string, text string").withColumns({"messages": F.lit(1), "log": F.lit("x"), "part": F.lit(2), "turns": F.lit(3)})
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_conversations(log)).collect()}
+    assert [m["text"] for m in got[1]["turns"]] == ["<" + "é</s>" * 20_000, "z"] and got[1]["loss_texts"] == ["<" + "é</s>" * 20_000, "z"]
+    assert [m["text"] for m in got[None]["turns"]] == ["", ""] and [m["text"] for m in got[5]["turns"]] == ["kept!"]
+
+
+# column helpers
+
+
+def test_running_totals(spark):
+    rng = random.Random(16)
+    arrays = [[rng.randint(-9, 9) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 66, 100, 1000, 4099)]
+    df = spark.createDataFrame([(a,) for a in arrays], "v array<int>")
+    got = df.select(running(F.col("v"), lambda a, b: a + b).alias("s"), running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m")).collect()
+    for a, r in zip(arrays, got, strict=True):
+        assert r["s"] == list(accumulate(a)) and r["m"] == list(accumulate(a, max))
+
+
 # fingerprints
 
 
@@ -134,6 +158,39 @@ def test_secrets_against_brute_force(spark):
     assert secret_scan.scan_secrets(df.limit(0)).count() == 0
 
 
+def redacted(text):
+    """By brute force, base kinds only."""
+    out, at = [], 0
+    spans = [tuple(map(int, x.split(":")[1:])) for x in brute.secrets(text)]
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], "[REDACTED]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+@pytest.mark.parametrize("text", [
+    "-----BEGIN " + "A " * 500_000 + "PRIVATE KEY-----", "é token=abcdef12 " * 100_000, "eyJ" * 300_000, "a" * 1_000_000, "password " * 100_000 + "=abcdefgh", "token" + " " * 1_000_000 + "x",
+    ("x" * 1017 + " token=" + "0123456789abcdef" * 3 + "\U0001F600") * 400,
+])
+def test_long_texts_and_many_secrets(spark, text):
+    df = documents(spark, [(1, text, len(text))], ", n_chars bigint")
+    base = secret_scan.scan_secrets(df, secret_scan.BASE).select(secret_scan.listed(F.col("spans"))).first()[0]
+    assert base == ",".join(brute.secrets(text))
+    own = secret_scan.redact_secrets(df, secret_scan.BASE).first()
+    assert (own["text"], own["n_chars"]) == (redacted(text), len(redacted(text)))
+    secret_scan.scan_secrets(df).write.format("noop").mode("overwrite").save()
+
+
+def test_redaction_against_brute_force(spark):
+    rng = random.Random(15)
+    bits = ["password=", "token: ", "secret = '", "abcdef", "0123456789abcdef01234567", "AKIA", "ABCDEFGHIJKLMNOPQRST", " ", "é", "\U0001F600", "x" * 700]
+    texts = [*ODD, *("".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(150))]
+    rows = [(i, t, None if t is None else len(t), "s") for i, t in enumerate(texts)] + [(3, texts[-1], len(texts[-1]), "s")] * 2
+    got = sorted(tuple(r) for r in secret_scan.redact_secrets(documents(spark, rows, ", n_chars int, spans string"), secret_scan.BASE).where("text is not null").collect())
+    assert got == sorted((d, redacted(t), len(redacted(t)), "s") for d, t, _, _ in rows if t is not None)
+
+
 def test_redaction_leaves_clean_texts(spark):
     rows = [(1, "clean text", 10), (2, "é token=abcdef123 x", 19), (3, None, None)]
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.redact_secrets(documents(spark, rows, ", n_chars bigint")).collect()}
@@ -174,7 +231,8 @@ def test_decontaminate_cuts_spans_and_drops(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontamination.decontaminate(documents(spark, rows, ", n_chars bigint"), bench).collect()}
     assert got == {1: (f"{long} -- ! end", len(f"{long} -- ! end")), 3: ("clean", 5), 4: (None, None)}
 
-def test_decontaminate_in_blocks_equals_one_block(spark, monkeypatch):
+
+def test_decontaminate_in_blocks_equals_one_block(spark):
     w = [f"w{i}" for i in range(100)]
     passages = [w[0:12], w[6:18], w[40:52], w[70:82]]
     bench = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id bigint, text string")
@@ -185,9 +243,50 @@ def test_decontaminate_in_blocks_equals_one_block(spark, monkeypatch):
     clean = lambda: {tuple(r) for r in decontamination.decontaminate(docs, bench).collect()}
     want = clean()
     assert {r[0] for r in want} == {1, 3, 4, 5} and (1, " " + " ".join(w[18:39]), len(" ".join(w[18:39])) + 1) in want
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 20)
     assert len(list(decontamination._blocks(bench, 20))) > 1
-    assert clean() == want
+    assert {tuple(r) for r in decontamination.decontaminate(docs, bench, block_bytes=20).collect()} == want
+
+
+def test_decontaminate_against_brute_force(spark):
+    rng = random.Random(13)
+    words = ["alpha", "Beta", "g4", "é", "naïve", "x", "yy", "zed"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, line(rng.choice([1, 4, 10, 14, 30]))) for i in range(10)] + [(None, line(12)), (50, None), (51, "")]
+    texts = [*ODD, *(line(rng.randint(0, 80)) for _ in range(60)), *(f"{line(20)}, {items[i][1].upper()}! {line(25)}" for i in range(10)), *(items[i][1] for i in range(10))]
+    texts = [t if t is None else t.replace("\x85", " ") for t in texts]
+    rows = [(i, t, None if t is None else len(t), i) for i, t in enumerate(texts)] + [(0, texts[-1], len(texts[-1]), 7)] * 2
+    docs, bench = documents(spark, rows, ", n_chars bigint, hit_words int"), spark.createDataFrame(items, "item_id bigint, text string")
+    pieces = lambda t: [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+
+    def clean(d, t, n, x):
+        hit = brute.hit_words(t, [i for i in items if i[1]])
+        at = pieces(t)
+        if not hit:
+            return (d, t, n, x)
+        if len(hit) >= 0.5 * len(at):
+            return None
+        out, k = [], 0
+        for a in range(len(at)):
+            if a in hit:
+                if a - 1 not in hit:
+                    out.append(t[k : at[a][0]])
+                k = at[a][1]
+        out = "".join([*out, t[k:]])
+        return (d, out, len(out), x)
+
+    want = sorted((r for r in (clean(*r) for r in rows) if r), key=repr)
+    assert len(want) < len(rows) and any(w not in rows for w in want)
+    for block in (decontamination.BLOCK_BYTES, 60):
+        assert sorted((tuple(r) for r in decontamination.decontaminate(docs, bench, block_bytes=block).collect()), key=repr) == want
+    assert decontamination.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_a_block_is_small():
+    rng = random.Random(14)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(200_000)]
+    items = [(str(i), " ".join(words[i : i + 200])) for i in range(0, len(words), 200)]
+    grams = decontamination.NgramSet(items, 10)
+    assert grams.nbytes < 6 * sum(len(t) for _, t in items)
 
 
 # tokens, output, packing
@@ -265,6 +364,36 @@ def test_pack_documents(spark):
     assert packing.pack_documents(documents(spark, []), public_tokenizers.path("byte_bpe_50k.json"), "lead", 1).count() == 0
 
 
+def test_loss_masks_bind_through_the_frame(spark):
+    """Conversations by operator 1: prompts bear no loss, so that sequences fill up with tokens, with segments, or with loss tokens."""
+    rng = random.Random(17)
+    say = lambda n: " ".join(rng.choice(["alpha", "béta", "gamma", "1234"]) for _ in range(n))
+    log = [(c, t, t, "message", ("user", "assistant")[t % 2], say(rng.choice([0, 1, 60]) if c % 3 else (300, 4)[t % 2])) for c in range(60) for t in range(4)] + [(99, 0, 0, "message", "user", "no answer")]
+    parts = chat_format.format_conversations(spark.createDataFrame(log, "conv_id bigint, turn bigint, seq bigint, event string, role string, text string"))
+    docs = parts.select(F.col("conv_id").alias("doc_id"), F.col("formatted").alias("text"), F.col("loss_spans"), F.lit(1).alias("start")).coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    limits = packing.Limits(1024, 6, 300, 64)
+    got = packing.pack_documents(docs, path, "lead", 1, limits, "loss_spans").collect()
+    made = tokens.Encoder(path, "lead")
+    want = {}
+    for r in docs.collect():
+        found = made.tokenizer.encode(r["text"], add_special_tokens=False)
+        bears = [any(s["start"] <= a < s["start"] + s["length"] for s in r["loss_spans"]) for a, _ in found.offsets] + [any(s["start"] + s["length"] == len(r["text"]) for s in r["loss_spans"])]
+        want[r["doc_id"]] = [*found.ids, 1], bears
+    seen, sums = {}, {}
+    for r in got:
+        ids, bears = want[r["doc_id"]]
+        part = slice(r["start"], r["start"] + r["length"])
+        assert np.frombuffer(r["input_ids"], "<u4").tolist() == ids[part] and r["loss_tokens"] == sum(bears[part]) and r["doc_tokens"] == len(ids)
+        seen.setdefault(r["doc_id"], []).extend(range(part.start, part.stop))
+        sums.setdefault(r["sequence_id"], []).append((r["length"], 1, r["loss_tokens"]))
+    assert all(sorted(seen[d]) == list(range(len(ids))) for d, (ids, _) in want.items())
+    totals = [tuple(map(sum, zip(*x, strict=True))) for x in sums.values()]
+    top = (limits.tokens, limits.segments, limits.loss_tokens)
+    assert all(a <= b for t in totals for a, b in zip(t, top, strict=True))
+    assert all(any(t[k] == top[k] for t in totals) for k in range(3))
+
+
 # sharding
 
 
@@ -341,18 +470,25 @@ def test_sparse_models_equal_dense_ones(monkeypatch):
     assert (sparse.bits(words) == dense.bits(words)).all() and (sparse.limit, sparse.sharpness) == (dense.limit, dense.sharpness)
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    model = language_id.fitted([("a", b"abab abba baab"), ("b", b"bcbc ccbb")] * 4, order=3)
-    symbols = [*"abc", chr(2)]
-    for start in ("", "a", "ab", "ca"):
-        total = 0.0
-        for c in symbols:
-            flat = np.array([1, 1, *map(ord, start), ord(c)], np.uint64)
-            p = np.full((1, 2), model.uniform)
-            for n in range(1, 4):
-                row, there = language_id._rows(language_id._context_hashes(flat, np.array([len(flat) - 1]), n), model.contexts[n])
-                p *= np.where(there[:, None], model.weights[n][row], 1.0)
-                row, there = language_id._rows(language_id._gram_hashes(flat, np.array([len(flat) - 1]), n), model.grams[n])
-                p += np.where(there[:, None], model.shares[n][row], 0.0)
-            total += p[0]
-        assert np.allclose(total, 1.0, atol=0.35 / 1) and (total <= 1 + 1e-9).all()
+def test_kneser_ney_against_brute_force():
+    rng = random.Random(11)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(40)).encode()
+    samples = [(letters, text(letters)) for letters in ("abcd", "bcde", "xyé", "eab") * 6]
+    model, plain = language_id.fitted(samples), brute.KneserNey(samples, language_id.ORDER)
+    words = ["a", "abc", "dcba", "éxé", "qqq", "bab", "eabbae", "xyzzy"]
+    got = model.bits(words)
+    assert model.languages == plain.names and 1 / model.uniform == plain.symbols
+    assert np.abs(got[:, :-1] - [[plain.bits(x, w) for x in plain.names] for w in words]).max() < 1e-9
+    assert got[:, -1].tolist() == [len(w) + 1 for w in words]
+    symbols = sorted({c for _, t in samples for c in t.decode() if c != " "}) + ["\x02", "?"]  # the last stands for all that is unknown
+    for name in plain.names:
+        for before in ("\x01\x01\x01", "\x01\x01a", "abc", "xyx", "qqq"):
+            assert abs(sum(plain.probability(name, before + c) for c in symbols) - 1) < 1e-9
+
+
+def test_sample_keeps_to_its_bytes():
+    for labels in (1, 4, 5, 64, 1000, 10_000, 10**6):
+        docs, size = language_id.sample_bounds(labels, language_id.SAMPLE_DOCS, language_id.SAMPLE_BYTES)
+        assert docs >= language_id.LEAST_DOCS and size >= language_id.LEAST_BYTES
+        assert labels * docs * size <= language_id.SAMPLE_TOTAL or (docs, size) == (language_id.LEAST_DOCS, language_id.LEAST_BYTES)
+    assert language_id.sample_bounds(4, 600, 20_000)[1] == 20_000
