@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemolake.functions.columns import stripped
+from mnemolake.functions.columns import text_of as _text
+
 # Patterns, word lists and maps that results depend on.
 WORD = r"(?U)([\w./:-]{2,})"
-SIGNATURE_TOKEN = r"(?U)([\w\x{4e00}-\x{9fa5}./:-]{2,})"
+SIGNATURE_TOKEN = r"(?U)([\w一-龥./:-]{2,})"
 NEGATIVE = r"(?i)不存在|虚构|假想|没有(?:这|该)|fictional|nonexistent|imaginary|made[- ]up|never indexed|no such|\bZ{3,}[A-Z0-9_-]*\b"
 TEMPORAL = r"(?i)最新|最近|目前|本周|上周|今天|昨天|latest|recent|current|this week|20\d{2}[-/]\d{1,2}"
 CROSS_SOURCE = r"(?i)关联|相关|对比|分别|cross|related|compare"
@@ -27,8 +30,10 @@ CONTEXT_TAGS = "relevant-memories|user-persona|relevant-scenes|scene-navigation|
 INJECTED = rf"(?i)<(?:{CONTEXT_TAGS})[^>]*>[\s\S]*?</(?:{CONTEXT_TAGS})>"
 DATE_TOKEN = r"(?i)(20\d{2}[-/]\d{1,2}(?:[-/]\d{1,2})?|20\d{2}-W\d{1,2})"
 HAN_DATE = r"^(?:(\d{4})年)?(\d{1,2})月(?:(\d{1,2})(?:日|号)?)?$"
-HAN = r"[\x{3400}-\x{9fff}]"
+HAN = "[㐀-鿿]"
 MARKDOWN_LINK = r"\[[^\]]+\]\(([^)]+)\)"
+INLINE_PATH = r"(?i)(?<![A-Za-z0-9_./-])(?:[^\s`'\"()<>]+/)?[^\s`'\"()<>]+\.(?:md|mdx|txt|rst|yaml|yml|json)(?:#[^\s`'\"()<>]+)?"
+DATED_LINE = "^(#|date:|Date:|observed_at:|review_date:)"
 FAILURE_TAG = r"(?i)错误|失败|报错|异常|阻塞|timeout|error|failed|blocked"
 REVISION_TAG = r"(?i)不对|错了|重做|改一下|重新|wrong|incorrect|redo"
 NEW_TASK_TAG = r"(?i)换个|另一个|新任务|new task|new topic|moving on"
@@ -45,10 +50,6 @@ GENERIC_SUPPORT = ("note", "report", "weekly", "paper", "model", "card", "update
 FEEDBACK_DELTA = {"helpful": 0.15, "up": 0.15, "correct": 0.15, "wrong": -0.35, "stale": -0.2, "not_helpful": -0.1, "down": -0.1}
 
 
-def _text(x: Column | str) -> Column:
-    return F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
-
-
 def words(x: Column | str) -> Column:
     """Tokens of two or more word, dot, slash, colon or hyphen characters, folded, in order."""
     return F.regexp_extract_all(F.lower(_text(x)), F.lit(WORD), F.lit(1))
@@ -83,7 +84,7 @@ def redact(x: Column | str, most: int | None = None) -> Column:
     out = F.regexp_replace(F.regexp_replace(_text(x), INJECTED, ""), REPLY_MARK, "")
     for pattern in REDACTIONS:
         out = F.regexp_replace(out, pattern, F.lit(REDACTED))
-    out = F.trim(F.translate(out, "\0", " "))
+    out = stripped(F.translate(out, "\0", " "))
     return out if most is None else F.substring(out, 1, most)
 
 
@@ -140,10 +141,39 @@ def date_score(token: Column) -> Column:
     return at(1) * 1_000_000 + at(2) * 10_000 + at(3) * 100
 
 
-def markdown_links(x: Column | str, most: int = 32) -> Column:
-    """Targets of Markdown links without fragment or query, web and mail links left out, `most` at most."""
-    raw = F.transform(F.regexp_extract_all(_text(x), F.lit(MARKDOWN_LINK), F.lit(1)), lambda u: F.regexp_replace(u, "[#?].*$", ""))
-    return F.slice(F.array_distinct(F.filter(raw, lambda u: (u != "") & ~u.rlike("(?i)^(https?:|mailto:)"))), 1, most)
+def link_targets(x: Column | str) -> Column:
+    """Targets of Markdown links, then paths that stand in the text: without fragment and query, %-escapes undone; web and mail links left out."""
+    raw = F.concat(F.regexp_extract_all(_text(x), F.lit(MARKDOWN_LINK), F.lit(1)), F.regexp_extract_all(_text(x), F.lit(INLINE_PATH), F.lit(0)))
+    plain = lambda u: F.regexp_replace(F.regexp_replace(u, "(?s)#.*", ""), r"(?s)\?.*", "")
+    unquoted = lambda u: stripped(F.coalesce(F.try_url_decode(F.replace(plain(u), F.lit("+"), F.lit("%2B"))), plain(u)))
+    return F.array_distinct(F.filter(F.transform(raw, unquoted), lambda u: (u != "") & ~u.rlike("^(https?://|mailto:|#)")))
+
+
+def posix_path(x: Column) -> Column:
+    """Without empty and single-dot parts; a leading slash stays."""
+    parts = F.filter(F.split(x, "/"), lambda p: (p != "") & (p != "."))
+    return F.concat(F.when(x.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def document_dates(path: Column, text: Column) -> Column:
+    """Distinct date fragments of the path, then of headings and dated fields, in order."""
+    own = F.filter(F.transform(F.split(_text(text), r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]", -1), stripped), lambda line: line.rlike(DATED_LINE))
+    return date_tokens(F.array_join(F.concat(F.array(path), own), "\n"))
+
+
+def epoch_of(x: Column) -> Column:
+    """Seconds of a time as ISO text (without a zone: UTC) or as a number (milliseconds from 1e11 on); null for any other text."""
+    t = stripped(x.cast("string"))
+    iso = t.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$")
+    zoned = F.try_to_timestamp(F.when(t.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), t).otherwise(F.concat(F.when(F.length(t) == 10, F.concat(t, F.lit("T00:00:00"))).otherwise(t), F.lit("Z"))))
+    number = t.try_cast("double")
+    return F.when(t == "", None).when(iso, F.unix_micros(zoned) / 1e6).otherwise(epoch_seconds(number))
+
+
+def iso_of(x: Column, fallback: Column) -> Column:
+    """A time as ISO text in UTC; `fallback` (a timestamp) where there is none to read."""
+    at = F.coalesce(F.timestamp_micros(F.round(epoch_of(x) * 1e6).cast("bigint")), fallback)
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(at, "SSSSSS") == "000000", "").otherwise(F.date_format(at, ".SSSSSS")), F.lit("Z"))
 
 
 def is_question_turn(role: Column | str, content: Column | str) -> Column:
@@ -199,7 +229,7 @@ def slug(x: Column | str, most: int = 80) -> Column:
 
 def assistant_text(x: Column | str) -> Column:
     """Without fenced code; three or more line ends become two."""
-    return F.trim(F.regexp_replace(F.regexp_replace(_text(x), r"(?s)```.*?```", ""), "\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(_text(x), r"```[^\n]*\n[\s\S]*?```", ""), "\n{3,}", "\n\n"))
 
 
 def epoch_seconds(x: Column) -> Column:
@@ -207,5 +237,30 @@ def epoch_seconds(x: Column) -> Column:
     return F.when(F.abs(x) >= 1e11, x / 1000.0).otherwise(x)
 
 
+def safe_name(x: Column | str, fallback: str = "unknown") -> Column:
+    """A file name part: other characters than letters, digits, _, . and - become -, 80 characters at most."""
+    out = F.substring(F.regexp_replace(F.regexp_replace(stripped(x), "[^A-Za-z0-9_.-]+", "-"), "^[-.]+|[-.]+$", ""), 1, 80)
+    return F.when(out == "", fallback).otherwise(out)
+
+
+def digest_key(prefix: str, width: int, *parts: Column, between: str = "\0") -> Column:
+    """prefix and the first `width` hex digits of the SHA-256 of parts, joined."""
+    joined = parts[0] if len(parts) == 1 else F.concat_ws(between, *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    return F.concat(F.lit(prefix), F.substring(F.sha2(_text(joined).cast("binary"), 256), 1, width))
+
+
+def user_namespace(user: Column) -> Column:
+    """Prefix of a user's sessions: a digest, from which the user does not follow."""
+    return F.concat(digest_key("aml:", 32, user), F.lit(":"))
+
+
+def content_text(x: Column) -> Column:
+    """Text of message content as JSON: a string, an object with text or content, or a list of strings and typed text blocks."""
+    at = lambda j, k: F.get_json_object(j, f"$.{k}")
+    own = lambda j: F.coalesce(F.nullif(at(j, "text"), F.lit("")), at(j, "content"), F.lit(""))
+    part = F.transform(F.from_json(x, "array<string>"), lambda s: F.when(~s.startswith("{"), s).when(at(s, "type").isin("text", "input_text", "output_text"), own(s)))
+    return F.when(x.rlike(r"^\s*\["), F.array_join(F.array_compact(part), "\n")).when(x.rlike(r"^\s*\{"), own(x)).otherwise(_text(x))
+
+
 def without_user(url: Column | str) -> Column:
     return F.regexp_replace(_text(url), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@", "$1")

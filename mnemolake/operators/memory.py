@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemolake.functions import citations as C
+from mnemolake.functions import query as Q
 from mnemolake.functions import text as X
+from mnemolake.functions import vectors as V
+from mnemolake.functions.columns import collapsed, stripped
+from mnemolake.operators.ranking import term_counts
+from mnemolake.operators.retrieval import against_all, mmr, small, top_k
 
 # Fixed values of ranking and decay.
 HALF_LIFE_DAYS, LATEST_WEIGHT, USUAL_WEIGHT = 14.0, 0.32, 0.08
@@ -23,18 +29,59 @@ def ingest(messages: DataFrame) -> DataFrame:
 
 
 def scenario_projection(messages: DataFrame, last: int = 8, width: int = 500) -> DataFrame:
-    """session_id, body: the last messages without secrets, a line each. Ranks are limited before lines are gathered."""
+    """session_id, body, content: the last messages without secrets, a line each, and the candidate record's text with its marks."""
     clean = messages.where(~X.has_secret("content"))
     newest = clean.withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("message_index")))).where(F.col("_n") <= last)
-    line = F.concat(F.lit("- "), F.col("role"), F.lit(": "), F.substring(F.trim(F.regexp_replace("content", r"\s+", " ")), 1, width))
-    return newest.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("message_index", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    line = F.concat(F.lit("- "), F.col("role"), F.lit(": "), F.substring(collapsed("content"), 1, width))
+    bodies = newest.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("message_index", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    head = F.concat(F.lit("status: candidate\nlayer: L2\ngenerated: true\nsession_id: "), F.col("session_id"), F.lit("\n\n# Scenario candidate\n\n"))
+    return bodies.select("session_id", "body", F.concat(head, F.col("body"), F.lit("\n")).alias("content"))
 
 
 def policy_buckets(records: DataFrame, least_episodes: int = 2) -> DataFrame:
-    """signature, episodes, records of buckets with enough distinct episodes; counts are pre-aggregated."""
+    """signature, episodes, records of buckets with enough distinct episodes (two at least); counts are pre-aggregated."""
     keyed = records.select(X.signature("content").alias("signature"), "session_id")
     per = keyed.groupBy("signature", "session_id").agg(F.count("*").alias("n"))
-    return per.groupBy("signature").agg(F.count_if(F.col("session_id") != "").alias("episodes"), F.sum("n").alias("records")).where(F.col("episodes") >= least_episodes)
+    return per.groupBy("signature").agg(F.count_if(F.col("session_id") != "").alias("episodes"), F.sum("n").alias("records")).where(F.col("episodes") >= max(2, least_episodes))
+
+
+# What a policy candidate says besides its evidence.
+PROCEDURE = ("Inspect the cited evidence", "Apply only within the observed scope", "Verify the result")
+VERIFICATION = "Confirm the outcome against the linked evidence before reuse."
+BOUNDARY = "Do not generalize beyond the linked episodes or treat candidate status as fact."
+
+
+def policy_rows(records: DataFrame, least_episodes: int = 2, excerpts: int = 5, width: int = 600) -> DataFrame:
+    """id, path, signature, episodes, records, content of a policy candidate for every bucket.
+
+    records: id, session_id, message_index, content. Only the first `excerpts` records of a bucket are gathered; all ids are in the
+    links that supporting_links() makes, not in the row, so that a bucket of any size is a small row."""
+    keyed = records.withColumn("signature", X.signature("content"))
+    ready = policy_buckets(records, least_episodes)
+    first = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("signature").orderBy("session_id", "message_index", "id"))).where(F.col("_n") <= excerpts)
+    lines = first.groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("_n", F.concat(F.lit("- "), F.substring("content", 1, width)).alias("line")))).alias("e"))
+    text = F.concat_ws(
+        "\n", F.lit("status: candidate"), F.lit("layer: L2"), F.lit("kind: policy"), F.lit("generated: true"), F.lit(""), F.concat(F.lit("trigger: "), F.col("signature")), F.lit("procedure:"), *(F.lit(f"- {x}") for x in PROCEDURE),
+        F.lit(f"verification: {VERIFICATION}"), F.lit(f"boundary: {BOUNDARY}"), F.concat(F.lit("support_episode_count: "), F.col("episodes").cast("string")), F.lit("evidence:"), F.array_join(F.transform("e", lambda x: x["line"]), "\n"), F.lit(""),
+    )
+    path = X.digest_key("policy/", 24, F.col("signature"))
+    return ready.join(lines, "signature").select(F.concat(F.lit("local:L2:"), path).alias("id"), path.alias("path"), "signature", "episodes", "records", text.alias("content"))
+
+
+def supporting_links(records: DataFrame, policies: DataFrame) -> DataFrame:
+    """source_id, target_id, relation: every record of a bucket supports its policy candidate."""
+    keyed = records.select("id", X.signature("content").alias("signature"))
+    return keyed.join(policies.select("signature", F.col("id").alias("target_id")), "signature").select(F.col("id").alias("source_id"), "target_id", F.lit("supports").alias("relation"))
+
+
+def metadata_links(records: DataFrame) -> DataFrame:
+    """source_id, target_id, relation of the ids that records' metadata (JSON) names: source_record_ids support the record, related_ids are
+    related to it. Blank ids, loops and repetitions are left out."""
+    ids = lambda k: F.from_json(F.get_json_object("metadata", f"$.{k}"), "array<string>")
+    of = lambda k, relation: records.select("id", F.explode(F.transform(ids(k), lambda x: F.trim(x))).alias("other"), F.lit(relation).alias("relation"))
+    sources = of("source_record_ids", "supports").select(F.col("other").alias("source_id"), F.col("id").alias("target_id"), "relation")
+    related = of("related_ids", "related").select(F.col("id").alias("source_id"), F.col("other").alias("target_id"), "relation")
+    return sources.unionByName(related).where("source_id <> '' and target_id <> '' and source_id <> target_id").distinct()
 
 
 def recency(age_days: Column, latest: Column) -> Column:
@@ -46,7 +93,7 @@ def bounded_recency(t: Column, low: Column, high: Column, weight: float = 0.35)
 
 
 def memory_relevance(similarity: Column, matched: Column, layer: Column, promoted: Column, fresh: Column, priority: Column) -> Column:
-    """similarity + min(.65, .16 matched) + layer bonus (capped at .2 unless promoted) + recency + priority within +-.2"""
+    """similarity + min(.65, .16 matched) + layer bonus (capped at .2 unless promoted) + recency + .12 priority within +-.2"""
     bonus = F.lit(0.0)
     for name, value in LAYER_BONUS.items():
         bonus = F.when(layer == name, value).otherwise(bonus)
@@ -54,32 +101,42 @@ def memory_relevance(similarity: Column, matched: Column, layer: Column, promote
     return similarity + F.least(F.lit(0.65), 0.16 * matched) + bonus + fresh + F.greatest(F.lit(-0.2), F.least(F.lit(0.2), 0.12 * F.coalesce(priority, F.lit(0.0))))
 
 
-def backpropagated(steps: DataFrame, reward: Column, age_days: Column) -> DataFrame:
-    """steps (episode, seq) with value and priority: the clamped reward times (alpha + (1 - alpha) gamma) for each later step."""
+def backpropagated(steps: DataFrame, reward: Column, age_days: Column, alpha: Column | None = None, gamma: float = GAMMA, half_life: float = PRIORITY_DAYS) -> DataFrame:
+    """steps (episode, seq) with value and priority: the last step has the clamped reward, each one before it the next one's value
+    times (alpha + (1 - alpha) gamma) with its own alpha. An episode's factors are multiplied as a sum of logarithms."""
     later = Window.partitionBy("episode").orderBy(F.desc("seq"))
-    factor = ALPHA + (1 - ALPHA) * GAMMA
+    own = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(alpha, F.lit(ALPHA)) if alpha is not None else F.lit(ALPHA)))
+    factor = own + (1 - own) * max(0.0, min(1.0, gamma))
     clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), reward))
-    valued = steps.withColumn("_n", F.row_number().over(later) - 1).withColumn("value", clamped * F.pow(F.lit(factor), F.col("_n")))
-    return valued.withColumn("priority", F.greatest(F.col("value"), F.lit(0.0)) * F.pow(F.lit(0.5), age_days / PRIORITY_DAYS)).drop("_n")
+    numbered = steps.withColumns({"_n": F.row_number().over(later), "_f": factor, "_r": F.first(clamped).over(later)})
+    share = lambda c: F.sum(F.when(F.col("_n") > 1, c).otherwise(0)).over(later.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    none, logs = share(F.when(F.col("_f") == 0, 1).otherwise(0)), share(F.when(F.col("_f") > 0, F.log("_f")).otherwise(0.0))
+    valued = numbered.withColumns({"_z": none, "_l": logs}).withColumn("value", F.when(F.col("_z") > 0, 0.0).otherwise(F.col("_r") * F.exp("_l")))
+    return valued.withColumn("priority", F.greatest(F.col("value"), F.lit(0.0)) * F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0.0)) / max(1.0, half_life))).drop("_n", "_f", "_r", "_z", "_l")
 
 
-def turn_relations(events: DataFrame, who: str = "user_id", at: str = "ts", key: str = "event_id") -> DataFrame:
-    """Relation of each event to the one before it: new-task first or after more than two idle hours, else follow-up."""
+def turn_relations(events: DataFrame, who: str = "user_id", at: str = "ts", key: str = "event_id", text: str | None = None) -> DataFrame:
+    """Relation of each event to the one before it: new-task for the first, revision for a correcting phrase, new-task for a phrase that says
+    so or after more than two idle hours, else follow-up. Without a text column phrases are not looked at."""
     w = Window.partitionBy(who).orderBy(at, key)
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     gap = (micros(F.col(at)) - micros(F.lag(at).over(w))) / 1e6
-    return events.select(key, who, gap.alias("gap_seconds")).withColumn("relation", F.when(F.col("gap_seconds").isNull() | (F.col("gap_seconds") > IDLE_SECONDS), "new-task").otherwise("follow-up"))
+    said = F.lit("") if text is None else stripped(text)
+    first = F.lag(F.lit(1)).over(w).isNull() if text is None else F.coalesce(F.lag(text).over(w), F.lit("")) == ""
+    marked = events.select(key, who, gap.alias("gap_seconds"), first.alias("_first"), said.rlike(X.REVISION_TAG).alias("_fix"), said.rlike(X.NEW_TASK_TAG).alias("_new"))
+    relation = F.when(F.col("_first"), "new-task").when(F.col("_fix"), "revision").when(F.col("_new") | (F.col("gap_seconds") > IDLE_SECONDS), "new-task").otherwise("follow-up")
+    return marked.withColumn("relation", relation).drop("_first", "_fix", "_new")
 
 
 def best_copies(rows: DataFrame, content: str, *order: Column) -> DataFrame:
     """The first row by order for each digest of stripped content. A digest's rows are reduced before the shuffle."""
-    digest = F.sha2(F.trim(F.coalesce(F.col(content), F.lit(""))).cast("binary"), 256)
+    digest = F.sha2(stripped(content).cast("binary"), 256)
     return rows.withColumn("_h", digest).withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(*order))).where("_n = 1").drop("_h", "_n")
 
 
 def folded_copies(rows: DataFrame, content: str, *order: Column) -> DataFrame:
     """The first row by order for each folded, stripped content."""
-    folded = F.lower(F.trim(F.coalesce(F.col(content), F.lit(""))))
+    folded = stripped(F.lower(F.col(content)))
     return rows.withColumn("_h", folded).withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(*order))).where("_n = 1").drop("_h", "_n")
 
 
@@ -98,9 +155,155 @@ def linked_records(links: DataFrame, records: DataFrame, newest: int = 8) -> Dat
 
 
 def timeline(records: DataFrame, session: str | None = None, most: int = 500) -> DataFrame:
-    """Records of a session by index and layer, or of all by session, index and layer."""
-    own = records if session is None else records.where(F.col("session_id") == session)
-    return own.orderBy("session_id", "message_index", "layer").limit(most)
+    """L0 and L1 records of one session by index, layer and time, `most` of them; of all sessions, `most` of each, which no single task sorts."""
+    own = records.where(F.col("layer").isin("L0", "L1"))
+    times = ["created_at"] if "created_at" in records.columns else []
+    if session is not None:
+        return own.where(F.col("session_id") == session).orderBy("message_index", "layer", *times).limit(most)
+    return top_k(own, most, F.asc("message_index"), F.asc("layer"), *map(F.asc, times), by="session_id").withColumnRenamed("rank", "place")
+
+
+def session_summary(messages: DataFrame) -> DataFrame:
+    """session_id, messages, chars, first_index, last_index of a session's messages."""
+    return messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.sum(F.length("content")).alias("chars"), F.min("message_index").alias("first_index"), F.max("message_index").alias("last_index"))
+
+
+def lifecycle_counts(records: DataFrame) -> DataFrame:
+    """layer, candidates (with pending ones), accepted."""
+    return records.groupBy("layer").agg(F.count_if(F.col("status").isin("candidate", "pending")).alias("candidates"), F.count_if(F.col("status") == "accepted").alias("accepted"))
+
+
+def vector_counts(records: DataFrame, model: str, width: int) -> DataFrame:
+    """layer, indexed: records whose vector is of this model and width."""
+    return records.groupBy("layer").agg(F.count_if((F.col("embedding_model") == model) & (F.col("embedding_dim") == width)).alias("indexed"))
+
+
+def backfilled(records: DataFrame, model: str, width: int, encode) -> DataFrame:
+    """records, those without a vector of this model and width encoded anew by encode(content column)."""
+    stale = F.col("embedding").isNull() | ~F.col("embedding_model").eqNullSafe(F.lit(model)) | ~F.col("embedding_dim").eqNullSafe(F.lit(width))
+    fresh, old = records.where(~stale), records.where(stale)
+    made = old.withColumns({"embedding": encode(F.col("content")), "embedding_model": F.lit(model), "embedding_dim": F.lit(width)})
+    return fresh.unionByName(made.select(fresh.columns))
+
+
+def newest(records: DataFrame, limit: int, by: str = "updated_at") -> DataFrame:
+    """The newest max(1000, 200 limit) records: what a store reads for one question."""
+    return records.orderBy(F.desc(by), "id").limit(max(1000, 200 * limit))
+
+
+def scoped(records: DataFrame, user: Column) -> DataFrame:
+    """L0 and L1 records in a user's namespace."""
+    return records.where(F.col("session_id").startswith(X.user_namespace(user)) & F.col("layer").isin("L0", "L1"))
+
+
+def scoped_ingest(messages: DataFrame) -> DataFrame:
+    """L0 and L1 records of requests' messages (request_id, user_id, session_id, message_index, role, content, timestamp), in their users' namespaces.
+
+    Blank roles and contents make no record, nor do secrets. The id follows from request, place, role and content, so a request sent twice
+    makes the same records."""
+    clean = messages.withColumns({"role": stripped("role"), "content": stripped("content")}).where("role <> '' and content <> ''").where(~X.has_secret("content"))
+    twins = clean.withColumn("layer", F.explode(F.array(F.lit("L0"), F.lit("L1"))))
+    key = X.digest_key("", 32, F.col("request_id"), F.col("message_index"), F.col("role"), F.col("content"))
+    session = F.concat(X.user_namespace(F.col("user_id")), X.digest_key("", 32, F.col("session_id")))
+    return twins.select(F.concat(F.lit("aml:"), F.col("layer"), F.lit(":"), key).alias("id"), "layer", session.alias("session_id"), "message_index", "role", "content", "timestamp").dropDuplicates(["id"])
+
+
+def ingest_report(messages: DataFrame) -> DataFrame:
+    """request_id, stored_messages, skipped_sensitive, ok: a request without any storable message is refused."""
+    secret = X.has_secret("content")
+    good = (stripped("role") != "") & (stripped("content") != "")
+    return messages.groupBy("request_id").agg(F.count_if(good & ~secret).alias("stored_messages"), F.count_if(good & secret).alias("skipped_sensitive")).withColumn("ok", F.col("stored_messages") > 0)
+
+
+#: Fixed values of the memory planes: least likeness without a term, weight of a term and its cap.
+LEAST_COSINE, TERM_WEIGHT, TERM_CAP = 0.12, 0.16, 0.65
+
+
+def _matched(queries: DataFrame, records: DataFrame, stop: tuple[str, ...]) -> DataFrame:
+    """query_id, id, matched: distinct terms of a question that a record's content holds."""
+    terms = queries.select("query_id", F.explode(Q.plane_terms("query", stop)).alias("term"))
+    docs = records.select(F.col("id").alias("doc_id"), F.lit("").alias("path"), F.col("content").alias("text"))
+    return term_counts(terms.select("term").distinct(), docs).join(small(terms), "term").groupBy(F.col("doc_id").alias("id"), "query_id").agg(F.count("*").alias("matched"))
+
+
+def _likeness(queries: DataFrame, records: DataFrame, by: Column | None = None) -> DataFrame:
+    """query_id, id, cos of the questions' vectors against all records' (of their scope), in blocks."""
+    asked = queries.select("query_id", F.col("vector").alias("_q"), *([F.col("scope")] if by is not None else []))
+    met = against_all(asked, records.select("id", "vector", *(["session_id"] if by is not None else [])), "query_id", F.lit(True) if by is None else by)
+    return met.select("query_id", "id", V.cosine(F.col("_q"), F.col("vector")).alias("cos"))
+
+
+def memory_candidates(queries: DataFrame, records: DataFrame, now: Column) -> DataFrame:
+    """query_id, id, relevance, matched, cos, promoted, vector: records for each question, the best copy of each stripped content.
+
+    queries: query_id, query, vector; records: id, layer, role, content, status, accepted, at (epoch seconds), priority, vector. A question
+    that a user asked is no answer; a record needs a matched term or a cosine of .12."""
+    told = records.where(~X.is_question_turn("role", "content"))
+    pairs = _likeness(queries, told).join(_matched(queries, told, X.MEMORY_STOP_WORDS), ["query_id", "id"], "left").fillna(0, ["matched"]).where((F.col("matched") > 0) | (F.col("cos") >= LEAST_COSINE))
+    latest = queries.select("query_id", X.is_latest("query").alias("_latest"))
+    rows = pairs.join(told, "id").join(small(latest), "query_id").withColumn("promoted", C.promoted(F.col("accepted"), F.col("status")))
+    age = (now - F.col("at")) / 86400.0
+    scored = rows.withColumn("relevance", memory_relevance(F.col("cos"), F.col("matched"), F.col("layer"), F.col("promoted"), recency(age, F.col("_latest")), F.col("priority")))
+    copies = scored.withColumn("_h", F.sha2(stripped("content").cast("binary"), 256))
+    best = copies.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_h").orderBy(F.desc("relevance"), "id"))).where("_n = 1")
+    return best.select("query_id", "id", "relevance", "matched", "cos", "promoted", "vector")
+
+
+def two_pools(picked: DataFrame, spare: DataFrame, k: int) -> DataFrame:
+    """picked (query_id, id, pick) of promoted records, then as many of spare's as places are left: new column place."""
+    both = picked.withColumn("_p", F.lit(0)).unionByName(spare.withColumn("_p", F.lit(1)))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("_p", "pick"))).where(F.col("place") <= k).drop("_p", "pick")
+
+
+def memory_search(queries: DataFrame, records: DataFrame, now: Column, k: int = 5) -> DataFrame:
+    """query_id, id, place: memories that are relevant and differ, promoted ones first, candidates where places are left."""
+    found = memory_candidates(queries, records, now)
+    window = max(20, 8 * k)
+    return two_pools(mmr(found.where("promoted"), k, pool=window), mmr(found.where("not promoted"), k, pool=window), k)
+
+
+def scoped_search(queries: DataFrame, records: DataFrame, most: int = 100) -> DataFrame:
+    """query_id, id, score, rank: of the asking user's records only, the first of each folded content.
+
+    queries: query_id, user_id, query, vector; records as scoped_ingest() makes them, with at (epoch seconds) and vector. Questions for the
+    latest add up to .35 for a record's place between the oldest and the newest of its scope."""
+    asked = queries.withColumn("scope", X.user_namespace(F.col("user_id")))
+    own = records.where(F.col("layer").isin("L0", "L1"))
+    # a session's namespace is its text up to the second colon, so questions meet their scope by an equi-join
+    named = own.withColumn("scope", F.concat(F.substring_index("session_id", ":", 2), F.lit(":")))
+    spans = named.groupBy("scope").agg(F.min("at").alias("_low"), F.max("at").alias("_high"))
+    pairs = named.join(asked.select("query_id", "scope", F.col("vector").alias("_q"), X.is_latest("query").alias("_latest")), "scope").join(spans, "scope").withColumn("cos", V.cosine(F.col("_q"), F.col("vector")))
+    scored = pairs.join(_matched(asked, own, X.MEMORY_STOP_WORDS), ["query_id", "id"], "left").fillna(0, ["matched"]).where((F.col("matched") > 0) | (F.col("cos") >= LEAST_COSINE))
+    fresh = F.when(F.col("_latest"), bounded_recency(F.col("at"), F.col("_low"), F.col("_high"))).otherwise(0.0)
+    score = F.col("cos") + F.least(F.lit(TERM_CAP), TERM_WEIGHT * F.col("matched")) + fresh
+    ranked = scored.withColumns({"score": F.round(score, 9), "_h": stripped(F.lower("content"))})
+    once = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_h").orderBy(F.desc("score"), "id"))).where("_n = 1")
+    return top_k(once, most, F.desc("score"), F.asc("id")).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def plain_score(matched: Column, layer: Column) -> Column:
+    """Of the small store without vectors: matched terms, and .1 for an L1 record."""
+    return matched + F.when(layer == "L1", 0.1).otherwise(0.0)
+
+
+def profile_rank(queries: DataFrame, profiles: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, id, score, rank of scenario and profile texts (id, content) by how often they hold a question's words."""
+    words = queries.select("query_id", F.explode(F.regexp_extract_all(F.lower("query"), F.lit(r"(?U)([\w一-龥.-]{2,})"), F.lit(1))).alias("term"))
+    docs = profiles.select(F.col("id").alias("doc_id"), F.lit("").alias("path"), F.col("content").alias("text"))
+    counts = term_counts(words.select("term").distinct(), docs).join(small(words), "term").groupBy("query_id", F.col("doc_id").alias("id")).agg(F.sum("n").alias("score"))
+    return top_k(counts.where("score > 0"), k, F.desc("score"), F.asc("id"))
+
+
+def observed(records: DataFrame, session: str, most: int = 100) -> DataFrame:
+    """What a session has in layer L1, in order."""
+    return records.where((F.col("layer") == "L1") & (F.col("session_id") == session)).orderBy("message_index").limit(most)
+
+
+def reflected(hits: DataFrame, records: DataFrame) -> DataFrame:
+    """query_id, status, evidence_count, observations: a digest of hits (query_id, id, place), marked as a candidate that nobody accepted."""
+    rows = hits.join(records.select("id", "layer", F.substring("content", 1, 512).alias("observation"), "status"), "id")
+    digest = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "id", "layer", "observation", "status"))).alias("observations"))  # k rows a question
+    return digest.select("query_id", F.lit("candidate").alias("status"), F.lit(True).alias("generated"), F.lit(False).alias("accepted"), F.size("observations").alias("evidence_count"), "observations")
 
 
 def after_cursor(messages: DataFrame, cursors: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions import text as X
 
-#: Rows of a query side that may be broadcast; beyond it Spark shuffles both sides.
-MOST_BROADCAST_ROWS = 100_000
+#: Rows and bytes of a side that may be broadcast; beyond either Spark shuffles both sides.
+MOST_BROADCAST_ROWS, MOST_BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has `most` rows at most; the count is of a few columns only."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df with a broadcast hint if it has `most` rows and MOST_BROADCAST_BYTES bytes (as JSON text) at most, which one bounded job finds out."""
+    size = df.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= most and size["b"] <= MOST_BROADCAST_BYTES else df
 
 
 def runs_of_three(items: Column, between: str) -> Column:
@@ -58,62 +59,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(X.words("query"))).alias("term"))
 
 
-def scored(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id, matched, n_terms, score by term frequency (4 at most), idf and coverage.
-
-    Postings are cut to the terms asked for before they are counted, so what is shuffled follows the questions."""
-    terms = query_terms(queries)
-    asked = terms.select("term").distinct()
-    postings = term_postings(docs).join(small(asked), "term", "left_semi")
-    frequency = document_frequency(postings)
-    total = docs.agg(F.count("*").alias("n"))
-    weights = frequency.join(F.broadcast(total)).select("term", idf(F.col("n"), F.col("df")).alias("idf"))
-    sizes = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    hits = postings.join(weights, "term").join(terms, "term")
-    line = F.least(F.col("tf"), F.lit(4)) * (F.lit(6.0) + F.lit(18.0) * F.col("idf"))
-    sums = hits.groupBy("query_id", "doc_id").agg(F.sum(line).alias("base"), F.count("*").alias("matched"))
-    cov, ratio = F.col("matched"), F.col("matched") / F.col("n_terms")
-    bonus = 220 * cov + 280 * F.pow(F.greatest(cov - 1, F.lit(0)), F.lit(2)) + F.floor(1800 * ratio) + F.when((F.col("n_terms") >= 2) & (cov == F.col("n_terms")), 4200).otherwise(0)
-    return sums.join(small(sizes), "query_id").select("query_id", "doc_id", "matched", "n_terms", F.floor(F.col("base") + bonus).cast("bigint").alias("score"))
-
-
 def top_k(hits: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
     """The first k of each `by`, with rank; Spark limits groups before it shuffles them."""
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """Ranked, cited answers: query_id, doc_id, rank, score, coverage, claim_support, abstain. Negative questions scan nothing."""
-    asked = queries.where(X.intent("query") != "negative")
-    best = top_k(scored(asked, docs), k, F.desc("score"), F.asc("doc_id"))
-    coverage = F.round(F.col("matched") / F.col("n_terms"), 4)
-    support = F.when(F.col("matched") == F.col("n_terms"), "direct").otherwise("partial")
-    cited = best.select("query_id", "doc_id", "rank", "score", coverage.alias("coverage"), support.alias("claim_support"))
-    direct = cited.groupBy("query_id").agg((F.count_if(F.col("claim_support") == "direct") == 0).alias("abstain"))
-    return queries.select("query_id").join(cited, "query_id", "left").join(direct, "query_id", "left").withColumn("abstain", F.coalesce("abstain", F.lit(True)))
-
-
-def claim_support(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """query_id, doc_id, matched, required, coverage, claim_support for pairs (query_id, doc_id, query, excerpt, path) of delimited terms."""
-    required = F.filter(F.array_distinct(X.words("query")), lambda t: (F.length(t) >= 3) & ~t.isin(*X.GENERIC_SUPPORT))
-    evidence = F.lower(F.concat_ws(" ", "path", "excerpt"))
-    joined = queries.join(passages, "query_id").withColumns({"_required": required, "_evidence": evidence})
-    matched = F.filter("_required", lambda t: F.contains(F.col("_evidence"), t))
-    n, m = F.size("_required"), F.size(matched)
-    return joined.select(
-        "query_id", "doc_id", m.alias("matched"), n.alias("required"), F.when(n > 0, F.round(m / n, 4)).otherwise(1.0).alias("coverage"),
-        F.when(m == n, "direct").when(m > 0, "partial").otherwise("unknown").alias("claim_support"),
-    )
-
-
-def evidence_line(text: Column, terms: Column) -> Column:
-    """Struct of the first line with the most terms: line (1-based), hits."""
-    lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n")
-    scored_lines = F.transform(lines, lambda line, i: F.struct(F.size(F.filter(terms, lambda t: F.contains(line, t))).alias("hits"), (-i).alias("place")))
-    best = F.array_max(scored_lines)
-    return F.struct((1 - best["place"]).cast("int").alias("line"), best["hits"].alias("hits"))
-
-
 def citation_line(text: Column, needle: Column) -> Column:
     """1-based line on which needle begins in text; null if it is not there."""
     at = F.locate(needle, text) if isinstance(needle, str) else F.call_function("locate", needle, text)
@@ -156,12 +106,25 @@ def resolved_links(links: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def content_revision(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """revision of a corpus: a digest over the sorted (path, content digest) pairs, folded in two levels so that no row holds the corpus."""
-    leaf = docs.select(F.col(key).alias("k"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("h"))
-    lists = leaf.groupBy(F.substring(F.sha2(F.col("k").cast("binary"), 256), 1, 3).alias("b")).agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("l"))
-    nodes = lists.select("b", F.sha2(F.array_join(F.transform("l", lambda x: F.concat(x["k"], F.lit("\0"), x["h"], F.lit("\0"))), "").cast("binary"), 256).alias("h"))
-    top = nodes.agg(F.sort_array(F.collect_list(F.struct("b", "h"))).alias("l"))  # 4096 rows at most
-    return top.select(F.concat(F.lit("content-"), F.substring(F.sha2(F.array_join(F.transform("l", lambda x: F.concat(x["b"], F.lit(":"), x["h"])), ",").cast("binary"), 256), 1, 24)).alias("revision"))
+    """revision of a corpus: a digest over the sorted (path, content digest) pairs, folded in levels of 256, so that no row holds the
+    corpus: four levels are enough for 10^11 documents with some thousand pairs a row."""
+    path = F.sha2(F.col(key).cast("string").cast("binary"), 256)
+    nodes = docs.select(F.substring(path, 1, 8).alias("b"), F.col(key).cast("string").alias("k"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("h"))
+    for level in (6, 4, 2, 0):
+        lists = nodes.groupBy(F.substring("b", 1, level).alias("b")).agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("l"))
+        joined = F.array_join(F.transform("l", lambda x: F.concat(x["k"], F.lit("\0"), x["h"], F.lit("\0"))), "")
+        nodes = lists.select("b", F.col("b").alias("k"), F.sha2(joined.cast("binary"), 256).alias("h"))
+    return nodes.select(F.concat(F.lit("content-"), F.substring("h", 1, 24)).alias("revision"))
+
+
+def href_paths(html: Column | str) -> Column:
+    """Distinct local targets of href attributes, without fragment and query."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit("")), F.lit(r'href="(/[^"#?]*)"'), F.lit(1)))
+
+
+def link_counts(links: DataFrame, key: str) -> DataFrame:
+    """target, pages, first_page of links (key, target)."""
+    return links.groupBy("target").agg(F.count("*").alias("pages"), F.min(key).alias("first_page"))
 
 
 def mmr(candidates: DataFrame, k: int, weight: float = 0.82, pool: int | None = None) -> DataFrame:
@@ -186,4 +149,5 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.82, pool: int | None =
             near = np.maximum(near, np.clip(vectors @ vectors[one], -1, 1)) if len(picked) > 1 else np.clip(vectors @ vectors[one], -1, 1)
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "id": ids[picked], "pick": range(1, len(picked) + 1)})
 
-    return best.groupBy("query_id").applyInPandas(choose, "query_id bigint, id bigint, pick int")
+    kinds = {c: best.schema[c].dataType.simpleString() for c in ("query_id", "id")}
+    return best.groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id']}, id {kinds['id']}, pick int")

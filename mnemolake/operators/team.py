@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.functions.text import has_secret
+from mnemolake.functions.columns import stripped
+from mnemolake.functions.query import plane_terms
+from mnemolake.functions.text import TEAM_STOP_WORDS, digest_key, has_secret
+from mnemolake.operators.ranking import term_counts
+from mnemolake.operators.retrieval import small
 from mnemolake.sources.scratch import materialised
 
 # Fixed values of the lifecycle.
 SECTIONS = {"decision": "Decisions", "discovery": "Discoveries", "failure": "Failures", "solution": "Solutions", "handoff": "Handoffs", "evidence": "Evidence"}
+TYPES = ("evidence", "decision", "discovery", "failure", "solution", "handoff", "scenario")
 STATUS_RANK = {"active": 0, "superseded": 1, "stale": 2, "candidate": 3}
 
 
@@ -19,7 +24,7 @@ def expired(valid_until: Column, now: Column) -> Column:
 
 
 def feedback_counts(feedback: DataFrame) -> DataFrame:
-    return feedback.groupBy("memory_id").agg(F.count_if(F.col("rating") == "helpful").alias("helpful"), F.count_if(F.col("rating") != "helpful").alias("negative"))
+    return feedback.groupBy("memory_id").agg(F.count_if(F.col("rating") == "helpful").alias("helpful"), F.count_if(F.col("rating").isin("wrong", "stale", "not_helpful")).alias("negative"))
 
 
 def ranked_records(records: DataFrame, feedback: DataFrame, matched: Column) -> DataFrame:
@@ -43,10 +48,14 @@ def feedback_transitions(records: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def activated(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """records with the candidates among ids, and all candidates that share their source_memory_id, active."""
-    sources = records.join(ids, "memory_id", "left_semi").where("status = 'candidate'").select("source_memory_id").distinct().withColumn("_hit", F.lit(True))
-    joined = records.join(sources, "source_memory_id", "left")
-    return joined.withColumn("status", F.when((F.col("status") == "candidate") & F.col("_hit"), "active").otherwise(F.col("status"))).drop("_hit")
+    """records with the candidates among ids active, and with them the candidates that are projections of the same memory:
+    those whose source_memory_id is an activated one, or that are an activated one's source."""
+    chosen = records.join(ids, "memory_id", "left_semi").where("status = 'candidate'").select("memory_id", "source_memory_id")
+    hit = chosen.select("memory_id").union(chosen.select("source_memory_id")).where("memory_id is not null").distinct().withColumn("_own", F.lit(True))
+    source = chosen.select(F.col("memory_id").alias("source_memory_id"), F.lit(True).alias("_source")).distinct()
+    joined = records.join(hit, "memory_id", "left").join(source, "source_memory_id", "left").select(*records.columns, "_own", "_source")
+    active = (F.col("status") == "candidate") & (F.col("_own").isNotNull() | F.col("_source").isNotNull())
+    return joined.withColumn("status", F.when(active, "active").otherwise(F.col("status"))).drop("_own", "_source")
 
 
 def current_revisions(revisions: DataFrame) -> DataFrame:
@@ -70,32 +79,135 @@ def ancestors(revisions: DataFrame, most_rounds: int = 64) -> DataFrame:
     return pairs
 
 
-def chain_lengths(revisions: DataFrame) -> DataFrame:
-    """memory_id, chain: revisions on the way from the current one to its root, itself included.
+def current_chain(revisions: DataFrame) -> DataFrame:
+    """memory_id, revision: the greatest revision of each memory and all that it descends from, also where the log has lost them."""
+    now = current_revisions(revisions).select("memory_id", F.col("current").alias("revision"))
+    above = ancestors(revisions).join(now, ["memory_id", "revision"], "left_semi").select("memory_id", F.col("ancestor").alias("revision"))
+    return now.unionByName(above).distinct()
+
 
-    A log whose parents are each the revision before is counted by one window pass; other parents need ancestors()."""
-    w = Window.partitionBy("memory_id").orderBy("revision")
-    broken = revisions.withColumn("_b", F.when(F.col("parent").isNull() | (F.col("parent") != F.coalesce(F.lag("revision").over(w), F.lit(-1))), F.col("revision")))
-    start = broken.groupBy("memory_id").agg(F.max("_b").alias("start"), F.max("revision").alias("current"))
-    return revisions.join(start, "memory_id").where("revision >= start").groupBy("memory_id").agg(F.count("*").alias("chain"))
+def chain_lengths(revisions: DataFrame) -> DataFrame:
+    """memory_id, chain: revisions on the way from the current one to its root, itself included, whatever branches the log has."""
+    return current_chain(revisions).groupBy("memory_id").agg(F.count("*").alias("chain"))
 
 
 def compacted(revisions: DataFrame, protected: DataFrame, keep: int) -> DataFrame:
-    """revisions that stay: those in protected (memory_id, revision), and the newest `keep` others of each memory."""
+    """revisions that stay: those in protected (memory_id, revision; as a rule current_chain()), and the newest `keep` others of each memory."""
     marked = revisions.join(protected.select("memory_id", "revision", F.lit(True).alias("_p")), ["memory_id", "revision"], "left")
     rank = F.row_number().over(Window.partitionBy("memory_id", F.col("_p").isNull()).orderBy(F.desc("revision")))
     return marked.withColumn("_n", rank).where(F.col("_p").isNotNull() | (F.col("_n") <= keep)).drop("_p", "_n")
 
 
-def merge_plan(local: DataFrame, incoming: DataFrame) -> DataFrame:
-    """memory_id, revision, action of an incoming revision log: skip (known with equal content), conflict (known with other
-    content, or its parent is unknown here and in the bundle at a lower revision), insert."""
+def merge_plan(local: DataFrame, incoming: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """memory_id, revision, action of an incoming revision log, taken in order of revision.
+
+    skip: known with equal content; conflict: known with other content, or its parent is neither known here nor a revision of the
+    bundle that comes before and goes in itself; insert: the rest. What a revision waits for is found by pointer jumping: rounds
+    grow with the logarithm of a chain's length."""
     known = local.select("memory_id", "revision", F.col("payload_hash").alias("_local"))
-    every = known.select("memory_id", F.col("revision").alias("_r")).union(incoming.select("memory_id", F.col("revision").alias("_r"))).distinct()
-    parents = every.select("memory_id", F.col("_r").alias("parent"), F.lit(True).alias("_parent"))
-    joined = incoming.join(known, ["memory_id", "revision"], "left").join(parents, ["memory_id", "parent"], "left")
-    action = F.when(F.col("_local") == F.col("payload_hash"), "skip").when(F.col("_local").isNotNull(), "conflict").when(F.col("parent").isNotNull() & F.col("_parent").isNull(), "conflict").otherwise("insert")
-    return joined.select("memory_id", "revision", action.alias("action"))
+    joined = incoming.join(known, ["memory_id", "revision"], "left")
+    fresh = joined.where("_local is null").select("memory_id", "revision", "parent")
+    at_home = local.select("memory_id", F.col("revision").alias("parent"), F.lit(True).alias("_home"))
+    earlier = fresh.select("memory_id", F.col("revision").alias("parent"), F.lit(True).alias("_new"))
+    linked = fresh.join(at_home, ["memory_id", "parent"], "left").join(earlier, ["memory_id", "parent"], "left")
+    waits = F.col("_home").isNull() & F.col("_new").isNotNull() & (F.col("parent") < F.col("revision"))
+    state = materialised(linked.select("memory_id", "revision", F.when(F.col("parent").isNull() | F.col("_home").isNotNull(), True).when(~waits, False).alias("ok"), F.when(F.col("parent").isNotNull() & waits, F.col("parent")).alias("at")), "merge")
+    for _ in range(most_rounds):
+        if not state.where("ok is null").head(1):
+            break
+        ahead = state.select("memory_id", F.col("revision").alias("at"), F.col("ok").alias("_ok"), F.col("at").alias("_at"))
+        state = materialised(state.join(ahead, ["memory_id", "at"], "left").select("memory_id", "revision", F.coalesce("ok", "_ok").alias("ok"), F.when(F.coalesce("ok", "_ok").isNull(), F.col("_at")).alias("at")), "merge")
+    action = F.when(F.col("_local") == F.col("payload_hash"), "skip").when(F.col("_local").isNotNull(), "conflict").when(F.col("ok"), "insert").otherwise("conflict")
+    return joined.join(state.select("memory_id", "revision", "ok"), ["memory_id", "revision"], "left").select("memory_id", "revision", action.alias("action"))
+
+
+def merged_log(local: DataFrame, incoming: DataFrame, plan: DataFrame) -> DataFrame:
+    """The revision log after merge_plan(): memory_id, revision, parent, payload_hash."""
+    new = incoming.join(plan.where("action = 'insert'"), ["memory_id", "revision"], "left_semi")
+    names = ["memory_id", "revision", "parent", "payload_hash"]
+    return local.select(names).unionByName(new.select(names))
+
+
+def record_plan(local: DataFrame, incoming: DataFrame, log: DataFrame) -> DataFrame:
+    """memory_id, action of a bundle's records (memory_id, revision, parent, content_hash) against those at home; log: the merged revisions.
+
+    conflict: the parent is not in the log; insert: not here; skip: the same revision and content; stale_ignored: a lower revision;
+    conflict: the same revision with other content, or the revision at home is not among the incoming one's ancestors; update: the rest."""
+    here = local.select("memory_id", F.col("revision").alias("_r"), F.col("content_hash").alias("_h"))
+    parents = log.select("memory_id", F.col("revision").alias("parent"), F.lit(True).alias("_parent"))
+    based = ancestors(log).select("memory_id", "revision", F.col("ancestor").alias("_r"), F.lit(True).alias("_based"))
+    joined = incoming.join(here, "memory_id", "left").join(parents, ["memory_id", "parent"], "left").join(based, ["memory_id", "revision", "_r"], "left")
+    action = (
+        F.when(F.col("parent").isNotNull() & F.col("_parent").isNull(), "conflict").when(F.col("_r").isNull(), "insert").when(F.col("revision") < F.col("_r"), "stale_ignored")
+        .when(F.col("revision") == F.col("_r"), F.when(F.col("_h") == F.col("content_hash"), "skip").otherwise("conflict")).when(F.col("_based"), "update").otherwise("conflict")
+    )
+    return joined.select("memory_id", action.alias("action"))
+
+
+def replayed(records: DataFrame, known: DataFrame, incoming: DataFrame, bundled: DataFrame) -> DataFrame:
+    """memory_id, status, confidence after a bundle's feedback (memory_id, feedback_id, rating, agent) that is not known yet.
+
+    A record that came with the bundle (bundled: memory_id, confidence) takes the lesser confidence, since the bundle's has the feedback in it;
+    another loses .1 for each stale or wrong. wrong makes stale; stale by two distinct named agents in all makes an active record stale."""
+    new = incoming.join(known.select("memory_id", "feedback_id"), ["memory_id", "feedback_id"], "left_anti").dropDuplicates(["memory_id", "feedback_id"])
+    every = known.select("memory_id", "rating", "agent").unionByName(new.select("memory_id", "rating", "agent"))
+    agents = every.groupBy("memory_id").agg(F.count_distinct(F.when((F.col("rating") == "stale") & (F.trim("agent") != ""), F.trim("agent"))).alias("agents"))
+    fold = new.groupBy("memory_id").agg(F.count_if(F.col("rating") == "stale").alias("stale"), F.count_if(F.col("rating") == "wrong").alias("wrong"))
+    joined = records.join(fold, "memory_id", "left").join(agents, "memory_id", "left").join(bundled.select("memory_id", F.col("confidence").alias("_top")), "memory_id", "left").fillna(0, ["stale", "wrong", "agents"])
+    bad = F.col("stale") + F.col("wrong")
+    status = F.when((F.col("wrong") > 0) & (F.col("status") != "superseded"), "stale").when((F.col("stale") > 0) & (F.col("agents") >= 2) & (F.col("status") == "active"), "stale").otherwise(F.col("status"))
+    confidence = F.when(bad == 0, F.col("confidence")).when(F.col("_top").isNotNull(), F.least("confidence", "_top")).otherwise(F.greatest(F.lit(0.0), F.col("confidence") - 0.1 * bad))
+    return joined.select("memory_id", status.alias("status"), F.round(confidence, 6).alias("confidence"))
+
+
+def published(records: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Outcome of a batch of payloads (key, memory_id, memory_type, title, content, confidence, status, idempotency_key, supersedes):
+    key, memory_id, action (reject, duplicate, insert), confidence, superseded (the record that this one replaces).
+
+    A payload needs a known type, content without secrets and a status of candidate or active. It is a duplicate if its id or its
+    idempotency key is taken, here or by a payload before it (by key). records: memory_id, idempotency_key, status."""
+    status = F.coalesce(F.nullif(F.lower(F.trim("status")), F.lit("")), F.lit("candidate"))
+    title, content = F.coalesce("title", F.lit("")), stripped("content")
+    good = F.lower(F.trim("memory_type")).isin(*TYPES) & (content != "") & ~has_secret(F.concat(title, F.lit("\n"), content)) & status.isin("candidate", "active")
+    fallback = digest_key("", 24, F.lower(F.trim("memory_type")), title, content, between="\0")
+    own = F.coalesce("memory_id", F.concat(F.lit("team:"), F.lower(F.trim("memory_type")), F.lit(":"), F.when(F.col("idempotency_key").isNotNull(), digest_key("", 24, F.col("idempotency_key"))).otherwise(fallback)))
+    checked = payloads.select("key", F.when(own.startswith("team:"), own).otherwise(F.concat(F.lit("team:"), own)).alias("memory_id"), "idempotency_key", "supersedes", F.coalesce(good, F.lit(False)).alias("_good"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5)))).alias("confidence"))
+    ids = records.select("memory_id", F.lit(True).alias("_id")).distinct()
+    keys = records.where("idempotency_key is not null").select("idempotency_key", F.lit(True).alias("_key")).distinct()
+    first = lambda c: F.row_number().over(Window.partitionBy(c, "_good").orderBy("key")) > 1
+    seen = checked.join(ids, "memory_id", "left").join(keys, "idempotency_key", "left").withColumn("_again", first("memory_id") | (F.col("idempotency_key").isNotNull() & first("idempotency_key")))
+    action = F.when(~F.col("_good"), "reject").when(F.col("_id").isNotNull() | F.col("_key").isNotNull() | F.col("_again"), "duplicate").otherwise("insert")
+    targets = records.where("status <> 'superseded'").select(F.col("memory_id").alias("supersedes"), F.lit(True).alias("_there"))
+    return seen.withColumn("action", action).join(targets, "supersedes", "left").select("key", "memory_id", "action", "confidence", F.when((F.col("action") == "insert") & F.col("_there"), F.col("supersedes")).alias("superseded"))
+
+
+def team_hits(queries: DataFrame, records: DataFrame, feedback: DataFrame, now: Column, most: int = 10, candidates: bool = True, **scope: str) -> DataFrame:
+    """query_id, memory_id, status, matched, score, rank: active and candidate records for each question, `most` of either, by score and id.
+
+    records: memory_id, status, confidence, body (all that is searched), valid_until and the scope's columns. Expired records are left out.
+    scope: column=text that it must hold, without regard to case. A question without terms takes every record."""
+    live = records.where(F.col("status").isin("active", *(["candidate"] if candidates else [])) & ~expired(F.col("valid_until"), now))
+    for column, value in scope.items():
+        live = live.where(F.contains(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(value.lower())))
+    asked = queries.select("query_id", plane_terms("query", TEAM_STOP_WORDS).alias("terms"))
+    terms = asked.select("query_id", F.explode("terms").alias("term"))
+    docs = live.select(F.col("memory_id").alias("doc_id"), F.lit("").alias("path"), F.col("body").alias("text"))
+    counts = term_counts(terms.select("term").distinct(), docs).join(small(terms), "term").groupBy("doc_id", "query_id").agg(F.count("*").alias("matched"))
+    every = live.select(F.col("memory_id").alias("doc_id")).join(F.broadcast(asked.where("size(terms) = 0").select("query_id"))).withColumn("matched", F.lit(0).cast("bigint"))  # of questions without terms
+    pairs = counts.unionByName(every).withColumnRenamed("doc_id", "memory_id")
+    found = ranked_records(pairs.join(live, "memory_id"), feedback, F.col("matched"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "status").orderBy(F.desc("score"), "memory_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "memory_id", "status", "matched", "score", "rank")
+
+
+def context_sections(records: DataFrame) -> DataFrame:
+    """memory_type, n, first_id of active records: the sections of a context package, scenarios among them."""
+    return records.where("status = 'active'").groupBy("memory_type").agg(F.count("*").alias("n"), F.min("memory_id").alias("first_id"))
+
+
+def by_coverage(hits: DataFrame) -> DataFrame:
+    """Hits (query_id, rank, coverage) by coverage, equal ones as they were: new rank."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("coverage"), "rank")))
 
 
 def export_plan(existing: DataFrame, desired: DataFrame) -> DataFrame:
@@ -122,5 +234,13 @@ def most_advanced(records: DataFrame, key: str) -> DataFrame:
 
 def review(records: DataFrame, floor: float = 0.5) -> DataFrame:
     """memory_id, decision of candidates: accept, hold (low confidence) or reject (secrets, under 20 characters)."""
-    checks = ~has_secret("content") & (F.length(F.trim("content")) >= 20)
+    checks = ~has_secret("content") & (F.length(stripped("content")) >= 20)
     return records.where("status = 'candidate'").select("memory_id", F.when(~checks, "reject").when(F.col("confidence") >= floor, "accept").otherwise("hold").alias("decision"))
+
+
+def health(records: DataFrame, feedback: DataFrame, revisions: DataFrame, now: Column) -> DataFrame:
+    """One row: total, active, candidate, superseded, stale, expired (active ones), feedback, revisions, longest_chain."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    own = records.agg(F.count("*").alias("total"), *map(of, STATUS_RANK), F.count_if((F.col("status") == "active") & expired(F.col("valid_until"), now)).alias("expired"))
+    rows = feedback.agg(F.count("*").alias("feedback")).join(revisions.agg(F.count("*").alias("revisions")))
+    return own.join(rows).join(chain_lengths(revisions).agg(F.max("chain").alias("longest_chain")))

@@ -2,63 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions import text as X
 from mnemolake.functions import vectors as V
+from mnemolake.functions import query as Q
 from mnemolake.operators import evaluation as E
 from mnemolake.operators import memory as M
+from mnemolake.operators import ranking as K
+from mnemolake.operators import results as W
 from mnemolake.operators import retrieval as R
+from mnemolake.operators import stores as O
 from mnemolake.operators import team as T
+from mnemolake.plans import library as L
+from mnemolake.plans.base import DOCS, FEEDBACK, ORACLES, QUERIES, RECORDS, REVISIONS, SECRET, TEAM, WORDS, query  # noqa: F401
 from mnemolake.sources import readers as S
 from mnemolake.streaming import capture as C
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-# SQL of the views in mnemolake.sources.readers.
-DOCS = "(SELECT doc_id, lang || '/' || source || '/doc_' || doc_id || '.md' AS path, lang AS layer, source, text, octet_length(encode(text)) AS size FROM documents)"
-RECORDS = "(SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS message_index, role, text AS content FROM conversations)"
-TEAM = """(SELECT doc_id AS memory_id, (['evidence','decision','discovery','failure','solution','handoff','scenario'])[doc_id % 7 + 1] AS memory_type,
-  CASE WHEN toxic = 1 THEN 'stale' WHEN quality = 1 THEN 'active' WHEN quality = 0 THEN 'superseded' ELSE 'candidate' END AS status,
-  least(n_chars, 4000) / 4000.0::DOUBLE AS confidence, source AS repo, text AS content, doc_id % 50 AS source_memory_id FROM documents LEFT JOIN labels USING (doc_id))"""
-FEEDBACK = """(SELECT event_id, event_id % 200 AS memory_id, CAST(user_id AS VARCHAR) AS agent, ts, CASE event_type WHEN 'purchase' THEN 'helpful' WHEN 'click' THEN 'not_helpful' WHEN 'error' THEN 'wrong' WHEN 'signup' THEN 'stale' END AS rating
-  FROM events WHERE event_type IN ('purchase', 'click', 'error', 'signup'))"""
-REVISIONS = """(SELECT memory_id, revision, CASE WHEN revision > 1 THEN revision - 1 END AS parent, substr(sha256(part || ':' || supplier), 1, 16) AS payload_hash FROM
-  (SELECT l_orderkey AS memory_id, l_partkey AS part, l_suppkey AS supplier, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS revision FROM lineitem))"""
-WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}./:-]{{2,}}')"
-SECRET = r"""(?i)-----BEGIN .*PRIVATE KEY-----|(?:api[_-]?key|access[_-]?token|password|secret)\s*[:=]\s*[''"]?[A-Za-z0-9_\-/.+=]{16,}|\bsk-[A-Za-z0-9_-]{16,}"""
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 @query(f"SELECT doc_id, path, CAST(size AS BIGINT) AS size FROM {DOCS} WHERE size <= 524288 AND NOT contains(text, chr(0)) AND NOT regexp_matches(text, '{SECRET}')")
 def scan_filter_docs(spark, sf):
     docs = S.documents_view(spark, sf)
     return docs.where(S.scannable(F.col("path"), F.col("size"), F.col("text"))).select("doc_id", "path", "size")
 
 
-@query(f"""WITH l AS (SELECT path AS k, sha256(text) AS h, substr(sha256(path), 1, 3) AS b FROM {DOCS}), n AS (SELECT b, sha256(string_agg(k || chr(0) || h || chr(0), '' ORDER BY k)) AS h FROM l GROUP BY b)
-SELECT 'content-' || substr(sha256(string_agg(b || ':' || h, ',' ORDER BY b)), 1, 24) AS revision FROM n""")
+def _fold(rows: str, level: int) -> str:
+    return f"(SELECT b, b AS k, sha256(string_agg(k || chr(0) || h || chr(0), '' ORDER BY k, h)) AS h FROM (SELECT substr(b, 1, {level}) AS b, k, h FROM {rows}) GROUP BY b)"
+
+
+@query(f"SELECT 'content-' || substr(h, 1, 24) AS revision FROM {_fold(_fold(_fold(_fold(f'(SELECT substr(sha256(path), 1, 8) AS b, path AS k, sha256(text) AS h FROM {DOCS})', 6), 4), 2), 0)}")
 def content_revision(spark, sf):
     return R.content_revision(S.documents_view(spark, sf))
 
 
-@query(f"SELECT session_id, count(*) AS messages, sum(length(content)) AS chars, min(message_index) AS first_index, max(message_index) AS last_index FROM {RECORDS} WHERE trim(role) <> '' AND trim(content) <> '' GROUP BY session_id")
+@query(f"SELECT session_id, count(*) AS messages, sum(length(content)) AS chars, 0 AS first_index, count(*) - 1 AS last_index FROM {RECORDS} WHERE trim(role) <> '' AND trim(content) <> '' GROUP BY session_id")
 def session_flatten(spark, sf):
-    rows = S.records_view(spark, sf).where("trim(role) <> '' and trim(content) <> ''")
-    return rows.groupBy("session_id").agg(F.count("*").alias("messages"), F.sum(F.length("content")).alias("chars"), F.min("message_index").alias("first_index"), F.max("message_index").alias("last_index"))
+    """Conversations as session payloads, taken apart again."""
+    rows = S.records_view(spark, sf)
+    message = F.struct("role", "content", F.lit(None).cast("string").alias("timestamp"))
+    payloads = rows.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("message_index", message.alias("m")))), lambda x: x["m"]).alias("messages"))
+    found = M.session_summary(S.session_messages(payloads))
+    return found.select("session_id", "messages", "chars", F.col("first_index").cast("int").alias("first_index"), F.col("last_index").cast("bigint").alias("last_index"))
 
 
 @query(f"SELECT doc_id, len(w) AS tokens, len(list_distinct(w)) AS distinct_tokens FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)")
@@ -118,8 +102,7 @@ def han_dates(spark, sf):
 
 @query(r"""WITH l AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"#?]*)"', 1))) AS target FROM pages) SELECT target, count(*) AS pages, min(page_id) AS first_page FROM l GROUP BY target""")
 def html_links(spark, sf):
-    links = S.table(spark, sf, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="(/[^"#?]*)"'), F.lit(1)))).alias("target"))
-    return links.groupBy("target").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
+    return R.link_counts(S.table(spark, sf, "pages").select("page_id", F.explode(R.href_paths("html")).alias("target")), "page_id")
 
 
 EDGES = "(SELECT doc_id AS a, doc_id % 50 AS b FROM documents)"
@@ -184,35 +167,40 @@ def term_frequency_cap(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", F.least(F.lit(4), n).alias("tf"), n.alias("total"))
 
 
-TERMS = f"(SELECT DISTINCT item_id AS query_id, unnest({WORDS.format('text')}) AS term FROM benchmark)"
-SCORED = f"""(SELECT h.query_id, doc_id, matched, n_terms, CAST(floor(base + 220 * matched + 280 * pow(greatest(matched - 1, 0), 2) + floor(1800 * (matched / n_terms::DOUBLE)) + CASE WHEN n_terms >= 2 AND matched = n_terms THEN 4200 ELSE 0 END) AS BIGINT) AS score FROM
- (SELECT query_id, doc_id, sum(least(tf, 4) * (6.0 + 18.0 * idf)) AS base, count(*) AS matched FROM {POSTINGS} p JOIN (SELECT term, greatest(1.0::DOUBLE, ln((n + 1)::DOUBLE / (df + 1))) AS idf FROM (SELECT term, count(*) AS df FROM {POSTINGS} GROUP BY term), (SELECT count(*) AS n FROM documents)) USING (term) JOIN {TERMS} USING (term) GROUP BY query_id, doc_id) h
- JOIN (SELECT query_id, count(*) AS n_terms FROM {TERMS} GROUP BY query_id) USING (query_id))"""
+SCORED = L.SCORED
 RANKED = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {SCORED} QUALIFY rank <= 5)"
 
 
+def hits(spark, sf):
+    return K.scored(L.asked(spark, sf), L.library(spark, sf))
+
+
+def best(spark, sf, k=5):
+    return R.top_k(hits(spark, sf), k, F.desc("score"), F.asc("doc_id"))
+
+
 @query(f"SELECT query_id, doc_id, rank, score FROM {RANKED}")
 def tfidf_topk(spark, sf):
-    hits = R.scored(S.questions_view(spark, sf), S.table(spark, sf, "documents"))
-    return R.top_k(hits, 5, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "rank", "score")
+    return best(spark, sf).select("query_id", "doc_id", "rank", "score")
 
 
-@query(f"SELECT query_id, count(*) AS docs, max(matched) AS most, round(sum(matched / n_terms::DOUBLE), 6) AS coverage FROM {SCORED} GROUP BY query_id")
+@query(f"SELECT query_id, count(*) AS docs, max(covered) AS most, round(sum(covered / greatest(1, n_terms)::DOUBLE), 6) AS coverage FROM {SCORED} GROUP BY query_id")
 def coverage_score(spark, sf):
-    hits = R.scored(S.questions_view(spark, sf), S.table(spark, sf, "documents"))
-    return hits.groupBy("query_id").agg(F.count("*").alias("docs"), F.max("matched").alias("most"), F.round(F.sum(F.col("matched") / F.col("n_terms")), 6).alias("coverage"))
+    return hits(spark, sf).groupBy("query_id").agg(F.count("*").alias("docs"), F.max("covered").alias("most"), F.round(F.sum(F.col("covered") / F.greatest(F.lit(1), F.col("n_terms"))), 6).alias("coverage"))
 
 
-@query(f"""SELECT q.item_id AS query_id, doc_id, rank, score, round(matched / n_terms::DOUBLE, 4) AS coverage, CASE WHEN matched = n_terms THEN 'direct' WHEN matched IS NOT NULL THEN 'partial' END AS claim_support,
- coalesce(NOT bool_or(matched = n_terms) OVER (PARTITION BY q.item_id), true) AS abstain FROM benchmark q LEFT JOIN {RANKED} r ON r.query_id = q.item_id""")
-def search(spark, sf):
-    return R.search(S.questions_view(spark, sf), S.table(spark, sf, "documents"))
+@query(f"SELECT query_id, count(*) AS kept FROM {SCORED} WHERE matched >= least GROUP BY query_id")
+def min_match_filter(spark, sf):
+    return hits(spark, sf).where("matched >= least").groupBy("query_id").agg(F.count("*").alias("kept"))
 
 
-@query(f"SELECT query_id, count(*) AS kept FROM {SCORED} WHERE matched >= greatest(1, (n_terms + 2) // 3) GROUP BY query_id")
-def min_match_filter(spark, sf):
-    hits = R.scored(S.questions_view(spark, sf), S.table(spark, sf, "documents"))
-    return hits.where(F.col("matched") >= F.greatest(F.lit(1), F.floor((F.col("n_terms") + 2) / 3))).groupBy("query_id").agg(F.count("*").alias("kept"))
+@query(f"SELECT term, df, round(idf, 6) AS idf FROM {L.FREQUENCY}")
+def term_frequency_in_corpus(spark, sf):
+    """Document frequency and idf of all asked terms, as substrings."""
+    docs = L.library(spark, sf)
+    total = F.broadcast(docs.agg(F.count("*").alias("n")))
+    asked = K.understood(L.asked(spark, sf), F.array().cast("array<string>")).select(F.explode("terms").alias("term")).distinct()
+    return K.corpus_frequency(asked, K.term_counts(asked, docs)).join(total).select("term", "df", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 POOL = f"(SELECT query_id, doc_id, rank AS pos, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {SCORED} QUALIFY rank <= 20) JOIN documents USING (doc_id))"
@@ -220,8 +208,7 @@ POOL = f"(SELECT query_id, doc_id, rank AS pos, lang, source FROM (SELECT *, row
 
 def pool(spark, sf):
     docs = S.table(spark, sf, "documents")
-    hits = R.top_k(R.scored(S.questions_view(spark, sf), docs), 20, F.desc("score"), F.asc("doc_id"))
-    return hits.join(docs.select("doc_id", "lang", "source"), "doc_id").select("query_id", "doc_id", F.col("rank").alias("pos"), "lang", "source")
+    return best(spark, sf, 20).join(docs.select("doc_id", "lang", "source"), "doc_id").select("query_id", "doc_id", F.col("rank").alias("pos"), "lang", "source")
 
 
 @query(f"SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n > 1, pos) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY pos) AS n FROM {POOL})")
@@ -234,15 +221,13 @@ def source_interleave(spark, sf):
     return R.interleaved(pool(spark, sf), "query_id", "source", "pos").select("query_id", "doc_id", "place")
 
 
-LINES = "string_split(lower(text), chr(10))"
-ASKED = "list_filter(['the', 'und', 'que', 'de', 'password', 'en'], lambda t: contains({0}, t))"
+_LISTED = ("the", "und", "que", "de", "password", "en")
 
 
-@query(f"""SELECT doc_id, line, hits FROM (SELECT doc_id, CAST(i AS INTEGER) AS line, CAST(len({ASKED.format('l[i]')}) AS INTEGER) AS hits, row_number() OVER (PARTITION BY doc_id ORDER BY len({ASKED.format('l[i]')}) DESC, i) AS n
- FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {LINES} AS l FROM documents))) WHERE n = 1""")
+@query(f"SELECT doc_id, a + 1 AS line_start, b AS line_end, sha256(array_to_string(lines[a + 1:b], chr(10))) AS digest FROM {L.window(f'(SELECT doc_id, text, {list(_LISTED)} AS terms FROM {L.LIBRARY})')}")
 def evidence_window(spark, sf):
-    best = R.evidence_line(F.col("text"), F.array(*map(F.lit, ("the", "und", "que", "de", "password", "en"))))
-    return S.table(spark, sf, "documents").select("doc_id", best.alias("b")).select("doc_id", "b.line", "b.hits")
+    found = L.library(spark, sf).select("doc_id", Q.evidence_window("text", F.array(*map(F.lit, _LISTED))).alias("w"))
+    return found.select("doc_id", "w.line_start", "w.line_end", F.sha2(F.col("w.excerpt").cast("binary"), 256).alias("digest"))
 
 
 GOLD = "(SELECT item_id AS query_id, doc_id, b.text AS passage, d.text AS text FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -270,20 +255,23 @@ def citation_locate(spark, sf):
     return gold(spark, sf).select("query_id", "doc_id", R.citation_line(F.col("text"), F.col("passage")).alias("line"))
 
 
-@query(f"""SELECT query_id, doc_id, len(m) AS matched, len(r) AS required, CASE WHEN len(r) > 0 THEN round(len(m) / len(r)::DOUBLE, 4) ELSE 1.0 END AS coverage, CASE WHEN len(m) = len(r) THEN 'direct' WHEN len(m) > 0 THEN 'partial' ELSE 'unknown' END AS claim_support FROM
- (SELECT query_id, doc_id, r, list_filter(r, lambda t: contains(evidence, t)) AS m FROM (SELECT query_id, doc_id, lower(path || ' ' || d.text) AS evidence, list_filter(list_distinct({WORDS.format('q.text')}), lambda t: len(t) >= 3 AND t NOT IN {X.GENERIC_SUPPORT}) AS r
- FROM {RANKED} JOIN {DOCS} d USING (doc_id) JOIN benchmark q ON q.item_id = query_id))""")
+@query(f"SELECT query_id, doc_id, held AS matched, required, coverage, claim_support FROM {L.supported(RANKED)}")
 def claim_support(spark, sf):
-    docs, asked = S.documents_view(spark, sf), S.questions_view(spark, sf)
-    best = R.top_k(R.scored(asked, docs), 5, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id")
-    found = R.claim_support(asked, best.join(docs.select("doc_id", "path", F.col("text").alias("excerpt")), "doc_id"))
-    return found.withColumns({"matched": F.col("matched").cast("bigint"), "required": F.col("required").cast("bigint")})
+    found = K.cited(best(spark, sf), L.asked(spark, sf), L.library(spark, sf))
+    n = lambda c: F.size(c).cast("bigint")
+    return found.select("query_id", "doc_id", n("support.matched").alias("matched"), (n("support.matched") + n("support.unmatched")).alias("required"), "support.coverage", "support.claim_support")
+
+
+@query(f"""SELECT q.query_id, doc_id, rank, score, line_start, line_end, coverage, claim_support, coalesce(NOT bool_or(claim_support = 'direct') OVER (PARTITION BY q.query_id), true) AS abstain
+ FROM {L.ASKED} q LEFT JOIN {L.supported(L.ranked(5))} r ON r.query_id = q.query_id""")
+def search(spark, sf):
+    """Questions with the first five documents of the repository ranking, the lines that are cited, and what they prove."""
+    return K.search(L.asked(spark, sf), L.library(spark, sf)).select("query_id", "doc_id", "rank", "score", "line_start", "line_end", "coverage", "claim_support", "abstain")
 
 
 @query(f"SELECT query_id, doc_id, CASE WHEN status IN ('stale', 'candidate') THEN 'candidate' ELSE 'verified' END AS lane FROM {RANKED} JOIN {TEAM} t ON t.memory_id = doc_id")
 def verified_split(spark, sf):
-    best = R.top_k(R.scored(S.questions_view(spark, sf), S.table(spark, sf, "documents")), 5, F.desc("score"), F.asc("doc_id"))
-    results = best.join(S.team_view(spark, sf).select(F.col("memory_id").alias("doc_id"), "status"), "doc_id").select("query_id", F.col("doc_id").alias("id"), F.col("rank").alias("pos"), "status", F.lit(True).alias("valid"))
+    results = best(spark, sf).join(S.team_view(spark, sf).select(F.col("memory_id").alias("doc_id"), "status"), "doc_id").select("query_id", F.col("doc_id").alias("id"), F.col("rank").alias("pos"), "status", F.lit(True).alias("valid"))
     return R.split_verified(results).select("query_id", F.col("id").alias("doc_id"), "lane")
 
 
@@ -302,19 +290,27 @@ def l0_l1_ingest(spark, sf):
     return M.ingest(S.records_view(spark, sf)).select("id", "layer", "session_id", "message_index", "turn_id")
 
 
-@query(rf"""SELECT session_id, string_agg('- ' || role || ': ' || substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 500), chr(10) ORDER BY message_index) AS body FROM
+@query(rf"""SELECT session_id, string_agg('- ' || role || ': ' || substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 500), chr(10) ORDER BY message_index) AS body, 'status: candidate' || chr(10) || 'layer: L2' || chr(10) || 'generated: true' || chr(10) || 'session_id: ' || session_id || chr(10) || chr(10) || '# Scenario candidate' || chr(10) || chr(10) || body || chr(10) AS content FROM
  (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY message_index DESC) AS n FROM {RECORDS} WHERE NOT regexp_matches(content, '{SECRET}')) WHERE n <= 8 GROUP BY session_id""")
 def l2_projection(spark, sf):
     return M.scenario_projection(S.records_view(spark, sf))
 
 
+# Invented texts share few signatures: the first word of a turn and how it went stand in for them.
+TURNS = f"(SELECT session_id, message_index, role, string_split(content, ' ')[1] || CASE WHEN message_index % 3 = 0 THEN ' failed' WHEN message_index % 5 = 1 THEN ' redo' ELSE '' END AS content FROM {RECORDS})"
+
+
+def turns(spark, sf):
+    said = F.when(F.col("message_index") % 3 == 0, " failed").when(F.col("message_index") % 5 == 1, " redo").otherwise("")
+    return S.records_view(spark, sf).withColumn("content", F.concat(F.get(F.split("content", " "), 0), said))
+
+
 @query(r"""WITH s AS (SELECT session_id, coalesce(nullif(substr(array_to_string(list_concat(list_filter([CASE WHEN regexp_matches(content, '(?i)timeout|error|failed|blocked') THEN 'failure' END, CASE WHEN regexp_matches(content, '(?i)wrong|incorrect|redo') THEN 'revision' END,
   CASE WHEN regexp_matches(content, '(?i)new task|new topic|moving on') THEN 'new-task' END], lambda x: x IS NOT NULL), list_sort(t[1:8])), '|'), 1, 220), ''), 'empty') AS signature FROM
-  (SELECT session_id, content, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(l) AS w, unnest(range(len(l))) AS i FROM (SELECT regexp_extract_all(lower(content), '[\p{L}\p{N}\p{M}\p{Pc}./:-]{2,}') AS l)) GROUP BY w)) AS t FROM """ + f"{RECORDS}" + r"""))
- SELECT signature, count(DISTINCT session_id) AS episodes, count(*) AS records FROM s GROUP BY signature""")
+  (SELECT session_id, content, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(l) AS w, unnest(range(len(l))) AS i FROM (SELECT regexp_extract_all(lower(content), '[\p{L}\p{N}\p{M}\p{Pc}./:-]{2,}') AS l)) GROUP BY w)) AS t FROM """ + f"{TURNS}" + r"""))
+ SELECT signature, count(DISTINCT session_id) AS episodes, count(*) AS records FROM s GROUP BY signature HAVING count(DISTINCT session_id) >= 2""")
 def policy_buckets(spark, sf):
-    """All buckets: the invented texts share few."""
-    return M.policy_buckets(S.records_view(spark, sf), least_episodes=1)
+    return M.policy_buckets(turns(spark, sf))
 
 
 @query("""SELECT event_id, user_id, round(gap, 6) AS gap_seconds, CASE WHEN gap IS NULL OR gap > 7200 THEN 'new-task' ELSE 'follow-up' END AS relation FROM
@@ -329,17 +325,11 @@ def turn_relation(spark, sf):
 def session_gap_batch(spark, sf):
     events = S.table(spark, sf, "events")
     related = events.join(M.turn_relations(events).select("event_id", "relation"), "event_id")
-    session = F.sum((F.col("relation") == "new-task").cast("int")).over(F_window("user_id", "ts", "event_id"))
+    session = F.sum((F.col("relation") == "new-task").cast("int")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return related.withColumn("session", session).groupBy("user_id", "session").agg(F.count("*").alias("events"), (F.max(micros) - F.min(micros)).alias("micros"))
 
 
-def F_window(by: str, *order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(by).orderBy(*order)
-
-
 @query("SELECT event_id, round(pow(0.5, greatest(age, 0) / 14.0) * CASE WHEN event_type = 'view' THEN 0.32 ELSE 0.08 END, 6) AS recency FROM (SELECT event_id, event_type, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 86400e6 AS age FROM events)")
 def recency_decay(spark, sf):
     events = S.table(spark, sf, "events")
@@ -356,7 +346,7 @@ def bounded_recency(spark, sf):
 
 
 @query("""SELECT event_id, round(v, 6) AS value, round(greatest(v, 0) * pow(0.5, age / 30.0), 6) AS priority FROM
- (SELECT event_id, greatest(-1.0, least(1.0, value / 100 - 0.5)) * pow(0.3 + 0.7 * 0.9, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1) AS v, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 86400e6 AS age FROM events)""")
+ (SELECT event_id, first(greatest(-1.0, least(1.0, value / 100 - 0.5))) OVER w * pow(0.3 + 0.7 * 0.9, row_number() OVER w - 1) AS v, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 86400e6 AS age FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))""")
 def backprop_value(spark, sf):
     events = S.table(spark, sf, "events")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -369,12 +359,12 @@ def feedback_fold(spark, sf):
     return S.feedback_view(spark, sf).groupBy("memory_id").agg(F.count("*").alias("n"), F.round(F.sum(X.feedback_delta("rating")), 6).alias("delta"))
 
 
-@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(trim(text, ' ')) ORDER BY n_chars DESC, doc_id) = 1")
+@query(r"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(regexp_replace(text, '^[\s\p{Z}\x1C-\x1F\x{85}]+|[\s\p{Z}\x1C-\x1F\x{85}]+$', '', 'g')) ORDER BY n_chars DESC, doc_id) = 1")
 def content_dedupe(spark, sf):
     return M.best_copies(S.table(spark, sf, "documents"), "text", F.desc("n_chars"), F.asc("doc_id")).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower(trim(text, ' ')) ORDER BY n_chars DESC, doc_id) = 1")
+@query(r"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY regexp_replace(lower(text), '^[\s\p{Z}\x1C-\x1F\x{85}]+|[\s\p{Z}\x1C-\x1F\x{85}]+$', '', 'g') ORDER BY n_chars DESC, doc_id) = 1")
 def casefold_dedupe(spark, sf):
     return M.folded_copies(S.table(spark, sf, "documents"), "text", F.desc("n_chars"), F.asc("doc_id")).select("doc_id")
 
@@ -426,13 +416,14 @@ ECHO = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
  (SELECT session_id, message_index, {ECHO.format('content')} AS e, {ECHO.format('lag(content) OVER (PARTITION BY session_id ORDER BY message_index)')} AS q FROM {RECORDS} WHERE NOT regexp_matches(rtrim(content), '[?？]$')) WHERE q IS NOT NULL""")
 def query_echo(spark, sf):
     rows = S.records_view(spark, sf).where(~F.rtrim("content").rlike("[?？]$"))
-    asked = rows.withColumn("q", F.lag("content").over(F_window("session_id", "message_index"))).where("q is not null")
+    asked = rows.withColumn("q", F.lag("content").over(Window.partitionBy("session_id").orderBy("message_index"))).where("q is not null")
     return asked.select("session_id", "message_index", X.is_echo(F.lit("assistant"), F.col("content"), F.col("q")).alias("echo"))
 
 
-@query(f"SELECT id, session_id, message_index, layer FROM {TWINS} WHERE session_id = '3' ORDER BY message_index, layer LIMIT 500")
+@query(f"SELECT id, session_id, message_index, layer, row_number() OVER (PARTITION BY session_id ORDER BY message_index, layer) AS place FROM {TWINS} QUALIFY place <= 500")
 def timeline(spark, sf):
-    return M.timeline(M.ingest(S.records_view(spark, sf)), "3").select("id", "session_id", "message_index", "layer")
+    """Every session's trace, 500 records of each at most."""
+    return M.timeline(M.ingest(S.records_view(spark, sf))).select("id", "session_id", "message_index", "layer", "place")
 
 
 @query(f"SELECT layer, count(*) AS records, count(DISTINCT session_id) AS sessions FROM {TWINS} GROUP BY layer")
@@ -443,8 +434,7 @@ def layer_counts(spark, sf):
 @query(f"SELECT layer, count(*) FILTER (message_index % 3 = 0) AS candidates, count(*) FILTER (message_index % 3 = 1) AS accepted FROM {TWINS} GROUP BY layer")
 def lifecycle_counts(spark, sf):
     status = F.when(F.col("message_index") % 3 == 0, "candidate").when(F.col("message_index") % 3 == 1, "accepted").otherwise("verified")
-    rows = M.ingest(S.records_view(spark, sf)).withColumn("status", status)
-    return rows.groupBy("layer").agg(F.count_if(F.col("status").isin("candidate", "pending")).alias("candidates"), F.count_if(F.col("status") == "accepted").alias("accepted"))
+    return M.lifecycle_counts(M.ingest(S.records_view(spark, sf)).withColumn("status", status))
 
 
 @query(f"""WITH t AS {TWINS}, l AS (SELECT a.id AS s, b.id AS t, 'related' AS relation, a.message_index AS created_at FROM t a JOIN t b ON a.session_id = b.session_id AND b.message_index = a.message_index + 1 AND a.layer = 'L1' AND b.layer = 'L1'),
@@ -492,45 +482,96 @@ def supersede_chain(spark, sf):
     return joined.select("memory_id", "revision", F.when(F.col("revision") == F.col("current"), "active").otherwise("superseded").alias("status"))
 
 
-@query(f"SELECT memory_id, CASE WHEN status = 'candidate' AND source_memory_id IN (SELECT source_memory_id FROM {TEAM} WHERE status = 'candidate' AND memory_id % 9 = 0) THEN 'active' ELSE status END AS status FROM {TEAM}")
+@query(f"""WITH c AS (SELECT memory_id, source_memory_id FROM {TEAM} WHERE status = 'candidate' AND memory_id % 9 = 0)
+ SELECT memory_id, CASE WHEN status = 'candidate' AND (memory_id IN (SELECT memory_id FROM c) OR memory_id IN (SELECT source_memory_id FROM c) OR source_memory_id IN (SELECT memory_id FROM c)) THEN 'active' ELSE status END AS status FROM {TEAM}""")
 def sibling_activation(spark, sf):
     records = S.team_view(spark, sf)
     return T.activated(records, records.where("memory_id % 9 = 0").select("memory_id")).select("memory_id", "status")
 
 
-@query(f"SELECT memory_id, revision, CAST(a AS BIGINT) AS ancestor FROM (SELECT memory_id, revision, unnest(range(1, revision)) AS a FROM {REVISIONS})")
+# A log with branches: every third revision descends from the one two before it.
+BRANCHED = f"(SELECT memory_id, revision, CASE WHEN revision % 3 = 0 THEN revision - 2 WHEN revision > 1 THEN revision - 1 END AS parent, payload_hash FROM {REVISIONS})"
+
+
+def branched(spark, sf):
+    return S.revisions_view(spark, sf).withColumn("parent", F.when(F.col("revision") % 3 == 0, F.col("revision") - 2).when(F.col("revision") > 1, F.col("revision") - 1))
+
+
+ABOVE = f"""(WITH RECURSIVE r AS (SELECT memory_id, revision, parent AS ancestor FROM {BRANCHED} WHERE parent IS NOT NULL UNION SELECT r.memory_id, r.revision, b.parent FROM r JOIN {BRANCHED} b ON b.memory_id = r.memory_id AND b.revision = r.ancestor WHERE b.parent IS NOT NULL) SELECT * FROM r)"""
+CHAIN = f"(SELECT memory_id, max(revision) AS revision FROM {BRANCHED} GROUP BY memory_id UNION SELECT memory_id, ancestor FROM {ABOVE} SEMI JOIN (SELECT memory_id, max(revision) AS revision FROM {BRANCHED} GROUP BY memory_id) USING (memory_id, revision))"
+
+
+@query(f"SELECT memory_id, revision, CAST(ancestor AS BIGINT) AS ancestor FROM {ABOVE}")
 def revision_ancestors(spark, sf):
-    return T.ancestors(S.revisions_view(spark, sf)).withColumn("ancestor", F.col("ancestor").cast("bigint"))
+    return T.ancestors(branched(spark, sf)).withColumn("ancestor", F.col("ancestor").cast("bigint"))
 
 
-@query(f"SELECT memory_id, count(*) AS chain FROM {REVISIONS} GROUP BY memory_id")
+@query(f"SELECT memory_id, count(*) AS chain FROM {CHAIN} GROUP BY memory_id")
 def chain_length(spark, sf):
-    return T.chain_lengths(S.revisions_view(spark, sf))
+    return T.chain_lengths(branched(spark, sf))
 
 
-@query(f"""SELECT memory_id, revision FROM (SELECT *, row_number() OVER (PARTITION BY memory_id, p ORDER BY revision DESC) AS n FROM (SELECT *, revision = max(revision) OVER (PARTITION BY memory_id) AS p FROM {REVISIONS})) WHERE p OR n <= 2""")
+@query(f"""SELECT memory_id, revision FROM (SELECT b.*, c.revision IS NOT NULL AS p, row_number() OVER (PARTITION BY b.memory_id, c.revision IS NOT NULL ORDER BY b.revision DESC) AS n FROM {BRANCHED} b LEFT JOIN {CHAIN} c ON c.memory_id = b.memory_id AND c.revision = b.revision) WHERE p OR n <= 1""")
 def compact_keep_n(spark, sf):
-    revisions = S.revisions_view(spark, sf)
-    protected = T.current_revisions(revisions).select("memory_id", F.col("current").alias("revision"))
-    return T.compacted(revisions, protected, 2).select("memory_id", "revision")
+    revisions = branched(spark, sf)
+    return T.compacted(revisions, T.current_chain(revisions), 1).select("memory_id", "revision")
 
 
-@query(f"""WITH r AS {REVISIONS}, loc AS (SELECT * FROM r WHERE revision <= 3), inc AS (SELECT memory_id, revision, parent, CASE WHEN memory_id % 5 = 0 AND revision = 2 THEN 'other' ELSE payload_hash END AS payload_hash FROM r WHERE revision >= 2 AND NOT (memory_id % 7 = 0 AND revision = 4)),
- known AS (SELECT memory_id, revision FROM loc UNION SELECT memory_id, revision FROM inc)
- SELECT i.memory_id, i.revision, CASE WHEN l.payload_hash = i.payload_hash THEN 'skip' WHEN l.payload_hash IS NOT NULL THEN 'conflict' WHEN i.parent IS NOT NULL AND k.revision IS NULL THEN 'conflict' ELSE 'insert' END AS action
- FROM inc i LEFT JOIN loc l ON l.memory_id = i.memory_id AND l.revision = i.revision LEFT JOIN known k ON k.memory_id = i.memory_id AND k.revision = i.parent""")
-def bundle_merge(spark, sf):
-    revisions = S.revisions_view(spark, sf)
+# At home: revisions 1 to 3, and no third of every fourth memory. The bundle lacks a revision of every seventh and has other content in a second of every fifth.
+HERE = f"(SELECT * FROM {BRANCHED} WHERE revision <= 2 OR revision = 3 AND memory_id % 4 <> 0)"
+BUNDLE = f"(SELECT memory_id, revision, parent, CASE WHEN memory_id % 5 = 0 AND revision = 2 THEN 'other' ELSE payload_hash END AS payload_hash FROM {BRANCHED} WHERE revision >= 2 AND NOT (memory_id % 7 = 0 AND revision = 4) AND NOT (memory_id % 4 = 0 AND memory_id % 3 = 0 AND revision = 3))"
+PLANNED = f"""(WITH RECURSIVE l AS MATERIALIZED (SELECT * FROM {HERE}), i AS MATERIALIZED (SELECT * FROM {BUNDLE}), f AS (SELECT * FROM i ANTI JOIN l USING (memory_id, revision)),
+  ok AS (SELECT memory_id, revision FROM f WHERE parent IS NULL OR EXISTS (SELECT 1 FROM l WHERE l.memory_id = f.memory_id AND l.revision = f.parent) UNION SELECT f.memory_id, f.revision FROM f JOIN ok ON ok.memory_id = f.memory_id AND ok.revision = f.parent WHERE f.parent < f.revision)
+  SELECT i.*, CASE WHEN l.payload_hash = i.payload_hash THEN 'skip' WHEN l.payload_hash IS NOT NULL THEN 'conflict' WHEN ok.revision IS NOT NULL THEN 'insert' ELSE 'conflict' END AS action
+  FROM i LEFT JOIN l ON l.memory_id = i.memory_id AND l.revision = i.revision LEFT JOIN ok ON ok.memory_id = i.memory_id AND ok.revision = i.revision)"""
+
+
+def two_logs(spark, sf):
+    log = branched(spark, sf)
+    here = log.where("revision <= 2 or revision = 3 and memory_id % 4 <> 0")
     changed = F.when((F.col("memory_id") % 5 == 0) & (F.col("revision") == 2), "other").otherwise(F.col("payload_hash"))
-    incoming = revisions.where("revision >= 2 and not (memory_id % 7 = 0 and revision = 4)").withColumn("payload_hash", changed)
-    return T.merge_plan(revisions.where("revision <= 3"), incoming)
+    bundle = log.where("revision >= 2 and not (memory_id % 7 = 0 and revision = 4) and not (memory_id % 4 = 0 and memory_id % 3 = 0 and revision = 3)").withColumn("payload_hash", changed)
+    return here, bundle
+
+
+@query(f"SELECT memory_id, revision, action FROM {PLANNED}")
+def bundle_merge(spark, sf):
+    """A bundle's revision log against the one at home."""
+    return T.merge_plan(*two_logs(spark, sf))
+
+
+_LOG = f"(SELECT memory_id, revision, parent FROM {HERE} UNION ALL SELECT memory_id, revision, parent FROM {PLANNED} WHERE action = 'insert')"
+
+
+@query(f"""WITH RECURSIVE log AS MATERIALIZED {_LOG}, up AS (SELECT memory_id, revision, parent AS ancestor FROM log WHERE parent IS NOT NULL UNION SELECT up.memory_id, up.revision, log.parent FROM up JOIN log ON log.memory_id = up.memory_id AND log.revision = up.ancestor WHERE log.parent IS NOT NULL),
+ h AS (SELECT memory_id, max(revision) AS revision, max_by(payload_hash, revision) AS hash FROM {HERE} WHERE memory_id % 6 <> 0 GROUP BY memory_id), n AS (SELECT memory_id, max(revision) AS revision, max_by(parent, revision) AS parent, max_by(payload_hash, revision) AS hash FROM {BUNDLE} GROUP BY memory_id)
+ SELECT n.memory_id, CASE WHEN n.parent IS NOT NULL AND p.revision IS NULL THEN 'conflict' WHEN h.revision IS NULL THEN 'insert' WHEN n.revision < h.revision THEN 'stale_ignored' WHEN n.revision = h.revision THEN CASE WHEN n.hash = h.hash THEN 'skip' ELSE 'conflict' END WHEN up.ancestor IS NOT NULL THEN 'update' ELSE 'conflict' END AS action
+ FROM n LEFT JOIN h USING (memory_id) LEFT JOIN log p ON p.memory_id = n.memory_id AND p.revision = n.parent LEFT JOIN up ON up.memory_id = n.memory_id AND up.revision = n.revision AND up.ancestor = h.revision""")
+def bundle_records(spark, sf):
+    """The bundle's records: the newest revision of each memory, against those at home (every sixth memory is new)."""
+    here, bundle = two_logs(spark, sf)
+    top = lambda df: df.groupBy("memory_id").agg(F.max("revision").alias("revision"), F.max_by("parent", "revision").alias("parent"), F.max_by("payload_hash", "revision").alias("content_hash"))
+    log = T.merged_log(here, bundle, T.merge_plan(here, bundle))
+    return T.record_plan(top(here.where("memory_id % 6 <> 0")), top(bundle), log)
+
+
+@query(f"""WITH k AS (SELECT * FROM {FEEDBACK} WHERE event_id % 3 <> 0), n AS (SELECT * FROM {FEEDBACK} WHERE event_id % 3 <> 1 AND event_id % 3 <> 2), e AS (SELECT memory_id, count(DISTINCT trim(agent)) FILTER (rating = 'stale' AND trim(agent) <> '') AS agents FROM {FEEDBACK} GROUP BY memory_id),
+ f AS (SELECT memory_id, count(*) FILTER (rating = 'stale') AS s, count(*) FILTER (rating = 'wrong') AS w FROM n GROUP BY memory_id)
+ SELECT memory_id, CASE WHEN w > 0 AND status <> 'superseded' THEN 'stale' WHEN s > 0 AND agents >= 2 AND status = 'active' THEN 'stale' ELSE status END AS status,
+  round(CASE WHEN coalesce(s + w, 0) = 0 THEN confidence WHEN memory_id % 2 = 0 THEN least(confidence, confidence * 0.9) ELSE greatest(0, confidence - 0.1 * (s + w)) END, 6) AS confidence FROM {TEAM} LEFT JOIN f USING (memory_id) LEFT JOIN e USING (memory_id)""")
+def bundle_feedback(spark, sf):
+    """Feedback of a bundle, some of it known, replayed on records of which every other came with the bundle."""
+    records, feedback = S.team_view(spark, sf), S.feedback_view(spark, sf).withColumn("feedback_id", F.col("event_id").cast("string"))
+    bundled = records.where("memory_id % 2 = 0").select("memory_id", (F.col("confidence") * 0.9).alias("confidence"))
+    return T.replayed(records, feedback.where("event_id % 3 <> 0"), feedback.where("event_id % 3 <> 1"), bundled)
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS value, o_custkey AS created_by FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS value, CASE WHEN o_orderkey % 6 = 3 THEN -1 ELSE o_custkey END AS created_by FROM orders")
 def upsert_latest(spark, sf):
+    """Rows over old ones of the same key: the value is the new one's, who made the row stays; rows without an old one come as they are."""
     orders = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"), F.col("o_custkey").alias("created_by"))
     new = orders.where("id % 3 = 0").withColumns({"value": F.round(F.col("value") * 2, 2), "created_by": F.lit(-1).cast("bigint")})
-    return M.upserted(orders.where("id % 6 <> 3"), new.unionByName(orders.where("id % 6 = 1")), "id", ("created_by",)).withColumn("created_by", F.when(F.col("created_by") == -1, None).otherwise(F.col("created_by"))).join(orders.select("id", F.col("created_by").alias("_c")), "id").select("id", "value", F.coalesce("created_by", "_c").alias("created_by"))
+    return M.upserted(orders.where("id % 6 <> 3"), new.unionByName(orders.where("id % 6 = 1")), "id", ("created_by",))
 
 
 @query(f"""SELECT action, count(*) AS n FROM (SELECT CASE WHEN memory_id % 10 = 0 THEN 'create' WHEN memory_id % 10 = 1 THEN 'preserve' WHEN memory_id % 10 = 2 THEN 'conflict' WHEN memory_id % 10 = 3 AND status <> 'candidate' THEN 'move' ELSE 'skip' END AS action FROM {TEAM}) GROUP BY action""")
@@ -543,16 +584,15 @@ def markdown_export_plan(spark, sf):
     return T.export_plan(existing, desired).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
+@query("SELECT doc_id AS name FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
 def wiki_sync_diff(spark, sf):
-    ids = S.table(spark, sf, "documents").select("doc_id")
-    return ids.where("doc_id % 3 = 0").subtract(ids.where("doc_id % 2 = 0"))
+    names = S.table(spark, sf, "documents").select(F.col("doc_id").alias("name"))
+    return O.deleted_names(names.where("name % 3 = 0"), names.where("name % 2 = 0"))
 
 
-@query(f"SELECT memory_type, count(*) AS n, min(memory_id) AS first_id FROM {TEAM} WHERE status = 'active' AND memory_type <> 'scenario' GROUP BY memory_type")
+@query(f"SELECT memory_type, count(*) AS n, min(memory_id) AS first_id FROM {TEAM} WHERE status = 'active' GROUP BY memory_type")
 def memory_context_sections(spark, sf):
-    active = S.team_view(spark, sf).where((F.col("status") == "active") & F.col("memory_type").isin(*T.SECTIONS))
-    return active.groupBy("memory_type").agg(F.count("*").alias("n"), F.min("memory_id").alias("first_id"))
+    return T.context_sections(S.team_view(spark, sf))
 
 
 @query(f"""WITH g AS (SELECT query_id, doc_id FROM {GOLD}), q AS (SELECT item_id AS query_id, item_id % 2 = 1 AS expected_abstain FROM benchmark WHERE item_id % 5 <> 0)
@@ -571,9 +611,8 @@ METRICS = """count(*) AS queries, round(avg(CASE WHEN relevant > 0 THEN CASE WHE
 
 
 def judged(spark, sf):
-    asked = S.questions_view(spark, sf)
-    results = R.top_k(R.scored(asked, S.table(spark, sf, "documents")), 5, F.desc("score"), F.asc("doc_id"))
-    intents = asked.select("query_id", F.when(F.col("query_id") % 2 == 0, "exact").otherwise("semantic").alias("intent"))
+    results = best(spark, sf)
+    intents = S.questions_view(spark, sf).select("query_id", F.when(F.col("query_id") % 2 == 0, "exact").otherwise("semantic").alias("intent"))
     return E.per_query(intents, results, gold(spark, sf))
 
 
@@ -605,13 +644,13 @@ def stream_dedupe(spark, sf):
     return C.drained(C.deduplicated(events.union(events), "event_id", delay="3650 days").select("event_id", "user_id", "event_type"))
 
 
-@query("SELECT event_id, user_id FROM events JOIN (SELECT user_id, max(ts) AS cut FROM events WHERE event_id % 3 = 0 GROUP BY user_id) USING (user_id) WHERE ts > cut")
+@query("SELECT event_id, user_id FROM events LEFT JOIN (SELECT user_id, max(ts) AS cut FROM events WHERE event_id % 3 = 0 AND user_id % 4 <> 0 GROUP BY user_id) USING (user_id) WHERE cut IS NULL OR ts > cut")
 def stream_capture(spark, sf):
-    """Events after each user's cursor, as a stream joined with the table of cursors."""
+    """Events after each user's cursor, as a stream joined with the table of cursors; users without a cursor lose nothing."""
     events = S.table(spark, sf, "events")
-    cursors = events.where("event_id % 3 = 0").groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("cut"))
-    fresh = C.event_stream(spark, sf).join(cursors, "user_id").where("ts > cut").select("event_id", "user_id")
-    return C.drained(fresh)
+    cursors = events.where("event_id % 3 = 0 and user_id % 4 <> 0").groupBy(F.col("user_id").alias("session_id")).agg(F.max(F.col("ts").cast("timestamp")).alias("after_ts"))
+    stream = C.event_stream(spark, sf).withColumnRenamed("user_id", "session_id")
+    return C.drained(M.after_cursor(stream, cursors).select("event_id", F.col("session_id").alias("user_id")))
 
 
 @query(f"SELECT memory_id, CASE WHEN regexp_matches(content, '{SECRET}') OR length(trim(content)) < 20 THEN 'reject' WHEN confidence >= 0.5 THEN 'accept' ELSE 'hold' END AS decision FROM {TEAM} WHERE status = 'candidate'")

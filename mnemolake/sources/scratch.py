@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; our own only where it is unset, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir; our own only where it is unset and all runs in one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local:")) and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "/tmp/mnemolake-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -20,3 +22,9 @@ def materialised(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/mnemolake-plans/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep_plans(spark: SparkSession) -> None:
+    """Delete all tables of materialised(). Call it when no frame that an operator returned is in use any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mnemolake-plans")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
