@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemolake.functions.citations import yaml_scalar
 from mnemolake.functions.columns import stripped
 from mnemolake.functions.query import plane_terms
-from mnemolake.functions.text import TEAM_STOP_WORDS, digest_key, has_secret
+from mnemolake.functions.text import TEAM_STOP_WORDS, digest_key, has_secret, safe_name
 from mnemolake.operators.ranking import term_counts
 from mnemolake.operators.retrieval import small
 from mnemolake.sources.scratch import materialised
@@ -218,10 +219,40 @@ def export_plan(existing: DataFrame, desired: DataFrame) -> DataFrame:
     return e.join(d, "memory_id", "full_outer").select("memory_id", action.alias("action"))
 
 
-def record_path(memory_type: Column, status: Column, key: Column) -> Column:
-    layer = F.when(memory_type == "scenario", "l2").otherwise("l1")
-    bucket = F.when(status == "candidate", "candidates").when(status == "active", F.when(layer == "l2", "accepted").otherwise("active")).otherwise("stale")
-    return F.concat_ws("/", layer, bucket, F.concat(F.lit("team_"), F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 24), F.lit(".md")))
+def central_id(key: Column, layer: Column) -> Column:
+    """The id that a record has in the shared repository: the one in its own id if it came from there, else made from it."""
+    own = F.regexp_extract(F.substring_index(key.cast("string"), "team:central:", -1), "^(team_l[123]_[a-f0-9]{24})$", 1)
+    return F.when(own != "", own).otherwise(F.concat(F.lit("team_"), F.lower(layer), F.lit("_"), F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 24)))
+
+
+def record_path(layer: Column, status: Column, key: Column, agent: Column | None = None) -> Column:
+    """Where a record's file lies: L1 by status, its candidates in their agents' inboxes; L2 and L3 as accepted or candidate."""
+    name, who = F.concat(central_id(key, layer), F.lit(".md")), safe_name(F.lit("") if agent is None else agent)
+    first = F.when(status == "candidate", F.concat_ws("/", F.lit("inbox"), who, name)).otherwise(F.concat_ws("/", F.lit("l1"), F.when(status.isin("active", "stale", "superseded"), status).otherwise("candidate"), name))
+    return F.when(layer == "L1", first).otherwise(F.concat_ws("/", F.lower(layer), F.when(status.isin("accepted", "active"), "accepted").otherwise("candidate"), name))
+
+
+def markdown_text(records: DataFrame) -> DataFrame:
+    """memory_id, path, text: each record as its canonical Markdown file.
+
+    records: memory_id, memory_type, layer, status, title, summary, content, scope (JSON), confidence, valid_until, reviewed_by, activated_at, author_agent, created_at."""
+    q = lambda c: yaml_scalar(F.col(c), "string")
+    line = lambda key, value: F.concat(F.lit(f"{key}: "), value)
+    key, layer = F.col("memory_id"), F.col("layer")
+    summary, content = stripped("summary"), stripped("content")
+    lines = F.array_compact(F.array(
+        F.lit("---"), line("id", central_id(key, layer)), F.lit("schema_version: 1"), line("layer", layer), line("kind", F.coalesce("memory_type", F.lit("discovery"))), line("status", F.col("status")), F.lit("content_type: team_memory"),
+        line("scope", F.coalesce("scope", F.lit("null"))), F.lit("provenance:"), line("  agent_id", q("author_agent")), line("  observed_at", q("created_at")), line("  source_memory_id", yaml_scalar(key.cast("string"), "string")), F.lit("  source_type: local_team_memory"),
+        line("confidence", F.col("confidence").cast("string")), line("valid_until", q("valid_until")), F.when(F.col("reviewed_by").isNotNull(), line("reviewed_by", q("reviewed_by"))), F.when(F.col("activated_at").isNotNull(), line("accepted_at", q("activated_at"))),
+        F.lit("evidence:"), F.lit("  - citation_status: pending_git_link"), F.lit("---"), F.lit(""), F.concat(F.lit("# "), F.coalesce("title", F.lit("Team memory"))), F.lit(""),
+        F.when((summary != "") & (summary != content), F.concat(F.lit("## Summary\n\n"), summary, F.lit("\n"))), F.lit("## Content"), F.lit(""), content, F.lit(""),
+    ))
+    return records.select("memory_id", record_path(layer, F.col("status"), key, F.col("author_agent")).alias("path"), F.array_join(lines, "\n").alias("text"))
+
+
+def catalog(records: DataFrame) -> DataFrame:
+    """path, line of a catalog of files (path, id, layer, status, kind, agent), in order."""
+    return records.select("path", F.concat(F.lit("| `"), "id", F.lit("` | "), F.concat_ws(" | ", "layer", "status", "kind", F.coalesce("agent", F.lit(""))), F.lit(" |")).alias("line")).orderBy("path")
 
 
 def most_advanced(records: DataFrame, key: str) -> DataFrame:

@@ -574,10 +574,10 @@ def upsert_latest(spark, sf):
     return M.upserted(orders.where("id % 6 <> 3"), new.unionByName(orders.where("id % 6 = 1")), "id", ("created_by",))
 
 
-@query(f"""SELECT action, count(*) AS n FROM (SELECT CASE WHEN memory_id % 10 = 0 THEN 'create' WHEN memory_id % 10 = 1 THEN 'preserve' WHEN memory_id % 10 = 2 THEN 'conflict' WHEN memory_id % 10 = 3 AND status <> 'candidate' THEN 'move' ELSE 'skip' END AS action FROM {TEAM}) GROUP BY action""")
+@query(f"""SELECT action, count(*) AS n FROM (SELECT CASE WHEN memory_id % 10 = 0 THEN 'create' WHEN memory_id % 10 = 1 THEN 'preserve' WHEN memory_id % 10 = 2 THEN 'conflict' WHEN memory_id % 10 = 3 AND status <> 'candidate' AND NOT (memory_type = 'scenario' AND status <> 'active') THEN 'move' ELSE 'skip' END AS action FROM {TEAM}) GROUP BY action""")
 def markdown_export_plan(spark, sf):
     records = S.team_view(spark, sf).withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
-    path = lambda status: T.record_path(F.col("memory_type"), status, F.col("memory_id"))
+    path = lambda status: T.record_path(F.when(F.col("memory_type") == "scenario", "L2").otherwise("L1"), status, F.col("memory_id"))
     desired = records.where("memory_id % 10 <> 1").select("memory_id", path(F.col("status")).alias("path"), "content_hash")
     old = F.when(F.col("memory_id") % 10 == 3, F.lit("candidate")).otherwise(F.col("status"))
     existing = records.where("memory_id % 10 <> 0").select("memory_id", path(old).alias("path"), F.when(F.col("memory_id") % 10 == 2, "changed").otherwise(F.col("content_hash")).alias("content_hash"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.functions import text as X
+from mnemolake.functions.columns import stripped
 
 # Fixed values of the document scan.
 SUFFIXES = ("md", "mdx", "txt", "rst", "yaml", "yml", "json")
@@ -13,8 +16,13 @@ EXCLUDED_DIRS = (".git", ".remember", ".cache", ".venv", "venv", "__pycache__",
 OPERATIONAL_DIRS = ("skills", "scripts", "tests", "test", "eval", "evals", "fixtures", "logs", "templates")
 EXCLUDED_NAMES = ("template.md", "template.yaml", "template.yml")
 MOST_BYTES, MOST_INDEX_BYTES = 512 * 1024, 8 * 1024 * 1024
-FRONT_MATTER_KEYS = ("id", "layer", "kind", "status", "scope", "confidence", "valid_until", "reviewed_by", "accepted_at")
-SUPPORTED_BUNDLES = (1, 2, 3)
+FRONT_MATTER_KEYS = (
+    "id", "layer", "status", "kind", "confidence", "valid_until", "accepted_at", "reviewed_by", "agent_id", "source_memory_id", "observed_at", "run_id", "session_id", "scope",
+)
+BUNDLE_KIND, SUPPORTED_BUNDLES = "repository-memory-team-bundle", (1, 2, 3)
+REVIEWED_BUCKETS = ("l1/active", "l1/stale", "l2/accepted", "l3/accepted")
+CANDIDATE_BUCKETS = ("inbox/", "l1/candidate", "l2/candidate", "l3/candidate")
+MOST_CONTENT, SUMMARY_CHARS, NAMED_FAILURES = 12_000, 400, 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +50,13 @@ def scan_files(spark: SparkSession, root: str, deep: bool = False) -> DataFrame:
     return found.where(scannable(F.col("path"), F.col("size"), F.col("text"), deep))
 
 
+def scan_tracked(spark: SparkSession, root: str, deep: bool = False) -> DataFrame:
+    """path, text and size of the files that a Git checkout tracks and the scan takes. Git lists them on the driver; executors read them from the store."""
+    listed = subprocess.run(["git", "-C", root, "ls-files", "-z"], check=True, capture_output=True).stdout.decode("utf-8", "surrogateescape")
+    names = spark.createDataFrame([(x,) for x in listed.split("\0") if x], "path string")
+    return scan_files(spark, root, deep).join(names, "path", "left_semi")
+
+
 def session_messages(sessions: DataFrame) -> DataFrame:
     """session_id, message_index, role, content, timestamp of sessions with an array `messages`; blank roles and contents go."""
     kept = F.filter("messages", lambda m: (F.trim(F.coalesce(m["role"], F.lit(""))) != "") & (F.trim(F.coalesce(m["content"], F.lit(""))) != ""))
@@ -49,14 +64,39 @@ def session_messages(sessions: DataFrame) -> DataFrame:
     return rows.select("session_id", "message_index", F.col("m.role").alias("role"), F.col("m.content").alias("content"), F.coalesce(F.col("m.timestamp").cast("string"), F.lit("")).alias("timestamp"))
 
 
+def _elements(j: Column) -> Column:
+    """The elements of a JSON array, as JSON texts."""
+    return F.from_json(j, "array<string>")
+
+
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Session payloads of the accepted JSON shapes: {sessions: [...]}, {session_id, messages}, or rows with sessionKey."""
-    message = "array<struct<role:string,content:string,timestamp:string>>"
-    schema = f"session_id string, sessionKey string, messages {message}, conversations {message}, sessions array<struct<session_id:string,sessionKey:string,messages:{message},conversations:{message}>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    own = F.struct("session_id", "sessionKey", "messages", "conversations")
-    each = raw.select(F.explode(F.coalesce("sessions", F.array(own))).alias("s"))
-    return each.select(F.coalesce("s.session_id", "s.sessionKey").alias("session_id"), F.coalesce("s.messages", "s.conversations").alias("messages")).where("messages is not null")
+    """session_id, messages of session payloads: {sessions: [...]}, {session_id, messages}, an array or lines of sessions with a sessionKey, or
+    bare messages, which are one session of their file. Messages may stand in lists of lists. Broken JSON is an error."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("v"))
+    whole = F.get_json_object("v", "$").isNotNull()
+    at = lambda j, k: F.get_json_object(j, f"$.{k}")
+    lines = F.filter(F.split("v", r"\r?\n"), lambda x: F.trim(x) != "")
+    checked = F.transform(lines, lambda x, i: F.when(at(x, "role").isNotNull() | x.rlike(r"^\s*\{.*\}\s*$"), x).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: line "), (i + 1).cast("string")))))
+    rows = F.when(whole & F.col("v").rlike(r"^\s*\["), _elements(F.col("v"))).when(whole & (F.size(lines) == 1) | whole & ~F.col("v").rlike(r"\}\s*\n\s*\{"), F.array("v")).otherwise(checked)
+    own = files.select("file", F.posexplode(rows).alias("place", "row"))
+    nested = own.where(at(F.col("row"), "sessions").isNotNull()).select("file", F.posexplode(_elements(at(F.col("row"), "sessions"))).alias("place", "row"))
+    single = own.where(at(F.col("row"), "sessions").isNull())
+    has = F.coalesce(at(F.col("row"), "messages"), at(F.col("row"), "conversations"))
+    sessions = nested.unionByName(single.where(has.isNotNull())).select(F.coalesce(at(F.col("row"), "session_id"), at(F.col("row"), "sessionKey"), F.lit("local-session")).alias("session_id"), _elements(has).alias("m"))
+    bare = single.where(has.isNull()).groupBy("file", F.coalesce(at(F.col("row"), "sessionKey"), F.lit("local-session")).alias("session_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "row"))), lambda x: x["row"]).alias("m")).drop("file")
+    flat = F.when(F.exists("m", lambda x: x.startswith("[")), F.flatten(F.transform(F.filter("m", lambda x: x.startswith("[")), _elements))).otherwise(F.col("m"))
+    message = lambda j: F.struct(at(j, "role").alias("role"), at(j, "content").alias("content"), at(j, "timestamp").alias("timestamp"))
+    return sessions.unionByName(bare).select("session_id", F.transform(flat, message).alias("messages"))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """place, json of a file of objects: an array, or an object a line. Anything else is an error that names its line."""
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    lines = F.split("v", r"\r?\n")
+    rows = F.when(F.col("v").rlike(r"^\s*\["), _elements(F.col("v"))).otherwise(lines)
+    each = files.select(F.posexplode(rows).alias("place", "json")).where(F.trim("json") != "")
+    good = F.col("json").rlike(r"(?s)^\s*\{.*\}\s*$") & F.get_json_object("json", "$").isNotNull()
+    return each.select("place", F.when(good, F.col("json")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: line "), (F.col("place") + 1).cast("string")))).alias("json"))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -65,28 +105,52 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_bundle(spark: SparkSession, path: str, records: str, revisions: str, feedback: str) -> dict[str, DataFrame]:
-    """The three lists of a portable bundle, of the supported schema versions only."""
+    """The three lists of portable bundles; another kind or version is an error."""
     raw = spark.read.schema(f"kind string, schema_version int, records array<struct<{records}>>, revisions array<struct<{revisions}>>, feedback array<struct<{feedback}>>").option("multiLine", True).json(path)
-    good = raw.where(F.col("schema_version").isin(*SUPPORTED_BUNDLES))
-    return {name: good.select(F.inline(name)) for name in ("records", "revisions", "feedback")}
+    known = (F.col("kind") == BUNDLE_KIND) & F.coalesce("schema_version", F.lit(1)).isin(*SUPPORTED_BUNDLES)
+    if raw.where(~F.coalesce(known, F.lit(False))).head(1):
+        raise ValueError("not a bundle of a known kind and version")
+    return {name: raw.select(F.inline(name)) for name in ("records", "revisions", "feedback")}
 
 
 def front_matter(text: Column) -> Column:
     """Map of the known keys of a `---` block at the start; `null` is empty."""
     block = F.when(text.startswith("---"), F.split(text, "---", 3)[1]).otherwise("")
-    pairs = F.transform(F.filter(F.split(block, "\n"), lambda line: F.contains(line, F.lit(":"))), lambda line: F.struct(F.trim(F.split(line, ":", 2)[0]).alias("key"), F.trim(F.split(line, ":", 2)[1]).alias("value")))
+    pairs = F.transform(F.filter(F.split(block, "\r?\n"), lambda line: F.contains(line, F.lit(":"))), lambda line: F.struct(F.trim(F.split(line, ":", 2)[0]).alias("key"), F.trim(F.split(line, ":", 2)[1]).alias("value")))
     known = F.filter(pairs, lambda p: p["key"].isin(*FRONT_MATTER_KEYS))
-    clean = F.transform(known, lambda p: F.struct(p["key"].alias("key"), F.when(p["value"] == "null", "").otherwise(F.regexp_replace(p["value"], "^[\"']|[\"']$", "")).alias("value")))
+    clean = F.transform(known, lambda p: F.struct(p["key"].alias("key"), F.regexp_replace(F.regexp_replace(p["value"], '^"+|"+$', ""), "(?i)^null$", "").alias("value")))
     return F.map_from_entries(F.transform(F.array_distinct(F.transform(clean, lambda p: p["key"])), lambda k: F.element_at(F.filter(clean, lambda p: p["key"] == k), -1)))
 
 
-def read_markdown_records(spark: SparkSession, path: str) -> DataFrame:
-    """id, layer, kind, status, title, summary, content of canonical Markdown files; files without an id are left out."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"))
-    m = raw.withColumn("f", front_matter(F.col("text")))
-    section = lambda name: F.regexp_replace(F.regexp_extract("text", rf"(?s)## {name}\n(.*?)(?=\n## |\Z)", 1), r"^\s+|\s+$", "")
-    at = lambda k: F.try_element_at("f", F.lit(k)).alias(k)
-    return m.select(at("id"), at("layer"), at("kind"), at("status"), F.regexp_extract("text", r"(?m)^# (.+)$", 1).alias("title"), section("Summary").alias("summary"), section("Content").alias("content")).where("id is not null and id <> ''")
+def read_markdown_records(spark: SparkSession, path: str, candidates: bool = True) -> DataFrame:
+    """path, id, layer, kind, status, title, summary, content, confidence, reviewed_by, accepted_at, canonical_status, failure of canonical Markdown files.
+
+    Only files in the buckets of reviewed records (and, if asked for, of candidates) count; files without an id or with an unknown status are left
+    out. A file that cannot be read as a record keeps its row with the reason in `failure`, and does not stop the others."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    buckets = "|".join((*REVIEWED_BUCKETS, *(CANDIDATE_BUCKETS if candidates else ())))
+    place = F.regexp_extract("file", rf"((?:{buckets}).*\.md)$", 1)
+    m = raw.withColumn("path", place).where("path <> ''").withColumn("f", front_matter(F.col("text"))).withColumn("body", F.when(F.size(F.split("text", "---", 3)) == 3, F.get(F.split("text", "---", 3), 2)).otherwise(F.col("text")))
+    section = lambda name, until: stripped(F.regexp_extract("body", rf"(?s)(?:^|\n)## {name}\s*\n\s*(.*?)(?=\n## {until}\s*\n|\z)", 1))
+    at = lambda k: F.try_element_at("f", F.lit(k))
+    status = F.coalesce(F.nullif(at("status"), F.lit("")), F.lit("candidate"))
+    now = F.when(status == "accepted", "active").otherwise(status)
+    content = section("Content", "Evidence")
+    confidence = F.coalesce(F.nullif(at("confidence"), F.lit("")), F.lit("0.5"))
+    title = stripped(F.regexp_extract("body", r"(?m)^#\s+(.+)$", 1))
+    failure = F.when(confidence.try_cast("double").isNull(), "confidence is no number").when(X.has_secret(F.concat(title, F.lit("\n"), content)), "a secret-like value")
+    rows = m.where(now.isin("active", "candidate", "stale", "superseded") & (F.coalesce(at("id"), F.lit("")) != ""))
+    return rows.select(
+        "path", at("id").alias("id"), F.coalesce(at("layer"), F.lit("L1")).alias("layer"), F.coalesce(at("kind"), F.lit("discovery")).alias("kind"), F.when(now.isin("candidate", "active"), now).otherwise("candidate").alias("status"),
+        F.when(title == "", at("id")).otherwise(title).alias("title"), F.when(section("Summary", "Content") == "", F.substring(content, 1, SUMMARY_CHARS)).otherwise(section("Summary", "Content")).alias("summary"),
+        F.substring(F.when(content == "", stripped("body")).otherwise(content), 1, MOST_CONTENT).alias("content"), confidence.try_cast("double").alias("confidence"), at("reviewed_by").alias("reviewed_by"), at("accepted_at").alias("accepted_at"),
+        now.alias("canonical_status"), failure.alias("failure"),
+    )
+
+
+def named_failures(records: DataFrame, most: int = NAMED_FAILURES) -> DataFrame:
+    """path, failure of the first files that could not be read."""
+    return records.where("failure is not null").select("path", "failure").orderBy("path").limit(most)
 
 
 # Projections of the supplied tables onto the entities of the engine.
