@@ -115,6 +115,33 @@ def backpropagated(steps: DataFrame, reward: Column, age_days: Column, alpha: Co
     return valued.withColumn("priority", F.greatest(F.col("value"), F.lit(0.0)) * F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0.0)) / max(1.0, half_life))).drop("_n", "_f", "_r", "_z", "_l")
 
 
+def feedback_values(records: DataFrame, feedback: DataFrame, now: Column) -> DataFrame:
+    """id, value, priority of L1 records (id, episode_id, message_index, at, alpha) after a log of feedback (feedback_id, memory_id, rating, created_at).
+
+    Feedback counts once by its id, in order of time. Each moves its record's value by the rating's delta, held within [-1, 1], and the
+    value then goes back over the whole episode. So all values of an episode are one number times each record's share of it, and an event is
+    x -> clamp(share * x + delta): such steps are folded day by day into one step of the same form, and the days into one, so that no row holds
+    more than a day of one episode's feedback. Records of episodes without feedback have no row."""
+    later = Window.partitionBy("episode_id").orderBy(F.desc("message_index"), F.desc("id"))
+    own = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("alpha", F.lit(ALPHA))))
+    numbered = records.withColumns({"_n": F.row_number().over(later), "_f": own + (1 - own) * GAMMA})
+    shares = numbered.withColumn("_share", F.exp(F.sum(F.when(F.col("_n") > 1, F.log("_f")).otherwise(0.0)).over(later.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    once = feedback.groupBy("feedback_id").agg(*(F.min_by(c, "created_at").alias(c) for c in ("memory_id", "rating")), F.min("created_at").alias("created_at"))
+    events = once.join(shares.select(F.col("id").alias("memory_id"), "episode_id", "_share"), "memory_id").select(
+        "episode_id", F.to_date("created_at").alias("day"), F.struct("created_at", "feedback_id", F.col("_share").alias("a"), X.feedback_delta("rating").alias("b"), F.lit(-1.0).alias("low"), F.lit(1.0).alias("high")).alias("e")
+    )
+    whole = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
+    held = lambda x, e: F.greatest(e["low"], F.least(e["high"], e["a"] * x + e["b"]))
+    then = lambda s, e: F.struct((e["a"] * s["a"]).alias("a"), (e["a"] * s["b"] + e["b"]).alias("b"), held(s["low"], e).alias("low"), held(s["high"], e).alias("high"))
+    folded = lambda items: F.aggregate(items, whole, then)
+    days = events.groupBy("episode_id", "day").agg(F.sort_array(F.collect_list("e")).alias("l")).select("episode_id", F.struct("day", folded(F.col("l")).alias("s")).alias("d"))
+    all_days = days.groupBy("episode_id").agg(F.sort_array(F.collect_list("d")).alias("l")).select("episode_id", folded(F.transform("l", lambda d: d["s"])).alias("s"))
+    ends = all_days.select("episode_id", held(F.lit(0.0), F.col("s")).alias("_x"))
+    valued = shares.join(ends, "episode_id").withColumn("value", F.col("_x") * F.col("_share"))
+    age = F.greatest((now - F.coalesce("at", now)) / 86400.0, F.lit(0.0))
+    return valued.select("id", "value", (F.greatest(F.col("value"), F.lit(0.0)) * F.pow(F.lit(0.5), age / PRIORITY_DAYS)).alias("priority"))
+
+
 def turn_relations(events: DataFrame, who: str = "user_id", at: str = "ts", key: str = "event_id", text: str | None = None) -> DataFrame:
     """Relation of each event to the one before it: new-task for the first, revision for a correcting phrase, new-task for a phrase that says
     so or after more than two idle hours, else follow-up. Without a text column phrases are not looked at."""

@@ -13,6 +13,7 @@ from mnemolake.functions import query as Q
 from mnemolake.functions import text as X
 from mnemolake.functions import vectors as V
 from mnemolake.functions.columns import lines_of
+from mnemolake.operators import capture as A
 from mnemolake.operators import evaluation as E
 from mnemolake.operators import memory as M
 from mnemolake.operators import ranking as K
@@ -564,3 +565,46 @@ def exported_bundle(spark, sf):
     """Records, revisions and feedback as the lines of a portable bundle."""
     revisions = S.revisions_view(spark, sf)
     return O.exported_bundle(S.team_view(spark, sf).drop("content"), revisions, S.feedback_view(spark, sf).select("memory_id", F.col("event_id").alias("feedback_id"), "rating", "agent"))
+
+
+RATED = "(SELECT event_id, 's' || event_id % 15 AS episode, event_id % 4 AS i, CASE event_type WHEN 'purchase' THEN 0.15 WHEN 'error' THEN -0.35 WHEN 'signup' THEN -0.2 ELSE -0.1 END AS d, ts FROM events WHERE event_type <> 'view')"
+
+
+@query(f"""WITH e AS (SELECT episode, list_reduce(list({{'x': 0.0::DOUBLE, 'f': pow(0.93, 3 - i), 'd': d::DOUBLE}} ORDER BY ts, CAST(event_id AS VARCHAR)), lambda a, b: {{'x': greatest(-1.0, least(1.0, b.f * a.x + b.d)), 'f': b.f, 'd': b.d}}, {{'x': 0.0::DOUBLE, 'f': 0.0::DOUBLE, 'd': 0.0::DOUBLE}}).x AS x FROM {RATED} GROUP BY episode)
+ SELECT episode || ':' || i AS id, round(x * pow(0.93, 3 - i), 6) AS value, round(greatest(x * pow(0.93, 3 - i), 0) * 0.5, 6) AS priority FROM e, (SELECT unnest(range(4)) AS i)""")
+def feedback_episodes(spark, sf):
+    """A log of feedback on the four records of each of fifteen episodes, half a life old."""
+    records = spark.range(15).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("episode_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("message_index"))
+    records = records.select(F.concat_ws(":", "episode_id", "message_index").alias("id"), "episode_id", "message_index", F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("alpha"))
+    rating = F.when(F.col("event_type") == "purchase", "helpful").when(F.col("event_type") == "error", "wrong").when(F.col("event_type") == "signup", "stale").otherwise("down")
+    events = S.table(spark, sf, "events").where("event_type <> 'view'")
+    log = events.select(F.col("event_id").cast("string").alias("feedback_id"), F.concat(F.lit("s"), by_id(15, "event_id").cast("string"), F.lit(":"), by_id(4, "event_id").cast("string")).alias("memory_id"), rating.alias("rating"), F.col("ts").alias("created_at"))
+    found = M.feedback_values(records, log.unionByName(log), F.lit(30 * 86400.0))
+    return found.select("id", F.round("value", 6).alias("value"), F.round("priority", 6).alias("priority"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, max(text) AS text FROM conversations GROUP BY ALL), k AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS i, text FROM t),
+ c AS (SELECT conv_id, list({'role': role, 'content': trim(text, ' ')} ORDER BY i) AS m FROM k WHERE role IN ('user', 'assistant') AND trim(text, ' ') <> '' AND (conv_id % 3 <> 1 OR i >= 1) AND (conv_id % 3 <> 2 OR turn * 10 > 10 OR turn % 5 = 4) GROUP BY conv_id)
+ SELECT k.conv_id AS session, coalesce(len(m), 0) AS messages, CASE WHEN len(list_filter(coalesce(m, []), lambda x: x.role = 'user')) = 0 THEN 'no user message' WHEN len(list_filter(m, lambda x: x.role = 'assistant')) = 0 THEN 'no assistant message' END AS problem,
+  sha256(coalesce(array_to_string(list_transform(m, lambda x: x.role || ':' || x.content), chr(10)), '')) AS digest FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN c USING (conv_id)""")
+def turn_capture(spark, sf):
+    """Conversations as hosts send them, with a position cursor, a time cursor, or neither; every fifth turn has no time."""
+    turn = F.col("turn")
+    rows = S.table(spark, sf, "conversations").groupBy("conv_id", "turn", "role").agg(F.max("text").alias("text"))
+    stamp = F.when(turn % 5 != 4, (turn * 10).cast("string"))
+    lists = rows.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text", stamp.alias("stamp")))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"), m["stamp"].alias("timestamp"))).alias("messages"))
+    none = F.lit(None).cast("string")
+    payloads = lists.select(
+        F.col("conv_id").cast("string").alias("session_id"), none.alias("run_id"), none.alias("agent_id"), none.alias("workspace"), none.alias("original_user_text"), F.when(by_id(3, "conv_id") == 1, 1).alias("original_user_message_count"),
+        F.when(by_id(3, "conv_id") == 2, "10").alias("after_timestamp"), "messages",
+    )
+    found = A.normalised_turns(payloads)
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    return found.select(F.col("session_id").cast("bigint").alias("session"), F.size("messages").cast("bigint").alias("messages"), "problem", F.sha2(said.cast("binary"), 256).alias("digest"))
+
+
+@query(f"""SELECT count(*) AS total, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'superseded') AS superseded, count(*) FILTER (status = 'stale') AS stale, count(*) FILTER (status = 'candidate') AS candidate, count(*) FILTER (status = 'active' AND memory_id % 6 = 0) AS expired,
+ (SELECT count(*) FROM {FEEDBACK}) AS feedback, (SELECT count(*) FROM lineitem) AS revisions, (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)) AS longest_chain FROM {TEAM}""")
+def team_health(spark, sf):
+    until = F.when(F.col("memory_id") % 6 == 0, "2020-01-01T00:00:00Z")
+    return T.health(S.team_view(spark, sf).withColumn("valid_until", until), S.feedback_view(spark, sf), S.revisions_view(spark, sf), F.lit("2024-01-01").cast("timestamp"))
