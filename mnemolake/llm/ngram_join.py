@@ -30,8 +30,8 @@ from mnemolake.llm.shingles import mixed, shingle_hashes, word_hashes
 LOCAL_SETS, LOCAL_COUNT = 4096, 4
 #: ... and in so many of all. Of more than FREQUENT_MOST, the most frequent count; this only shapes the order.
 FREQUENT_COUNT, FREQUENT_MOST = 32, 1 << 18
-#: Members of a group that one call compares at once; larger groups are dealt out, see group_forest().
-PREFIX_GROUP, TREE_GROUP = 8192, 2048
+#: Members of a group that one call compares at once, and shingles of the sets that one call puts into a tree; larger groups are dealt out, see group_forest().
+PREFIX_GROUP, TREE_GROUP, TREE_SHINGLES = 4096, 512, 1 << 21
 #: A parity sketch has a power of two of bits, so many at least, and three times the difference that linked sets of the size may have.
 LEAST_BITS = 256
 #: Rows of one shingle that are held to compare a group's members with other groups'.
@@ -398,13 +398,13 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, shared, prefix_group: int = PREFIX_GROUP, tree_group: int = TREE_GROUP) -> DataFrame:
+def linked_sets(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, shared, prefix_group: int = PREFIX_GROUP, tree_group: int = TREE_GROUP, tree_shingles: int = TREE_SHINGLES) -> DataFrame:
     """key, root of the sets that have links to other sets."""
     sketches = sets.where("prefix is not null").groupBy("key").agg(F.min("n_shingles").alias("n"), F.min("parity").alias("parity"))
     edges, _ = group_forest(shared_postings(sets), sketch_kernel(bound), prefix_group, sketches)
     near = components(settled(edges, "near-forest"))
-    firsts = sets.where("key is not null").groupBy("key").agg(F.min(_place()).alias("first"))
-    chosen = written(near.join(firsts, "key").select("key", F.col("root").alias("grp"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")), "near-sets")
+    firsts = sets.where("key is not null").groupBy("key").agg(F.min(_place()).alias("first"), F.min("n_shingles").alias("weight"))
+    chosen = written(near.join(firsts, "key").select("key", "weight", F.col("root").alias("grp"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")), "near-sets")
     # texts of the chosen only: a filter on hash cells (CELLS rows at most) spares the shuffle most of the others
     cell = lambda c: F.pmod(c, F.lit(CELLS))
     cells = chosen.select(cell(F.col("text_hash")).alias("cell")).distinct()
@@ -412,7 +412,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, shar
     some = source.join(F.broadcast(cells), cell(F.col("_hash")) == F.col("cell"), "left_semi")
     few = chosen.count() <= MOST_BROADCAST
     texts = (F.broadcast(chosen) if few else chosen).join(some, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("key", "text")
-    exact, loose = group_forest(chosen.select("grp", "key"), tree_kernel(bound, words, shared), tree_group, texts)
+    exact, _ = group_forest(chosen.select("grp", "key", "weight"), tree_kernel(bound, words, shared), tree_group, texts, tree_shingles)
     return components(settled(exact, "links"))
 
 

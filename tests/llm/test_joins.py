@@ -31,7 +31,7 @@ def rows():
 
 
 @pytest.mark.parametrize(("words", "num", "den", "limits"), [
-    (3, 90, 100, {}), (5, 8, 10, {}), (3, 90, 100, {"prefix_group": 3, "tree_group": 3}), (5, 8, 10, {"prefix_group": 2, "tree_group": 2}), (2, 5, 10, {"prefix_group": 4, "tree_group": 2}),
+    (3, 90, 100, {}), (5, 8, 10, {}), (3, 90, 100, {"prefix_group": 3, "tree_group": 3}), (5, 8, 10, {"prefix_group": 2, "tree_group": 2}), (2, 5, 10, {"prefix_group": 4, "tree_group": 2}), (3, 90, 100, {"tree_shingles": 150}), (5, 8, 10, {"prefix_group": 5, "tree_shingles": 60}),
 ])
 def test_similar_documents_against_brute_force(spark, rows, words, num, den, limits):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
