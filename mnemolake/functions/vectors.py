@@ -91,3 +91,20 @@ def encode(texts: list[str | None]) -> np.ndarray:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def builtin_vector(text: pd.Series) -> pd.Series:
     return pd.Series(list(encode(text.tolist())), dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def packed(vector: pd.Series) -> pd.Series:
+    """Vectors as little-endian 32-bit floats; null for null."""
+    return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+def unpacked(width: int | None = None):
+    """A function of packed vectors: arrays again; empty where the bytes are not whole floats, or not `width` of them."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def unpack(data: pd.Series) -> pd.Series:
+        good = lambda b: b is not None and len(b) % 4 == 0 and (width is None or len(b) == 4 * width)
+        return data.map(lambda b: np.frombuffer(b, "<f4").tolist() if good(b) else [])
+
+    return unpack

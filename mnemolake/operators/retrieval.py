@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions import text as X
+from mnemolake.functions.vectors import cosine
 
 #: Rows and bytes of a side that may be broadcast; beyond either Spark shuffles both sides.
 MOST_BROADCAST_ROWS, MOST_BROADCAST_BYTES = 200_000, 64 << 20
@@ -127,6 +128,18 @@ def link_counts(links: DataFrame, key: str) -> DataFrame:
     return links.groupBy("target").agg(F.count("*").alias("pages"), F.min(key).alias("first_page"))
 
 
+def document_vectors(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """doc_id, path, vector of documents (doc_id, path) that have one (path, vector)."""
+    return docs.select("doc_id", "path").join(vectors.select("path", "vector"), "path").select("doc_id", "path", "vector")
+
+
+def semantic_candidates(queries: DataFrame, docs: DataFrame, vectors: DataFrame, most: int = 64, floor: float = 0.2) -> DataFrame:
+    """query_id, doc_id, cos of the documents whose vectors are nearest to each question's (query_id, vector): 64 at most, with a cosine of .2."""
+    asked = queries.select("query_id", F.col("vector").alias("_q"))
+    met = against_all(asked, document_vectors(docs, vectors), "query_id", F.lit(True)).select("query_id", "doc_id", cosine(F.col("_q"), F.col("vector")).alias("cos"))
+    return top_k(met, most, F.desc(F.round("cos", 9)), F.asc("doc_id")).where(F.col("cos") >= floor).select("query_id", "doc_id", "cos")
+
+
 def mmr(candidates: DataFrame, k: int, weight: float = 0.82, pool: int | None = None) -> DataFrame:
     """query_id, id, pick: maximal marginal relevance over the best `pool` (default max(20, 8k)) of each query.
 

@@ -269,6 +269,34 @@ def review(records: DataFrame, floor: float = 0.5) -> DataFrame:
     return records.where("status = 'candidate'").select("memory_id", F.when(~checks, "reject").when(F.col("confidence") >= floor, "accept").otherwise("hold").alias("decision"))
 
 
+def supervised(records: DataFrame, decisions: DataFrame, floor: float = 0.5) -> DataFrame:
+    """memory_id, failed (names of failed checks), decision (the reviewer's, hold if there is none or it is no known one), action of candidates: a receipt each.
+
+    records: memory_id, status, content, provenance, confidence; decisions: memory_id, decision. Failed checks or a reviewer's reject mean reject; accept needs
+    the reviewer and enough confidence; anything else holds."""
+    checks = {"secret_free": ~has_secret("content"), "long_enough": F.length(stripped("content")) >= 20, "provenance": stripped("provenance") != ""}
+    failed = F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in checks.items())))
+    said = F.when(F.col("_said").isin("accept", "hold", "reject"), F.col("_said")).otherwise("hold")
+    rows = records.where("status = 'candidate'").join(decisions.select("memory_id", F.col("decision").alias("_said")), "memory_id", "left").withColumns({"failed": failed, "decision": said})
+    action = F.when((F.size("failed") > 0) | (F.col("decision") == "reject"), "reject").when((F.col("decision") == "accept") & (F.col("confidence") >= floor), "accept").otherwise("hold")
+    return rows.select("memory_id", "failed", "decision", action.alias("action"))
+
+
+def hydration_payloads(files: DataFrame) -> DataFrame:
+    """Payloads for published() of canonical files (see read_markdown_records()) that could be read: each keeps its shared id."""
+    good = files.where("failure is null")
+    return good.select(
+        F.col("path").alias("key"), F.concat(F.lit("team:central:"), F.col("id")).alias("memory_id"), F.col("kind").alias("memory_type"), "title", "content", "confidence", "status",
+        F.concat(F.lit("central:"), F.col("id")).alias("idempotency_key"), F.lit(None).cast("string").alias("supersedes"),
+    )
+
+
+def sync_report(plan: DataFrame, outcome: DataFrame) -> DataFrame:
+    """step, action, n of a round with the shared repository: what export_plan() writes and what published() takes in."""
+    count = lambda df, step: df.groupBy("action").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "action", "n")
+    return count(plan, "export").unionByName(count(outcome, "import"))
+
+
 def health(records: DataFrame, feedback: DataFrame, revisions: DataFrame, now: Column) -> DataFrame:
     """One row: total, active, candidate, superseded, stale, expired (active ones), feedback, revisions, longest_chain."""
     of = lambda s: F.count_if(F.col("status") == s).alias(s)

@@ -608,3 +608,23 @@ def turn_capture(spark, sf):
 def team_health(spark, sf):
     until = F.when(F.col("memory_id") % 6 == 0, "2020-01-01T00:00:00Z")
     return T.health(S.team_view(spark, sf).withColumn("valid_until", until), S.feedback_view(spark, sf), S.revisions_view(spark, sf), F.lit("2024-01-01").cast("timestamp"))
+
+
+@query("SELECT doc_id, 'v/' || doc_id || '.md' AS path, len(embedding) AS width, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM documents JOIN embeddings ON vec_id = doc_id")
+def document_vectors(spark, sf):
+    key = lambda c: F.concat(F.lit("v/"), F.col(c).cast("string"), F.lit(".md"))
+    docs = S.table(spark, sf, "documents").select("doc_id", key("doc_id").alias("path"))
+    vectors = S.table(spark, sf, "embeddings").select(key("vec_id").alias("path"), F.col("embedding").alias("vector"))
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return R.document_vectors(docs, vectors).select("doc_id", "path", F.size("vector").cast("bigint").alias("width"), F.round(total, 4).alias("total"))
+
+
+@query(f"""SELECT memory_id, array_to_string(list_filter([CASE WHEN memory_id % 17 = 0 THEN 'secret_free' END, CASE WHEN memory_id % 13 = 0 THEN 'long_enough' END, CASE WHEN memory_id % 11 = 0 THEN 'provenance' END], lambda x: x IS NOT NULL), ',') AS failed,
+ CASE WHEN memory_id % 3 = 0 THEN 'accept' WHEN memory_id % 7 = 1 THEN 'reject' ELSE 'hold' END AS decision, CASE WHEN memory_id % 17 = 0 OR memory_id % 13 = 0 OR memory_id % 11 = 0 OR (memory_id % 3 <> 0 AND memory_id % 7 = 1) THEN 'reject' WHEN memory_id % 3 = 0 AND confidence >= 0.5 THEN 'accept' ELSE 'hold' END AS action FROM {TEAM} WHERE status = 'candidate'""")
+def supervise_receipts(spark, sf):
+    """Receipts of candidates: checks, a reviewer's word (of whom some say nothing or nonsense), and what follows."""
+    k = F.col("memory_id")
+    content = F.when((k % 17 == 0) & (k % 13 == 0), "sk-abcdefghijklmnop").when(k % 17 == 0, "password: abcdefghijklmnopqrst").when(k % 13 == 0, " short ").otherwise("a text that is long enough")
+    records = S.team_view(spark, sf).select("memory_id", "status", "confidence", content.alias("content"), F.when(k % 11 != 0, "{}").alias("provenance"))
+    said = records.where("memory_id % 5 <> 2 or memory_id % 3 = 0 or memory_id % 7 = 1").select("memory_id", F.when(k % 3 == 0, "accept").when(k % 7 == 1, "reject").otherwise("perhaps").alias("decision"))
+    return T.supervised(records, said).withColumn("failed", F.array_join("failed", ","))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import subprocess
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol, runtime_checkable
 
@@ -52,6 +53,34 @@ class _AdapterReader(DataSourceReader):
             yield partition.value, place, str(item.get("id")), item.get("path"), json.dumps(item, sort_keys=True)
 
 
+class HttpSource(DataSource):
+    """spark.read.format("http-json"): results of a JSON service, one task for each of `requests`, posted as JSON.
+
+    options: url, requests (JSON array of objects), list (name of the result's list, `results`), seconds, token (sent as a bearer token).
+    A row for each result: request, place, id, path, json."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "http-json"
+
+    def schema(self) -> str:
+        return "request int, place int, id string, path string, json string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _HttpReader(dict(self.options))
+
+
+class _HttpReader(_AdapterReader):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        body = json.loads(self.options["requests"])[partition.value]
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.options['token']}"} if "token" in self.options else {})
+        request = urllib.request.Request(self.options["url"], json.dumps(body).encode(), headers, method="POST")
+        with urllib.request.urlopen(request, timeout=float(self.options.get("seconds", ADAPTER_SECONDS))) as answer:
+            found = json.load(answer)
+        for place, item in enumerate(found.get(self.options.get("list", "results")) or []):
+            yield partition.value, place, str(item.get("id")), item.get("path"), json.dumps(item, sort_keys=True)
+
+
 def reviewed(records: DataFrame, command: list[str], seconds: float = REVIEW_SECONDS) -> DataFrame:
     """memory_id, decision, reason of a reviewer command, asked once a record with JSON on standard input. No valid answer in time means hold."""
 

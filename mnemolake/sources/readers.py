@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,19 @@ def scan_tracked(spark: SparkSession, root: str, deep: bool = False) -> DataFram
     return scan_files(spark, root, deep).join(names, "path", "left_semi")
 
 
+_HELD: dict[tuple[str, str, bool], DataFrame] = {}
+
+
+def held_documents(spark: SparkSession, root: str, revision: str, deep: bool = False) -> DataFrame:
+    """The scan of a root at a revision, kept in the executors' storage for further reads; another revision of the root lets go of it."""
+    key = (root, revision, deep)
+    if key not in _HELD:
+        for old in [k for k in _HELD if k[0] == root and k[1] != revision]:
+            _HELD.pop(old).unpersist()
+        _HELD[key] = scan_files(spark, root, deep).persist(StorageLevel.MEMORY_AND_DISK)
+    return _HELD[key]
+
+
 def session_messages(sessions: DataFrame) -> DataFrame:
     """session_id, message_index, role, content, timestamp of sessions with an array `messages`; blank roles and contents go."""
     kept = F.filter("messages", lambda m: (F.trim(F.coalesce(m["role"], F.lit(""))) != "") & (F.trim(F.coalesce(m["content"], F.lit(""))) != ""))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 import mnemolake.__main__ as cli
 from mnemolake import api
+from mnemolake.functions import vectors as V
 from mnemolake.operators import results as W
+from mnemolake.operators import retrieval as R
 from mnemolake.operators import stores as O
+from mnemolake.operators import team as T
 from mnemolake.sources import providers as P
 from mnemolake.sources import readers as S
 from mnemolake.streaming import capture, state
@@ -156,6 +159,29 @@ def test_adapter_source(spark, tmp_path):
     assert sorted((r["request"], r["place"], r["id"]) for r in got) == [(0, 0, "a-s"), (0, 1, "a-s"), (1, 0, "b-s"), (1, 1, "b-s")]
 
 
+def test_http_source(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"entries": [{"id": asked["query"] + self.headers["Authorization"][-1], "path": "p"}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(P.HttpSource)
+    options = {"url": f"http://127.0.0.1:{server.server_port}/search", "list": "entries", "token": "t7", "requests": json.dumps([{"query": "a"}, {"query": "b"}])}
+    assert sorted((r["request"], r["id"]) for r in spark.read.format("http-json").options(**options).load().collect()) == [(0, "a7"), (1, "b7")]
+    server.shutdown()
+
+
 def test_reviewers_that_fail_hold(spark, tmp_path):
     script = tmp_path / "review.py"
     script.write_text("import json, sys\nr = json.load(sys.stdin)\nprint({'1': json.dumps({'decision': 'accept', 'reason': 'ok'}), '2': 'what'}.get(str(r['memory_id']), json.dumps({'decision': 'maybe'})))\n")
@@ -183,6 +209,36 @@ def test_provider_registry():
         known.call("local", "sync")
 
 
+def test_held_documents_follow_the_revision(spark, tmp_path):
+    (tmp_path / "a.md").write_text("one")
+    first = S.held_documents(spark, str(tmp_path), "r1")
+    assert first.first()["text"] == "one" and S.held_documents(spark, str(tmp_path), "r1") is first
+    (tmp_path / "a.md").write_text("two")
+    assert first.first()["text"] == "one" and S.held_documents(spark, str(tmp_path), "r2").first()["text"] == "two"
+
+
+def test_vectors_pack(spark):
+    rows = spark.createDataFrame([([1.0, 0.5],), (None,)], "v array<double>").select(V.packed("v").alias("b"))
+    assert [r["u"] for r in rows.select(V.unpacked(2)("b").alias("u")).collect()] == [[1.0, 0.5], []]
+    assert [r["u"] for r in rows.select(V.unpacked(3)("b").alias("u")).collect()] == [[], []]
+
+
+def test_semantic_candidates(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id bigint, path string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("d", [1.0, 0.0])], "path string, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, -1.0])], "query_id bigint, vector array<double>")
+    assert [(r["query_id"], r["doc_id"]) for r in R.semantic_candidates(asked, docs, vectors).orderBy("cos", ascending=False).collect()] == [(1, 1), (1, 2)]
+
+
+def test_a_round_with_the_shared_repository(spark):
+    files = spark.createDataFrame([("l1/active/a.md", "team_l1_a", "decision", "t", "content", 0.5, "active", None), ("l1/active/b.md", "team_l1_b", "decision", "t", "content", 0.5, "active", "broken"), ("l1/active/c.md", "team_l1_c", "gossip", "t", "content", 0.5, "active", None)], "path string, id string, kind string, title string, content string, confidence double, status string, failure string")
+    records = spark.createDataFrame([("team:x", None, "active")], "memory_id string, idempotency_key string, status string")
+    outcome = T.published(records, T.hydration_payloads(files))
+    assert {r["memory_id"]: r["action"] for r in outcome.collect()} == {"team:central:team_l1_a": "insert", "team:central:team_l1_c": "reject"}
+    plan = spark.createDataFrame([("m", "create"), ("n", "skip")], "memory_id string, action string")
+    assert {(r["step"], r["action"]): r["n"] for r in T.sync_report(plan, outcome).collect()} == {("export", "create"): 1, ("export", "skip"): 1, ("import", "insert"): 1, ("import", "reject"): 1}
+
+
 def test_tracked_files_only(spark, tmp_path):
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
     git("init", "-q")
