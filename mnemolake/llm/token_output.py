@@ -29,6 +29,8 @@ ESCAPE = 15
 _BITS = np.array([max(1, i.bit_length()) for i in range(1 << 16)], np.int8)
 MAGIC = b"S8B1"
 
+#: Pretokens that a worker keeps: texts without case and white space repeat more, and this operator holds little else.
+CACHE_ENTRIES = 400_000
 #: A block is closed once it has so many ids; a longer document is a block of its own.
 BLOCK_IDS = 65_536
 
@@ -159,7 +161,7 @@ def write_token_blocks(
     end = np.array([end_id], "<u4").tobytes()
 
     def blocks(batches):
-        made = encoder(tokenizer, spaces)
+        made = encoder(tokenizer, spaces, CACHE_ENTRIES)
         part, block, before = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         ids: list[bytes] = []

@@ -17,7 +17,7 @@ import numpy as np
 
 from mnemolake.llm.common import LOWER, resident
 
-#: Entries of a worker's cache of pretokens, of which the entries of the last round stay for one more, and of chunks; about 250 bytes each.
+#: Entries of a worker's cache of pretokens, of which the entries of the last round stay for one more, and of chunks; about 140 bytes each.
 CACHE_ENTRIES, CACHE_CHUNKS = 100_000, 40_000
 #: Longer chunks are encoded but not kept.
 CACHE_CHUNK_BYTES = 256
@@ -47,7 +47,8 @@ class Encoder:
     carry the space before them. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, spaces: str):
+    def __init__(self, path: str, spaces: str, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,7 +73,7 @@ class Encoder:
                 low = text.lower() if self.spaces == "drop" else text
                 shown = low.encode("utf-8").decode("latin-1").translate(_ALPHABET)
             found = b"".join([self.bytes_of[x.id] for x in self.model.tokenize(shown)])
-        if len(self.pretokens) >= CACHE_ENTRIES:  # the entries of the last round stay at hand for one more
+        if len(self.pretokens) >= self.entries:  # the entries of the last round stay at hand for one more
             self.older, self.pretokens = self.pretokens, {}
         if len(text) <= CACHE_CHUNK_BYTES:
             self.pretokens[text] = found
@@ -147,6 +148,6 @@ class Encoder:
         return np.array(found.ids, "<u4").tobytes(), np.array([a for a, _ in found.offsets], np.int64)
 
 
-def encoder(path: str, spaces: str) -> Encoder:
+def encoder(path: str, spaces: str, entries: int = CACHE_ENTRIES) -> Encoder:
     """One encoder for each Python worker, kept until a task asks for another model."""
-    return resident((path, spaces), lambda: Encoder(path, spaces))
+    return resident((path, spaces, entries), lambda: Encoder(path, spaces, entries))
