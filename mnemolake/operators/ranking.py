@@ -46,14 +46,18 @@ WIDE_HAN = "[一-鿿]"
 def described(docs: DataFrame) -> DataFrame:
     """docs (doc_id, path, text) with what the score reads of a document besides its words."""
     low, name = F.lower("path"), F.element_at(F.split("path", "/"), -1)
+    kinds = tuple(n for kind in ENTITY_KINDS for n in Q.LAYER_ALIASES[kind])
+    dates = X.document_dates(F.col("path"), F.col("text"))
+    numbers = F.transform("dates", lambda d: F.regexp_extract_all(d, F.lit(r"\d+"), F.lit(0)))
+    newest = F.array_max(F.transform(numbers, lambda n: F.struct(*(F.coalesce(F.get(n, i).cast("int"), F.lit(0)).alias(k) for i, k in enumerate("ymd")))))
     headings = F.filter(F.slice(lines_of("text"), 1, 40), lambda line: F.ltrim(line).startswith("#"))
     primary = low.rlike(r"/index\.(yaml|yml|md)$")
     return docs.select(
         "doc_id", "path", "text", low.alias("low_path"), F.split("path", "/")[0].alias("layer"), F.lower(name).alias("name"), F.lower(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")).alias("stem"),
         F.lower(F.array_join(F.transform(headings, lambda line: F.regexp_replace(line, "^[# ]+", "")), " ")).alias("headings"), primary.alias("primary_index"),
         (primary | low.endswith("/aliases.yaml")).alias("index_like"), low.endswith("-codex.md").alias("codex"), F.exists(F.split(low, "/"), lambda p: p.isin(*PERIODS)).alias("period"),
-        F.exists(words_in(WELL_KNOWN), lambda w: F.col("path").startswith(w)).alias("well_known"), X.document_dates(F.col("path"), F.col("text")).alias("dates"),
-    )
+        F.exists(words_in(WELL_KNOWN), lambda w: F.col("path").startswith(w)).alias("well_known"), F.split(low, "/")[0].alias("low_layer"), Q.singular(F.split(low, "/")[0]).isin(*kinds).alias("entity"), dates.alias("dates"),
+    ).withColumn("day", F.coalesce(newest["y"] * 1_000_000 + newest["m"] * 10_000 + newest["d"] * 100, F.lit(0)))
 
 
 def understood(queries: DataFrame, layers: Column) -> DataFrame:
@@ -133,11 +137,11 @@ def _weighed(known: DataFrame, asked: DataFrame, weights: DataFrame) -> DataFram
 
 
 def _sums(counts: DataFrame, per_term: DataFrame) -> DataFrame:
-    """doc_id, query_id, words, matched, cov, hyphens, signal_sum: counts are held by document, so this moves no rows."""
+    """doc_id, query_id, words, matched, cov, path_terms, any_path, hyphens, signal_sum: counts are held by document, so this moves no rows."""
     few = F.least(F.col("n"), F.lit(4))
     return counts.join(small(per_term), "term").groupBy("doc_id", "query_id").agg(
         F.sum(F.when(F.col("is_term"), few * (F.lit(6.0) + F.lit(18.0) * F.col("idf"))).otherwise(0.0)).alias("words"), F.count_if("is_term").alias("matched"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("cov"), F.sum(F.when(F.col("hyphen") & (F.col("n") > 0), 500).otherwise(0)).alias("hyphens"), F.sum(F.when(F.col("signal"), few * 20).otherwise(0)).alias("signal_sum"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("cov"), F.count_if(F.col("is_term") & F.col("in_path")).alias("path_terms"), F.max("in_path").alias("any_path"), F.sum(F.when(F.col("hyphen") & (F.col("n") > 0), 500).otherwise(0)).alias("hyphens"), F.sum(F.when(F.col("signal"), few * 20).otherwise(0)).alias("signal_sum"),
     )
 
 
@@ -184,7 +188,7 @@ def repository_hits(queries: DataFrame, docs: DataFrame, k: int = 5, deep: bool
     for more in (graph, semantic):
         if more is not None:
             extra = extra.unionByName(more.select("doc_id", "query_id"))
-    pairs = sums.join(extra.distinct(), ["doc_id", "query_id"], "full_outer").fillna(0, ["words", "matched", "cov", "hyphens", "signal_sum"])
+    pairs = sums.join(extra.distinct(), ["doc_id", "query_id"], "full_outer").fillna(0, ["words", "matched", "cov", "hyphens", "signal_sum", "path_terms"]).fillna(False, ["any_path"])
     pairs = pairs.join(graph.select("query_id", "doc_id", F.lit(True).alias("in_graph")), ["query_id", "doc_id"], "left") if graph is not None else pairs.withColumn("in_graph", F.lit(False))
     pairs = pairs.join(semantic.select("query_id", "doc_id", "cos"), ["query_id", "doc_id"], "left") if semantic is not None else pairs.withColumn("cos", F.lit(None).cast("double"))
     heads = per_term.where("is_term").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idfs"))  # a question's terms
@@ -204,18 +208,17 @@ def _stem_counts(known: DataFrame, pages: DataFrame) -> DataFrame:
 def _scored(rows: DataFrame, deep: bool) -> DataFrame:
     """Rows that the filters let through, with base: the score but for phrases."""
     n_cov, has = F.size("covered"), F.array_contains
-    path, layer = F.col("low_path"), F.element_at(F.split("low_path", "/"), 1)
+    path, entity = F.col("low_path"), F.col("entity")
     full = (n_cov >= 2) & (F.col("cov") == n_cov)
     some = F.size("preferred") > 0
-    preferred = has(F.col("preferred"), layer)
-    entity = F.exists(words_in(tuple(n for kind in ENTITY_KINDS for n in Q.LAYER_ALIASES[kind])), lambda n: Q.singular(layer) == n)
+    preferred = has(F.col("preferred"), F.col("low_layer"))
     related = F.col("relates") & (F.size("named") > 0) & (entity | F.col("in_graph"))
     kept = F.lit(deep) | ~some | F.col("latest") | preferred | full | related
     dated = F.forall("date_terms", lambda t: F.contains(path, t) | F.exists("dates", lambda d: F.contains(d, t)))
     temporal = F.col("latest") & some & preferred
     candidate = (F.col("matched") >= F.col("least")) | temporal | (some & F.col("no_specific") & preferred) | F.col("cos").isNotNull() | F.col("in_graph")
     c = F.col
-    named = F.exists("raw", lambda t: has(c("named"), t))
+    named = F.size("named") > 0
     index, primary = c("index_like"), c("primary_index")
     on = lambda cond, points: F.when(cond, points).otherwise(0)
     bonus = (
@@ -229,13 +232,11 @@ def _scored(rows: DataFrame, deep: bool) -> DataFrame:
     )
     long_name = F.filter("file_terms", lambda t: F.contains(c("name"), t) & ((F.length(t) >= 4) | ((F.length(t) >= 2) & Q.all_han(t))))
     anchors = F.filter("raw", lambda t: has(c("named"), t) & F.contains(path, t))
-    date = F.array_max(F.transform("dates", lambda d: F.struct(*(F.coalesce(F.get(F.regexp_extract_all(d, F.lit(r"\d+"), F.lit(0)), i).cast("int"), F.lit(0)).alias(n) for i, n in enumerate("ymd")))))
-    day = F.coalesce(date["y"] * 1_000_000 + date["m"] * 10_000 + date["d"] * 100, F.lit(0))
     base = (
         c("words") + _coverage(c("cov"), n_cov)
         + on(~index, c("signal_sum")) + on(c("in_graph"), 900) + on((c("matched") == 0) & c("cos").isNotNull(), F.floor(1800 * F.greatest(c("cos"), F.lit(0.0))))
-        + 3000 * F.size(F.filter(anchors, lambda t: preferred | (c("relates") & entity))) + c("hyphens") + 28 * count_in(path, c("terms")) + 260 * F.size(long_name) + on(has(c("file_terms"), c("stem")), 1200)
-        + on(anchored, heading) + on(has(c("preferred"), c("layer")), 72) + bonus + on(c("well_known"), 4) + on(temporal, day)
+        + on(c("any_path") & (preferred | (c("relates") & entity)), 3000 * F.size(anchors)) + c("hyphens") + 28 * c("path_terms") + on(c("any_path"), 260 * F.size(long_name)) + on(c("any_path") & has(c("file_terms"), c("stem")), 1200)
+        + on(anchored & (c("headings") != ""), heading) + on(has(c("preferred"), c("layer")), 72) + bonus + on(c("well_known"), 4) + on(temporal, c("day"))
     )
     kept_rows = rows.where(kept & dated & candidate)
     return kept_rows.select("query_id", "doc_id", "path", "layer", "matched", F.col("cov").alias("covered"), "phrases", "relates", "latest", "date_terms", "named", "preferred", base.alias("base"))

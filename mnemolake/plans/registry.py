@@ -128,16 +128,32 @@ def secret_scan(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", X.has_secret("text").alias("secret"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(trim(text), '(?i)\b(?:sk|rk)-[A-Za-z0-9_-]{16,}\b', '[REDACTED_SECRET]', 'g'), '(?i)\b(?:api[_-]?key|access[_-]?token|refresh[_-]?token|password|secret)\s*[:=]\s*[^\s,;]+', '[REDACTED_SECRET]', 'g'),
- '(?i)\bBearer\s+[A-Za-z0-9._-]{16,}\b', '[REDACTED_SECRET]', 'g')) AS digest FROM documents""")
+def _redacted(text: str) -> str:
+    quoted = lambda p: p.replace("'", "''")
+    out = f"regexp_replace(regexp_replace({text}, '{quoted(X.INJECTED)}', '', 'g'), '{quoted(X.REPLY_MARK)}', '', 'g')"
+    for pattern in X.REDACTIONS:
+        out = f"regexp_replace({out}, '{quoted(pattern)}', '{X.REDACTED}', 'g')"
+    return f"trim({out}, ' ' || chr(10) || chr(9) || chr(13))"
+
+
+_NOISE = ("", "[[reply_to 3]] ", "<user-persona kind=1>\nme\n</user-persona>", "-----BEGIN RSA PRIVATE KEY-----\nab\n-----END RSA PRIVATE KEY----- ", "api_key=abc; Bearer abcdefghijklmnopqrst sk-abcdefghijklmnopqrst ")
+
+
+@query(f"SELECT doc_id, sha256({_redacted(f'{list(_NOISE)}[doc_id % 5 + 1] || text')}) AS digest FROM documents".replace("\\n", "' || chr(10) || '"))
 def secret_redact(spark, sf):
-    return S.table(spark, sf, "documents").select("doc_id", F.sha2(X.redact("text").cast("binary"), 256).alias("digest"))
+    """Texts behind injected context, reply marks, keys and tokens."""
+    noise = F.element_at(F.array(*map(F.lit, _NOISE)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return S.table(spark, sf, "documents").select("doc_id", F.sha2(X.redact(F.concat(noise, "text")).cast("binary"), 256).alias("digest"))
+
+
+_ASKS = ("", "最新 ", "虚构 ", "对比 ", "见 notes/a.md ", "2301.01234v2 ", "ZZZQWE ")
 
 
-@query(r"""SELECT turn, role, CASE WHEN regexp_matches(text, '(?i)fictional|nonexistent|imaginary|made[- ]up|never indexed|no such|\bZ{3,}[A-Z0-9_-]*\b') THEN 'negative' WHEN regexp_matches(text, '(?i)latest|recent|current|this week|20[0-9]{2}[-/][0-9]{1,2}') THEN 'temporal'
- WHEN regexp_matches(text, '(?i)cross|related|compare') THEN 'cross-source' WHEN regexp_matches(text, '(?i)\b[0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?\b|[./][\w.-]+\.(?:md|yaml|yml)') THEN 'exact' ELSE 'semantic' END AS intent, count(*) AS n FROM conversations GROUP BY ALL""")
+@query(f"""SELECT turn, role, CASE WHEN regexp_matches(text, '{X.NEGATIVE}') THEN 'negative' WHEN regexp_matches(text, '{X.TEMPORAL}') THEN 'temporal' WHEN regexp_matches(text, '{X.CROSS_SOURCE}') THEN 'cross-source' WHEN regexp_matches(text, '{X.EXACT}') THEN 'exact' ELSE 'semantic' END AS intent, count(*) AS n
+ FROM (SELECT turn, role, {list(_ASKS)}[(conv_id + turn) % 7 + 1] || text AS text FROM conversations) GROUP BY ALL""")
 def intent_classify(spark, sf):
-    return S.table(spark, sf, "conversations").groupBy("turn", "role", X.intent("text").alias("intent")).agg(F.count("*").alias("n"))
+    asks = F.element_at(F.array(*map(F.lit, _ASKS)), ((F.col("conv_id") + F.col("turn")) % 7 + 1).cast("int"))
+    return S.table(spark, sf, "conversations").groupBy("turn", "role", X.intent(F.concat(asks, "text")).alias("intent")).agg(F.count("*").alias("n"))
 
 
 POSTINGS = f"(SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY ALL)"
@@ -297,16 +313,16 @@ def l2_projection(spark, sf):
 
 
 # Invented texts share few signatures: the first word of a turn and how it went stand in for them.
-TURNS = f"(SELECT session_id, message_index, role, string_split(content, ' ')[1] || CASE WHEN message_index % 3 = 0 THEN ' failed' WHEN message_index % 5 = 1 THEN ' redo' ELSE '' END AS content FROM {RECORDS})"
+TURNS = f"(SELECT session_id, message_index, role, string_split(content, ' ')[1] || CASE WHEN message_index % 3 = 0 THEN ' failed' WHEN message_index % 5 = 1 THEN ' 重做' ELSE '' END AS content FROM {RECORDS})"
 
 
 def turns(spark, sf):
-    said = F.when(F.col("message_index") % 3 == 0, " failed").when(F.col("message_index") % 5 == 1, " redo").otherwise("")
+    said = F.when(F.col("message_index") % 3 == 0, " failed").when(F.col("message_index") % 5 == 1, " 重做").otherwise("")
     return S.records_view(spark, sf).withColumn("content", F.concat(F.get(F.split("content", " "), 0), said))
 
 
-@query(r"""WITH s AS (SELECT session_id, coalesce(nullif(substr(array_to_string(list_concat(list_filter([CASE WHEN regexp_matches(content, '(?i)timeout|error|failed|blocked') THEN 'failure' END, CASE WHEN regexp_matches(content, '(?i)wrong|incorrect|redo') THEN 'revision' END,
-  CASE WHEN regexp_matches(content, '(?i)new task|new topic|moving on') THEN 'new-task' END], lambda x: x IS NOT NULL), list_sort(t[1:8])), '|'), 1, 220), ''), 'empty') AS signature FROM
+@query(r"""WITH s AS (SELECT session_id, coalesce(nullif(substr(array_to_string(list_concat(list_filter([CASE WHEN regexp_matches(content, '""" + X.FAILURE_TAG + r"""') THEN 'failure' END, CASE WHEN regexp_matches(content, '""" + X.REVISION_TAG + r"""') THEN 'revision' END,
+  CASE WHEN regexp_matches(content, '""" + X.NEW_TASK_TAG + r"""') THEN 'new-task' END], lambda x: x IS NOT NULL), list_sort(t[1:8])), '|'), 1, 220), ''), 'empty') AS signature FROM
   (SELECT session_id, content, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(l) AS w, unnest(range(len(l))) AS i FROM (SELECT regexp_extract_all(lower(content), '[\p{L}\p{N}\p{M}\p{Pc}./:-]{2,}') AS l)) GROUP BY w)) AS t FROM """ + f"{TURNS}" + r"""))
  SELECT signature, count(DISTINCT session_id) AS episodes, count(*) AS records FROM s GROUP BY signature HAVING count(DISTINCT session_id) >= 2""")
 def policy_buckets(spark, sf):
