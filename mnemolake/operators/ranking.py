@@ -110,7 +110,7 @@ def term_words(asked: DataFrame, words: DataFrame) -> DataFrame:
 def term_counts(asked: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, term, n (occurrences in the text), in_path: of every asked term that a document's text or path holds."""
     words = docs.select("doc_id", F.explode(_tokens(F.col("text"))).alias("word"), F.lit(False).alias("path")).union(docs.select("doc_id", F.explode(F.array_distinct(_tokens(F.col("path")))).alias("word"), F.lit(True).alias("path")))
-    own = term_words(asked, words.select("word").distinct())
+    own = materialised(term_words(asked, words.select("word").distinct()), "term-words")
     met = words.join(small(own), "word")
     counted = met.groupBy("doc_id", "term").agg(F.sum(F.when(~F.col("path"), F.col("times")).otherwise(0)).cast("int").alias("n"), F.max("path").alias("in_path"))
     return counted.repartition("doc_id")
