@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.functions import citations as C
+from mnemolake.functions import query as Q
 from mnemolake.functions import vectors as V
 from mnemolake.operators import memory as M
 from mnemolake.operators import ranking as K
@@ -46,7 +47,7 @@ def search(memory: Memory, queries: DataFrame, limit: int = 5) -> dict[str, Data
         found = M.memory_search(asked, memory.records, F.unix_micros(memory.now) / 1e6, W.fetch_size(limit))
         out["memory"] = found.where(F.col("place") <= limit)
         rows = found.join(memory.records.select("id", "role", "content", "status", "accepted"), "id").join(queries.select("query_id", "query"), "query_id")
-        support = K.Q.claim_support(K.Q.query_terms("query"), F.col("content"))["claim_support"]
+        support = Q.claim_support(Q.query_terms("query"), F.col("content"))["claim_support"]
         lane = F.when(C.promoted(F.col("accepted"), F.col("status")), "verified").otherwise("candidate")
         lanes.append(rows.select("query_id", F.lit("memory").alias("plane"), "id", F.col("place").cast("long").alias("place"), "role", F.col("content").alias("excerpt"), lane.alias("lane"), support.alias("support")))
     if memory.team is not None:

@@ -10,7 +10,7 @@ from mnemolake.functions.columns import collapsed, let, lines_of, stripped, text
 # Fixed values.
 RAW_PREFIX = "raw/sources/"
 NOT_FINAL = ("candidate", "pending", "inferred", "generated", "stale")
-NATIVE_SOURCES = ("memorycore", "standalone-memory", "local-memory", "memmy")
+NATIVE_SOURCES = ("memory-service", "standalone-memory", "local-memory")
 NATIVE_LAYERS = ("L0", "L1", "L2", "L3", "Skill")
 #: Characters that make a line distinctive, and of it that are looked for.
 DISTINCT_CHARS, NEEDLE_CHARS, WINDOW_LINES, START_LINES = 12, 120, 12, 8

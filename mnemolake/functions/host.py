@@ -65,6 +65,6 @@ def finalize_warning(answer: Column, abstains: Column, receipt: Column, searched
     )
 
 
-def expected_tool(tool: Column, suffix: str, prefix: str = "repository-memory__") -> Column:
+def expected_tool(tool: Column, suffix: str, *prefixes: str) -> Column:
     """Whether a tool's name is one of those under which an operation is offered."""
-    return tool.isin(f"{prefix}{suffix}", f"repository-memory__{suffix}", f"repository_{suffix}")
+    return tool.isin(f"repository_{suffix}", *(f"{p}{suffix}" for p in prefixes))

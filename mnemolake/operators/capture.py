@@ -46,7 +46,7 @@ def normalised_turns(payloads: DataFrame) -> DataFrame:
     cursor = X.epoch_of(F.col("after_timestamp"))
     base = payloads.withColumn("messages", clean_messages(after_cursors(F.coalesce("messages", F.array().cast(payloads.schema["messages"].dataType)), F.col("original_user_message_count"), cursor), F.col("original_user_text")))
     has = lambda role: F.exists("messages", lambda m: m["role"] == role)
-    session = X.redact(F.coalesce(F.nullif("session_id", F.lit("")), F.lit("openclaw-session")), SESSION_CHARS)
+    session = X.redact(F.coalesce(F.nullif("session_id", F.lit("")), F.lit("unnamed-session")), SESSION_CHARS)
     run = X.redact("run_id", SESSION_CHARS)
     basis = F.when(run != "", run).otherwise(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n"))
     return base.select(

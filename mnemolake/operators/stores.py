@@ -11,8 +11,8 @@ from mnemolake.functions import citations as C
 from mnemolake.functions import text as X
 from mnemolake.functions.columns import lines_of, text_of
 
-#: Versions of the stored forms, and the files and bytes of one upload.
-INDEX_SCHEMA, BUNDLE_SCHEMA, BUNDLE_KIND = 5, 3, "repository-memory-team-bundle"
+#: Version of the stored index, and the files and bytes of one upload.
+INDEX_SCHEMA = 5
 BATCH_FILES, BATCH_BYTES = 10, 4 << 20
 LINKS_OF_A_DOCUMENT = 32
 
@@ -205,7 +205,7 @@ def promoted_scenarios(records: DataFrame, paths: DataFrame) -> DataFrame:
 
 def promoted_profile(profile: Column, scenario: Column, path: Column) -> Column:
     """The profile's text with an accepted scenario behind it; unchanged if it names the scenario as a source already."""
-    block = C.with_marks(F.concat(F.lit("# Repository Memory Profile\n\n"), scenario), "accepted", "L3", path)
+    block = C.with_marks(F.concat(F.lit("# Memory Profile\n\n"), scenario), "accepted", "L3", path)
     old = F.trim(text_of(profile))
     return F.when(F.contains(old, F.concat(F.lit("source_l2: "), path)), profile).when(old == "", block).otherwise(F.concat(old, F.lit("\n\n"), block))
 

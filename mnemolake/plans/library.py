@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from mnemolake.functions import query as Q
 from mnemolake.functions import text as X
 from mnemolake.operators import ranking as K
-from mnemolake.operators import retrieval as R
 from mnemolake.plans.base import WORDS, query
 from mnemolake.sources import readers as S
 

@@ -11,7 +11,6 @@ from mnemolake.functions import query as Q
 from mnemolake.operators import evaluation as E
 from mnemolake.operators import memory as M
 from mnemolake.operators import ranking as K
-from mnemolake.operators import results as W
 from mnemolake.operators import retrieval as R
 from mnemolake.operators import stores as O
 from mnemolake.operators import team as T

@@ -22,7 +22,7 @@ from mnemolake.operators import retrieval as R
 from mnemolake.operators import stores as O
 from mnemolake.operators import team as T
 from mnemolake.plans import library as L
-from mnemolake.plans.base import FEEDBACK, RECORDS, SECRET, TEAM, query
+from mnemolake.plans.base import FEEDBACK, SECRET, TEAM, query
 from mnemolake.plans.registry import COSINES, TWINS, cosines
 from mnemolake.sources import readers as S
 from mnemolake.streaming import state as St
@@ -120,7 +120,7 @@ def result_normalise(spark, sf):
     part, s = F.substring("text", 1, 30), lambda *c: F.to_json(F.struct(*c))
     key = F.col("doc_id").cast("string")
     line = (by_id(50) + 1).cast("int")
-    native = s(F.concat(F.lit("m"), key).alias("id"), F.lit("T").alias("title"), part.alias("content"), F.lit("L1").alias("memory_layer"), F.struct(F.lit("memmy").alias("source"), (by_id(2) == 0).alias("accepted")).alias("citation"))
+    native = s(F.concat(F.lit("m"), key).alias("id"), F.lit("T").alias("title"), part.alias("content"), F.lit("L1").alias("memory_layer"), F.struct(F.lit("local-memory").alias("source"), (by_id(2) == 0).alias("accepted")).alias("citation"))
     document = s(F.concat(F.lit("raw/sources/"), F.col("path")).alias("file_path"), part.alias("snippet"), F.struct(line.alias("start_line"), F.when(by_id(2) == 1, line + 3).alias("line_end")).alias("locator"), (by_id(5) == 0).alias("generated"))
     other = s(F.concat(F.lit("x"), key).alias("id"), part.alias("text"), F.lit("STALE").alias("evidence_status"))
     found = W.normalised(docs.select(F.col("doc_id").alias("key"), F.when(by_id(3) == 0, native).when(by_id(3) == 1, document).otherwise(other).alias("json")), "lib")

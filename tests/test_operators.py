@@ -47,7 +47,7 @@ def test_records_name_the_broken_line(spark, tmp_path):
 
 
 def test_bundles_of_another_kind_are_refused(spark, tmp_path):
-    body = {"kind": "repository-memory-team-bundle", "schema_version": 3, "records": [{"id": "team:1"}], "revisions": [], "feedback": []}
+    body = {"kind": "some-team-bundle", "schema_version": 3, "records": [{"id": "team:1"}], "revisions": [], "feedback": []}
     (tmp_path / "good.json").write_text(json.dumps(body))
     (tmp_path / "bad.json").write_text(json.dumps(body | {"schema_version": 9}))
     read = lambda name: S.read_bundle(spark, str(tmp_path / name), "id:string", "revision:int", "rating:string")

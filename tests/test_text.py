@@ -169,14 +169,14 @@ def test_citations(value):
     assert check("a.md", 2, 2, " second  line of text") == (True, False, None) and check("a.md", 3, 3, "third") == (True, False, None)
     assert check("a.md", 2, 2, "second line of text", "d") == (False, True, "commit mismatch")
     assert check("../a.md", 1, 1, "x")[2].endswith("source root") and check("a.md", 3, 9, "x")[2].endswith("invalid") and check("a.md", 1, 1, " ")[2].endswith("missing") and check("a.md", 1, 1, "third")[2].endswith("cited lines")
-    assert value(C.native_validation(F.lit("memmy"), F.lit("L1"), F.lit("i"), F.lit("e"))) is None and value(C.native_validation(F.lit("web"), F.lit("L1"), F.lit("i"), F.lit("e"))) is not None
+    assert value(C.native_validation(F.lit("local-memory"), F.lit("L1"), F.lit("i"), F.lit("e"))) is None and value(C.native_validation(F.lit("web"), F.lit("L1"), F.lit("i"), F.lit("e"))) is not None
     assert value(C.citation_path(F.lit("raw\\sources\\a\\b.md"))) == "a/b.md"
 
 
 def test_marks(value):
     assert value(C.with_marks(F.lit("status: candidate\nbody"), "accepted", "L2", F.lit("p"))) == "source_l2: p\nlayer: L2\nevidence_status: accepted\nstatus: accepted\nbody\n"
     profile = value(O.promoted_profile(F.lit(""), F.lit("x"), F.lit("p")))
-    assert value(O.promoted_profile(F.lit(profile), F.lit("x"), F.lit("p"))) == profile and value(O.promoted_profile(F.lit(profile), F.lit("y"), F.lit("q"))).count("# Repository Memory Profile") == 2
+    assert value(O.promoted_profile(F.lit(profile), F.lit("x"), F.lit("p"))) == profile and value(O.promoted_profile(F.lit(profile), F.lit("y"), F.lit("q"))).count("# Memory Profile") == 2
 
 
 def test_json_and_yaml(value):
