@@ -182,12 +182,13 @@ def _gathered(docs: DataFrame, sets: list, more, added: list[str]) -> DataFrame:
     merged = written(reduce(DataFrame.unionByName, tables).groupBy("digest").agg(union("hits").alias("hits"), union("items").alias("items")), "hits")  # a row for each block at most
     few = merged.count() <= MOST_BROADCAST
     own = free_name([*docs.columns, *added], "digest")
-    merged = merged.select(F.col("digest").alias(own), F.col("hits").alias(added[1] + "_"), F.col("items").alias(added[2] + "_"))
+    block_hits, block_items = (free_name([*docs.columns, *added, own], x) for x in ("block_hits", "block_items"))
+    merged = merged.select(F.col("digest").alias(own), F.col("hits").alias(block_hits), F.col("items").alias(block_items))
     joined = docs.withColumn(own, F.sha2(F.col("text").cast("binary"), 256)).join(F.broadcast(merged) if few else merged, own, "left")
     words = F.size(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0)))
     return joined.select(
         *(F.col(f"`{c}`") for c in docs.columns), words.cast("bigint").alias(added[0]),
-        F.coalesce(added[1] + "_", F.array().cast("array<int>")).alias(added[1]), F.coalesce(added[2] + "_", F.array().cast("array<string>")).alias(added[2]),
+        F.coalesce(block_hits, F.array().cast("array<int>")).alias(added[1]), F.coalesce(block_items, F.array().cast("array<string>")).alias(added[2]),
     )
 
 
