@@ -74,4 +74,23 @@ a AS (SELECT page_id, string_agg(DISTINCT l, ',' ORDER BY l) AS lists, bool_or(N
 SELECT page_id, host, coalesce(lists, '') AS lists, coalesce(blocked, false) AS blocked FROM p LEFT JOIN a USING (page_id)
 """
 
-ORACLES = {"op3_url_filter": OP3, "op1_chat_format": OP1, "op4_secret_scan": OP4, "op5_decontamination": OP5}
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('13:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 10) AS BIGINT) AS u FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS HUGEINT) AS n, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS HUGEINT) AS w FROM d GROUP BY source
+), t AS (SELECT sum(n) AS total FROM s),
+c AS (  -- full: at the level at which this source meets its limit, all targets together are within the budget
+  SELECT a.source, any_value(a.n) AS n, any_value(a.w) AS w, 2 * sum(least(2 * b.n * a.w, b.w * 2 * a.n)) <= 3 * any_value(t.total) * any_value(a.w) AS is_full FROM s a, s b, t GROUP BY a.source
+), l AS (SELECT 3 * any_value(t.total) - 4 * coalesce(sum(n) FILTER (is_full), 0) AS num, 2 * coalesce(sum(w) FILTER (NOT is_full), 0) AS den FROM c, t),
+r AS (
+  SELECT source, n, is_full, w * num AS parts, den, den * n AS own, CASE WHEN is_full THEN CASE WHEN n > 0 THEN 2 ELSE 0 END ELSE (w * num) // (den * n) END AS whole FROM c, l
+)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, CASE WHEN is_full THEN CAST(2 * n AS DOUBLE) ELSE CAST(parts AS DOUBLE) / CAST(den AS DOUBLE) END AS target,
+  CAST(copies * size AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies
+FROM (SELECT d.doc_id, d.size, r.*, whole + CASE WHEN NOT is_full AND CAST(u AS HUGEINT) < ((parts - whole * own) * 1099511627776) // own THEN 1 ELSE 0 END AS copies
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+"""
+
+ORACLES = {"op13_mixing": OP13, "op3_url_filter": OP3, "op1_chat_format": OP1, "op4_secret_scan": OP4, "op5_decontamination": OP5}

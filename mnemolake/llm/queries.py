@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import chat_format, decontamination, fingerprints, language_id, ngram_join, packing, secret_scan, sharding, token_output, url_filter
+from mnemolake.llm import chat_format, decontamination, fingerprints, language_id, mixing, ngram_join, packing, secret_scan, sharding, token_output, url_filter
 from mnemolake.llm.common import table
 from mnemolake.llm.oracles import ORACLES
 
@@ -106,6 +106,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
