@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemolake.llm.bits import collected_bits, has, width_for
 from mnemolake.llm.common import LOWER, resident, small_batches, written
 
 #: Rows of the sketch; a term's cells are slices of one 64-bit hash.
@@ -98,16 +99,7 @@ def possible_terms(docs: DataFrame, least: int, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums)], names=["cell", "n"])
 
     merged = docs.select("lang", "text").mapInArrow(sketched, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # buckets of bits begin at the number 1
-    blocks = merged.groupBy(F.expr("bitmap_bucket_number(cell + 1) - 1").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell + 1))").alias("bits"))
-    bits = np.zeros(-(-ROWS * width // 32768) * 4096, np.uint8)
-    for r in blocks.collect():  # ROWS * width / 8 bytes in all
-        bits[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return bits
-
-
-def passes(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return np.all(bits[cells >> 3] >> (cells & 7).astype(np.uint8) & 1, axis=0)
+    return collected_bits(merged, ROWS * width)
 
 
 def exact_counts(docs: DataFrame, bits, width: int) -> DataFrame:
@@ -116,7 +108,7 @@ def exact_counts(docs: DataFrame, bits, width: int) -> DataFrame:
 
     def rows(key, counts: Counter, docs: Counter):
         terms = [*counts]
-        keep = np.flatnonzero(passes(bits.value, cells_of(hashes(key[0], terms), width))) if terms else []
+        keep = np.flatnonzero(has(bits.value, cells_of(hashes(key[0], terms), width)).all(axis=0)) if terms else []
         own = [terms[i] for i in keep]
         return pa.RecordBatch.from_arrays(
             [pa.array([x] * len(own), pa.string()) for x in key] + [pa.array([t.decode("utf-8") for t in own], pa.string()), pa.array([counts[t] for t in own], pa.int64()), pa.array([docs[t] for t in own], pa.int64())],
@@ -219,7 +211,7 @@ def audit_sources(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    width = min(MOST_CELLS, max(FEWEST_CELLS, 1 << (CELLS_A_DOCUMENT * docs.count()).bit_length()))
+    width = width_for(docs.count(), CELLS_A_DOCUMENT, FEWEST_CELLS, MOST_CELLS)
     counts = written(exact_counts(docs, spark.sparkContext.broadcast(possible_terms(docs, least, width)), width), "audit-counts")
     terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least).drop("docs")
     kept = written(counts.drop("docs").join(terms, ["lang", "term"]), "audit-kept")

@@ -116,4 +116,25 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number
 QUALIFY part = 'pair' OR rank <= 10
 """
 
-ORACLES = {"op12_source_divergence": OP12, "op13_mixing": OP13, "op3_url_filter": OP3, "op1_chat_format": OP1, "op4_secret_scan": OP4, "op5_decontamination": OP5}
+OP11 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, g, count(*) AS a FROM (
+    SELECT lang, unnest(flatten(list_transform(range(1, least(len(w), 4) + 1), lambda s: list_transform(range(1, len(w) - s + 2), lambda i: w[i:i + s - 1])))) AS g FROM w WHERE len(w) > 0)
+  GROUP BY lang, g HAVING count(*) >= 30
+), cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+s AS (
+  SELECT c.lang, c.g, c.a, k, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * c.a) // (l.a + r.a) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.g = c.g[:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:]
+), m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+x AS (
+  SELECT lang, unnest(flatten(list_transform(range(2, len(g)), lambda s: list_transform(range(1, len(g) - s + 2), lambda i: g[i:i + s - 1])))) AS g, a FROM f WHERE len(g) > 2
+), longest AS (SELECT lang, g, max(a) AS longer FROM x GROUP BY lang, g),
+o AS (SELECT m.lang, array_to_string(m.g, ' ') AS phrase, m.a, l, r, CAST(score AS BIGINT) AS score FROM m LEFT JOIN longest USING (lang, g) WHERE longer IS NULL OR 100 * longer < 80 * m.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op11_collocations": OP11, "op12_source_divergence": OP12, "op13_mixing": OP13, "op3_url_filter": OP3, "op1_chat_format": OP1, "op4_secret_scan": OP4, "op5_decontamination": OP5}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import chat_format, decontamination, divergence, fingerprints, language_id, mixing, ngram_join, packing, secret_scan, sharding, token_output, url_filter
+from mnemolake.llm import chat_format, collocations, decontamination, divergence, fingerprints, language_id, mixing, ngram_join, packing, secret_scan, sharding, token_output, url_filter
 from mnemolake.llm.common import table
 from mnemolake.llm.oracles import ORACLES
 
@@ -106,6 +106,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
