@@ -82,7 +82,7 @@ def dictionary(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
 
     def made(seed: int) -> DataFrame:
         def batch(total: bool, lang: str, ids: np.ndarray, words: list, n: list):
-            return pa.RecordBatch.from_arrays([pa.array([total] * len(n)), pa.array(ids.view(np.int64)), pa.array([lang] * len(n), pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["total", "id", "lang", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([total] * len(n), pa.bool_()), pa.array(ids.view(np.int64)), pa.array([lang] * len(n), pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["total", "id", "lang", "word", "n"])
 
         def rows(held: dict[str, Counter]):
             for lang, counts in held.items():

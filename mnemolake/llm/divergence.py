@@ -179,7 +179,7 @@ def _shared(blocks: DataFrame) -> DataFrame:
                 offsets, flat = column.offsets.to_numpy(), column.values
                 sides.append((offsets, *(flat.field(k).to_numpy() for k in range(3))))
             for r, key in enumerate(keys):
-                (na, p, p0), (nb, q, q0) = ((x[o[r] : o[r + 1]] for x in fields) for o, *fields in sides)
+                (na, p, p0), (nb, q, q0) = ([x[o[r] : o[r + 1]] for x in fields] for o, *fields in sides)
                 m = sums.get(key)
                 if m is None:
                     if len(sums) >= HELD_BLOCKS:

@@ -77,17 +77,18 @@ def source_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tup
     )
 
 
-def _planned(rows: DataFrame, plan: DataFrame, source: str, u: str) -> DataFrame:
-    """rows with the columns of their source's plan, under the names with _mix_ in front, and _mix_copies."""
+def _planned(rows: DataFrame, plan: DataFrame, source: str, u: str) -> tuple[DataFrame, dict[str, str]]:
+    """rows with the columns of their source's plan and their copies, and the names that these have there."""
     plan = written(plan, "mix-plan")
-    renamed = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in plan.columns))
-    same = F.col(f"`{source}`").eqNullSafe(F.col("_mix_source"))
+    names = {c: free_name(rows.columns, f"mix_{c}") for c in (*plan.columns, "salt", "copies")}
+    renamed = plan.select(*(F.col(c).alias(names[c]) for c in plan.columns))
+    same = F.col(f"`{source}`").eqNullSafe(F.col(names["source"]))
     if plan.count() <= MOST_BROADCAST:
         joined = rows.join(F.broadcast(renamed), same)
     else:
-        salted = renamed.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.join(salted, same & (F.col("_mix_salt") == F.col(f"`{u}`") % SALTS))
-    return joined.withColumn("_mix_copies", (F.col("_mix_whole") + (F.col(f"`{u}`") < F.col("_mix_below")).cast("int")).cast("int"))
+        salted = renamed.withColumn(names["salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(salted, same & (F.col(names["salt"]) == F.col(f"`{u}`") % SALTS))
+    return joined.withColumn(names["copies"], (F.col(names["whole"]) + (F.col(f"`{u}`") < F.col(names["below"])).cast("int")).cast("int")), names
 
 
 def _measured(docs: DataFrame, seed: int) -> DataFrame:
@@ -104,8 +105,8 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple
     """
     records = written(_measured(docs, seed), "mix-records")
     plan = source_plan(records.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    done = _planned(records, plan, "source", "u")
-    return done.select("doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_copies").alias("copies"))
+    done, names = _planned(records, plan, "source", "u")
+    return done.select("doc_id", "size", *(F.col(names[c]).alias(c) for c in ("source_size", "target", "copies")))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST, seed: int = 13) -> DataFrame:
@@ -114,7 +115,8 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tu
     records = written(_measured(docs, seed).groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
     plan = source_plan(records, weights, share, most)
     text, u, copy = F.col("text").cast("string"), free_name(docs.columns, "u"), free_name(docs.columns, "copy")
-    done = _planned(docs.withColumn(u, chance(F.col("doc_id"), text, seed)), plan, "source", u)
-    out = done.where("_mix_copies > 0").select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias(copy))
+    done, names = _planned(docs.withColumn(u, chance(F.col("doc_id"), text, seed)), plan, "source", u)
+    copies = F.col(names["copies"])
+    out = done.where(copies > 0).select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), copies)).alias(copy))
     discard(records)
     return out
