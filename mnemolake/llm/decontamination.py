@@ -22,6 +22,8 @@ from mnemolake.llm.shingles import placed_words, run_hashes, word_hashes
 
 #: Bytes of benchmark texts that one broadcast block holds at most (an item is never split); its arrays take about four times as much.
 BLOCK_BYTES = 8 << 20
+#: Parts of a block by which it is filled: a table of CELLS rows for each block is on the driver.
+CELLS = 16
 #: Verified hashes that a task keeps.
 VERIFIED = 50_000
 #: Rows of hits (texts with any) that may be broadcast to the documents; of more, both sides are shuffled.
@@ -102,14 +104,23 @@ class NgramSet:
 
 
 def _blocks(benchmark: DataFrame, limit: int):
-    """Lists of (item, text) of about `limit` bytes at most, one at least; one is on the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    """Lists of different (item, text) of about `limit` bytes at most, one row at least; one is on the driver at a time.
+
+    Rows are dealt into cells by hash, CELLS to a limit's bytes, and cells are filled into blocks by their bytes, so equal rows don't count."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // limit) * 2 if total > limit else 1
-    for k in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        if (rows := own.collect()) or n == 1:  # of the size checked above
-            yield [(r["item"], r["text"]) for r in rows]
+    if total <= limit:
+        yield [(r["item"], r["text"]) for r in items.collect()]  # of the size checked above
+        return
+    items = written(items.withColumn("cell", F.pmod(F.xxhash64("item", "text"), F.lit(-(-total // limit) * CELLS))), "benchmark")
+    first, held = None, 0
+    for cell, size in [*((r["cell"], r["b"]) for r in items.groupBy("cell").agg(F.sum(F.octet_length("text")).alias("b")).orderBy("cell").collect()), (None, limit)]:
+        if first is not None and (held + size > limit or cell is None):
+            until = F.lit(True) if cell is None else F.col("cell") < cell
+            yield [(r["item"], r["text"]) for r in items.where((F.col("cell") >= first) & until).collect()]
+            first, held = None, 0
+        first = cell if first is None else first
+        held += size
 
 
 def _sets(docs: DataFrame, benchmark: DataFrame, n: int, limit: int):

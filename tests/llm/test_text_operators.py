@@ -182,6 +182,23 @@ def test_long_texts_and_many_secrets(spark, text):
     secret_scan.scan_secrets(df).write.format("noop").mode("overwrite").save()
 
 
+@pytest.mark.parametrize("before, header", [("", 7), ("", 900), ("", 1200), ("", 100_000), ("session-eyJ_", 100_000), ("é ", 5000)])
+def test_web_tokens_have_no_longest_header(spark, before, header):
+    """The span begins with the run of token characters that holds the header."""
+    token = "eyJ" + "aB3_-" * (header // 5 + 2) + ".eyJ" + "x" * 10 + "." + "y" * 12
+    text = f"{before}{token} eyJ{'a' * 20}.eyJshort.no eyJab.eyJ{'c' * 12}.eyJ{'d' * 12}.{'e' * 10}."
+    df = documents(spark, [(1, text)])
+    found = [(s["start"], s["end"]) for s in secret_scan.scan_secrets(df).first()["spans"] if s["kind"] == "web_token"]
+    start, second = (2 if before == "é " else 0), text.index("eyJccc")
+    assert found == [(start, len(before) + len(token)), (second, len(text) - 1)]
+    assert secret_scan.redact_secrets(df).first()["text"].startswith(f"{text[:start]}[REDACTED] eyJ")
+
+
+def test_web_tokens_take_linear_time(spark):
+    for text in ("eyJ" * 300_000, "a" * 1_000_000, ("eyJ" + "a" * 20 + ".") * 50_000, "eyJ" + "a" * 1_000_000 + ".eyJ" + "b" * 1_000_000):
+        secret_scan.scan_secrets(documents(spark, [(1, text)])).write.format("noop").mode("overwrite").save()
+
+
 def test_redaction_against_brute_force(spark):
     rng = random.Random(15)
     bits = ["password=", "token: ", "secret = '", "abcdef", "0123456789abcdef01234567", "AKIA", "ABCDEFGHIJKLMNOPQRST", " ", "é", "\U0001F600", "x" * 700]
@@ -247,6 +264,19 @@ def test_decontaminate_in_blocks_equals_one_block(spark):
     assert {tuple(r) for r in decontamination.decontaminate(docs, bench, block_bytes=20).collect()} == want
 
 
+def test_equal_benchmark_rows_fill_no_block(spark):
+    """10^5 equal rows are one; rows that differ are dealt by their bytes."""
+    same = spark.range(100_000).selectExpr("7 as item_id", "'one two three four five six seven eight nine ten' as text")
+    other = spark.range(400).selectExpr("id + 100 as item_id", "concat('w', id, repeat(' x y z', 20)) as text")
+    bench = same.union(other).union(spark.range(50).selectExpr("cast(null as bigint)", "'a b c'"))
+    blocks = [*decontamination._blocks(bench, 4000)]
+    assert len(blocks) > 8 and sum(map(len, blocks)) == 402 and len({x for b in blocks for x in b}) == 402
+    assert all(sum(len(t) for _, t in b) <= 4000 for b in blocks)
+    docs = documents(spark, [(1, "so one two three four five six seven eight nine ten it is"), (2, "w7 x y z x y z x y z x y z"), (3, "a b c")])
+    got = {r["doc_id"]: (len(r["hit_words"]), r["items"]) for r in decontamination.scan_documents(docs, same.union(other.where("item_id < 110")), block_bytes=1500).collect()}
+    assert got[1] == (10, ["7"]) and got[2][0] == 13 and "107" in got[2][1] and got[3] == (0, [])
+
+
 def test_decontaminate_against_brute_force(spark):
     rng = random.Random(13)
     words = ["alpha", "Beta", "g4", "é", "naïve", "x", "yy", "zed"]
