@@ -204,3 +204,13 @@ def test_freshness(value):
 def test_receipts(value):
     assert value(H.has_receipt(F.lit("see abc123 at x"), F.array(F.lit("abc123")))) and not value(H.has_receipt(F.lit("no"), F.array(F.lit("abc123"))))
     assert value(H.expected_tool(F.lit("repository_search"), "search")) and not value(H.expected_tool(F.lit("search"), "search"))
+
+
+def test_stripped_in_time_about_in_proportion(spark):
+    from mnemolake.functions.columns import collapsed, stripped
+
+    blanks = " \t" * 500_000
+    texts = ["", " ", "a", " a ", " a b \n", "a\x85", f"a{blanks}b", f"{blanks}a{blanks}b{blanks}", blanks, "a \n b\n", "\x1ca\x1f", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(stripped("t").alias("s"), collapsed("t").alias("c"), "i").orderBy("i").collect()
+    assert [r["s"] for r in got] == [(t or "").strip() for t in texts]
+    assert [r["c"] for r in got] == [" ".join((t or "").split()) for t in texts]
