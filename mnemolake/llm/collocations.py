@@ -31,6 +31,8 @@ HELD_WORDS, HELD_GRAMS, PIECE = 1 << 19, 1 << 20, 1 << 22
 BITS_EACH, FEWEST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
 #: Words of a phrase, and its least count.
 LONGEST, LEAST = 4, 30
+#: Shares in which a language's phrases are ranked first.
+SHARES = 64
 #: A phrase goes if a longer one that holds it has at least SHARE hundredths of its count.
 SHARE = 80
 
@@ -309,7 +311,10 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = 2000, share: in
     found = written(scored(grams, words.select(F.array("id").alias("ids"), "n"), share), "phrase-scores")
     said = found.select("ids", F.posexplode("ids").alias("at", "id")).join(words.select("id", "lang", "word"), "id")
     said = said.groupBy("ids").agg(F.min("lang").alias("lang"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.join(said, "ids").withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # the first of each share of a language, so that its last task gets SHARES * top rows at most
+    shares = found.join(said, "ids").withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    firsts = shares.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_share").orderBy(*order))).where(F.col("_n") <= top)
+    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top)
     totals = table.where("total").select("lang", F.col("n").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
