@@ -1,21 +1,27 @@
-"""The repository ranking: every signal of the score, for a frame of questions against all documents.
+"""The repository ranking: every signal of the score, for a frame of questions against an index of all documents.
 
 A term matches as a substring, and its characters are those of words, so it lies inside one word of the text: terms meet the
-corpus's vocabulary by their first grams (an equi-join), and word counts turn into term counts. Counts are then held by document:
-what a document gives to a question is summed where the document's rows are, so that a term that every text has makes rows but
-no hot key. Only pairs that can reach the first k (by a bound on what phrases can add) are held against their texts.
+index's vocabulary by their first grams (an equi-join), and postings of words turn into those of terms. What a block of documents can give to
+a question at most is summed from bits and maxima; only blocks that can reach the k-th score of the best ones are counted and scored by document.
+Of these pairs, only those that can reach the first k (by a bound on what phrases can add) are held against their texts.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions import query as Q
 from mnemolake.functions import text as X
 from mnemolake.functions.columns import any_in, count_in, lines_of, text_of, words_in
+from mnemolake.operators import index as I
 from mnemolake.operators.retrieval import idf, small, top_k
-from mnemolake.sources.scratch import materialised
+from mnemolake.sources.files import deleted, exists, renamed
+from mnemolake.sources.scratch import materialised, scratch_path
 
 # Word lists, patterns and weights of the score.
 DROPPED_TERMS = ("what", "latest", "recent", "最近", "最新", "什么", "source", "evidence", "citation", "definition", "and", "or", "the", "a", "an", "relationship")
@@ -93,33 +99,23 @@ def understood(queries: DataFrame, layers: Column) -> DataFrame:
     ).where("size(terms) > 0 or latest")
 
 
-def _tokens(x: Column) -> Column:
-    """Runs of the characters that terms are made of."""
-    return F.regexp_extract_all(F.lower(text_of(x)), F.lit(r"(?U)([\w./:-]+)"), F.lit(1))
-
-
-def term_words(asked: DataFrame, words: DataFrame) -> DataFrame:
-    """term, word, times: the words of a vocabulary that hold a term, and how often. Terms meet words by their first gram of up to three characters."""
-    gram = F.substring("term", 1, 3)
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda i: F.substring(F.col("word"), i, F.lit(n)))
-    held = words.select("word", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
-    met = held.join(small(asked.select("term", gram.alias("gram"))), "gram").where(F.contains("word", F.col("term")))
-    return met.select("term", "word", X.term_count(F.col("word"), F.col("term")).alias("times"))
-
-
 def term_counts(asked: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, term, n (occurrences in the text), in_path: of every asked term that a document's text or path holds."""
-    words = docs.select("doc_id", F.explode(_tokens(F.col("text"))).alias("word"), F.lit(False).alias("path")).union(docs.select("doc_id", F.explode(F.array_distinct(_tokens(F.col("path")))).alias("word"), F.lit(True).alias("path")))
-    own = materialised(term_words(asked, words.select("word").distinct()), "term-words")
+    words = docs.select("doc_id", F.explode(I.tokens(F.col("text"))).alias("word"), F.lit(False).alias("path")).union(docs.select("doc_id", F.explode(F.array_distinct(I.tokens(F.col("path")))).alias("word"), F.lit(True).alias("path")))
+    grams = words.select("word").distinct().select(F.explode(I.gram_list(F.col("word"))).alias("gram"), "word")
+    own = materialised(I.term_words(asked, grams), "term-words")
     met = words.join(small(own), "word")
     counted = met.groupBy("doc_id", "term").agg(F.sum(F.when(~F.col("path"), F.col("times")).otherwise(0)).cast("int").alias("n"), F.max("path").alias("in_path"))
     return counted.repartition("doc_id")
 
 
 def _asked(known: DataFrame) -> DataFrame:
-    """query_id, term, of all that a question counts: its terms, and the forms of what must be covered."""
-    forms = F.flatten(F.transform("covered", X.term_forms))
-    return known.select("query_id", F.explode(F.array_distinct(F.concat("terms", forms, "raw"))).alias("term"))
+    """query_id, term, own: all that a question counts (its terms, and the forms of what must be covered), and, not its own, what headings may hold."""
+    forms = lambda c: F.flatten(F.transform(c, X.term_forms))
+    counted = F.concat("terms", forms("covered"), "raw")
+    more = F.array_except(F.concat(forms("content"), "heading_terms"), F.concat(counted, F.array(F.lit(""))))
+    mark = lambda terms, own: F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(own).alias("own")))
+    return known.select("query_id", F.explode(F.concat(mark(counted, True), mark(more, False))).alias("t")).select("query_id", "t.*")
 
 
 def corpus_frequency(asked: DataFrame, counts: DataFrame) -> DataFrame:
@@ -127,80 +123,235 @@ def corpus_frequency(asked: DataFrame, counts: DataFrame) -> DataFrame:
     return asked.select("term").distinct().join(counts.groupBy("term").agg(F.count("*").alias("df")), "term", "left").fillna(0, ["df"])
 
 
-def _weighed(known: DataFrame, asked: DataFrame, weights: DataFrame) -> DataFrame:
-    """What each term of a question is worth: query_id, term, idf, is_term, hyphen, signal, covers."""
-    has, t = F.array_contains, F.col("term")
-    return known.select("query_id", "terms", "raw", "signals", "covered", "compound").join(asked, "query_id").join(small(weights), "term").select(
-        "query_id", "term", "idf", has(F.col("terms"), t).alias("is_term"), (has(F.col("raw"), t) & F.contains(t, F.lit("-"))).alias("hyphen"), (has(F.col("signals"), t) & F.col("compound")).alias("signal"),
-        F.filter("covered", lambda c: has(X.term_forms(c), t)).alias("covers"),
-    )
+def _weights(asked: DataFrame, blocks: DataFrame, total: DataFrame) -> DataFrame:
+    """term, idf of all asked terms, also of those that no document has."""
+    df = asked.select("term").distinct().join(I.frequencies(blocks), "term", "left").fillna(0, ["df"])
+    return df.join(F.broadcast(total)).select("term", idf(F.col("total"), F.col("df")).alias("idf"))  # total is a row
+
 
+def _bits(flags: Column, masks: int) -> list[Column]:
+    """An array of booleans as the columns mask0, mask1, ... of 63 bits each."""
+    word = lambda k: F.aggregate(F.transform(F.slice(flags, 63 * k + 1, 63), lambda f, i: F.when(f, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    return [word(k).alias(f"mask{k}") for k in range(masks)]
 
-def _sums(counts: DataFrame, per_term: DataFrame) -> DataFrame:
-    """doc_id, query_id, words, matched, cov, path_terms, any_path, hyphens, signal_sum: counts are held by document, so this moves no rows."""
-    few = F.least(F.col("n"), F.lit(4))
-    return counts.join(small(per_term), "term").groupBy("doc_id", "query_id").agg(
+
+def _weighed(known: DataFrame, asked: DataFrame, weights: DataFrame, masks: int) -> DataFrame:
+    """What each term of a question is worth: query_id, term, own, idf, is_term, hyphen, signal, the bits of what it covers, and its points at most in a path or in headings."""
+    has, t = F.array_contains, F.col("term")
+    rows = known.select("query_id", "terms", "raw", "signals", "covered", "compound", "content", "file_terms", "heading_terms", "maybe_named").join(asked, "query_id").join(small(weights), "term")
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    heads = F.filter("content", lambda c: has(X.term_forms(c), t))
+    rows = rows.select(
+        "query_id", "term", "own", "idf", has(F.col("terms"), t).alias("is_term"), (has(F.col("raw"), t) & F.contains(t, F.lit("-"))).alias("hyphen"), (has(F.col("signals"), t) & F.col("compound")).alias("signal"),
+        *_bits(F.transform("covered", lambda c: has(X.term_forms(c), t)), masks), heads.alias("heads"), (420 * F.size(F.filter("heading_terms", lambda h: h == t))).alias("head_points"),
+        (points(has(F.col("terms"), t), 28) + points(has(F.col("file_terms"), t), 260) + points(has(F.col("raw"), t) & has(F.col("maybe_named"), t), 3000)).alias("path_points"),
+    )
+    idfs = rows.where("is_term").select("query_id", F.col("term").alias("c"), F.col("idf").alias("c_idf"))
+    held = rows.select("query_id", "term", F.explode("heads").alias("c")).join(idfs, ["query_id", "c"], "left")
+    more = held.groupBy("query_id", "term").agg(F.sum(F.floor(F.lit(800.0) * F.coalesce("c_idf", F.lit(1.0)))).alias("_more"))
+    return rows.join(more, ["query_id", "term"], "left").withColumn("head_points", F.col("head_points") + F.coalesce("_more", F.lit(0))).drop("_more", "heads")
+
+
+def _sums(counts: DataFrame, per_term: DataFrame, *by: str) -> DataFrame:
+    """Sums by query_id and `by` of rows (term, n, in_path, in_head, by): words, matched, cov, path_terms, any_path, hyphens, signal_sum, and
+    bound: what paths and headings can add at most."""
+    few, own = F.least(F.col("n"), F.lit(4)), F.col("own")
+    if_ = lambda c, x: F.sum(F.when(c, x).otherwise(0))
+    bound = if_(F.col("in_path"), F.col("path_points")) + if_(F.col("in_head"), F.col("head_points")) + F.when(F.max(own & F.col("in_path")), 1200).otherwise(0)
+    return counts.join(small(per_term), "term").groupBy("query_id", *by).agg(
         F.sum(F.when(F.col("is_term"), few * (F.lit(6.0) + F.lit(18.0) * F.col("idf"))).otherwise(0.0)).alias("words"), F.count_if("is_term").alias("matched"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("cov"), F.count_if(F.col("is_term") & F.col("in_path")).alias("path_terms"), F.max("in_path").alias("any_path"), F.sum(F.when(F.col("hyphen") & (F.col("n") > 0), 500).otherwise(0)).alias("hyphens"), F.sum(F.when(F.col("signal"), few * 20).otherwise(0)).alias("signal_sum"),
+        reduce(Column.__add__, (F.bit_count(F.bit_or(m)) for m in per_term.columns if m.startswith("mask"))).alias("cov"), F.count_if(F.col("is_term") & F.col("in_path")).alias("path_terms"), F.max(own & F.col("in_path")).alias("any_path"), if_(F.col("hyphen") & (F.col("n") > 0), 500).alias("hyphens"), if_(F.col("signal"), few * 20).alias("signal_sum"),
+        bound.alias("bound"),
     )
 
 
-def scored(queries: DataFrame, docs: DataFrame) -> DataFrame:
+@dataclass
+class Asked:
+    """What a search knows of its questions before any document is scored: known, per_term, the words of the terms (own), and sums by block at most."""
+
+    known: DataFrame
+    per_term: DataFrame
+    own: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+
+
+def _prepared(queries: DataFrame, index: I.Index, layers: DataFrame | None) -> Asked:
+    rows = queries.where("query is not null")
+    known = understood(rows, F.array().cast("array<string>")) if layers is None else understood(rows.join(F.broadcast(layers)), F.col("layers"))  # layers: a row
+    known = materialised(known, "questions")
+    asked = materialised(_asked(known), "asked")
+    own = materialised(I.term_words(asked.select("term").distinct(), index.grams), "term-words")
+    terms = materialised(I.term_blocks(own, index), "term-blocks")
+    masks = -(-(known.agg(F.max(F.size("covered"))).first()[0] or 1) // 63)  # a number, whatever the questions
+    per_term = materialised(_weighed(known, asked, _weights(asked, terms, index.total), max(1, masks)), "term-weights")
+    most = terms.select("term", "block", F.col("top").alias("n"), (F.col("path_mask") != 0).alias("in_path"), (F.col("head_mask") != 0).alias("in_head"))
+    return Asked(known, per_term, own, _sums(most, per_term, "block"), terms)
+
+
+def _counted(asked: Asked, wanted: DataFrame, index: I.Index) -> DataFrame:
+    """Sums by (block, slot) of the documents with a term in wanted blocks (query_id, block)."""
+    need = wanted.join(asked.per_term.select("query_id", "term"), "query_id").select("term", "block").distinct()
+    counts = I.block_counts(asked.own, need, index)
+    return _sums(counts, asked.per_term, "block", "slot").join(small(wanted.select("query_id", "block")), ["query_id", "block"])
+
+
+def scored(queries: DataFrame, docs: DataFrame, index: I.Index | None = None, k: int | None = None) -> DataFrame:
     """query_id, doc_id, matched, covered, n_terms, least, score by words only: term counts (4 at most) with their idf, and coverage.
 
-    docs: doc_id, path, text; a term counts where the text or the path holds it. Only documents with a match are there."""
-    known = materialised(understood(queries.where("query is not null"), F.array().cast("array<string>")), "questions")
-    asked = _asked(known)
-    counts = materialised(term_counts(asked.select("term").distinct(), docs), "term-counts")
-    total = F.broadcast(docs.agg(F.count("*").alias("total")))  # a row
-    weights = corpus_frequency(asked, counts).join(total).select("term", idf(F.col("total"), F.col("df")).alias("idf"))
-    sums = _sums(counts, materialised(_weighed(known, asked, weights), "term-weights")).where("matched > 0 or cov > 0")
-    joined = sums.join(small(known.select("query_id", F.size("covered").alias("n_terms"), "least")), "query_id")
-    return joined.select("query_id", "doc_id", "matched", F.col("cov").alias("covered"), "n_terms", "least", (F.col("words") + _coverage(F.col("cov"), F.col("n_terms"))).cast("bigint").alias("score"))
+    docs: doc_id, path, text, which are indexed unless an index of them is given; a term counts where the text or the path holds it. Only documents with a match
+    are there. With k, of each question at least its first k by (score, doc_id): blocks that cannot reach the k-th score of the best ones are not counted."""
+    index = index or temporary_index(docs)
+    asked = _prepared(queries, index, None)
+    facts = asked.known.select("query_id", F.size("covered").alias("n_terms"), "least")
+    total = lambda rows: (rows["words"] + _coverage(rows["cov"], rows["n_terms"])).cast("bigint")
+    bounds = asked.blocks.where("matched > 0 or cov > 0").join(small(facts), "query_id")
+    bounds = bounds.select("query_id", "block", (total(bounds) + 1).alias("most"))
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        sums = _counted(asked, materialised(wanted.select("query_id", "block"), "wanted-blocks"), index).where("matched > 0 or cov > 0").join(small(facts), "query_id")
+        return sums.select("query_id", "block", "slot", "matched", F.col("cov").alias("covered"), "n_terms", "least", total(sums).alias("score"))
+
+    found = _by_blocks(bounds, rows_of, lambda rows: _kth(rows, "score", k)) if k else rows_of(bounds)
+    return found.join(index.pages.select("doc_id", "block", "slot"), ["block", "slot"]).select("query_id", "doc_id", "matched", "covered", "n_terms", "least", "score")
+
+
+#: Blocks of a question that are counted first, and documents (times k) that are scored first, to learn what the others must reach.
+FIRST_BLOCKS, FIRST_DOCUMENTS = 4, 4
+#: Pairs of a question and a block up to which all are counted at once.
+FEW_BLOCKS = 100_000
+
+
+def _kth(rows: DataFrame, score: str, k: int) -> DataFrame:
+    """query_id, _limit: the k-th score of each question that has so many rows: k documents reach it."""
+    by = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score)))
+    return rows.select("query_id", score).withColumn("_n", by).where(F.col("_n") == k).select("query_id", F.col(score).alias("_limit"))
+
+
+def _by_blocks(bounds: DataFrame, rows_of, limit_of) -> DataFrame:
+    """Rows of the blocks that can reach each question's limit. bounds: query_id, block, most and more; rows_of: wanted blocks to rows;
+    limit_of: rows of the most promising blocks to query_id, _limit. Blocks below the limit go unread."""
+    bounds = materialised(bounds, "block-bounds")
+    if bounds.count() <= FEW_BLOCKS:
+        return rows_of(bounds)
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "block"))
+    ranked = materialised(bounds.withColumn("_n", at).where(F.col("_n") <= FIRST_BLOCKS).drop("_n"), "first-blocks")
+    first = materialised(rows_of(ranked), "first-rows")
+    limits = materialised(limit_of(first), "limits")
+    rest = bounds.join(small(ranked.select("query_id", "block")), ["query_id", "block"], "left_anti").join(small(limits), "query_id", "left").where("_limit is null or most >= _limit")
+    return first.unionByName(rows_of(rest))
+
+
+def temporary_index(docs: DataFrame) -> I.Index:
+    """An index of docs in the shared scratch folder."""
+    path = scratch_path(docs.sparkSession, "index")
+    I.write_index(described(docs), path)
+    return I.read_index(docs.sparkSession, path)
 
 
 def _coverage(cov: Column, n: Column) -> Column:
     return 220 * cov + 280 * F.pow(F.greatest(cov - 1, F.lit(0)), F.lit(2)) + F.floor(1800 * (cov / F.greatest(F.lit(1), n))) + F.when((n >= 2) & (cov == n), 4200).otherwise(0)
 
 
-def repository_hits(queries: DataFrame, docs: DataFrame, k: int = 5, deep: bool = False, graph: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
+def stored_index(docs: DataFrame, path: str) -> I.Index:
+    """The index at path, made of docs (doc_id, path, text) if it is not there yet. It is written beside and then renamed, so it is there in whole or not at all."""
+    spark = docs.sparkSession
+    if not exists(spark, path):
+        side = f"{path}.{uuid.uuid4().hex}"
+        I.write_index(described(docs), side)
+        if not renamed(spark, side, path):  # another run was faster
+            deleted(spark, side)
+    return I.read_index(spark, path)
+
+
+def repository_hits(queries: DataFrame, docs: DataFrame, k: int = 5, deep: bool = False, graph: DataFrame | None = None, semantic: DataFrame | None = None, index: I.Index | None = None) -> DataFrame:
     """query_id, doc_id, path, score (whole), rank, matched, covered: the first k documents of each question.
 
-    docs: doc_id, path (distinct), text. graph: query_id, doc_id of documents that a named one links to or is linked from.
-    semantic: query_id, doc_id, cos of the best vectors; they widen what is looked at and score only without a term match.
+    docs: doc_id, path (distinct), text; index: their stored index, without which one is made. graph: query_id, doc_id of documents that a named one
+    links to or is linked from. semantic: query_id, doc_id, cos of the best vectors; they widen what is looked at and score only without a term match.
     Ties go to the lesser path. Questions without terms that do not ask for the latest find nothing, nor do null texts.
     """
-    pages = described(docs)
-    layers = F.broadcast(pages.agg(F.collect_set("layer").alias("layers")))  # a row: the top directories
-    known = materialised(understood(queries.where("query is not null").join(layers), F.col("layers")), "questions")
-    asked = _asked(known)
-    counts = materialised(term_counts(asked.select("term").distinct(), pages), "term-counts")
-    total = F.broadcast(pages.agg(F.count("*").alias("total")))  # a row
-    weights = materialised(corpus_frequency(asked, counts).join(total).select("term", idf(F.col("total"), F.col("df")).alias("idf")), "weights")
-    stems = _stem_counts(known, pages)
+    index = index or temporary_index(docs)
+    return _first(materialised(scored_pairs(queries, index, k, deep, graph, semantic), "pairs"), docs, k)
+
+
+def scored_pairs(queries: DataFrame, index: I.Index, k: int, deep: bool = False, graph: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
+    """What repository_hits() scores: at least all pairs that can be among the first k."""
+    pages = index.pages
+    asked = _prepared(queries, index, pages.agg(F.collect_set("layer").alias("layers")))
+    stems = _stem_counts(asked.known, pages)
     common = F.coalesce("common_stems", F.array().cast("array<string>"))
-    known = known.join(stems, "query_id", "left").withColumn("named", F.filter("maybe_named", lambda t: F.contains(t, F.lit("-")) | t.rlike(r"\d") | ~F.array_contains(common, t))).drop("maybe_named", "common_stems")
-    known = materialised(known, "named-questions")
-    per_term = materialised(_weighed(known, asked, weights), "term-weights")
-    sums = _sums(counts, per_term)
+    known = asked.known.join(stems, "query_id", "left").withColumn("named", F.filter("maybe_named", lambda t: F.contains(t, F.lit("-")) | t.rlike(r"\d") | ~F.array_contains(common, t))).drop("maybe_named", "common_stems")
+    heads = asked.per_term.where("is_term").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idfs"))  # a question's terms
+    points = F.transform("content", lambda t: F.struct(X.term_forms(t).alias("forms"), F.floor(F.lit(800.0) * F.coalesce(F.try_element_at("idfs", t), F.lit(1.0))).alias("points")))
+    known = known.join(heads, "query_id", "left").withColumns({"content_points": points, "heading_terms": F.filter("heading_terms", lambda t: t != "")})
+    known = materialised(known.drop("idfs", "query", "guesses", "content", "signals", "layers"), "named-questions")
     by_layer = known.where("latest or no_specific").select("query_id", F.explode("preferred").alias("layer"))
-    extra = pages.select("doc_id", "layer").join(small(by_layer), "layer").select("doc_id", "query_id")
-    for more in (graph, semantic):
-        if more is not None:
-            extra = extra.unionByName(more.select("doc_id", "query_id"))
-    pairs = sums.join(extra.distinct(), ["doc_id", "query_id"], "full_outer").fillna(0, ["words", "matched", "cov", "hyphens", "signal_sum", "path_terms"]).fillna(False, ["any_path"])
-    pairs = pairs.join(graph.select("query_id", "doc_id", F.lit(True).alias("in_graph")), ["query_id", "doc_id"], "left") if graph is not None else pairs.withColumn("in_graph", F.lit(False))
-    pairs = pairs.join(semantic.select("query_id", "doc_id", "cos"), ["query_id", "doc_id"], "left") if semantic is not None else pairs.withColumn("cos", F.lit(None).cast("double"))
-    heads = per_term.where("is_term").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idfs"))  # a question's terms
-    rows = pairs.join(pages.drop("text"), "doc_id").join(small(known.join(heads, "query_id", "left")), "query_id").fillna(False, ["in_graph"])
-    return _first(materialised(_scored(rows, deep), "pairs"), pages, k)
+    lanes = index.blocks.select("block", "layer").join(small(by_layer), "layer").select("query_id", "block", F.lit(True).alias("lane"))
+    bounds = asked.blocks.join(lanes, ["query_id", "block"], "full_outer").join(index.blocks, "block").join(small(known), "query_id").fillna(0, ["words", "matched", "cov", "hyphens", "signal_sum", "bound"]).fillna(False, ["lane"])
+    full = (F.size("covered") >= 2) & (F.col("cov") == F.size("covered"))
+    bounds = bounds.where((_free(deep) | full) & ((F.col("matched") >= F.col("least")) | F.col("lane")))
+    bounds = bounds.select("query_id", "block", "lane", F.size("covered").alias("n_cov"), "least", _free(deep).alias("free"), _bonus().alias("bonus"), (_sum_points(F.size("covered")) + _bonus()).alias("most"))
+    facts = ["lane", "n_cov", "least", "free", "bonus"]
+    can = (F.col("free") | ((F.col("n_cov") >= 2) & (F.col("cov") == F.col("n_cov")))) & ((F.col("matched") >= F.col("least")) | F.col("lane"))
+    none = {c: 0 for c in ("words", "matched", "cov", "hyphens", "signal_sum", "path_terms", "bound")} | {"any_path": False}
+
+    def sums_of(wanted: DataFrame) -> DataFrame:
+        """Sums of the documents of wanted blocks that can be among the first k, with `most`; where a question asks for a whole layer, of all its documents."""
+        wanted = materialised(wanted, "wanted-blocks")
+        limit = F.col("_limit") if "_limit" in wanted.columns else F.lit(None)
+        every = pages.select("block", "slot").join(small(wanted.where("lane").select("query_id", "block")), "block").select("query_id", "block", "slot")
+        sums = _counted(asked, wanted, index).join(every, ["query_id", "block", "slot"], "full_outer").fillna(none)
+        rows = sums.join(small(wanted.select("query_id", "block", *facts, limit.cast("double").alias("_limit"))), ["query_id", "block"])
+        rows = rows.where(can).withColumn("most", _sum_points(F.col("n_cov")) + F.col("bonus"))
+        return rows.where("_limit is null or most >= _limit").drop("_limit", *facts)
+
+    def score(sums: DataFrame) -> DataFrame:
+        rows = sums.drop("most").join(pages, ["block", "slot"]).join(small(known), "query_id")
+        rows = rows.join(graph.select("query_id", "doc_id", F.lit(True).alias("in_graph")), ["query_id", "doc_id"], "left") if graph is not None else rows.withColumn("in_graph", F.lit(False))
+        rows = rows.join(semantic.select("query_id", "doc_id", "cos"), ["query_id", "doc_id"], "left") if semantic is not None else rows.withColumn("cos", F.lit(None).cast("double"))
+        return _scored(rows.fillna(False, ["in_graph"]), deep)
+
+    def limits(sums: DataFrame) -> DataFrame:
+        return _kth(score(top_k(sums, FIRST_DOCUMENTS * k, F.desc("most"), F.asc("block"), F.asc("slot")).drop("rank")), "base", k)
+
+    sums = materialised(_by_blocks(bounds, sums_of, limits), "sums")
+    found = score(sums.join(small(materialised(limits(sums), "limits")), "query_id", "left").where("_limit is null or most >= _limit").drop("_limit"))
+    named = [x.select("query_id", "doc_id") for x in (graph, semantic) if x is not None]
+    if named:  # documents of these lanes are scored whatever their block can reach
+        extra = materialised(reduce(DataFrame.unionByName, named).distinct().join(pages.select("doc_id", "block", "slot"), "doc_id").select("query_id", "block", "slot"), "lane-documents")
+        own = _counted(asked, materialised(extra.select("query_id", "block").distinct(), "wanted-blocks"), index)
+        found = found.unionByName(score(extra.join(own, ["query_id", "block", "slot"], "left").fillna(none))).dropDuplicates(["query_id", "doc_id"])
+    return found
+
+
+def _free(deep: bool) -> Column:
+    """Whether the filters of _scored() may let a document of a block pass that does not have all that is to be covered."""
+    return F.lit(deep) | (F.size("preferred") == 0) | F.col("latest") | F.array_contains("preferred", F.lower("layer")) | (F.col("relates") & (F.size("named") > 0))
+
+
+def _sum_points(n_cov: Column) -> Column:
+    """What terms can give to a document, or to one of a block, at most."""
+    c = F.col
+    return F.ceil(c("words")) + _coverage(c("cov"), n_cov) + c("hyphens") + c("signal_sum") + c("bound") + 1
+
+
+def _bonus() -> Column:
+    """What else any document of a block may get at most, phrases included."""
+    c = F.col
+    on = lambda cond, points: F.when(cond, points).otherwise(0)
+    preferred = F.array_contains("preferred", F.lower("layer"))
+    return (
+        180 * F.size("phrases") + on(preferred, 72) + on(F.array_contains("preferred", c("layer")), 72) + on(preferred & c("latest"), 1400) + on(c("catalog") & c("primary_index"), 240) + on(c("relates") & c("primary_index") & preferred, 700)
+        + on(c("latest") & c("primary_index") & preferred, 700) + on(c("latest") & c("period"), 800) + on(c("well_known"), 4) + on(c("latest") & preferred, F.greatest(c("day"), F.lit(0)))
+    )
 
 
 def _stem_counts(known: DataFrame, pages: DataFrame) -> DataFrame:
     """query_id, common_stems: terms that may be names but are in the file stems of more than three documents."""
     names = known.select("query_id", F.explode("maybe_named").alias("term"))
-    stems = pages.select("doc_id", F.explode(F.array_distinct(_tokens(F.col("stem")))).alias("word"))
-    own = term_words(names.select("term").distinct(), stems.select("word").distinct())
+    stems = pages.select("doc_id", F.explode(F.array_distinct(I.tokens(F.col("stem")))).alias("word"))
+    own = I.term_words(names.select("term").distinct(), stems.select("word").distinct().select(F.explode(I.gram_list(F.col("word"))).alias("gram"), "word"))
     many = stems.join(small(own), "word").groupBy("term").agg(F.count_distinct("doc_id").alias("docs")).where("docs > 3").select("term")
     return names.join(many, "term").groupBy("query_id").agg(F.collect_set("term").alias("common_stems"))
 
@@ -227,9 +378,7 @@ def _scored(rows: DataFrame, deep: bool) -> DataFrame:
         - on(c("asks") & ~some & ~c("catalog") & index, 2200) + on(c("latest") & primary & ~named & (F.size("date_terms") == 0) & preferred, 700) + on(c("latest") & ~named & (F.size("date_terms") == 0) & c("period"), 800)
     )
     anchored = (preferred & ~(index & named)) | (c("catalog") & index) | (c("openly") & ~named & ~index)
-    heading = 420 * count_in(c("headings"), F.filter("heading_terms", lambda t: t != "")) + F.aggregate(
-        F.filter("content", lambda t: any_in(c("headings"), X.term_forms(t))), F.lit(0).cast("bigint"), lambda s, t: s + F.floor(F.lit(800.0) * F.coalesce(F.try_element_at(c("idfs"), t), F.lit(1.0)))
-    )
+    heading = 420 * count_in(c("headings"), c("heading_terms")) + F.aggregate(F.filter("content_points", lambda x: any_in(c("headings"), x["forms"])), F.lit(0).cast("bigint"), lambda s, x: s + x["points"])
     long_name = F.filter("file_terms", lambda t: F.contains(c("name"), t) & ((F.length(t) >= 4) | ((F.length(t) >= 2) & Q.all_han(t))))
     anchors = F.filter("raw", lambda t: has(c("named"), t) & F.contains(path, t))
     base = (
@@ -242,12 +391,12 @@ def _scored(rows: DataFrame, deep: bool) -> DataFrame:
     return kept_rows.select("query_id", "doc_id", "path", "layer", "matched", F.col("cov").alias("covered"), "phrases", "relates", "latest", "date_terms", "named", "preferred", base.alias("base"))
 
 
-def _first(scored: DataFrame, pages: DataFrame, k: int) -> DataFrame:
+def _first(scored: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The first k by the whole score. Phrases add 180 each: pairs that cannot reach the k-th base with all of theirs are left out before texts are read."""
     at = Window.partitionBy("query_id").orderBy(F.desc("base"), "path")
     limits = scored.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("base")).alias("reach"))
     near = scored.join(small(limits), "query_id").where("reach is null or cast(base + 180 * size(phrases) as bigint) >= cast(reach as bigint)")
-    texts = pages.select("doc_id", F.lower("text").alias("low"))
+    texts = docs.select("doc_id", F.lower("text").alias("low"))
     whole = near.join(texts, "doc_id").withColumn("score", (F.col("base") + 180 * count_in(F.coalesce("low", F.lit("")), F.col("phrases"))).cast("bigint"))
     return top_k(whole.drop("low", "base", "phrases"), k, F.desc("score"), F.asc("path"))
 
@@ -277,12 +426,12 @@ def unreachable_of(terms: DataFrame, docs: DataFrame) -> DataFrame:
     return guesses.join(held, "term", "left_anti").groupBy("query_id").agg(F.collect_set("term").alias("unreachable"))  # terms of one question
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int = 5, **lanes: DataFrame | None) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, k: int = 5, index: I.Index | None = None, **lanes: DataFrame | None) -> DataFrame:
     """Ranked, cited answers: query_id, doc_id, path, rank, score, line_start, line_end, excerpt, coverage, claim_support, abstain.
 
     A negative question looks at nothing; a question abstains unless some excerpt carries all of it. Questions without hits have a row of nulls."""
     asked = queries.where(X.intent("query") != "negative")
-    found = cited(repository_hits(asked, docs, k, **lanes).select("query_id", "doc_id", "path", "rank", "score"), asked, docs)
+    found = cited(repository_hits(asked, docs, k, index=index, **lanes).select("query_id", "doc_id", "path", "rank", "score"), asked, docs)
     rows = found.withColumns({"coverage": F.col("support.coverage"), "claim_support": F.col("support.claim_support")}).drop("support")
     direct = rows.groupBy("query_id").agg((F.count_if(F.col("claim_support") == "direct") == 0).alias("abstain"))
     return queries.select("query_id").join(rows, "query_id", "left").join(direct, "query_id", "left").withColumn("abstain", F.coalesce("abstain", F.lit(True)))

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from mnemolake.functions import text as X
 from mnemolake.functions.vectors import cosine
 
-#: Rows and bytes of a side that may be broadcast; beyond either Spark shuffles both sides.
-MOST_BROADCAST_ROWS, MOST_BROADCAST_BYTES = 200_000, 64 << 20
+#: Rows and bytes of a side that may be broadcast; beyond either Spark shuffles both sides. A side whose files and plan Spark puts below SURELY_SMALL bytes needs no look.
+MOST_BROADCAST_ROWS, MOST_BROADCAST_BYTES, SURELY_SMALL = 200_000, 64 << 20, 4 << 20
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has `most` rows and MOST_BROADCAST_BYTES bytes (as JSON text) at most, which one bounded job finds out."""
+    """df with a broadcast hint if its size is bounded: by Spark's statistics of the files below it, or by one bounded job that finds
+    `most` rows and MOST_BROADCAST_BYTES bytes (as JSON text) at most."""
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SURELY_SMALL:
+        return F.broadcast(df)
     size = df.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
     return F.broadcast(df) if size["n"] <= most and size["b"] <= MOST_BROADCAST_BYTES else df
 

@@ -12,6 +12,7 @@ from mnemolake.functions import text as X
 from mnemolake.operators import ranking as K
 from mnemolake.plans.base import WORDS, query
 from mnemolake.sources import readers as S
+from mnemolake.sources.scratch import shared_dir, snapshot_key
 
 PREFIXES = ("", "latest ", "how does ", "papers about ", "related ", "compare index ", "recent report summary ", "long-context ")
 
@@ -34,6 +35,12 @@ def library(spark, sf):
     return docs.select("doc_id", F.concat(layer, F.lit("/"), source, name).alias("path"), layer.alias("layer"), F.concat(head, text).alias("text"))
 
 
+def library_index(spark, sf):
+    """The stored index of library(): made once for a state of the table's files."""
+    path = f"{shared_dir(spark)}/mnemolake-index/library-{snapshot_key(spark, f'{sf}/documents.parquet')}"
+    return K.stored_index(library(spark, sf), path)
+
+
 def asked(spark, sf):
     start = F.element_at(F.array(*map(F.lit, PREFIXES)), (F.col("item_id") % 8 + 1).cast("int"))
     return S.table(spark, sf, "benchmark").where("text is not null").select(F.col("item_id").alias("query_id"), F.concat(start, F.array_join(F.slice(F.split("text", " "), 1, 6), " ")).alias("query"))
@@ -154,5 +161,5 @@ def supported(hits: str) -> str:
 @query(f"SELECT query_id, doc_id, rank, score, matched, cov AS covered FROM {ranked(5)}")
 def repository_search(spark, sf):
     """The repository ranking with all of its signals."""
-    hits = K.repository_hits(asked(spark, sf), library(spark, sf))
+    hits = K.repository_hits(asked(spark, sf), library(spark, sf), index=library_index(spark, sf))
     return hits.select("query_id", "doc_id", "rank", "score", F.col("matched").cast("bigint").alias("matched"), F.col("covered").cast("bigint").alias("covered"))

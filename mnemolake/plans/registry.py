@@ -186,12 +186,12 @@ SCORED = L.SCORED
 RANKED = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {SCORED} QUALIFY rank <= 5)"
 
 
-def hits(spark, sf):
-    return K.scored(L.asked(spark, sf), L.library(spark, sf))
+def hits(spark, sf, k=None):
+    return K.scored(L.asked(spark, sf), L.library(spark, sf), L.library_index(spark, sf), k)
 
 
 def best(spark, sf, k=5):
-    return R.top_k(hits(spark, sf), k, F.desc("score"), F.asc("doc_id"))
+    return R.top_k(hits(spark, sf, k), k, F.desc("score"), F.asc("doc_id"))
 
 
 @query(f"SELECT query_id, doc_id, rank, score FROM {RANKED}")
@@ -281,7 +281,7 @@ def claim_support(spark, sf):
  FROM {L.ASKED} q LEFT JOIN {L.supported(L.ranked(5))} r ON r.query_id = q.query_id""")
 def search(spark, sf):
     """Questions with the first five documents of the repository ranking, the lines that are cited, and what they prove."""
-    return K.search(L.asked(spark, sf), L.library(spark, sf)).select("query_id", "doc_id", "rank", "score", "line_start", "line_end", "coverage", "claim_support", "abstain")
+    return K.search(L.asked(spark, sf), L.library(spark, sf), index=L.library_index(spark, sf)).select("query_id", "doc_id", "rank", "score", "line_start", "line_end", "coverage", "claim_support", "abstain")
 
 
 @query(f"SELECT query_id, doc_id, CASE WHEN status IN ('stale', 'candidate') THEN 'candidate' ELSE 'verified' END AS lane FROM {RANKED} JOIN {TEAM} t ON t.memory_id = doc_id")

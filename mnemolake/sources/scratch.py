@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/mnemolake-plans/{tag}-{uuid.uuid4().hex}"
+
+
 def materialised(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/mnemolake-plans/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -28,3 +33,11 @@ def sweep_plans(spark: SparkSession) -> None:
     """Delete all tables of materialised(). Call it when no frame that an operator returned is in use any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mnemolake-plans")
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def snapshot_key(spark: SparkSession, path: str) -> str:
+    """A name for the state of a table's files: a digest of their names, sizes and times."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    said = sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files)
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:24]

@@ -348,3 +348,22 @@ def test_gold_finds_passages_that_the_text_goes_on_after(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["query_id"], r["doc_id"]) for r in registry.gold(spark, str(tmp_path)).collect())
     assert got == sorted((i, d) for i, p in items for d, t in enumerate(texts) if p is not None and t is not None and p in t)
+
+
+def test_search_reads_blocks_that_can_reach_the_first_and_scores_few_documents(spark, sf_dir, tmp_path, monkeypatch):
+    """With and without skipped blocks the hits are those of all pairs; under a tenth of all pairs is scored."""
+    from mnemolake.plans import library as L
+
+    docs = L.library(spark, sf_dir)
+    asked = L.asked(spark, sf_dir)
+    index = K.stored_index(docs, str(tmp_path / "index"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "doc_id", "rank", "score", "matched", "covered").collect())
+    monkeypatch.setattr(K, "_kth", lambda found, score, k: found.select("query_id", F.lit(None).cast("double").alias("_limit")).limit(0))
+    want = rows(K.repository_hits(asked, docs, 2, index=index))
+    monkeypatch.undo()
+    monkeypatch.setattr(K, "FEW_BLOCKS", 0)
+    assert rows(K.repository_hits(asked, docs, 2, index=index)) == want
+    assert K.scored_pairs(asked, index, 1).count() < 0.1 * asked.count() * docs.count()
+    best = lambda k: sorted(tuple(r) for r in R.top_k(K.scored(asked, docs, index, k), 5, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "score").collect())
+    assert best(5) == best(None)
+    assert K.stored_index(docs.limit(0), str(tmp_path / "index")).pages.count() == docs.count()  # what is stored is read
