@@ -80,11 +80,29 @@ def ancestors(revisions: DataFrame, most_rounds: int = 64) -> DataFrame:
     return pairs
 
 
+def chain_from(starts: DataFrame, revisions: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """memory_id, revision: each start (memory_id, revision; one for a memory) and all that it descends from, also where the log has lost them.
+
+    List ranking: a round doubles the length of every jump, and what is marked jumps once with it, so rows are read and written for each of
+    about log2(depth) rounds, never for pairs. A jump off the end of its chain goes; cycles end when nothing new is marked. A revision has one
+    parent (of repeated rows, the greatest)."""
+    jumps = materialised(revisions.where("parent is not null and parent <> revision").groupBy("memory_id", "revision").agg(F.max("parent").alias("to")), "jumps")
+    marks = materialised(starts.select("memory_id", "revision").distinct(), "marks")
+    count = marks.count()
+    for _ in range(most_rounds):
+        ahead = marks.join(jumps, ["memory_id", "revision"]).select("memory_id", F.col("to").alias("revision"))
+        marks = materialised(marks.unionByName(ahead).distinct(), "marks")
+        if (now := marks.count()) == count:
+            break
+        count = now
+        further = jumps.select("memory_id", F.col("revision").alias("to"), F.col("to").alias("_to"))
+        jumps = materialised(jumps.join(further, ["memory_id", "to"]).select("memory_id", "revision", F.col("_to").alias("to")), "jumps")
+    return marks
+
+
 def current_chain(revisions: DataFrame) -> DataFrame:
     """memory_id, revision: the greatest revision of each memory and all that it descends from, also where the log has lost them."""
-    now = current_revisions(revisions).select("memory_id", F.col("current").alias("revision"))
-    above = ancestors(revisions).join(now, ["memory_id", "revision"], "left_semi").select("memory_id", F.col("ancestor").alias("revision"))
-    return now.unionByName(above).distinct()
+    return chain_from(current_revisions(revisions).select("memory_id", F.col("current").alias("revision")), revisions)
 
 
 def chain_lengths(revisions: DataFrame) -> DataFrame:
@@ -136,8 +154,8 @@ def record_plan(local: DataFrame, incoming: DataFrame, log: DataFrame) -> DataFr
     conflict: the same revision with other content, or the revision at home is not among the incoming one's ancestors; update: the rest."""
     here = local.select("memory_id", F.col("revision").alias("_r"), F.col("content_hash").alias("_h"))
     parents = log.select("memory_id", F.col("revision").alias("parent"), F.lit(True).alias("_parent"))
-    based = ancestors(log).select("memory_id", "revision", F.col("ancestor").alias("_r"), F.lit(True).alias("_based"))
-    joined = incoming.join(here, "memory_id", "left").join(parents, ["memory_id", "parent"], "left").join(based, ["memory_id", "revision", "_r"], "left")
+    based = chain_from(incoming, log).select("memory_id", F.col("revision").alias("_r"), F.lit(True).alias("_based"))
+    joined = incoming.join(here, "memory_id", "left").join(parents, ["memory_id", "parent"], "left").join(based, ["memory_id", "_r"], "left")
     action = (
         F.when(F.col("parent").isNotNull() & F.col("_parent").isNull(), "conflict").when(F.col("_r").isNull(), "insert").when(F.col("revision") < F.col("_r"), "stale_ignored")
         .when(F.col("revision") == F.col("_r"), F.when(F.col("_h") == F.col("content_hash"), "skip").otherwise("conflict")).when(F.col("_based"), "update").otherwise("conflict")

@@ -195,6 +195,20 @@ def test_chains_follow_branches(spark):
     assert sorted((r["memory_id"], r["revision"]) for r in kept.collect()) == [(1, 1), (1, 3), (2, 1), (2, 2), (3, 5)]
 
 
+def test_a_long_chain_is_ranked_in_rounds(spark, monkeypatch):
+    """5,000 revisions in a row: no more rows are written than revisions in each of about log2 of the depth rounds."""
+    written, real = [], T.materialised
+    monkeypatch.setattr(T, "materialised", lambda df, tag: (out := real(df, tag), written.append((tag, out.count())))[0])
+    chain = spark.range(1, 5001).selectExpr("7L as memory_id", "id as revision", "case when id > 1 then id - 1 end as parent")
+    branch = spark.range(5001, 5100).selectExpr("7L", "id", "50L")
+    short = spark.range(0, 40).selectExpr("id + 100", "1L", "cast(null as bigint)")
+    got = {r["memory_id"]: r["chain"] for r in T.chain_lengths(chain.where("revision <> 5000").union(short)).collect()}
+    assert got == {7: 4999} | {i + 100: 1 for i in range(40)}
+    jumps = [n for tag, n in written if tag == "jumps"]
+    assert len(jumps) <= 15 and sum(jumps) <= 14 * 5000
+    assert {r["memory_id"]: r["chain"] for r in T.chain_lengths(chain.union(branch)).collect()} == {7: 51}
+
+
 def test_merge_waits_for_parents(spark):
     log = lambda rows: spark.createDataFrame(rows, "memory_id bigint, revision bigint, parent bigint, payload_hash string")
     here = log([(1, 1, None, "a"), (2, 1, None, "a")])
