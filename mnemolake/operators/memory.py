@@ -11,7 +11,9 @@ from mnemolake.functions import text as X
 from mnemolake.functions import vectors as V
 from mnemolake.functions.columns import collapsed, stripped
 from mnemolake.operators.ranking import term_counts
-from mnemolake.operators.retrieval import against_all, mmr, small, top_k
+from mnemolake.operators.nearest import cosines
+from mnemolake.operators.retrieval import mmr, small, top_k
+from mnemolake.sources.scratch import materialised
 
 # Fixed values of ranking and decay.
 HALF_LIFE_DAYS, LATEST_WEIGHT, USUAL_WEIGHT = 14.0, 0.32, 0.08
@@ -253,20 +255,14 @@ def _matched(queries: DataFrame, records: DataFrame, stop: tuple[str, ...]) -> D
     return term_counts(terms.select("term").distinct(), docs).join(small(terms), "term").groupBy(F.col("doc_id").alias("id"), "query_id").agg(F.count("*").alias("matched"))
 
 
-def _likeness(queries: DataFrame, records: DataFrame, by: Column | None = None) -> DataFrame:
-    """query_id, id, cos of the questions' vectors against all records' (of their scope), in blocks."""
-    asked = queries.select("query_id", F.col("vector").alias("_q"), *([F.col("scope")] if by is not None else []))
-    met = against_all(asked, records.select("id", "vector", *(["session_id"] if by is not None else [])), "query_id", F.lit(True) if by is None else by)
-    return met.select("query_id", "id", V.cosine(F.col("_q"), F.col("vector")).alias("cos"))
-
-
-def memory_candidates(queries: DataFrame, records: DataFrame, now: Column) -> DataFrame:
+def memory_candidates(queries: DataFrame, records: DataFrame, now: Column, limit: int) -> DataFrame:
     """query_id, id, relevance, matched, cos, promoted, vector: records for each question, the best copy of each stripped content.
 
     queries: query_id, query, vector; records: id, layer, role, content, status, accepted, at (epoch seconds), priority, vector. A question
-    that a user asked is no answer; a record needs a matched term or a cosine of .12."""
-    told = records.where(~X.is_question_turn("role", "content"))
-    pairs = _likeness(queries, told).join(_matched(queries, told, X.MEMORY_STOP_WORDS), ["query_id", "id"], "left").fillna(0, ["matched"]).where((F.col("matched") > 0) | (F.col("cos") >= LEAST_COSINE))
+    that a user asked is no answer; a record needs a matched term or a cosine of .12. Only the newest records are looked at (see newest(); limit: hits that
+    a question is to have), so the pairs are questions times a fixed number."""
+    told = materialised(newest(records, limit, "at").where(~X.is_question_turn("role", "content")), "newest")
+    pairs = cosines(queries, told).join(_matched(queries, told, X.MEMORY_STOP_WORDS), ["query_id", "id"], "left").fillna(0, ["matched"]).where((F.col("matched") > 0) | (F.col("cos") >= LEAST_COSINE))
     latest = queries.select("query_id", X.is_latest("query").alias("_latest"))
     rows = pairs.join(told, "id").join(small(latest), "query_id").withColumn("promoted", C.promoted(F.col("accepted"), F.col("status")))
     age = (now - F.col("at")) / 86400.0
@@ -284,7 +280,7 @@ def two_pools(picked: DataFrame, spare: DataFrame, k: int) -> DataFrame:
 
 def memory_search(queries: DataFrame, records: DataFrame, now: Column, k: int = 5) -> DataFrame:
     """query_id, id, place: memories that are relevant and differ, promoted ones first, candidates where places are left."""
-    found = memory_candidates(queries, records, now)
+    found = memory_candidates(queries, records, now, k)
     window = max(20, 8 * k)
     return two_pools(mmr(found.where("promoted"), k, pool=window), mmr(found.where("not promoted"), k, pool=window), k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions import text as X
-from mnemolake.functions.vectors import cosine
+from mnemolake.operators.nearest import nearest
 
 #: Rows and bytes of a side that may be broadcast; beyond either Spark shuffles both sides. A side whose files and plan Spark puts below SURELY_SMALL bytes needs no look.
 MOST_BROADCAST_ROWS, MOST_BROADCAST_BYTES, SURELY_SMALL = 200_000, 64 << 20, 4 << 20
@@ -138,9 +138,8 @@ def document_vectors(docs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def semantic_candidates(queries: DataFrame, docs: DataFrame, vectors: DataFrame, most: int = 64, floor: float = 0.2) -> DataFrame:
     """query_id, doc_id, cos of the documents whose vectors are nearest to each question's (query_id, vector): 64 at most, with a cosine of .2."""
-    asked = queries.select("query_id", F.col("vector").alias("_q"))
-    met = against_all(asked, document_vectors(docs, vectors), "query_id", F.lit(True)).select("query_id", "doc_id", cosine(F.col("_q"), F.col("vector")).alias("cos"))
-    return top_k(met, most, F.desc(F.round("cos", 9)), F.asc("doc_id")).where(F.col("cos") >= floor).select("query_id", "doc_id", "cos")
+    found = nearest(queries, document_vectors(docs, vectors).select(F.col("doc_id").alias("id"), "vector"), most, floor)
+    return found.select("query_id", F.col("id").alias("doc_id"), "cos")
 
 
 def mmr(candidates: DataFrame, k: int, weight: float = 0.82, pool: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from mnemolake.functions import vectors as V
 from mnemolake.functions import query as Q
 from mnemolake.operators import evaluation as E
 from mnemolake.operators import memory as M
+from mnemolake.operators import nearest as N
 from mnemolake.operators import ranking as K
 from mnemolake.operators import retrieval as R
 from mnemolake.operators import stores as O
@@ -388,29 +389,27 @@ UNIT = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / s
 COSINES = f"(SELECT q.vec_id AS query_id, d.vec_id AS id, greatest(-1, least(1, list_dot_product(q.v, d.v))) AS cos FROM {UNIT} q, {UNIT} d WHERE q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id)"
 
 
-def cosines(spark, sf):
-    """The stated query set, every vector whose id is divisible by 20, against all vectors."""
-    vectors = S.table(spark, sf, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("v"))
-    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    met = R.against_all(asked, vectors, "query_id", F.col("vec_id") != F.col("query_id"))
-    return met.select("query_id", F.col("vec_id").alias("id"), V.cosine(F.col("q"), F.col("v")).alias("cos"), "v")
+def stated(spark, sf):
+    """The stated query set, every vector whose id is divisible by 20, and all vectors."""
+    vectors = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), V.unit(F.col("embedding")).alias("vector"))
+    return vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), vectors
 
 
 @query(f"SELECT query_id, id, round(cos, 6) AS cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, id) AS rank FROM {COSINES}) WHERE rank <= 64 AND cos >= 0.2")
 def vector_topk(spark, sf):
-    best = R.top_k(cosines(spark, sf), 64, F.desc(F.round("cos", 9)), F.asc("id"))
-    return best.where("cos >= 0.2").select("query_id", "id", F.round("cos", 6).alias("cos"), "rank")
+    return N.nearest(*stated(spark, sf), 64, 0.2, but_itself=True).select("query_id", "id", F.round("cos", 6).alias("cos"), "rank")
 
 
 @query(f"SELECT query_id, count(*) AS near FROM {COSINES} WHERE cos >= 0.12 GROUP BY query_id")
 def vector_threshold(spark, sf):
-    return cosines(spark, sf).where("cos >= 0.12").groupBy("query_id").agg(F.count("*").alias("near"))
+    return N.count_near(*stated(spark, sf), 0.12, but_itself=True)
 
 
 @query()
 def mmr_topk(spark, sf):
-    rows = cosines(spark, sf).select("query_id", "id", F.col("cos").alias("relevance"), F.col("v").alias("vector"))
-    return R.mmr(rows, 5)
+    asked, vectors = stated(spark, sf)
+    found = N.nearest(asked, vectors, 40, but_itself=True)  # the pool of five picks
+    return R.mmr(found.join(vectors, "id").select("query_id", "id", F.col("cos").alias("relevance"), "vector"), 5)
 
 
 @query()

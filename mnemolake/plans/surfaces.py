@@ -23,7 +23,8 @@ from mnemolake.operators import stores as O
 from mnemolake.operators import team as T
 from mnemolake.plans import library as L
 from mnemolake.plans.base import FEEDBACK, SECRET, TEAM, query
-from mnemolake.plans.registry import COSINES, TWINS, cosines
+from mnemolake.operators import nearest as N
+from mnemolake.plans.registry import COSINES, TWINS, stated
 from mnemolake.sources import readers as S
 from mnemolake.streaming import state as St
 
@@ -214,8 +215,10 @@ def source_round_robin(spark, sf):
  SELECT query_id, id AS doc_id, EXISTS (SELECT 1 FROM l WHERE l.query_id = u.query_id AND l.id = u.id) AS in_words, round(cos, 4) AS cos FROM (SELECT query_id, id FROM b UNION SELECT query_id, id FROM l) u LEFT JOIN b USING (query_id, id)""")
 def semantic_rescue_join(spark, sf):
     """What words find (here: every fiftieth pair) or the best vectors do."""
-    every = cosines(spark, sf).select("query_id", F.col("id").alias("doc_id"), "cos")
-    found = W.semantic_rescue(every.where("(query_id + doc_id) % 50 = 0"), every)
+    asked, vectors = stated(spark, sf)
+    words = asked.select("query_id", F.pmod(-F.col("query_id"), F.lit(50)).alias("_r")).join(vectors.select(F.col("id").alias("doc_id"), (F.col("id") % 50).alias("_r")), "_r").where("query_id <> doc_id").select("query_id", "doc_id")
+    best = N.nearest(asked, vectors, 64, 0.2, but_itself=True).select("query_id", F.col("id").alias("doc_id"), "cos")
+    found = W.semantic_rescue(words, best)
     return found.select("query_id", "doc_id", "in_words", F.round("cos", 4).alias("cos"))
 
 
@@ -268,37 +271,46 @@ def matched_documents(spark, sf):
 
 # memory
 
-_COUNTS = ", ".join(f"(length(lower(content)) - length(replace(lower(content), '{c}', '')))::DOUBLE" for c in "aeiourst")
-_UNIT = "list_transform(v, lambda x: x / greatest(1e-9, sqrt(list_dot_product(v, v))))"
-VECTORED = f"""(SELECT *, {_UNIT} AS u FROM (SELECT *, [{_COUNTS}] AS v, 1.7e9 + (hash_at % 4000000) AS tim, CASE WHEN message_index % 4 = 1 THEN 'candidate' ELSE 'verified' END AS status, message_index % 4 <> 1 AS accepted, (message_index % 7) - 3.0 AS priority
-  FROM (SELECT *, CAST('0x' || substr(md5(id), 1, 7) AS BIGINT) AS hash_at FROM {TWINS})))"""
-_QV = f"(SELECT query_id, query, {_UNIT} AS u FROM (SELECT query_id, query, [{_COUNTS.replace('content', 'query')}] AS v FROM {L.ASKED}))"
+# The embeddings table stands for an encoder: a record's vector is dealt by its id's digest, a question's by its number.
+_UNITS = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / greatest(1e-9, sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE), list_transform(embedding, lambda y: y::DOUBLE))))) AS u FROM embeddings)"
+_MANY = "(SELECT count(*) FROM embeddings)"
+_HASH = "CAST('0x' || substr(md5(id), 1, 7) AS BIGINT)"
+VECTORED = f"""(SELECT r.*, u, 1.7e9 + (hash_at % 4000000) AS tim, CASE WHEN message_index % 4 = 1 THEN 'candidate' ELSE 'verified' END AS status, message_index % 4 <> 1 AS accepted, (message_index % 7) - 3.0 AS priority
+  FROM (SELECT *, {_HASH} AS hash_at FROM {TWINS}) r JOIN {_UNITS} e ON e.vec_id = hash_at % {_MANY})"""
+_QV = f"(SELECT query_id, query, u FROM {L.ASKED} q JOIN {_UNITS} e ON e.vec_id = query_id * 7 % {_MANY})"
 _TERMS_OF = f"list_filter(list_distinct({L.WORDS.format('query')}), lambda t: t NOT IN {X.MEMORY_STOP_WORDS} AND t NOT IN {Q.STOP_TERMS})"
 
 
-def letters(c):
-    low = F.lower(c)
-    return V.unit(F.array(*((F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in "aeiourst")))
+def embedded(spark, sf, rows, key):
+    """rows with the unit vector of the row of `embeddings` that a number deals them."""
+    table = S.table(spark, sf, "embeddings")
+    many = F.broadcast(table.agg(F.count("*").alias("_many")))  # a row
+    vectors = table.select(F.col("vec_id").alias("_vec"), V.unit(F.col("embedding")).alias("vector"))
+    return rows.join(many).withColumn("_vec", F.pmod(key, F.col("_many"))).join(vectors, "_vec").drop("_vec", "_many")
+
+
+def digest_number(c):
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 7), 16, 10).cast("bigint")
 
 
 def vectored(spark, sf):
     rows = M.ingest(S.records_view(spark, sf))
-    at = F.lit(1.7e9) + F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 7), 16, 10).cast("bigint") % 4_000_000
+    at = F.lit(1.7e9) + digest_number(F.col("id")) % 4_000_000
     odd = F.col("message_index") % 4 == 1
-    return rows.select("*", letters(F.col("content")).alias("vector"), at.alias("at"), F.when(odd, "candidate").otherwise("verified").alias("status"), (~odd).alias("accepted"), ((F.col("message_index") % 7) - 3.0).alias("priority"))
+    return embedded(spark, sf, rows, digest_number(F.col("id"))).select("*", at.alias("at"), F.when(odd, "candidate").otherwise("verified").alias("status"), (~odd).alias("accepted"), ((F.col("message_index") % 7) - 3.0).alias("priority"))
 
 
 def vector_questions(spark, sf):
-    return L.asked(spark, sf).withColumn("vector", letters(F.col("query")))
+    return embedded(spark, sf, L.asked(spark, sf), F.col("query_id") * 7)
 
 
 @query(f"""SELECT query_id, id, round(relevance, 6) AS relevance, matched, accepted AS promoted FROM (SELECT *, row_number() OVER (PARTITION BY query_id, digest ORDER BY relevance DESC, id) AS n FROM
  (SELECT query_id, id, accepted, matched, sha256(trim(content)) AS digest, cos + least(0.65, 0.16 * matched) + CASE WHEN accepted THEN bonus ELSE least(bonus, 0.2) END + pow(0.5, greatest(1.705e9 - tim, 0) / 86400.0 / 14.0) * CASE WHEN latest THEN 0.32 ELSE 0.08 END + greatest(-0.2, least(0.2, 0.12 * priority)) AS relevance FROM
   (SELECT q.query_id, r.*, CASE layer WHEN 'L1' THEN 0.2 ELSE 0.0 END AS bonus, regexp_matches(query, '{X.LATEST}') AS latest, greatest(-1, least(1, list_dot_product(q.u, r.u))) AS cos, len(list_filter({_TERMS_OF}, lambda t: contains(lower(content), t))) AS matched
-   FROM {_QV} q, {VECTORED} r WHERE NOT (role = 'user' AND regexp_matches(content, '[?？]\\s*$'))) WHERE matched > 0 OR cos >= 0.12)) WHERE n = 1""")
+   FROM {_QV} q, (SELECT * FROM {VECTORED} ORDER BY tim DESC, id LIMIT 1000) r WHERE NOT (role = 'user' AND regexp_matches(content, '[?？]\\s*$'))) WHERE matched > 0 OR cos >= 0.12)) WHERE n = 1""")
 def memory_pool(spark, sf):
     """Memories for each question before the choice: relevance, the best copy of each content, promoted or not."""
-    found = M.memory_candidates(vector_questions(spark, sf), vectored(spark, sf), F.lit(1.705e9))
+    found = M.memory_candidates(vector_questions(spark, sf), vectored(spark, sf), F.lit(1.705e9), 5)
     return found.select("query_id", "id", F.round("relevance", 6).alias("relevance"), F.col("matched").cast("bigint").alias("matched"), "promoted")
 
 
@@ -323,13 +335,13 @@ def scoped_ingest(spark, sf):
     return M.scoped_ingest(messages(spark, sf)).select("id", "layer", "session_id", "message_index")
 
 
-@query(f"""WITH r AS (SELECT DISTINCT ON (id) *, {_UNIT} AS u FROM (SELECT *, [{_COUNTS}] AS v, substr(session_id, 1, 37) AS scope FROM {SCOPED})), q AS (SELECT *, 'aml:' || substr(sha256('u' || query_id % 7), 1, 32) || ':' AS scope FROM {_QV}), b AS (SELECT scope, min(tim) AS lo, max(tim) AS hi FROM r GROUP BY scope)
+@query(f"""WITH r AS (SELECT DISTINCT ON (id) s.*, u FROM (SELECT *, substr(session_id, 1, 37) AS scope FROM {SCOPED}) s JOIN {_UNITS} e ON e.vec_id = {_HASH} % {_MANY}), q AS (SELECT *, 'aml:' || substr(sha256('u' || query_id % 7), 1, 32) || ':' AS scope FROM {_QV}), b AS (SELECT scope, min(tim) AS lo, max(tim) AS hi FROM r GROUP BY scope)
  SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, trim(lower(content)) ORDER BY score DESC, id) AS n FROM
   (SELECT query_id, id, content, round(cos + least(0.65, 0.16 * matched) + CASE WHEN regexp_matches(query, '{X.LATEST}') AND hi > lo THEN (tim - lo) / (hi - lo) * 0.35 ELSE 0 END, 9) AS score FROM
    (SELECT q.query_id, q.query, r.id, r.content, r.tim, lo, hi, greatest(-1, least(1, list_dot_product(q.u, r.u))) AS cos, len(list_filter({_TERMS_OF}, lambda t: contains(lower(content), t))) AS matched FROM q JOIN r USING (scope) JOIN b USING (scope)) WHERE matched > 0 OR cos >= 0.12)) WHERE n = 1) WHERE rank <= 100""")
 def scoped_search(spark, sf):
     """Each question asked by one user, over that user's records only."""
-    rows = M.scoped_ingest(messages(spark, sf)).withColumns({"at": X.epoch_of(F.col("timestamp")), "vector": letters(F.col("content"))})
+    rows = embedded(spark, sf, M.scoped_ingest(messages(spark, sf)), digest_number(F.col("id"))).withColumn("at", X.epoch_of(F.col("timestamp")))
     asked = vector_questions(spark, sf).withColumn("user_id", F.concat(F.lit("u"), (F.col("query_id") % 7).cast("string")))
     return M.scoped_search(asked, rows)
 
