@@ -46,12 +46,12 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(text_of(x)), F.lit(r"(?U)([\w./:-]+)"), F.lit(1))
 
 
-def placed(pages: DataFrame) -> DataFrame:
+def placed(pages: DataFrame, salt: str = "") -> DataFrame:
     """pages (doc_id, layer, ...) with block and slot: documents of a layer are dealt by the hash of doc_id into about BLOCK a block."""
     layers = pages.groupBy("layer").agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
     dealt = pages.select("doc_id", "layer").join(small(layers), "layer").withColumn("_b", F.pmod(F.xxhash64("doc_id"), "_n"))
     at = F.row_number().over(Window.partitionBy("layer", "_b").orderBy("doc_id")) - 1
-    own = dealt.withColumn("_at", at).select("doc_id", F.xxhash64("layer", "_b", F.floor(F.col("_at") / MOST_IN_BLOCK), F.lit(1)).alias("block"), (F.col("_at") % MOST_IN_BLOCK).cast("int").alias("slot"))
+    own = dealt.withColumn("_at", at).select("doc_id", F.xxhash64("layer", "_b", F.floor(F.col("_at") / MOST_IN_BLOCK), F.lit(salt)).alias("block"), (F.col("_at") % MOST_IN_BLOCK).cast("int").alias("slot"))
     return pages.join(own, "doc_id")
 
 
@@ -75,13 +75,18 @@ def postings_of(placed_pages: DataFrame) -> DataFrame:
     return own.select("word", "block", "mask", "path_mask", "head_mask", "top", F.col("c.slot").alias("slots"), F.col("c.n").alias("counts"))
 
 
-def write_index(described: DataFrame, path: str) -> None:
-    """Write the index of described pages (with text) under path: pages by block, postings by word, grams by gram."""
-    spark = described.sparkSession
-    pages = placed(described)
-    # by word, a frequent one dealt over many tasks; a range sort would read all texts twice
-    postings_of(pages).repartition(F.col("word"), F.pmod(F.col("block"), F.lit(SHARES))).sortWithinPartitions("word", "block").write.parquet(f"{path}/postings")
-    pages.drop("text").write.parquet(f"{path}/pages")
+def write_index(described: DataFrame, path: str, salt: str = "") -> None:
+    """Write the index of described pages (with text) under path. Indexes that are read together have different salts, so their blocks differ."""
+    pages = placed(described, salt)
+    write_tables(pages.drop("text"), postings_of(pages), path)
+
+
+def write_tables(pages: DataFrame, postings: DataFrame, path: str) -> None:
+    """pages, postings by word, their grams by gram, and what any document of a block has."""
+    spark = pages.sparkSession
+    # a frequent word is dealt over many tasks; a range sort would make all postings twice
+    postings.repartition(F.col("word"), F.pmod(F.col("block"), F.lit(SHARES))).sortWithinPartitions("word", "block").write.parquet(f"{path}/postings")
+    pages.write.parquet(f"{path}/pages")
     any_of = [F.max(c).alias(c) for c in ("primary_index", "index_like", "period", "well_known", "day")]
     spark.read.parquet(f"{path}/pages").groupBy("block", "layer").agg(*any_of).write.parquet(f"{path}/blocks")
     words = spark.read.parquet(f"{path}/postings").select("word").distinct()
@@ -98,7 +103,7 @@ def term_words(asked: DataFrame, grams: DataFrame) -> DataFrame:
     return met.select("term", "word", X.term_count(F.col("word"), F.col("term")).alias("times"))
 
 
-def _live(rows: DataFrame, index: Index) -> DataFrame:
+def live(rows: DataFrame, index: Index) -> DataFrame:
     """Postings without the bits of documents that are gone."""
     if index.dead is None:
         return rows
@@ -109,7 +114,7 @@ def _live(rows: DataFrame, index: Index) -> DataFrame:
 
 def term_blocks(own: DataFrame, index: Index) -> DataFrame:
     """term, block, mask, path_mask, head_mask, top (no document of the block has more occurrences): no counts are read. own: term_words()."""
-    rows = _live(index.postings.select("word", "block", "mask", "path_mask", "head_mask", "top"), index).join(small(own), "word")
+    rows = live(index.postings.select("word", "block", "mask", "path_mask", "head_mask", "top"), index).join(small(own), "word")
     return rows.groupBy("term", "block").agg(*(F.bit_or(m).alias(m) for m in ("mask", "path_mask", "head_mask")), F.sum(F.col("top") * F.col("times")).alias("top"))
 
 
@@ -121,7 +126,7 @@ def frequencies(blocks: DataFrame) -> DataFrame:
 def block_counts(own: DataFrame, wanted: DataFrame, index: Index) -> DataFrame:
     """term, block, slot, n, in_path, in_head: counts of the terms in wanted blocks (term, block) only."""
     rows = index.postings.join(small(own), "word").join(small(wanted), ["term", "block"])
-    rows = _live(rows, index).repartition("block")  # what follows, and sums by block, stay where they are
+    rows = live(rows, index).repartition("block")  # what follows, and sums by block, stay where they are
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot"))
     has = lambda m: F.col(m).bitwiseAND(bit) != 0
     each = rows.select("term", "block", "times", "mask", "path_mask", "head_mask", F.explode(F.arrays_zip("slots", "counts")).alias("c"))

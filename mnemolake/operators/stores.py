@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions import citations as C
 from mnemolake.functions import text as X
 from mnemolake.functions.columns import lines_of, text_of
+from mnemolake.sources import manifest
 
 #: Version of the stored index, and the files and bytes of one upload.
 INDEX_SCHEMA = 5
@@ -17,26 +16,14 @@ BATCH_FILES, BATCH_BYTES = 10, 4 << 20
 LINKS_OF_A_DOCUMENT = 32
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at, fs = _fs(spark, path)
-    return fs.exists(at)
+def replace_table(df: DataFrame, path: str) -> None:
+    """Make df the table at path in whole: readers see the old table or the new one, whatever step fails, and df may read path."""
+    manifest.replace(df, path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write df to path in whole: readers see the old table or the new one, a failed write leaves the old one, and df may read path."""
-    spark, side = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(side)
-    at, fs = _fs(spark, path)
-    old, _ = _fs(spark, side + ".old")
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(_fs(spark, side)[0], at)
-    fs.delete(old, True)
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that replace_table() made; None if there is none."""
+    return manifest.read(spark, path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -78,10 +65,10 @@ def index_path(root: str, source: str, commit: str, deep: bool) -> str:
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
     """(documents, header) of a stored index of this version; None if there is none."""
-    if not exists(spark, f"{path}/header"):
+    header = read_table(spark, f"{path}/header")
+    if header is None:
         return None
-    header = spark.read.parquet(f"{path}/header")
-    return (spark.read.parquet(f"{path}/documents"), header) if header.first()["schema_version"] == INDEX_SCHEMA else None
+    return (read_table(spark, f"{path}/documents"), header) if header.first()["schema_version"] == INDEX_SCHEMA else None
 
 
 def ensure_index(docs: DataFrame, root: str, source: str, commit: str, dirty: bool = False, deep: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +77,7 @@ def ensure_index(docs: DataFrame, root: str, source: str, commit: str, dirty: bo
     if not dirty and (found := load_index(spark, path)) is not None:
         return found
     replace_table(indexed(docs), f"{path}/documents")
-    replace_table(index_header(spark.read.parquet(f"{path}/documents"), source, commit, deep).coalesce(1), f"{path}/header")
+    replace_table(index_header(read_table(spark, f"{path}/documents"), source, commit, deep).coalesce(1), f"{path}/header")
     return load_index(spark, path)
 
 
@@ -102,9 +89,9 @@ def index_status(spark: SparkSession, root: str, source: str, commit: str, deep:
 
 def load_vectors(spark: SparkSession, path: str, commit: str, width: int) -> DataFrame | None:
     """path, vector of a stored vector table (path, vector, commit, model, dim); None if its commit is another or any vector has another width."""
-    if not exists(spark, path):
+    table = read_table(spark, path)
+    if table is None:
         return None
-    table = spark.read.parquet(path)
     bad = table.where((F.col("commit") != commit) | (F.size("vector") != width) | (F.col("dim") != width))
     return None if bad.head(1) else table.select("path", "vector")
 

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions import query as Q
 from mnemolake.functions import text as X
+from mnemolake.operators import index as I
 from mnemolake.operators import ranking as K
-from mnemolake.plans.base import WORDS, query
+from mnemolake.operators import retrieval as R
+from mnemolake.operators import segments as G
+from mnemolake.plans.base import TEAM, WORDS, query
+from mnemolake.sources import manifest
 from mnemolake.sources import readers as S
-from mnemolake.sources.scratch import shared_dir, snapshot_key
+from mnemolake.sources.scratch import scratch_path, shared_dir, snapshot_key
 
 PREFIXES = ("", "latest ", "how does ", "papers about ", "related ", "compare index ", "recent report summary ", "long-context ")
 
@@ -163,3 +167,54 @@ def repository_search(spark, sf):
     """The repository ranking with all of its signals."""
     hits = K.repository_hits(asked(spark, sf), library(spark, sf), index=library_index(spark, sf))
     return hits.select("query_id", "doc_id", "rank", "score", F.col("matched").cast("bigint").alias("matched"), F.col("covered").cast("bigint").alias("covered"))
+
+
+# the library a commit later: texts of each hundredth document changed, others gone
+LATER = f"(SELECT doc_id, path, layer, CASE WHEN doc_id % 100 = 7 THEN 'zebra rewards ' || text ELSE text END AS text FROM {LIBRARY} WHERE doc_id % 100 <> 8)"
+
+
+def later(spark, sf):
+    text = F.when(F.col("doc_id") % 100 == 7, F.concat(F.lit("zebra rewards "), "text")).otherwise(F.col("text"))
+    return library(spark, sf).where("doc_id % 100 <> 8").withColumn("text", text)
+
+
+def _fold(rows: str, level: int) -> str:
+    return f"(SELECT b, b AS k, sha256(string_agg(k || chr(0) || h || chr(0), '' ORDER BY k, h)) AS h FROM (SELECT substr(b, 1, {level}) AS b, k, h FROM {rows}) GROUP BY b)"
+
+
+_LATER_ROOT = _fold(_fold(_fold(_fold(f"(SELECT substr(sha256(path), 1, 8) AS b, path AS k, sha256(text) AS h FROM {LATER})", 6), 4), 2), 0)
+
+
+@query(f"SELECT path, CASE doc_id % 100 WHEN 8 THEN 'removed' ELSE 'changed' END AS change, (SELECT 'content-' || substr(h, 1, 24) FROM {_LATER_ROOT}) AS revision FROM {LIBRARY} WHERE doc_id % 100 IN (7, 8)")
+def revision_changes(spark, sf):
+    """What two stored trees of digests differ in, and the revision of the later one."""
+    old, new = (scratch_path(spark, "tree") for _ in range(2))
+    G.write_tree(G.listing_of(library(spark, sf)), old)
+    revision = G.write_tree(G.listing_of(later(spark, sf)), new)
+    return G.changed_paths(spark, old, new)[0].select("path", "change", F.lit(revision).alias("revision"))
+
+
+@query(f"SELECT term, df, round(idf, 6) AS idf FROM {FREQUENCY.replace(LIBRARY, LATER)}")
+def index_refresh(spark, sf):
+    """Frequencies in an index that was brought from one state to the next: changed documents in a segment of their own, old ones dead."""
+    root = scratch_path(spark, "followed")
+    G.refresh(library(spark, sf), root)
+    G.refresh(later(spark, sf), root)
+    index = G.read_segments(spark, root)
+    terms = K.understood(asked(spark, sf), F.array().cast("array<string>")).select(F.explode("terms").alias("term")).distinct()
+    blocks = I.term_blocks(I.term_words(terms, index.grams), index)
+    found = terms.join(I.frequencies(blocks), "term", "left").fillna(0, ["df"]).join(F.broadcast(index.total))  # a row
+    return found.select("term", "df", F.round(R.idf(F.col("total"), F.col("df")), 6).alias("idf"))
+
+
+@query(f"""SELECT memory_id, CASE WHEN memory_id % 100 = 7 THEN 'stale' ELSE status END AS status, confidence FROM {TEAM} WHERE memory_id % 100 <> 8
+ UNION ALL SELECT memory_id + 1000000000, 'candidate', confidence FROM {TEAM} WHERE memory_id % 100 = 9""")
+def merged_records(spark, sf):
+    """A keyed table after a merge that rewrites only the buckets with changes: new rows, changed ones, and some gone."""
+    root = scratch_path(spark, "records")
+    records = S.team_view(spark, sf).select("memory_id", "status", "confidence")
+    manifest.merge(records, root, ["memory_id"])
+    changed = records.where("memory_id % 100 = 7").withColumn("status", F.lit("stale"))
+    new = records.where("memory_id % 100 = 9").select((F.col("memory_id") + 1_000_000_000).alias("memory_id"), F.lit("candidate").alias("status"), "confidence")
+    manifest.merge(changed.unionByName(new), root, ["memory_id"], gone=records.where("memory_id % 100 = 8"))
+    return manifest.read(spark, root)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mnemolake.operators.stores import exists, replace_table
+from mnemolake.sources import manifest
 
 # Seconds that a good result stays, and a failed one the first time and at most; attempts of a capture.
 GOOD_SECONDS, BAD_SECONDS, BAD_MOST, BAD_DOUBLINGS = 900, 60, 3600, 6
@@ -76,16 +76,17 @@ def capturing(write: Callable[[DataFrame], None], pending: str) -> Callable[[Dat
         try:
             write(batch)
         except Exception as error:  # noqa: BLE001 a failed capture waits to be tried again
-            batch.withColumns({"error": F.lit(str(error)[:400]), "attempts": F.lit(1), "batch": F.lit(number).cast("bigint")}).write.mode("append").parquet(pending)
+            failed = batch.withColumns({"error": F.lit(str(error)[:400]), "attempts": F.lit(1), "batch": F.lit(number).cast("bigint")})
+            manifest.append(failed, pending)
 
     return each
 
 
 def retry_pending(spark, pending: str, write: Callable[[DataFrame], None], attempts: int = ATTEMPTS) -> int:
     """Try all pending captures again, each failed batch on its own; what fails `attempts` times stays with its last error. Returns how many batches were written."""
-    if not exists(spark, pending):
+    rows = manifest.read(spark, pending)
+    if rows is None:
         return 0
-    rows = spark.read.parquet(pending)
     left, done = None, 0
     for (number,) in rows.where(F.col("attempts") < attempts).select("batch").distinct().orderBy("batch").collect():  # a row for each failed batch
         own = rows.where(F.col("batch") == number)
@@ -96,7 +97,7 @@ def retry_pending(spark, pending: str, write: Callable[[DataFrame], None], attem
             again = own.withColumns({"error": F.lit(str(error)[:400]), "attempts": F.col("attempts") + 1})
             left = again if left is None else left.unionByName(again)
     given_up = rows.where(F.col("attempts") >= attempts)
-    replace_table(given_up if left is None else given_up.unionByName(left), pending)
+    manifest.replace(given_up if left is None else given_up.unionByName(left), pending)
     return done
 
 
