@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +26,19 @@ def stripped(x: Column | str) -> Column:
     return F.regexp_replace(text_of(x), rf"^{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
+#: Characters that fold to something else than they lower to, and what to: by the rule of full case folding, character by character.
+_FOLDS = {c: c.casefold() for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if c.casefold() != c.lower()} | {"Σ": "σ", "İ": "İ".casefold()}
+
+
+def folded(x: Column | str) -> Column:
+    """Full case folding (ß to ss, every sigma to σ, dotted I to i with a dot): texts that differ by case only become equal. Texts without any
+    character that folds in a way of its own are lowered."""
+    text = text_of(x)
+    one = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+    longer = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(_FOLDS[c])), (c for c in _FOLDS if c not in one), text)
+    return F.when(text.rlike(f"[{''.join(_FOLDS)}]"), F.lower(F.translate(longer, "".join(one), "".join(one.values())))).otherwise(F.lower(text))
+
+
 def collapsed(x: Column | str) -> Column:
     """Words with one space between."""
     return stripped(F.regexp_replace(text_of(x), rf"{SPACE}++", " "))

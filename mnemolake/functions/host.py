@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,19 +25,52 @@ FILE_READER_NAME = r"(?:^|[._:-])(?:filesystem|fs|file)(?:[._:-])(?:read|readfil
 SHELL_NAME = r"(?:^|[._:-])(?:exec|shell|terminal|bash|zsh)$"
 READS = (r"(?i)(?:^|[;&|]\s*)(?:cat|sed|grep|rg|awk|head|tail|less|more|bat)\b", r"(?i)(?:^|[;&|]\s*)git\s+(?:show|log|grep)\b", r"(?i)\b(?:open|read_text|read_bytes|readFile|readFileSync)\s*\(")
 DESTROYS = r"(?i)\b(?:rm|rmdir|mkfs|shutdown|reboot|kill\s+-9|git\s+(?:reset|clean|checkout\s+--|rebase|push))\b"
+RECALL_LINES = (r"^\s*The following is conversation memory, not repository citation\.", r"^\s*-\s*\[[^\]\n]+\]\s.*\(memory_id=")
+INPUT_NAMES = ("command", "cmd", "script", "code", "input", "path", "file", "args")
+CHAINED = r"[;&|`$<>]"
+SERVICE_WORDS, HOST_WORDS = "doctor|status|probe|health|restart|start|stop|reload|version|mcp", r"mcp\s+probe|doctor|plugins\s+inspect"
+RECOVERS = (r"(?i)\blaunchctl\s+(?:print|list|kickstart)\b", r"(?i)\b(?:ps|lsof)\b")
 
 
 def is_direct(prompt: Column | str) -> Column:
     return text_of(prompt).rlike(DIRECT)
 
 
-def prompt_policy(prompt: Column | str) -> Column:
-    """maintenance, repository-fact or ordinary. A prompt that asks for work is no question of fact."""
-    p = stripped(prompt)
+def own_words(prompt: Column | str, tag: str) -> Column:
+    """A prompt without recalled memory that was put before it in a <tag> block: whole blocks go, and of blocks that were cut off the tags,
+    the sentence at their head and the bullets that name a memory."""
+    whole = F.regexp_replace(text_of(prompt), rf"<{tag}>[\s\S]*?</{tag}>", " ")
+    gone = (rf"^\s*</?{tag}>\s*$", *RECALL_LINES)
+    kept = F.filter(F.split(whole, "\n", -1), lambda line: ~reduce(Column.__or__, (line.rlike(p) for p in gone)))
+    return stripped(F.array_join(kept, "\n"))
+
+
+def prompt_policy(prompt: Column | str, tag: str | None = None) -> Column:
+    """maintenance, repository-fact or ordinary, of what a user says; tag: that of the blocks in which recall is put before a prompt.
+    A prompt that asks for work is no question of fact."""
+    p = stripped(prompt) if tag is None else own_words(prompt, tag)
     works = (p != "") & (p.rlike(DIRECT) | p.rlike(MAINTENANCE) | p.rlike(RUNS))
     return F.when(works, "maintenance").when((p != "") & p.rlike(FACTS), "repository-fact").otherwise("ordinary")
 
 
+def tool_input(tool: Column | str, params: Column) -> Column:
+    """What a tool call runs or reads: the first of a map's usual entries that is not empty; arguments of git begin with its name."""
+    first = F.coalesce(*(F.nullif(F.try_element_at(params, F.lit(k)), F.lit("")) for k in INPUT_NAMES), F.lit(""))
+    git = (F.lower(text_of(tool)) == "git") & (F.coalesce(F.try_element_at(params, F.lit("args")), F.lit("")) != "")
+    return stripped(F.when(git, F.concat(F.lit("git "), first)).otherwise(first))
+
+
+def safe_recovery(command: Column | str, services: tuple[str, ...] = (), hosts: tuple[str, ...] = ()) -> Column:
+    """Whether a command only looks after a service: no chaining or substitution, nothing that destroys, and an operation on one of `services` (names of
+    memory services) or `hosts` (names of their host's command line), of the service manager, or a look at processes."""
+    c = text_of(command)
+    names = lambda words: "|".join(re.escape(w) for w in words)
+    ways = [c.rlike(RECOVERS[0]), c.rlike(RECOVERS[1])]
+    ways += [c.rlike(rf"(?i)\b(?:{names(services)})\b[\s\S]*\b(?:{SERVICE_WORDS})\b")] if services else []
+    ways += [c.rlike(rf"(?i)\b(?:{names(hosts)})\s+(?:{HOST_WORDS})\b")] if hosts else []
+    return (c != "") & ~c.rlike(CHAINED) & ~destroys(c) & reduce(Column.__or__, ways)
+
+
 def tool_kind(tool: Column | str) -> Column:
     """file-read, shell, or null for any other tool."""
     name = F.lower(stripped(tool))

@@ -52,18 +52,20 @@ def audit(queries: DataFrame, gold: DataFrame) -> DataFrame:
 def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, n, p50 (exact median), p95 (the value at place int((n - 1) * .95) of the sorted ones).
 
-    Values are dealt into ranges of (by, value) and counted there; only the ranges that hold a wanted rank are ranked, so no task sorts a key's values."""
+    Equal values of a key are counted first and dealt as one row into ranges of (by, value); only the ranges that hold a wanted rank are summed up,
+    so no task has a key's values, nor the copies of one."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialised(rows.where(F.col(value).isNotNull()).select(by, value).repartitionByRange(parts, by, value).withColumn("_p", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy(by, "_p").agg(F.count("*").alias("_c"))  # a row for each key and range
+    values = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    ranged = materialised(values.repartitionByRange(parts, by, value).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(by, "_p").agg(F.sum("_c").alias("_c"))  # a row for each key and range
     at = Window.partitionBy(by)
     placed = counts.withColumns({"_end": F.sum("_c").over(at.orderBy("_p")), "n": F.sum("_c").over(at)})
     n = F.col("n")
     wanted = F.array_distinct(F.array(F.floor((n + 1) / 2), F.ceil((n + 1) / 2), F.floor((n - 1) * 0.95) + 1))
     ranks = placed.select(by, "_p", "n", (F.col("_end") - F.col("_c")).alias("_before"), "_c", F.explode(wanted).alias("_rank")).where("_rank > _before and _rank <= _before + _c")
     local = ranks.select(by, "_p", (F.col("_rank") - F.col("_before")).alias("_n"), "_rank", "n")
-    held = ranged.join(small(local.select(by, "_p").distinct()), [by, "_p"], "left_semi")
-    ranked = held.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_p").orderBy(value))).join(small(local), [by, "_p", "_n"])
+    held = ranged.join(small(local.select(by, "_p").distinct()), [by, "_p"], "left_semi").withColumn("_end", F.sum("_c").over(Window.partitionBy(by, "_p").orderBy(value)))
+    ranked = held.join(small(local), [by, "_p"]).where("_n > _end - _c and _n <= _end")
     middle = F.avg(F.when((F.col("_rank") == F.floor((n + 1) / 2)) | (F.col("_rank") == F.ceil((n + 1) / 2)), F.col(value)))
     return ranked.groupBy(by, "n").agg(F.round(middle, 6).alias("p50"), F.round(F.max(F.when(F.col("_rank") == F.floor((n - 1) * 0.95) + 1, F.col(value))), 6).alias("p95"))
 

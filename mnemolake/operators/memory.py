@@ -9,7 +9,7 @@ from mnemolake.functions import citations as C
 from mnemolake.functions import query as Q
 from mnemolake.functions import text as X
 from mnemolake.functions import vectors as V
-from mnemolake.functions.columns import collapsed, stripped
+from mnemolake.functions.columns import collapsed, folded, stripped
 from mnemolake.operators.ranking import term_counts
 from mnemolake.operators.nearest import cosines
 from mnemolake.operators.retrieval import mmr, small, top_k
@@ -165,8 +165,7 @@ def best_copies(rows: DataFrame, content: str, *order: Column) -> DataFrame:
 
 def folded_copies(rows: DataFrame, content: str, *order: Column) -> DataFrame:
     """The first row by order for each folded, stripped content."""
-    folded = stripped(F.lower(F.col(content)))
-    return rows.withColumn("_h", folded).withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(*order))).where("_n = 1").drop("_h", "_n")
+    return rows.withColumn("_h", F.sha2(stripped(folded(content)).cast("binary"), 256)).withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(*order))).where("_n = 1").drop("_h", "_n")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, kept: tuple[str, ...]) -> DataFrame:
@@ -299,7 +298,7 @@ def scoped_search(queries: DataFrame, records: DataFrame, most: int = 100) -> Da
     scored = pairs.join(_matched(asked, own, X.MEMORY_STOP_WORDS), ["query_id", "id"], "left").fillna(0, ["matched"]).where((F.col("matched") > 0) | (F.col("cos") >= LEAST_COSINE))
     fresh = F.when(F.col("_latest"), bounded_recency(F.col("at"), F.col("_low"), F.col("_high"))).otherwise(0.0)
     score = F.col("cos") + F.least(F.lit(TERM_CAP), TERM_WEIGHT * F.col("matched")) + fresh
-    ranked = scored.withColumns({"score": F.round(score, 9), "_h": stripped(F.lower("content"))})
+    ranked = scored.withColumns({"score": F.round(score, 9), "_h": F.sha2(stripped(folded("content")).cast("binary"), 256)})
     once = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_h").orderBy(F.desc("score"), "id"))).where("_n = 1")
     return top_k(once, most, F.desc("score"), F.asc("id")).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 

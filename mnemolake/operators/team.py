@@ -49,14 +49,22 @@ def feedback_transitions(records: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def activated(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """records with the candidates among ids active, and with them the candidates that are projections of the same memory:
-    those whose source_memory_id is an activated one, or that are an activated one's source."""
-    chosen = records.join(ids, "memory_id", "left_semi").where("status = 'candidate'").select("memory_id", "source_memory_id")
-    hit = chosen.select("memory_id").union(chosen.select("source_memory_id")).where("memory_id is not null").distinct().withColumn("_own", F.lit(True))
-    source = chosen.select(F.col("memory_id").alias("source_memory_id"), F.lit(True).alias("_source")).distinct()
-    joined = records.join(hit, "memory_id", "left").join(source, "source_memory_id", "left").select(*records.columns, "_own", "_source")
+    """records with the candidates among ids (memory_id, and reviewer if there is one) active, and with them the candidates that are projections of the same memory:
+    those whose source_memory_id is an activated one, or that are an activated one's source. What is activated takes the reviewer as its reviewed_by (of several
+    for a record, its own first, then the greatest)."""
+    own = ids.select("memory_id", (F.col("reviewer") if "reviewer" in ids.columns else F.lit(None)).cast("string").alias("_reviewer")).groupBy("memory_id").agg(F.max("_reviewer").alias("_reviewer"))
+    chosen = records.join(own, "memory_id").where("status = 'candidate'").select("memory_id", "source_memory_id", "_reviewer")
+    marks = lambda rows, n: rows.select(*rows.columns, F.lit(n).alias("_n"))
+    hit = marks(chosen.select("memory_id", "_reviewer"), 0).union(marks(chosen.select("source_memory_id", "_reviewer"), 1)).where("memory_id is not null")
+    first = lambda rows, by: rows.groupBy(by).agg(F.min(F.struct("_n", F.struct(F.col("_reviewer").isNull()), "_reviewer")).alias("_m"))
+    hit = first(hit.groupBy("memory_id", "_n").agg(F.max("_reviewer").alias("_reviewer")), "memory_id").withColumnRenamed("_m", "_own")
+    source = chosen.groupBy(F.col("memory_id").alias("source_memory_id")).agg(F.struct(F.max("_reviewer").alias("_reviewer")).alias("_source"))
+    joined = records.join(hit, "memory_id", "left").join(source, "source_memory_id", "left")
     active = (F.col("status") == "candidate") & (F.col("_own").isNotNull() | F.col("_source").isNotNull())
-    return joined.withColumn("status", F.when(active, "active").otherwise(F.col("status"))).drop("_own", "_source")
+    out = {"status": F.when(active, "active").otherwise(F.col("status"))}
+    if "reviewed_by" in records.columns:
+        out["reviewed_by"] = F.when(active, F.coalesce("_own._reviewer", "_source._reviewer", "reviewed_by")).otherwise(F.col("reviewed_by"))
+    return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in records.columns))
 
 
 def current_revisions(revisions: DataFrame) -> DataFrame:
@@ -212,11 +220,12 @@ def team_hits(queries: DataFrame, records: DataFrame, feedback: DataFrame, now:
     terms = asked.select("query_id", F.explode("terms").alias("term"))
     docs = live.select(F.col("memory_id").alias("doc_id"), F.lit("").alias("path"), F.col("body").alias("text"))
     counts = term_counts(terms.select("term").distinct(), docs).join(small(terms), "term").groupBy("doc_id", "query_id").agg(F.count("*").alias("matched"))
-    every = live.select(F.col("memory_id").alias("doc_id")).join(F.broadcast(asked.where("size(terms) = 0").select("query_id"))).withColumn("matched", F.lit(0).cast("bigint"))  # of questions without terms
-    pairs = counts.unionByName(every).withColumnRenamed("doc_id", "memory_id")
-    found = ranked_records(pairs.join(live, "memory_id"), feedback, F.col("matched"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "status").orderBy(F.desc("score"), "memory_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "memory_id", "status", "matched", "score", "rank")
+    found = ranked_records(counts.withColumnRenamed("doc_id", "memory_id").join(live, "memory_id"), feedback, F.col("matched")).select("query_id", "memory_id", "status", "matched", "score")
+    # a question without terms matches nothing, so all such have the same first records: ranked once, then joined
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "memory_id"))
+    same = ranked_records(live, feedback, F.lit(0)).withColumn("_n", rank("status")).where(F.col("_n") <= most).select("memory_id", "status", F.lit(0).cast("bigint").alias("matched"), "score")
+    every = asked.where("size(terms) = 0").select("query_id").join(F.broadcast(same))  # twice `most` rows
+    return found.unionByName(every.select(found.columns)).withColumn("rank", rank("query_id", "status")).where(F.col("rank") <= most).select("query_id", "memory_id", "status", "matched", "score", "rank")
 
 
 def context_sections(records: DataFrame) -> DataFrame:

@@ -380,7 +380,7 @@ def content_dedupe(spark, sf):
     return M.best_copies(S.table(spark, sf, "documents"), "text", F.desc("n_chars"), F.asc("doc_id")).select("doc_id")
 
 
-@query(r"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY regexp_replace(lower(text), '^[\s\p{Z}\x1C-\x1F\x{85}]+|[\s\p{Z}\x1C-\x1F\x{85}]+$', '', 'g') ORDER BY n_chars DESC, doc_id) = 1")
+@query(r"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY regexp_replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '^[\s\p{Z}\x1C-\x1F\x{85}]+|[\s\p{Z}\x1C-\x1F\x{85}]+$', '', 'g') ORDER BY n_chars DESC, doc_id) = 1")
 def casefold_dedupe(spark, sf):
     return M.folded_copies(S.table(spark, sf, "documents"), "text", F.desc("n_chars"), F.asc("doc_id")).select("doc_id")
 

@@ -16,6 +16,7 @@ from mnemolake.functions.columns import lines_of
 from mnemolake.operators import capture as A
 from mnemolake.operators import evaluation as E
 from mnemolake.operators import memory as M
+from mnemolake.operators import nearest as N
 from mnemolake.operators import ranking as K
 from mnemolake.operators import results as W
 from mnemolake.operators import retrieval as R
@@ -23,9 +24,10 @@ from mnemolake.operators import stores as O
 from mnemolake.operators import team as T
 from mnemolake.plans import library as L
 from mnemolake.plans.base import FEEDBACK, SECRET, TEAM, query
-from mnemolake.operators import nearest as N
 from mnemolake.plans.registry import COSINES, TWINS, stated
 from mnemolake.sources import readers as S
+from mnemolake.sources.scratch import scratch_path
+from mnemolake.streaming import capture as Cap
 from mnemolake.streaming import state as St
 
 FIRST_LINE = "string_split(text, chr(10))[1]"
@@ -336,7 +338,7 @@ def scoped_ingest(spark, sf):
 
 
 @query(f"""WITH r AS (SELECT DISTINCT ON (id) s.*, u FROM (SELECT *, substr(session_id, 1, 37) AS scope FROM {SCOPED}) s JOIN {_UNITS} e ON e.vec_id = {_HASH} % {_MANY}), q AS (SELECT *, 'aml:' || substr(sha256('u' || query_id % 7), 1, 32) || ':' AS scope FROM {_QV}), b AS (SELECT scope, min(tim) AS lo, max(tim) AS hi FROM r GROUP BY scope)
- SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, trim(lower(content)) ORDER BY score DESC, id) AS n FROM
+ SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, trim(replace(replace(lower(content), 'ß', 'ss'), 'ς', 'σ')) ORDER BY score DESC, id) AS n FROM
   (SELECT query_id, id, content, round(cos + least(0.65, 0.16 * matched) + CASE WHEN regexp_matches(query, '{X.LATEST}') AND hi > lo THEN (tim - lo) / (hi - lo) * 0.35 ELSE 0 END, 9) AS score FROM
    (SELECT q.query_id, q.query, r.id, r.content, r.tim, lo, hi, greatest(-1, least(1, list_dot_product(q.u, r.u))) AS cos, len(list_filter({_TERMS_OF}, lambda t: contains(lower(content), t))) AS matched FROM q JOIN r USING (scope) JOIN b USING (scope)) WHERE matched > 0 OR cos >= 0.12)) WHERE n = 1) WHERE rank <= 100""")
 def scoped_search(spark, sf):
@@ -480,7 +482,7 @@ def team_publish(spark, sf):
     return T.published(old, payloads).withColumn("confidence", F.round("confidence", 6))
 
 
-LIVE = f"(SELECT *, memory_type || ' ' || coalesce(repo, '') || ' ' || substr(coalesce(content, ''), 1, 400) AS body FROM {TEAM} WHERE status IN ('active', 'candidate') AND memory_id % 6 <> 0)"
+LIVE = f"(SELECT *, memory_type || ' ' || coalesce(repo, '') || ' ' || coalesce(content, '') AS body FROM {TEAM} WHERE status IN ('active', 'candidate') AND memory_id % 6 <> 0)"
 
 
 @query(f"""WITH q AS (SELECT query_id, list_filter(list_distinct({L.WORDS.format('query')}), lambda t: t NOT IN {X.TEAM_STOP_WORDS}) AS terms FROM {L.ASKED}), f AS (SELECT memory_id, count(*) FILTER (rating = 'helpful') AS h, count(*) FILTER (rating <> 'helpful') AS g FROM {FEEDBACK} GROUP BY memory_id),
@@ -490,7 +492,7 @@ LIVE = f"(SELECT *, memory_type || ' ' || coalesce(repo, '') || ' ' || substr(co
 def team_recall(spark, sf):
     """Team records for each question, expired ones left out, active ones and candidates ranked apart."""
     until = F.when(F.col("memory_id") % 6 == 0, "2020-01-01T00:00:00Z").when(F.col("memory_id") % 6 == 1, "no date")
-    body = F.concat_ws(" ", "memory_type", F.coalesce("repo", F.lit("")), F.substring(F.coalesce("content", F.lit("")), 1, 400))
+    body = F.concat_ws(" ", "memory_type", F.coalesce("repo", F.lit("")), F.coalesce("content", F.lit("")))
     records = S.team_view(spark, sf).select("memory_id", "status", "confidence", body.alias("body"), until.alias("valid_until"))
     found = T.team_hits(L.asked(spark, sf), records, S.feedback_view(spark, sf), F.lit("2024-01-01").cast("timestamp"))
     return found.withColumn("matched", F.col("matched").cast("bigint"))
@@ -515,6 +517,21 @@ def host_checks(spark, sf):
     return S.table(spark, sf, "events").select("event_id", H.prompt_policy(pick(PROMPTS, 8)).alias("policy"), H.tool_kind(pick(("fs.read_file", "bash", "file_search", "my.exec", "Read"), 5)).alias("tool"), H.reads_evidence(command).alias("reads"), H.destroys(command).alias("destroys"), warning.alias("warning"))
 
 
+# Conversations as prompts, two of three behind recalled memory, in a whole block or one that was cut off.
+_RECALL = ("<recall>\n- [L1] upgrade and deploy (memory_id=7)\n</recall>\n", "<recall>\nThe following is conversation memory, not repository citation. deploy\n- [L1] latest restart (memory_id=8)\n")
+_SAID = f"""(SELECT conv_id, turn, role, array_to_string(list_filter(string_split(regexp_replace(CASE turn % 3 WHEN 0 THEN '{_RECALL[0]}' WHEN 1 THEN '{_RECALL[1]}' ELSE '' END || coalesce(text, ''), '<recall>[\\s\\S]*?</recall>', ' ', 'g'), chr(10)),
+  lambda l: NOT (regexp_matches(l, '^\\s*</?recall>\\s*$') OR {" OR ".join(f"regexp_matches(l, '{p}')" for p in H.RECALL_LINES)})), chr(10)) AS p FROM conversations)"""
+
+
+@query(f"""SELECT conv_id, turn, role, p, CASE WHEN {" OR ".join(f"regexp_matches(p, '{x}')" for x in (H.DIRECT, H.MAINTENANCE, H.RUNS))} THEN 'maintenance' WHEN regexp_matches(p, '{H.FACTS}') THEN 'repository-fact' ELSE 'ordinary' END AS policy FROM (SELECT conv_id, turn, role, trim(p, ' ' || chr(9) || chr(10) || chr(13)) AS p FROM {_SAID})""")
+def prompt_policies(spark, sf):
+    """What each turn asks for, without the memory that was put before it."""
+    k = F.col("turn") % 3
+    before = F.when(k == 0, _RECALL[0]).when(k == 1, _RECALL[1]).otherwise("")
+    prompts = S.table(spark, sf, "conversations").withColumn("text", F.concat(before, F.coalesce("text", F.lit(""))))
+    return prompts.select("conv_id", "turn", "role", H.own_words("text", "recall").alias("p"), H.prompt_policy("text", "recall").alias("policy"))
+
+
 _GRADED = f"""(SELECT q.query_id, CASE q.query_id % 3 WHEN 0 THEN 'focused' WHEN 1 THEN 'ambiguous' ELSE 'broad' END AS quality, q.query_id % 5 = 4 AS expected, min(rank) FILTER (rel > 0) AS rank, min(rank) FILTER (rel >= 2) AS prim, count(*) FILTER (rel > 0) AS hits, (SELECT count(*) FROM documents WHERE doc_id % 10 = q.query_id % 10) AS relevant,
   count(r.doc_id) FILTER (lane = 'verified') AS verified, count(r.doc_id) FILTER (lane = 'candidate') AS candidates, count(r.doc_id) FILTER (lane = 'verified' AND r.doc_id % 9 <> 0) AS parseable FROM {L.ASKED} q LEFT JOIN
   (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'candidate' ELSE 'verified' END AS lane, CASE WHEN doc_id % 10 = query_id % 10 AND doc_id % 4 <> 0 THEN 1 + doc_id % 2 ELSE 0 END AS rel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {L.SCORED} QUALIFY rank <= 5)) r USING (query_id) GROUP BY q.query_id)"""
@@ -552,6 +569,35 @@ def probe_backoff(spark, sf):
     return found.select("event_id", F.col("failures").cast("bigint").alias("failures"), St.result_ttl(F.col("ok"), F.col("failures")).alias("ttl"))
 
 
+@query("""WITH p AS (SELECT user_id, event_id, event_type <> 'error' AS ok, epoch_us(ts) AS tim FROM events), g AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY tim, event_id) AS g FROM p)
+ SELECT event_id, CASE WHEN ok THEN 0 ELSE f END AS failures, CASE WHEN ok THEN 900.0 ELSE least(60 * pow(2, least(greatest(f, 1) - 1, 6)), 3600) END AS ttl FROM (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY user_id, g ORDER BY tim, event_id) AS f FROM g)""")
+def probe_stream(spark, sf):
+    """The same from a stream with state by key; results that age by its timers are told apart and left out here."""
+    events = Cap.event_stream(spark, sf)
+    probes = events.select(F.col("user_id").cast("string").alias("key"), "event_id", (F.col("event_type") != "error").alias("ok"), "ts")
+    with St.state_store(spark):
+        found = Cap.drained(St.ageing_results(probes))
+    return found.where("state = 'checked'").select("event_id", "failures", "ttl")
+
+
+_ARRIVALS = 5
+
+
+@query(f"""WITH b AS (SELECT event_id % {_ARRIVALS} AS batch, max(ts) AS most FROM events GROUP BY 1)
+ SELECT event_id, coalesce(ts < (SELECT max(most) FROM b WHERE b.batch < event_id % {_ARRIVALS}) - INTERVAL 20 DAYS, false) AS late FROM events""")
+def late_events(spark, sf):
+    """Events that arrive in five batches: those more than 20 days behind what was seen before are late, and none is lost."""
+    events = S.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    place = scratch_path(spark, "arrivals")
+    for batch in range(_ARRIVALS):
+        events.where(F.col("event_id") % _ARRIVALS == batch).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    run = stream.writeStream.foreachBatch(Cap.splitting_late(f"{place}/out", 20 * 86400)).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    side = lambda name: Cap.split_rows(spark, f"{place}/out", name, "event_id bigint, ts timestamp").select("event_id", F.lit(name == "late").alias("late"))
+    return side("on_time").unionByName(side("late"))
+
+
 @query(f"""SELECT session_id, message_index, CASE WHEN prev IS NULL OR prev = '' THEN 'new-task' WHEN regexp_matches(content, '(?i)wrong|incorrect|redo') THEN 'revision' WHEN regexp_matches(content, '(?i)new task|new topic|moving on') THEN 'new-task' WHEN gap > 7200 THEN 'new-task' ELSE 'follow-up' END AS relation FROM
  (SELECT *, lag(content) OVER w AS prev, tim - lag(tim) OVER w AS gap FROM (SELECT conv_id AS session_id, turn AS message_index, turn * 3000 + CASE WHEN turn % 4 = 0 THEN 9000 ELSE 0 END AS tim, any_value(CASE turn % 6 WHEN 2 THEN 'redo this' WHEN 3 THEN 'a new topic' ELSE 'go on' END) AS content FROM conversations GROUP BY ALL) WINDOW w AS (PARTITION BY session_id ORDER BY tim, message_index))""")
 def turn_phrases(spark, sf):

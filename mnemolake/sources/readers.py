@@ -20,7 +20,7 @@ MOST_BYTES, MOST_INDEX_BYTES = 512 * 1024, 8 * 1024 * 1024
 FRONT_MATTER_KEYS = (
     "id", "layer", "status", "kind", "confidence", "valid_until", "accepted_at", "reviewed_by", "agent_id", "source_memory_id", "observed_at", "run_id", "session_id", "scope",
 )
-BUNDLE_KIND, SUPPORTED_BUNDLES = "team-bundle", (1, 2, 3)  # the end of a kind's name
+SUPPORTED_BUNDLES = (1, 2, 3)
 REVIEWED_BUCKETS = ("l1/active", "l1/stale", "l2/accepted", "l3/accepted")
 CANDIDATE_BUCKETS = ("inbox/", "l1/candidate", "l2/candidate", "l3/candidate")
 MOST_CONTENT, SUMMARY_CHARS, NAMED_FAILURES = 12_000, 400, 20
@@ -118,10 +118,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_bundle(spark: SparkSession, path: str, records: str, revisions: str, feedback: str) -> dict[str, DataFrame]:
-    """The three lists of portable bundles; another kind or version is an error."""
+def read_bundle(spark: SparkSession, path: str, kind: str, records: str, revisions: str, feedback: str) -> dict[str, DataFrame]:
+    """The three lists of portable bundles of exactly this kind; another kind or version is an error."""
     raw = spark.read.schema(f"kind string, schema_version int, records array<struct<{records}>>, revisions array<struct<{revisions}>>, feedback array<struct<{feedback}>>").option("multiLine", True).json(path)
-    known = F.col("kind").endswith(BUNDLE_KIND) & F.coalesce("schema_version", F.lit(1)).isin(*SUPPORTED_BUNDLES)
+    known = (F.col("kind") == kind) & F.coalesce("schema_version", F.lit(1)).isin(*SUPPORTED_BUNDLES)
     if raw.where(~F.coalesce(known, F.lit(False))).head(1):
         raise ValueError("not a bundle of a known kind and version")
     return {name: raw.select(F.inline(name)) for name in ("records", "revisions", "feedback")}

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from mnemolake.sources import manifest
 
@@ -144,3 +146,67 @@ def decoded_calls(chunks: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=names)
 
     return chunks.groupBy("connection").applyInPandas(whole, "connection string, place bigint, method string, id string, json string")
+
+
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def state_store(spark) -> Iterator[None]:
+    """Streams that start within have the state store that Ageing needs; the session's setting is as before afterwards."""
+    before = spark.conf.get(ROCKS[0])
+    spark.conf.set(*ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(ROCKS[0], before)
+
+
+AGED = "key string, event_id bigint, failures bigint, ttl double, state string, at timestamp"
+
+
+class Ageing(StatefulProcessor):
+    """Per key: the failures in a row (a value), the last good results (a map), and a timer at which the newest result has aged."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.failures = handle.getValueState("failures", "n bigint")
+        self.newest = handle.getMapState("newest", "ok boolean", "event_id bigint, until bigint")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.failures.update((int(initialState["failures"].iloc[0]),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n = self.failures.get()[0] if self.failures.exists() else 0
+        own = pd.concat(rows).sort_values(["ts", "event_id"])  # a key's rows of one micro-batch
+        out = []
+        for ts, event, ok in zip(own["ts"], own["event_id"], own["ok"], strict=True):
+            n = 0 if ok else n + 1
+            seconds = GOOD_SECONDS if ok else min(BAD_SECONDS * 2 ** min(n - 1, BAD_DOUBLINGS), BAD_MOST)
+            out.append((key[0], int(event), n, float(seconds), "checked", ts))
+        self.failures.update((n,))
+        until = int(ts.timestamp() * 1000 + seconds * 1000)
+        self.newest.updateValue((bool(ok),), (int(event), until))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(until)
+        yield pd.DataFrame(out, columns=["key", "event_id", "failures", "ttl", "state", "at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The newest result no longer holds: it is told, and forgotten; the count of failures stays for the next probe."""
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        n = self.failures.get()[0] if self.failures.exists() else 0
+        gone = [(k, v) for k, v in self.newest.iterator() if v[1] <= expiredTimerInfo.getExpiryTimeInMs()]
+        for k, _ in gone:
+            self.newest.removeKey(k)
+        yield pd.DataFrame([(key[0], int(v[0]), n, 0.0, "aged", at) for _, v in gone], columns=["key", "event_id", "failures", "ttl", "state", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def ageing_results(probes: DataFrame, known: DataFrame | None = None, delay: str = "10 minutes") -> DataFrame:
+    """A stream of probes (key string, event_id, ok, ts): key, event_id, failures, ttl, state, at; `checked` rows as they come, and an `aged` row once a key's newest
+    result is older than its time by the watermark. known: key, failures to begin with. Needs the state store named in ROCKS."""
+    watched = probes.withWatermark("ts", delay).groupBy("key")
+    return watched.transformWithStateInPandas(Ageing(), AGED, "Append", "EventTime", None if known is None else known.groupBy("key"), "at")

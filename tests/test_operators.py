@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from mnemolake.functions import host as H
 from mnemolake.operators import evaluation as E
 from mnemolake.operators import memory as M
 from mnemolake.operators import ranking as K
@@ -50,10 +51,11 @@ def test_bundles_of_another_kind_are_refused(spark, tmp_path):
     body = {"kind": "some-team-bundle", "schema_version": 3, "records": [{"id": "team:1"}], "revisions": [], "feedback": []}
     (tmp_path / "good.json").write_text(json.dumps(body))
     (tmp_path / "bad.json").write_text(json.dumps(body | {"schema_version": 9}))
-    read = lambda name: S.read_bundle(spark, str(tmp_path / name), "id:string", "revision:int", "rating:string")
+    read = lambda name, kind="some-team-bundle": S.read_bundle(spark, str(tmp_path / name), kind, "id:string", "revision:int", "rating:string")
     assert [r["id"] for r in read("good.json")["records"].collect()] == ["team:1"]
-    with pytest.raises(ValueError, match="bundle"):
-        read("bad.json")
+    for name, kind in (("bad.json", "some-team-bundle"), ("good.json", "team-bundle"), ("good.json", "not-a-some-team-bundle")):
+        with pytest.raises(ValueError, match="bundle"):
+            read(name, kind)
 
 
 def test_markdown_records(spark, tmp_path):
@@ -318,6 +320,44 @@ def test_scopes_do_not_mix(spark):
     assert [r["id"] for r in M.scoped_search(asked, records).collect()] == [records.where("content = 'alpha here' and layer = 'L0'").first()["id"]]
 
 
+def test_reviewers_go_with_activation(spark):
+    rows = [("a", "s1", "candidate", None), ("s1", None, "candidate", None), ("b", "a", "candidate", "old"), ("c", None, "active", "first"), ("d", "c", "candidate", None)]
+    records = spark.createDataFrame(rows, "memory_id string, source_memory_id string, status string, reviewed_by string")
+    ids = spark.createDataFrame([("a", "Ann"), ("c", "Bob")], "memory_id string, reviewer string")
+    got = {r["memory_id"]: (r["status"], r["reviewed_by"]) for r in T.activated(records, ids).collect()}
+    assert got == {"a": ("active", "Ann"), "s1": ("active", "Ann"), "b": ("active", "Ann"), "c": ("active", "first"), "d": ("candidate", None)}
+    assert {r["memory_id"]: r["reviewed_by"] for r in T.activated(records, ids.select("memory_id")).collect()}["b"] == "old"
+
+
+def test_percentiles_count_equal_values(spark):
+    rows = spark.range(2000).selectExpr("id % 2 as k", "case when id % 4 < 2 then 0.0 else cast(id as double) end as v")
+    import numpy as np
+
+    got = {r["k"]: (r["n"], r["p50"], r["p95"]) for r in E.latency(rows, "k", "v").collect()}
+    for k in (0, 1):
+        v = sorted(0.0 if i % 4 < 2 else float(i) for i in range(2000) if i % 2 == k)
+        assert got[k] == (1000, float(np.median(v)), v[int(999 * 0.95)])
+
+
+def test_prompts_are_read_without_recalled_memory(spark):
+    block = "<ctx>\n- [L1] upgrade deploy (memory_id=1)\n</ctx>\n"
+    cut = "<ctx>\nThe following is conversation memory, not repository citation.\n- [L2] restart it (memory_id=2)\n"
+    texts = [block + "hello there", cut + "latest report", "hello </ctx> deploy", block + "fix it", None, block, "<ctx>a</ctx>b\n<ctx>\nc"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    got = rows.select(H.own_words("t", "ctx").alias("w"), H.prompt_policy("t", "ctx").alias("p"), H.prompt_policy("t").alias("raw")).collect()
+    assert [r["w"] for r in got] == ["hello there", "latest report", "hello </ctx> deploy", "fix it", "", "", "b\nc"]
+    assert [r["p"] for r in got] == ["ordinary", "repository-fact", "maintenance", "maintenance", "ordinary", "ordinary", "ordinary"] and got[0]["raw"] == "maintenance"
+
+
+def test_recovery_and_tool_input(spark):
+    commands = {"mem doctor": True, "mem x": False, "gate mcp probe": True, "launchctl list": True, "ps": True, "mem doctor; ls": False, "mem restart && rm x": False, "mem stop rm x": False, "": False, "lsof > x": False}
+    rows = spark.createDataFrame([(c,) for c in commands], "c string").select("c", H.safe_recovery("c", ("mem",), ("gate",)).alias("ok")).collect()
+    assert {r["c"]: r["ok"] for r in rows} == commands
+    calls = [("git", {"args": "show x"}, "git show x"), ("Git", {"command": "log", "args": "a"}, "git log"), ("bash", {"cmd": "ls", "path": "p"}, "ls"), ("read", {"command": "", "path": " a.md "}, "a.md"), ("read", {}, "")]
+    df = spark.createDataFrame([(t, p) for t, p, _ in calls], "t string, p map<string,string>")
+    assert [r[0] for r in df.select(H.tool_input("t", F.col("p"))).collect()] == [want for _, _, want in calls]
+
+
 def test_exact_percentiles_of_ties(spark):
     rows = [("a", float(v)) for v in [5, 5, 5, 1, 2, 9, 9, 9, 9, 3]] + [("b", 7.0), ("c", None)]
     got = {r["k"]: (r["n"], r["p50"], r["p95"]) for r in E.latency(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}

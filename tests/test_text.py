@@ -214,3 +214,14 @@ def test_stripped_in_time_about_in_proportion(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(stripped("t").alias("s"), collapsed("t").alias("c"), "i").orderBy("i").collect()
     assert [r["s"] for r in got] == [(t or "").strip() for t in texts]
     assert [r["c"] for r in got] == [" ".join((t or "").split()) for t in texts]
+
+
+def test_folding_is_that_of_full_case_folding(spark):
+    from mnemolake.functions.columns import folded
+    from mnemolake.operators.memory import folded_copies
+
+    texts = ["Straße STRASSE", "ΣΑΣ σας ς Σ", "İstanbul I ı", "ﬁﬂ ŉ ǰ ΐ", "Plain ASCII", "ÀÉÎ Ñ Ж Я", "ẞ", "", "Ⅷ ⓐ Ａ", "ᾳ ῼ ᾈ", "😀ſK"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r["f"] for r in rows.select("i", folded("t").alias("f")).orderBy("i").collect()] == [t.casefold() for t in texts]
+    pairs = spark.createDataFrame([(1, "straße "), (2, "STRASSE"), (3, "ΟΔΟΣ"), (4, "οδος"), (5, "οδοσ"), (6, "other")], "i int, t string")
+    assert [r["i"] for r in folded_copies(pairs, "t", F.asc("i")).orderBy("i").collect()] == [1, 3, 6]
