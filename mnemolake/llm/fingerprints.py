@@ -13,10 +13,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import resident, small_batches
+from mnemolake.llm.common import free_name, resident, small_batches
 from mnemolake.llm.shingles import shingle_hashes, word_hashes
 
 SKETCH_SIZE = 256
@@ -165,3 +165,78 @@ def edited_fingerprints(docs: DataFrame, k: int = SKETCH_SIZE, words: int = SHIN
     small_batches(docs.sparkSession)
     ranges, _ = with_successors(docs)
     return ranges.mapInArrow(compare, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+#: Groups whose sketches a task merges before it hands them on.
+HELD_GROUPS = 4096
+
+
+def merge_fingerprints(sketches: DataFrame, by: str, k: int = SKETCH_SIZE) -> DataFrame:
+    """`by`, fingerprint, n_shingles: the sketch of the union of each group's sets, from fingerprints of their parts (columns `by` and fingerprint).
+
+    Tasks merge what they hold of a group; of what is left, distinct hashes are ranked by group, and Spark limits groups to k before the shuffle, so a
+    group of any size, be it a third of all rows, hands on k hashes a task. Null and empty fingerprints add nothing: a group of such only has an
+    empty one. A null `by` is a group; an empty table gives no rows; other columns are ignored."""
+    kind = sketches.schema[by].dataType.simpleString()
+    small_batches(sketches.sparkSession)
+
+    def rows(held: dict):
+        groups, sizes, hashes = [], [], []
+        for group, a in held.items():
+            groups.append(group)
+            sizes.append(len(a) or 1)
+            hashes.append(pa.array(a.astype(np.int64)) if len(a) else pa.nulls(1, pa.int64()))
+        names = pa.array(groups, out_type.field("g").type).take(pa.array(np.repeat(np.arange(len(groups)), sizes)))
+        return pa.RecordBatch.from_arrays([names, pa.concat_arrays(hashes)], names=["g", "hash"])
+
+    def parts(batches):
+        resident()
+        held: dict = {}
+        for batch in batches:
+            for group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = decoded(text or "")
+                before = held.get(group)
+                held[group] = own[:k] if before is None else merged(before, own, k)
+                if len(held) >= HELD_GROUPS:
+                    yield rows(held)
+                    held = {}
+        if held:
+            yield rows(held)
+
+    out_type = pa.schema([("g", _arrow_type(sketches, by)), ("hash", pa.int64())])
+    found = sketches.select(F.col(f"`{by}`").alias("g"), F.col("fingerprint").cast("string")).mapInArrow(parts, f"g {kind}, hash bigint").distinct()
+    first = found.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.asc_nulls_last("hash")))).where(F.col("n") <= k)
+    lists = first.groupBy("g").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))  # k at most
+
+    def made(batches):
+        resident()
+        for batch in batches:
+            own = [np.array(x, np.uint64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoded(a) for a in own], pa.string()), pa.array([distinct(a, k) for a in own], pa.float64())], names=["g", "fingerprint", "n_shingles"])
+
+    return lists.mapInArrow(made, f"g {kind}, fingerprint string, n_shingles double").withColumnRenamed("g", by)
+
+
+def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def compare_fingerprints(pairs: DataFrame, a: str = "a", b: str = "b", k: int = SKETCH_SIZE) -> DataFrame:
+    """pairs (two columns of fingerprints, and others) with resemblance, a_in_b, b_in_a (containment), a_shingles and b_shingles behind its own columns;
+    clashing names get an underscore in front. Null fingerprints count as empty: two empty sets are alike and hold each other."""
+    small_batches(pairs.sparkSession)
+    added = [free_name(pairs.columns, x) for x in ("resemblance", "a_in_b", "b_in_a", "a_shingles", "b_shingles")]
+    schema = pairs.select("*", *(F.lit(0.0).alias(x) for x in added)).schema
+    names, at = [*pairs.columns, *added], [pairs.columns.index(x) for x in (a, b)]
+
+    def compared(batches):
+        resident()
+        for batch in batches:
+            both = [(decoded(x or ""), decoded(y or "")) for x, y in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
+            found = [(resemblance(x, y, k), containment(x, y, k), containment(y, x, k), distinct(x, k), distinct(y, k)) for x, y in both]
+            columns = [pa.array([f[i] for f in found], pa.float64()) for i in range(len(added))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+
+    return pairs.mapInArrow(compared, schema)

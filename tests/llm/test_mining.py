@@ -241,3 +241,47 @@ def test_words_of_odd_texts(spark):
     texts = [None, "", " ", "\n\t\r\x0b\x0c ", "a", " a  b ", "a b c", "\x00 \x1f", "x" * 10, "w " * 1_000_000]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.word_count(__import__("pyspark.sql.functions").sql.functions.col("t")).alias("n")).collect()
     assert [r["n"] for r in got] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+# fingerprints of unions
+
+
+def test_merged_fingerprints_are_those_of_whole_sets(spark, sf_dir, monkeypatch):
+    """All documents by source: merged sketches of parts equal the sketch of all shingles, whatever parts there are."""
+    from mnemolake.llm import fingerprints
+    from mnemolake.llm.shingles import shingle_hashes, word_hashes
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    odd = spark.createDataFrame([(-1, None, "blank"), (-2, "", "blank"), (-3, "one two three four five six", None), (-4, None, None)], "doc_id bigint, text string, source string")
+    rows = docs.union(odd)
+    prints = fingerprints.fingerprint_documents(rows).join(rows.select("doc_id", "source"), "doc_id").withColumn("g", __import__("pyspark.sql.functions").sql.functions.lit(1))
+    got = {r["source"]: (r["fingerprint"], r["n_shingles"]) for r in fingerprints.merge_fingerprints(prints.repartition(7), "source").collect()}
+    sets = defaultdict(list)
+    for r in rows.collect():
+        sets[r["source"]].append(shingle_hashes(word_hashes((r["text"] or "").encode()), fingerprints.SHINGLE_WORDS) >> np.uint64(64 - fingerprints.HASH_BITS))
+    assert got.keys() == sets.keys()
+    for source, parts in sets.items():
+        whole = np.unique(np.concatenate(parts))
+        assert fingerprints.decoded(got[source][0]).tolist() == whole[: fingerprints.SKETCH_SIZE].tolist()
+        assert got[source][1] == pytest.approx(len(whole), rel=0.25)
+    assert got["blank"] == ("", 0.0) and got[None][1] == 2.0
+    twice = fingerprints.merge_fingerprints(fingerprints.merge_fingerprints(prints, "source").selectExpr("1L as one", "fingerprint"), "one").first()
+    assert fingerprints.decoded(twice["fingerprint"]).tolist() == np.unique(np.concatenate([x for p in sets.values() for x in p]))[: fingerprints.SKETCH_SIZE].tolist()
+    assert fingerprints.merge_fingerprints(prints.limit(0), "source").count() == 0
+
+
+def test_containment_of_fingerprints(spark):
+    from mnemolake.llm import fingerprints
+
+    words = [f"w{i}" for i in range(3000)]
+    texts = {"whole": " ".join(words), "half": " ".join(words[:1500]), "small": " ".join(words[10:60]), "none": None, "other": " ".join(f"v{i}" for i in range(500))}
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint_documents(spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id bigint, text string")).collect()}
+    f = dict(zip(texts, (prints[i] for i in range(len(texts))), strict=True))
+    pairs = [("half", "whole"), ("small", "whole"), ("other", "whole"), ("none", "whole"), ("none", "none"), ("whole", "whole")]
+    df = spark.createDataFrame([(x, y, f[x] or None, f[y], 1) for x, y in pairs], "x string, y string, a string, b string, A_IN_B int")
+    out = fingerprints.compare_fingerprints(df)
+    assert out.columns == ["x", "y", "a", "b", "A_IN_B", "resemblance", "_a_in_b", "b_in_a", "a_shingles", "b_shingles"]
+    got = {(r["x"], r["y"]): r for r in out.collect()}
+    assert got["half", "whole"]["_a_in_b"] == pytest.approx(1, abs=0.2) and got["half", "whole"]["b_in_a"] == pytest.approx(0.5, abs=0.12) and got["half", "whole"]["resemblance"] == pytest.approx(0.5, abs=0.12)
+    assert got["other", "whole"]["_a_in_b"] == 0 and got["none", "whole"]["_a_in_b"] == 1 and got["none", "none"]["resemblance"] == 1 and got["whole", "whole"]["b_in_a"] == 1
+    assert got["half", "whole"]["a_shingles"] == pytest.approx(1496, rel=0.2)
