@@ -31,12 +31,12 @@ _FOLDS = {c: c.casefold() for c in map(chr, (*range(0xD800), *range(0xE000, 0x11
 
 
 def folded(x: Column | str) -> Column:
-    """Full case folding (ß to ss, every sigma to σ, dotted I to i with a dot): texts that differ by case only become equal. Texts without any
-    character that folds in a way of its own are lowered."""
+    """Full case folding (ß to ss, every sigma to σ, dotted I to i with a dot): texts that differ by case only become equal. ASCII texts
+    are lowered."""
     text = text_of(x)
     one = {c: f for c, f in _FOLDS.items() if len(f) == 1}
     longer = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(_FOLDS[c])), (c for c in _FOLDS if c not in one), text)
-    return F.when(text.rlike(f"[{''.join(_FOLDS)}]"), F.lower(F.translate(longer, "".join(one), "".join(one.values())))).otherwise(F.lower(text))
+    return F.when(F.octet_length(text) > F.length(text), F.lower(F.translate(longer, "".join(one), "".join(one.values())))).otherwise(F.lower(text))
 
 
 def collapsed(x: Column | str) -> Column:
