@@ -225,10 +225,15 @@ def deleted_names(previous: DataFrame, current: DataFrame) -> DataFrame:
     return previous.select("name").subtract(current.select("name"))
 
 
-def upload_batches(files: DataFrame, shards: int = 64) -> DataFrame:
+#: Names that a shard of an upload has, by and by.
+FILES_OF_A_SHARD = 20_000
+
+
+def upload_batches(files: DataFrame, shards: int | None = None) -> DataFrame:
     """name, shard, batch: files (name, size) dealt into uploads of at most 10 files and 4 MiB (a larger file goes alone), greedily by name.
 
-    Names are dealt into shards first, so that batches fill in parallel; a shard's names and sizes pass one task in order."""
+    Names are dealt into shards first, so that batches fill in parallel; there are as many as it takes for FILES_OF_A_SHARD names each (or `shards`), and
+    a shard's names and sizes pass one task in order."""
     import pandas as pd
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -242,7 +247,9 @@ def upload_batches(files: DataFrame, shards: int = 64) -> DataFrame:
             out.append(batch)
         return pd.DataFrame({"name": pdf["name"], "shard": pdf["shard"], "batch": out})
 
-    dealt = files.select("name", "size", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"))
+    shards = shards or -(-files.count() // FILES_OF_A_SHARD) or 1
+    number = F.conv(F.substring(F.md5(F.col("name").cast("binary")), 1, 7), 16, 10).cast("bigint")
+    dealt = files.select("name", "size", F.pmod(number, F.lit(shards)).cast("int").alias("shard"))
     return dealt.groupBy("shard").applyInPandas(deal, "name string, shard int, batch int")
 
 

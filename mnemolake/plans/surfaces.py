@@ -236,18 +236,20 @@ _ANY_STOP = " OR ".join(f"contains(t, '{s}')" for s in _STOPS)
 EXPANDED = f"""(SELECT query_id, x.term AS term, bool_and(x.carved) AS carved FROM (SELECT query_id, unnest(parts) AS x FROM (SELECT query_id, CASE WHEN NOT regexp_matches(t, '[㐀-鿿]') THEN [{{'term': t, 'carved': false}}] WHEN {_ISO} IS NOT NULL THEN [{{'term': {_ISO}, 'carved': false}}] ELSE
   list_concat(CASE WHEN NOT regexp_full_match(t, '[㐀-鿿]+') AND NOT ({_ANY_STOP}) THEN [{{'term': t, 'carved': false}}] ELSE [] END,
    flatten(list_transform(list_filter(regexp_extract_all(t, '[㐀-鿿]+'), lambda r: len(r) >= 2), lambda r: flatten(list_transform(list_filter(string_split({_CUT.format('r')}, ' '), lambda p: p <> ''), lambda p: list_concat([{{'term': p, 'carved': p <> r}}], {_GRAMS})))))) END AS parts
-  FROM (SELECT query_id, unnest({L.WORDS.format('query')}) AS t FROM (SELECT unnest(range({len(HAN_QUESTIONS)})) AS query_id, unnest({list(HAN_QUESTIONS)}) AS query)))) WHERE x.term <> '' AND x.term NOT IN {Q.STOP_TERMS} GROUP BY query_id, x.term)"""
+  FROM (SELECT query_id, unnest({L.WORDS.format('query')}) AS t FROM (SELECT doc_id AS query_id, {list(HAN_QUESTIONS)}[doc_id % {len(HAN_QUESTIONS)} + 1] || ' d' || doc_id AS query FROM documents)))) WHERE x.term <> '' AND x.term NOT IN {Q.STOP_TERMS} GROUP BY query_id, x.term)"""
 GUESSED = f"(SELECT query_id, term FROM {EXPANDED} WHERE carved OR (regexp_full_match(term, '[㐀-鿿]+') AND ((len(term) = 2 AND contains('{Q.MODAL_PREFIXES}', substr(term, 1, 1))) OR (len(term) BETWEEN 3 AND 4 AND substr(term, len(term) - 1, 2) IN {Q.DIRECTIONAL_SUFFIXES}))))"
 HAN_DOCS = "(SELECT doc_id, 'a/' || doc_id || '.md' AS path, CASE doc_id % 5 WHEN 0 THEN '李宁的健康监控配置' WHEN 1 THEN '记忆钩子 报告 2026-08' WHEN 2 THEN '日志接入' ELSE 'plain' END AS text FROM documents)"
 
 
-def han_questions(spark):
-    return spark.createDataFrame(list(enumerate(HAN_QUESTIONS)), "query_id bigint, query string")
+def han_questions(spark, sf):
+    """A question about each document; the tables have no Han text."""
+    asked = F.element_at(F.array(*map(F.lit, HAN_QUESTIONS)), by_id(len(HAN_QUESTIONS)).cast("int") + 1)
+    return S.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.concat(asked, F.lit(" d"), F.col("doc_id").cast("string")).alias("query"))
 
 
 @query(f"SELECT query_id, term, carved FROM {EXPANDED}")
 def carved_terms(spark, sf):
-    return han_questions(spark).select("query_id", F.inline(Q.expand("query")))
+    return han_questions(spark, sf).select("query_id", F.inline(Q.expand("query")))
 
 
 @query(f"SELECT query_id, term FROM {GUESSED} g WHERE NOT EXISTS (SELECT 1 FROM {HAN_DOCS} d WHERE contains(d.text, g.term) OR contains(d.path, g.term))")
@@ -255,7 +257,7 @@ def unreachable_fragments(spark, sf):
     """Fragments of Han questions that no document has."""
     text = F.when(by_id(5) == 0, "李宁的健康监控配置").when(by_id(5) == 1, "记忆钩子 报告 2026-08").when(by_id(5) == 2, "日志接入").otherwise("plain")
     docs = S.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"))
-    return W.unreachable(han_questions(spark), docs)
+    return W.unreachable(han_questions(spark, sf), docs)
 
 
 @query(f"SELECT term, (SELECT count(*) FROM {L.LIBRARY} WHERE contains(regexp_replace(lower(string_split(path, '/')[-1]), '\\.[^.]*$', ''), term)) AS docs FROM (SELECT DISTINCT unnest({L.WORDS.format('query')}) AS term FROM {L.ASKED} UNION SELECT unnest(['doc', 'index', '2026', '1']))")
@@ -452,13 +454,16 @@ def source_snapshots(spark, sf):
     return O.source_views(rows.select("id", "local_only"), remote, local).select("id", "commit", "commit_type", "state")
 
 
-@query("SELECT doc_id AS name, doc_id // 1000000 AS big FROM documents WHERE false")
+@query("""WITH RECURSIVE f AS (SELECT CAST(doc_id AS VARCHAR) AS name, CAST(octet_length(encode(coalesce(text, ''))) * 100 AS BIGINT) AS size, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 7) AS BIGINT) % 16 AS shard FROM documents),
+ o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY name) AS n FROM f),
+ r AS (SELECT name, shard, n, size AS total, 1 AS c, 0 AS batch FROM o WHERE n = 1 UNION ALL
+  SELECT o.name, o.shard, o.n, CASE WHEN r.c >= 10 OR r.total + o.size > 4194304 THEN o.size ELSE r.total + o.size END, CASE WHEN r.c >= 10 OR r.total + o.size > 4194304 THEN 1 ELSE r.c + 1 END,
+   r.batch + CASE WHEN r.c >= 10 OR r.total + o.size > 4194304 THEN 1 ELSE 0 END FROM r JOIN o ON o.shard = r.shard AND o.n = r.n + 1)
+ SELECT name, CAST(shard AS INTEGER) AS shard, batch FROM r""")
 def upload_batches_over(spark, sf):
-    """Batches that break a bound: none. A batch has ten files and 4 MiB at most, unless it is one file."""
+    """Documents dealt over batches of ten files and 4 MiB at most (files of a hundred times their size)."""
     files = S.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), (F.octet_length(F.coalesce("text", F.lit(""))) * 100).cast("bigint").alias("size"))
-    dealt = O.upload_batches(files, 4).join(files, "name")
-    over = dealt.groupBy("shard", "batch").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 10 or (n > 1 and bytes > 4 * 1024 * 1024)")
-    return over.select(F.col("shard").cast("bigint").alias("name"), F.col("batch").cast("bigint").alias("big"))
+    return O.upload_batches(files, 16)
 
 
 PAYLOADS = f"""(SELECT memory_id AS key, CASE WHEN memory_id % 3 = 0 THEN 'team:' || memory_id ELSE 'x' || memory_id END AS pid, CASE WHEN memory_id % 11 = 0 THEN 'gossip' ELSE memory_type END AS kind, CASE WHEN memory_id % 13 = 0 THEN ' ' WHEN memory_id % 17 = 0 THEN 'password: abcdefghijklmnopqrst' ELSE 'c' || memory_id END AS content,
