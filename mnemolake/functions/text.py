@@ -262,5 +262,10 @@ def content_text(x: Column) -> Column:
     return F.when(x.rlike(r"^\s*\["), F.array_join(F.array_compact(part), "\n")).when(x.rlike(r"^\s*\{"), own(x)).otherwise(_text(x))
 
 
-def without_user(url: Column | str) -> Column:
-    return F.regexp_replace(_text(url), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@", "$1")
+def redacted_remote(url: Column | str) -> Column:
+    """A remote's address without user and password; host and scheme in lower case. Without a scheme what stands behind the first @ stays. Null and empty ones stay."""
+    u = F.col(url) if isinstance(url, str) else url
+    whole = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#]*@)?([^/?#]*)(.*)$"
+    part = lambda i: F.regexp_extract(u, whole, i)
+    plain = F.when(F.contains(u, F.lit("@")), F.regexp_replace(u, r"(?s)^[^@]*@", "")).otherwise(u)
+    return F.when(u.rlike(whole), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), part(3))).otherwise(plain)

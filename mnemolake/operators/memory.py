@@ -308,6 +308,12 @@ def plain_score(matched: Column, layer: Column) -> Column:
     return matched + F.when(layer == "L1", 0.1).otherwise(0.0)
 
 
+def plain_search(queries: DataFrame, records: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, id, score, rank: of the small store without vectors (records: id, layer, content), by plain_score() and id."""
+    found = _matched(queries, records, X.MEMORY_STOP_WORDS).join(records.select("id", "layer"), "id")
+    return top_k(found.select("query_id", "id", F.round(plain_score(F.col("matched"), F.col("layer")), 6).alias("score")), k, F.desc("score"), F.asc("id"))
+
+
 def profile_rank(queries: DataFrame, profiles: DataFrame, k: int = 5) -> DataFrame:
     """query_id, id, score, rank of scenario and profile texts (id, content) by how often they hold a question's words."""
     words = queries.select("query_id", F.explode(F.regexp_extract_all(F.lower("query"), F.lit(r"(?U)([\w一-龥.-]{2,})"), F.lit(1))).alias("term"))

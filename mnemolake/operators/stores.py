@@ -127,7 +127,7 @@ def removed_source(sources: DataFrame, source: str) -> DataFrame:
 
 def source_views(sources: DataFrame, remote: DataFrame, local: DataFrame) -> DataFrame:
     """id, commit, commit_type, dirty, fetch_error, state: the remote snapshot (id, commit, error) of each source; where it failed, or for sources
-    that are local only, the local checkout (id, commit, dirty), with the reason."""
+    that are local only, the local checkout (id, commit, dirty), with the reason; of sources with a remote, its address without user and password."""
     r = remote.select("id", F.col("commit").alias("_remote"), F.col("error").alias("_error"))
     here = local.select("id", F.col("commit").alias("_local"), "dirty")
     joined = sources.join(r, "id", "left").join(here, "id", "left")
@@ -135,7 +135,8 @@ def source_views(sources: DataFrame, remote: DataFrame, local: DataFrame) -> Dat
     error = F.when(~fetched & ~F.coalesce("local_only", F.lit(False)), F.coalesce("_error", F.lit("no remote snapshot")))
     dirty = F.when(fetched, False).otherwise(F.coalesce("dirty", F.lit(False)))
     commit = F.when(fetched, F.col("_remote")).otherwise(F.col("_local"))
-    return joined.select("id", commit.alias("commit"), F.when(fetched, "remote_snapshot").otherwise("local_worktree").alias("commit_type"), dirty.alias("dirty"), error.alias("fetch_error"), C.freshness(dirty, error, commit).alias("state"))
+    shown = [X.redacted_remote("remote").alias("remote")] if "remote" in sources.columns else []
+    return joined.select("id", *shown, commit.alias("commit"), F.when(fetched, "remote_snapshot").otherwise("local_worktree").alias("commit_type"), dirty.alias("dirty"), error.alias("fetch_error"), C.freshness(dirty, error, commit).alias("state"))
 
 
 def safe_listing(listing: DataFrame, unsafe: DataFrame) -> DataFrame:

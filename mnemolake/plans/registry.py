@@ -278,6 +278,13 @@ def claim_support(spark, sf):
     return found.select("query_id", "doc_id", n("support.matched").alias("matched"), (n("support.matched") + n("support.unmatched")).alias("required"), "support.coverage", "support.claim_support")
 
 
+@query(f"SELECT query_id, doc_id, coverage, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, rank) AS rank FROM {L.supported(RANKED)}")
+def coverage_order(spark, sf):
+    """The first five documents of each question in the order of what their cited lines carry."""
+    found = K.cited(best(spark, sf).select("query_id", "doc_id", "rank"), L.asked(spark, sf), L.library(spark, sf))
+    return T.by_coverage(found.select("query_id", "doc_id", "rank", "support.coverage")).select("query_id", "doc_id", "coverage", "rank")
+
+
 @query(f"""SELECT q.query_id, doc_id, rank, score, line_start, line_end, coverage, claim_support, coalesce(NOT bool_or(claim_support = 'direct') OVER (PARTITION BY q.query_id), true) AS abstain
  FROM {L.ASKED} q LEFT JOIN {L.supported(L.ranked(5))} r ON r.query_id = q.query_id""")
 def search(spark, sf):

@@ -324,6 +324,13 @@ def memory_search(spark, sf):
     return M.memory_search(vector_questions(spark, sf), vectored(spark, sf), F.lit(1.705e9)).select("query_id", "id", "place")
 
 
+@query(f"""SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM
+ (SELECT query_id, id, matched + CASE layer WHEN 'L1' THEN 0.1 ELSE 0.0 END::DOUBLE AS score FROM (SELECT q.query_id, r.id, r.layer, len(list_filter({_TERMS_OF}, lambda t: contains(lower(content), t))) AS matched FROM {L.ASKED} q, {TWINS} r) WHERE matched > 0)) WHERE rank <= 5""")
+def plain_memory_search(spark, sf):
+    """Memories by terms alone, as in the store without vectors."""
+    return M.plain_search(L.asked(spark, sf), M.ingest(S.records_view(spark, sf)))
+
+
 MESSAGES = "(SELECT 'r' || conv_id AS request_id, 'u' || conv_id % 7 AS user_id, 's' || conv_id AS session_id, turn AS message_index, trim(role) AS role, trim(text) AS content, 1.7e9 + turn * 1000 AS tim FROM conversations WHERE trim(role) <> '' AND trim(text) <> '')"
 SCOPED = f"""(SELECT 'aml:' || layer || ':' || substr(sha256(request_id || chr(0) || message_index || chr(0) || role || chr(0) || content), 1, 32) AS id, layer, 'aml:' || substr(sha256(user_id), 1, 32) || ':' || substr(sha256(session_id), 1, 32) AS session_id, message_index, role, content, tim FROM {MESSAGES}, (VALUES ('L0'), ('L1')) v(layer) WHERE NOT regexp_matches(content, '{SECRET}'))"""
 
@@ -443,7 +450,7 @@ def index_header(spark, sf):
 SOURCES = "(SELECT s_suppkey AS k, 's' || s_suppkey AS id, s_suppkey % 9 = 0 AS local_only FROM supplier)"
 
 
-@query(f"""SELECT id, CASE WHEN NOT local_only AND k % 4 <> 0 THEN 'r' ELSE 'l' END || k AS "commit", CASE WHEN NOT local_only AND k % 4 <> 0 THEN 'remote_snapshot' ELSE 'local_worktree' END AS commit_type,
+@query(f"""SELECT id, CASE k % 3 WHEN 0 THEN 'https://git.example.org:8443/r' || k WHEN 1 THEN 'git.example.org:r' || k END AS remote, CASE WHEN NOT local_only AND k % 4 <> 0 THEN 'r' ELSE 'l' END || k AS "commit", CASE WHEN NOT local_only AND k % 4 <> 0 THEN 'remote_snapshot' ELSE 'local_worktree' END AS commit_type,
  CASE WHEN NOT local_only AND k % 4 <> 0 THEN 'fresh' WHEN k % 5 = 0 THEN 'dirty' WHEN NOT local_only THEN 'fallback' ELSE 'fresh' END AS state FROM {SOURCES}""")
 def source_snapshots(spark, sf):
     """Suppliers as sources: remote snapshots, of which some failed, and local checkouts, of which some are dirty."""
@@ -451,7 +458,9 @@ def source_snapshots(spark, sf):
     rows = S.table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("s"), k.cast("string")).alias("id"), (k % 9 == 0).alias("local_only"))
     remote = rows.select("id", F.when(k % 4 != 0, F.concat(F.lit("r"), k.cast("string"))).alias("commit"), F.when(k % 4 == 0, "refused").alias("error"))
     local = rows.select("id", F.concat(F.lit("l"), k.cast("string")).alias("commit"), (k % 5 == 0).alias("dirty"))
-    return O.source_views(rows.select("id", "local_only"), remote, local).select("id", "commit", "commit_type", "state")
+    url = F.when(k % 3 == 0, F.concat(F.lit("HTTPS://me:pass@Git.Example.org:8443/r"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("git@git.example.org:r"), k.cast("string")))
+    sources = S.table(spark, sf, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("id"), (k % 9 == 0).alias("local_only"), url.alias("remote"))
+    return O.source_views(sources, remote, local).select("id", "remote", "commit", "commit_type", "state")
 
 
 @query("""WITH RECURSIVE f AS (SELECT CAST(doc_id AS VARCHAR) AS name, CAST(octet_length(encode(coalesce(text, ''))) * 100 AS BIGINT) AS size, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 7) AS BIGINT) % 16 AS shard FROM documents),

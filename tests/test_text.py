@@ -225,3 +225,11 @@ def test_folding_is_that_of_full_case_folding(spark):
     assert [r["f"] for r in rows.select("i", folded("t").alias("f")).orderBy("i").collect()] == [t.casefold() for t in texts]
     pairs = spark.createDataFrame([(1, "straße "), (2, "STRASSE"), (3, "ΟΔΟΣ"), (4, "οδος"), (5, "οδοσ"), (6, "other")], "i int, t string")
     assert [r["i"] for r in folded_copies(pairs, "t", F.asc("i")).orderBy("i").collect()] == [1, 3, 6]
+
+
+def test_remotes_lose_user_and_password(spark):
+    from mnemolake.functions.text import redacted_remote
+
+    cases = {"https://u:p@Host.org:80/a@b?q=1#f": "https://host.org:80/a@b?q=1#f", "git@host.org:a/b": "host.org:a/b", "/local/path": "/local/path", "ssh://host/x": "ssh://host/x", "": "", "https://a@b@c/d": "https://c/d", "a@b@c": "b@c"}
+    rows = spark.createDataFrame([(u,) for u in [*cases, None]], "u string").select("u", redacted_remote("u").alias("r")).collect()
+    assert {r["u"]: r["r"] for r in rows} == cases | {None: None}
