@@ -594,6 +594,24 @@ def probe_stream(spark, sf):
     return found.where("state = 'checked'").select("event_id", "failures", "ttl")
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS connection, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS place, event_type AS method, CAST(event_id AS VARCHAR) AS id FROM events")
+def framed_stream(spark, sf):
+    """Each user's events as messages on a connection, cut into chunks of 50 bytes that arrive in three batches, every chunk of one batch in any order."""
+    k = F.col("event_id").cast("string")
+    body = F.concat(F.lit('{"id": '), k, F.lit(', "method": "'), "event_type", F.lit('"}'))
+    sent = F.when(F.col("event_id") % 2 == 0, F.concat(body, F.lit("\n"))).otherwise(F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body))
+    events = S.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("connection"), "event_id", sent.alias("sent"))
+    whole = events.groupBy("connection").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "sent"))), lambda x: x["sent"]), "").alias("t"))
+    cut = whole.select("connection", "t", F.explode(F.expr("sequence(0L, cast((length(t) - 1) div 50 as bigint))")).alias("seq"))
+    chunks = cut.select("connection", "seq", F.substring("t", (F.col("seq") * 50 + 1).cast("int"), F.lit(50)).cast("binary").alias("data"))
+    place = scratch_path(spark, "chunks")
+    for batch in range(3):
+        chunks.where(F.col("seq") % 3 == (2, 0, 1)[batch]).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    with St.state_store(spark):
+        return Cap.drained(St.framed_calls(stream)).select("connection", "place", "method", "id")
+
+
 _ARRIVALS = 5
 
 

@@ -210,3 +210,39 @@ def ageing_results(probes: DataFrame, known: DataFrame | None = None, delay: str
     result is older than its time by the watermark. known: key, failures to begin with. Needs the state store named in ROCKS."""
     watched = probes.withWatermark("ts", delay).groupBy("key")
     return watched.transformWithStateInPandas(Ageing(), AGED, "Append", "EventTime", None if known is None else known.groupBy("key"), "at")
+
+
+MESSAGES = "connection string, place bigint, method string, id string, json string"
+
+
+class Framing(StatefulProcessor):
+    """Per connection: the bytes of a message that is not whole yet, the chunk that comes next, and chunks that came before their turn."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "rest binary, next bigint, place bigint")
+        self.waiting = handle.getMapState("waiting", "seq bigint", "data binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rest, following, place = self.at.get() if self.at.exists() else (b"", 0, 0)
+        for pdf in rows:
+            for seq, data in zip(pdf["seq"], pdf["data"], strict=True):
+                if seq >= following:  # others were read already
+                    self.waiting.updateValue((int(seq),), (bytes(data or b""),))
+        parts = [bytes(rest)]
+        while self.waiting.containsKey((following,)):
+            parts.append(bytes(self.waiting.getValue((following,))[0]))
+            self.waiting.removeKey((following,))
+            following += 1
+        found, rest = frames(b"".join(parts))
+        self.at.update((rest, following, place + len(found)))
+        out = [(key[0], place + i, m.get("method"), None if m.get("id") is None else str(m["id"]), json.dumps(m, sort_keys=True, ensure_ascii=False)) for i, m in enumerate(found)]
+        yield pd.DataFrame(out, columns=["connection", "place", "method", "id", "json"])
+
+    def close(self) -> None:
+        pass
+
+
+def framed_calls(chunks: DataFrame) -> DataFrame:
+    """decoded_calls() over a stream of chunks (connection, seq from 0, data): a message may begin in one batch and end in a later one, chunks may come out
+    of turn or again. A connection's chunks of one batch meet in one task; what waits of it is in the state. Needs the state store named in ROCKS."""
+    return chunks.groupBy("connection").transformWithStateInPandas(Framing(), MESSAGES, "Append", "None")

@@ -55,9 +55,24 @@ def test_a_stream_begins_with_known_failures(spark, tmp_path):
 def test_late_rows_are_kept_once(spark, tmp_path):
     split = C.splitting_late(str(tmp_path / "out"), 60)
     batches = [[(1, 100), (2, 200)], [(3, 130), (4, 141), (5, 500), (6, None)], [], [(7, 439), (8, 440)]]
-    frames = [spark.createDataFrame(b, "id int, s double").select("id", F.timestamp_seconds("s").alias("ts")) for b in batches]
+    frames = [spark.createDataFrame(b, "id int, s bigint").select("id", F.timestamp_seconds("s").alias("ts")) for b in batches]
     for n, frame in enumerate(frames):
         split(frame, n)
         split(frame, n)  # run again, as after a crash
     side = lambda name: {r["id"] for r in C.split_rows(spark, str(tmp_path / "out"), name, "id int, ts timestamp").collect()}
     assert side("late") == {3, 7} and side("on_time") == {1, 2, 4, 5, 6, 8}
+
+
+def test_messages_cut_at_every_byte(spark, tmp_path):
+    """Chunks of one byte over four batches, some out of turn and some twice, give what all bytes at once do."""
+    body = '{"id": "é", "method": "b"}'.encode()
+    data = b'{"id": 1, "method": "a"}\n' + b"Content-Length: %d\r\n\r\n" % len(body) + body + b'\n\n{"id": null}\n{"id": 9'
+    rows = [("c", i, data[i : i + 1]) for i in range(len(data))] + [("other", 1, b"\n"), ("other", 0, b'{"id": 5}')]
+    batches = [[r for r in rows if r[1] % 4 == k] + rows[:3] for k in (3, 1, 0, 2)]
+    for batch in batches:
+        spark.createDataFrame(batch, "connection string, seq bigint, data binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("connection string, seq bigint, data binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with St.state_store(spark):
+        got = sorted(tuple(r) for r in C.drained(St.framed_calls(stream)).collect())
+    want = sorted(tuple(r) for r in St.decoded_calls(spark.createDataFrame(rows, "connection string, seq bigint, data binary")).collect())
+    assert got == want and [r[:2] for r in got] == [("c", 0), ("c", 1), ("c", 2), ("other", 0)]
