@@ -26,7 +26,7 @@ ROWS = 2
 #: Cells of a row for each document, as powers of two within these bounds. Only one bit of a cell is broadcast: 2^28 cells are 32 MB.
 CELLS_A_DOCUMENT, FEWEST_CELLS, MOST_CELLS = 8, 1 << 16, 1 << 28
 #: Counts that a task holds before it hands them on, and bytes of a text that it splits at once.
-HELD, PIECE = 1 << 19, 1 << 22
+HELD, PIECE = 1 << 20, 1 << 22
 #: Sources that meet in one row, and pairs of blocks of them whose sums a task holds.
 LANES, HELD_BLOCKS = 32, 2048
 #: Rows of groups that may be broadcast.
@@ -103,41 +103,42 @@ def possible_terms(docs: DataFrame, least: int, width: int) -> np.ndarray:
 
 
 def exact_counts(docs: DataFrame, bits, width: int) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents) of the terms that the sketch lets pass. bits: a broadcast of possible_terms()."""
-    schema = "lang string, source string, term string, n bigint, docs bigint"
+    """lang, source, term, n, documents of the terms that the sketch lets pass: occurrences by source (documents 0), and, where source is null, the documents of the
+    language that have the term (n 0). bits: a broadcast of possible_terms()."""
+    names = ["lang", "source", "term", "n", "documents"]
 
-    def rows(key, counts: Counter, docs: Counter):
+    def rows(lang: str, source: str | None, counts: Counter):
         terms = [*counts]
-        keep = np.flatnonzero(has(bits.value, cells_of(hashes(key[0], terms), width)).all(axis=0)) if terms else []
-        own = [terms[i] for i in keep]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x] * len(own), pa.string()) for x in key] + [pa.array([t.decode("utf-8") for t in own], pa.string()), pa.array([counts[t] for t in own], pa.int64()), pa.array([docs[t] for t in own], pa.int64())],
-            names=["lang", "source", "term", "n", "docs"],
-        )
+        keep = np.flatnonzero(has(bits.value, cells_of(hashes(lang, terms), width)).all(axis=0)) if terms else np.zeros(0, np.int64)
+        own = pa.array(terms, pa.binary()).take(pa.array(keep)).cast(pa.string())
+        found = pa.array(np.fromiter(counts.values(), np.int64, len(counts))[keep])
+        none = pa.array(np.zeros(len(keep), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(keep), pa.string()), pa.array([source] * len(keep), pa.string()), own, *((found, none) if source is not None else (none, found))], names=names)
 
     def counted(batches):
         resident()
-        held: dict[tuple, tuple[Counter, Counter]] = {}
+        held: dict[tuple, Counter] = {}
         seen = 0
         for batch in batches:
-            for key, parts in _terms(batch, 2):
-                counts, docs = held.setdefault(key, (Counter(), Counter()))
+            for (lang, source), parts in _terms(batch, 2):
+                counts, documents = held.setdefault((lang, source), Counter()), held.setdefault((lang, None), Counter())
                 own: set[bytes] = set()
                 for words in parts:
                     counts.update(words)
                     own.update(words)
-                docs.update(own)
+                documents.update(own)
                 seen += len(own)
                 if seen >= HELD:
                     seen = 0
-                    if sum(len(c) for c, _ in held.values()) >= HELD:
-                        for k, v in held.items():
-                            yield rows(k, *v)
+                    if sum(map(len, held.values())) >= HELD:
+                        for key, c in held.items():
+                            yield rows(*key, c)
                         held = {}
-        for k, v in held.items():
-            yield rows(k, *v)
+        for key, c in held.items():
+            yield rows(*key, c)
 
-    return docs.select("lang", "source", "text").mapInArrow(counted, schema).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    found = docs.select("lang", "source", "text").mapInArrow(counted, "lang string, source string, term string, n bigint, documents bigint")
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
 
 
 def _p(n: str, total: str, terms: str) -> Column:
@@ -213,8 +214,9 @@ def audit_sources(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     width = width_for(docs.count(), CELLS_A_DOCUMENT, FEWEST_CELLS, MOST_CELLS)
     counts = written(exact_counts(docs, spark.sparkContext.broadcast(possible_terms(docs, least, width)), width), "audit-counts")
-    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least).drop("docs")
-    kept = written(counts.drop("docs").join(terms, ["lang", "term"]), "audit-kept")
+    terms = counts.where("source is null").where(F.col("documents") >= least).select("lang", "term")
+    found = counts.where("source is not null").select("lang", "source", "term", "n").join(terms, ["lang", "term"])
+    kept = written(found.withColumn("lang_n", F.sum("n").over(Window.partitionBy("lang", "term"))), "audit-kept")  # a row for each source at most
 
     langs = kept.select("lang", "term", "lang_n").distinct().groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
