@@ -15,6 +15,7 @@ from mnemolake.operators import ranking as K
 from mnemolake.operators import results as W
 from mnemolake.operators import stores as O
 from mnemolake.operators import team as T
+from mnemolake.sources.files import exists
 
 
 @dataclass
@@ -121,4 +122,4 @@ def search_scoped(queries: DataFrame, records: DataFrame, top_k: int = 100) -> D
 def open_tables(spark: SparkSession, root: str) -> Memory:
     """The tables below a folder, each a Parquet folder by its name; those that are not there have no plane."""
     names = ("documents", "records", "team", "feedback", "revisions")
-    return Memory(**{n: spark.read.parquet(f"{root}/{n}") for n in names if O.exists(spark, f"{root}/{n}")})
+    return Memory(**{n: spark.read.parquet(f"{root}/{n}") for n in names if exists(spark, f"{root}/{n}")})
