@@ -107,14 +107,12 @@ def read_segments(spark: SparkSession, root: str, state: dict | None = None) ->
     state = state or manifest.current(spark, root)
     parts = [I.read_index(spark, f"{root}/{s}") for s in state["segments"]]
     every = lambda name: reduce(DataFrame.unionByName, (getattr(p, name) for p in parts))
-    pages, grams = every("pages"), every("grams")
-    if len(parts) > 1:
-        grams = grams.distinct()
+    pages = every("pages")
     if state["dead"] is None:
-        return I.Index(pages, every("postings"), grams, every("blocks"))
+        return I.Index(pages, every("postings"), every("blocks"))
     dead = spark.read.parquet(f"{root}/{state['dead']}")
     live = pages.join(small(dead), "block", "left").where("dead is null or dead & shiftleft(1L, slot) = 0").drop("dead")
-    return I.Index(live, every("postings"), grams, every("blocks"), dead)
+    return I.Index(live, every("postings"), every("blocks"), dead)
 
 
 def merge_segments(spark: SparkSession, root: str) -> dict:
