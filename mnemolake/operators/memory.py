@@ -254,13 +254,13 @@ def _matched(queries: DataFrame, records: DataFrame, stop: tuple[str, ...]) -> D
     return term_counts(terms.select("term").distinct(), docs).join(small(terms), "term").groupBy(F.col("doc_id").alias("id"), "query_id").agg(F.count("*").alias("matched"))
 
 
-def memory_candidates(queries: DataFrame, records: DataFrame, now: Column, limit: int) -> DataFrame:
+def memory_candidates(queries: DataFrame, records: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """query_id, id, relevance, matched, cos, promoted, vector: records for each question, the best copy of each stripped content.
 
     queries: query_id, query, vector; records: id, layer, role, content, status, accepted, at (epoch seconds), priority, vector. A question
-    that a user asked is no answer; a record needs a matched term or a cosine of .12. Only the newest records are looked at (see newest(); limit: hits that
-    a question is to have), so the pairs are questions times a fixed number."""
-    told = materialised(newest(records, limit, "at").where(~X.is_question_turn("role", "content")), "newest")
+    that a user asked is no answer; a record needs a matched term or a cosine of .12. All records are looked at, or with limit
+    (hits that a question is to have) only the newest ones, see newest()."""
+    told = materialised((records if limit is None else newest(records, limit, "at")).where(~X.is_question_turn("role", "content")), "told")
     pairs = cosines(queries, told).join(_matched(queries, told, X.MEMORY_STOP_WORDS), ["query_id", "id"], "left").fillna(0, ["matched"]).where((F.col("matched") > 0) | (F.col("cos") >= LEAST_COSINE))
     latest = queries.select("query_id", X.is_latest("query").alias("_latest"))
     rows = pairs.join(told, "id").join(small(latest), "query_id").withColumn("promoted", C.promoted(F.col("accepted"), F.col("status")))

@@ -63,3 +63,16 @@ def test_search_of_all_pairs_shuffles_none(spark):
     assert found.groupBy("query_id").agg(F.count("*").alias("n")).count() == 2 and found.count() == 80
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(block" in plan and not any("slot" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_memory_candidates_look_at_all_records(spark):
+    """Without a limit the oldest of more than 1000 records is found; with one only the newest are looked at."""
+    from mnemolake.operators import memory as M
+
+    told = spark.range(1200).select(
+        F.col("id").cast("string").alias("id"), F.lit("L1").alias("layer"), F.lit("assistant").alias("role"), F.concat(F.when(F.col("id") == 0, "zebra").otherwise("horse"), F.col("id").cast("string")).alias("content"),
+        F.lit("verified").alias("status"), F.lit(True).alias("accepted"), F.col("id").cast("double").alias("at"), F.lit(0.0).alias("priority"), F.array(F.lit(0.0), F.lit(1.0)).alias("vector"),
+    )
+    asked = spark.createDataFrame([(1, "zebra", [1.0, 0.0])], "query_id long, query string, vector array<double>")
+    assert [r["id"] for r in M.memory_candidates(asked, told, F.lit(2000.0)).collect()] == ["0"]
+    assert M.memory_candidates(asked, told, F.lit(2000.0), 5).count() == 0
