@@ -10,7 +10,7 @@ from mnemolake.functions import query as Q
 from mnemolake.functions import text as X
 from mnemolake.functions import vectors as V
 from mnemolake.functions.columns import collapsed, folded, stripped
-from mnemolake.operators.ranking import term_counts
+from mnemolake.operators.ranking import matched_terms, term_counts
 from mnemolake.operators.nearest import cosines
 from mnemolake.operators.retrieval import mmr, small, top_k
 from mnemolake.sources.scratch import materialised
@@ -250,6 +250,9 @@ LEAST_COSINE, TERM_WEIGHT, TERM_CAP = 0.12, 0.16, 0.65
 def _matched(queries: DataFrame, records: DataFrame, stop: tuple[str, ...]) -> DataFrame:
     """query_id, id, matched: distinct terms of a question that a record's content holds."""
     terms = queries.select("query_id", F.explode(Q.plane_terms("query", stop)).alias("term"))
+    found = matched_terms(terms, records.select("id", F.col("content").alias("text")))
+    if found is not None:
+        return found.select("id", "query_id", "matched")
     docs = records.select(F.col("id").alias("doc_id"), F.lit("").alias("path"), F.col("content").alias("text"))
     return term_counts(terms.select("term").distinct(), docs).join(small(terms), "term").groupBy(F.col("doc_id").alias("id"), "query_id").agg(F.count("*").alias("matched"))
 
@@ -310,10 +313,21 @@ def plain_score(matched: Column, layer: Column) -> Column:
 
 def plain_search(queries: DataFrame, records: DataFrame, k: int = 5) -> DataFrame:
     """query_id, id, score, rank: of the small store without vectors (records: id, layer, content), by plain_score() and id."""
-    found = _matched(queries, records, X.MEMORY_STOP_WORDS).join(records.select("id", "layer"), "id")
+    terms = queries.select("query_id", F.explode(Q.plane_terms("query", X.MEMORY_STOP_WORDS)).alias("term"))
+    found = matched_terms(terms, records.select("id", "layer", F.col("content").alias("text")), _plain_points, "double", k, ("id",))  # a task's first k
+    if found is None:
+        found = _matched(queries, records, X.MEMORY_STOP_WORDS).join(records.select("id", "layer"), "id")
     return top_k(found.select("query_id", "id", F.round(plain_score(F.col("matched"), F.col("layer")), 6).alias("score")), k, F.desc("score"), F.asc("id"))
 
 
+def _plain_points(columns, row, q, matched, words, covered):
+    """plain_score() of a task's rows."""
+    import numpy as np
+
+    own = np.array([layer == "L1" for layer in columns.column("layer").to_pylist()], bool)
+    return matched + np.where(own[row], 0.1, 0.0)
+
+
 def profile_rank(queries: DataFrame, profiles: DataFrame, k: int = 5) -> DataFrame:
     """query_id, id, score, rank of scenario and profile texts (id, content) by how often they hold a question's words."""
     words = queries.select("query_id", F.explode(F.regexp_extract_all(F.lower("query"), F.lit(r"(?U)([\w一-龥.-]{2,})"), F.lit(1))).alias("term"))

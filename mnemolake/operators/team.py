@@ -9,7 +9,7 @@ from mnemolake.functions.citations import yaml_scalar
 from mnemolake.functions.columns import stripped
 from mnemolake.functions.query import plane_terms
 from mnemolake.functions.text import TEAM_STOP_WORDS, digest_key, has_secret, safe_name
-from mnemolake.operators.ranking import term_counts
+from mnemolake.operators.ranking import matched_terms, term_counts
 from mnemolake.operators.retrieval import small
 from mnemolake.sources.scratch import materialised
 
@@ -28,12 +28,12 @@ def feedback_counts(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("memory_id").agg(F.count_if(F.col("rating") == "helpful").alias("helpful"), F.count_if(F.col("rating").isin("wrong", "stale", "not_helpful")).alias("negative"))
 
 
-def ranked_records(records: DataFrame, feedback: DataFrame, matched: Column) -> DataFrame:
-    """records with score: 2 matched + confidence + .15 min(helpful, 10) - .2 min(negative, 10) + .4 if active."""
-    joined = records.join(feedback_counts(feedback), "memory_id", "left")
+def ranked_records(records: DataFrame, feedback: DataFrame, matched: Column, exact: bool = False) -> DataFrame:
+    """records with score: 2 matched + confidence + .15 min(helpful, 10) - .2 min(negative, 10) + .4 if active; rounded, unless exact."""
+    joined = records.join(small(feedback_counts(feedback)), "memory_id", "left")
     helpful, negative = (F.least(F.coalesce(F.col(c), F.lit(0)), F.lit(10)) for c in ("helpful", "negative"))
     score = 2 * matched + F.col("confidence") + 0.15 * helpful - 0.2 * negative + F.when(F.col("status") == "active", 0.4).otherwise(0.0)
-    return joined.withColumn("score", F.round(score, 6))
+    return joined.withColumn("score", score if exact else F.round(score, 6))
 
 
 def feedback_transitions(records: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -208,6 +208,13 @@ def published(records: DataFrame, payloads: DataFrame) -> DataFrame:
     return seen.withColumn("action", action).join(targets, "supersedes", "left").select("key", "memory_id", "action", "confidence", F.when((F.col("action") == "insert") & F.col("_there"), F.col("supersedes")).alias("superseded"))
 
 
+def _points(columns, row, q, matched, words, covered):
+    """What ranked_records() makes of a task's rows, rounded alike."""
+    import numpy as np
+
+    return np.round(2 * matched + columns.column("base").to_numpy(zero_copy_only=False)[row], 6)
+
+
 def team_hits(queries: DataFrame, records: DataFrame, feedback: DataFrame, now: Column, most: int = 10, candidates: bool = True, **scope: str) -> DataFrame:
     """query_id, memory_id, status, matched, score, rank: active and candidate records for each question, `most` of either, by score and id.
 
@@ -218,9 +225,13 @@ def team_hits(queries: DataFrame, records: DataFrame, feedback: DataFrame, now:
         live = live.where(F.contains(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(value.lower())))
     asked = queries.select("query_id", plane_terms("query", TEAM_STOP_WORDS).alias("terms"))
     terms = asked.select("query_id", F.explode("terms").alias("term"))
-    docs = live.select(F.col("memory_id").alias("doc_id"), F.lit("").alias("path"), F.col("body").alias("text"))
-    counts = term_counts(terms.select("term").distinct(), docs).join(small(terms), "term").groupBy("doc_id", "query_id").agg(F.count("*").alias("matched"))
-    found = ranked_records(counts.withColumnRenamed("doc_id", "memory_id").join(live, "memory_id"), feedback, F.col("matched")).select("query_id", "memory_id", "status", "matched", "score")
+    based = ranked_records(live.select("memory_id", "status", "confidence", F.col("body").alias("text")), feedback, F.lit(0), exact=True).select("memory_id", "status", "confidence", "text", F.col("score").alias("base"))
+    counts = matched_terms(terms, based, _points, "double", most, ("memory_id",), ("status",))  # a task's first ones
+    if counts is None:
+        docs = live.select(F.col("memory_id").alias("doc_id"), F.lit("").alias("path"), F.col("body").alias("text"))
+        counts = term_counts(terms.select("term").distinct(), docs).join(small(terms), "term").groupBy("doc_id", "query_id").agg(F.count("*").alias("matched")).withColumnRenamed("doc_id", "memory_id")
+        counts = counts.join(live.select("memory_id", "status", "confidence"), "memory_id")
+    found = ranked_records(counts.select("query_id", "memory_id", "status", "confidence", "matched"), feedback, F.col("matched")).select("query_id", "memory_id", "status", "matched", "score")
     # a question without terms matches nothing, so all such have the same first records: ranked once, then joined
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "memory_id"))
     same = ranked_records(live, feedback, F.lit(0)).withColumn("_n", rank("status")).where(F.col("_n") <= most).select("memory_id", "status", F.lit(0).cast("bigint").alias("matched"), "score")

@@ -55,3 +55,52 @@ def test_scan_scores_as_the_index_does(spark, monkeypatch):
 def test_scan_shuffles_no_pair(spark):
     plan = K.scanned(questions(spark), library(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_memories_and_team_records_by_terms_shuffle_no_pair(spark):
+    """Each task hands on its first ones; equal scores go by id, active records and candidates apart."""
+    from mnemolake.operators import memory as M
+    from mnemolake.operators import team as T
+
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma gamma"), (3, "")], "query_id long, query string")
+    texts = ["alpha", "ALPHA beta", "gamma", None, "none", "betas gamma"] * 30
+    memories = spark.createDataFrame([(f"m{i:03}", f"L{i % 2}", t) for i, t in enumerate(texts)], "id string, layer string, content string").repartition(4)
+    found = M.plain_search(asked, memories, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(id" not in plan
+    terms = {1: ("alpha", "beta"), 2: ("gamma",)}
+    want = []
+    for q, ts in terms.items():
+        rows = [(-(n + 0.1 * (i % 2)), f"m{i:03}") for i, t in enumerate(texts) if (n := sum(x in (t or "").lower() for x in ts))]
+        want += [(q, m, round(-s, 6), k + 1) for k, (s, m) in enumerate(sorted(rows)[:3])]
+    assert sorted(tuple(r) for r in found.select("query_id", "id", "score", "rank").collect()) == sorted(want)
+    records = spark.createDataFrame([(i, "active" if i % 3 else "candidate", 0.5, t, None) for i, t in enumerate(texts)], "memory_id long, status string, confidence double, body string, valid_until string").repartition(4)
+    feedback = spark.createDataFrame([(7, "helpful"), (9, "wrong")], "memory_id long, rating string")
+    hits = T.team_hits(asked.where("query_id < 3"), records, feedback, F.lit("2024-01-01").cast("timestamp"), 4)
+    assert "hashpartitioning(doc_id" not in hits._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for q, ts in terms.items():
+        for status in ("active", "candidate"):
+            rows = []
+            for i, t in enumerate(texts):
+                n = sum(x in (t or "").lower() for x in ts)
+                if n and ("active" if i % 3 else "candidate") == status:
+                    rows.append((-round(2 * n + 0.5 + (0.15 if i == 7 else 0) - (0.2 if i == 9 else 0) + (0.4 if i % 3 else 0), 6), i))
+            want += [(q, m, round(-s, 6), k + 1) for k, (s, m) in enumerate(sorted(rows)[:4])]
+    assert sorted(tuple(r) for r in hits.select("query_id", "memory_id", "score", "rank").collect()) == sorted(want)
+
+
+def test_sources_of_payloads_are_read_once_a_response(spark):
+    """Above the explode() of a response's items no JSON text is read again."""
+    import json
+
+    from mnemolake.operators import results as W
+
+    items = [{"id": str(i)} for i in range(5)]
+    text = json.dumps({"long_term": {"query_source": "l0", "results": items}, "repositories": [{"memory": {"query_source": "pages", "results": items}, "code": {"results": items}}], "results": items})
+    found = W.flattened(spark.createDataFrame([(1, text), (2, "{}")], "payload_id long, json string"))
+    got = found.groupBy("payload_id", "lane", "source").count()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "long_term", "l0", 5), (1, "wiki", "pages", 5), (1, "code", "code", 5), (1, "adapter", None, 5)], key=repr)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = [lines[i - 1] for i, line in enumerate(lines) if "Generate explode(_items" in line]
+    assert len(above) == 4 and not any("get_json_object" in line for line in above)
