@@ -54,13 +54,15 @@ def normalised(items: DataFrame, source: str) -> DataFrame:
 def flattened(payloads: DataFrame) -> DataFrame:
     """payload_id, lane, source, item (JSON) of responses (payload_id, json): long-term hits, each repository's wiki and code hits, direct results."""
     objects = lambda path: F.filter(F.from_json(F.get_json_object("json", path), "array<string>"), lambda x: x.startswith("{"))
-    plain = lambda path, lane, by: payloads.select("payload_id", F.lit(lane).alias("lane"), by.alias("source"), F.explode(objects(path)).alias("item"))
+    # the source is read once a response, before its items become rows: beside explode() it would be read from the whole text for each item
+    items = lambda rows, lane, by, of: rows.select("payload_id", by.alias("source"), of.alias("_items")).select("payload_id", F.lit(lane).alias("lane"), "source", F.explode("_items").alias("item"))
+    plain = lambda path, lane, by: items(payloads, lane, by, objects(path))
     long_term = plain("$.long_term.results", "long_term", F.coalesce(F.get_json_object("json", "$.long_term.query_source"), F.lit("long_term")))
     repositories = payloads.select("payload_id", F.explode(objects("$.repositories")).alias("r"))
 
     def section(name: str, lane: str) -> DataFrame:
         by = F.coalesce(F.get_json_object("r", f"$.{name}.query_source"), F.lit(lane))
-        return repositories.select("payload_id", F.lit(lane).alias("lane"), by.alias("source"), F.explode(F.filter(F.from_json(F.get_json_object("r", f"$.{name}.results"), "array<string>"), lambda x: x.startswith("{"))).alias("item"))
+        return items(repositories, lane, by, F.filter(F.from_json(F.get_json_object("r", f"$.{name}.results"), "array<string>"), lambda x: x.startswith("{")))
 
     return long_term.unionByName(section("memory", "wiki")).unionByName(section("code", "code")).unionByName(plain("$.results", "adapter", F.lit(None).cast("string")))
 
