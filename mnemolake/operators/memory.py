@@ -297,11 +297,13 @@ def scoped_search(queries: DataFrame, records: DataFrame, most: int = 100) -> Da
     # a session's namespace is its text up to the second colon, so questions meet their scope by an equi-join
     named = own.withColumn("scope", F.concat(F.substring_index("session_id", ":", 2), F.lit(":")))
     spans = named.groupBy("scope").agg(F.min("at").alias("_low"), F.max("at").alias("_high"))
-    pairs = named.join(asked.select("query_id", "scope", F.col("vector").alias("_q"), X.is_latest("query").alias("_latest")), "scope").join(spans, "scope").withColumn("cos", V.cosine(F.col("_q"), F.col("vector")))
+    # neither vectors nor contents go on with the pairs: each is read where a record meets the questions of its scope
+    narrow = named.select("id", "scope", "at", "vector", F.sha2(stripped(folded("content")).cast("binary"), 256).alias("_h"))
+    pairs = narrow.join(asked.select("query_id", "scope", F.col("vector").alias("_q"), X.is_latest("query").alias("_latest")), "scope").withColumn("cos", V.cosine(F.col("_q"), F.col("vector"))).drop("_q", "vector").join(small(spans), "scope")
     scored = pairs.join(_matched(asked, own, X.MEMORY_STOP_WORDS), ["query_id", "id"], "left").fillna(0, ["matched"]).where((F.col("matched") > 0) | (F.col("cos") >= LEAST_COSINE))
     fresh = F.when(F.col("_latest"), bounded_recency(F.col("at"), F.col("_low"), F.col("_high"))).otherwise(0.0)
     score = F.col("cos") + F.least(F.lit(TERM_CAP), TERM_WEIGHT * F.col("matched")) + fresh
-    ranked = scored.withColumns({"score": F.round(score, 9), "_h": F.sha2(stripped(folded("content")).cast("binary"), 256)})
+    ranked = scored.select("query_id", "id", F.round(score, 9).alias("score"), "_h")
     once = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_h").orderBy(F.desc("score"), "id"))).where("_n = 1")
     return top_k(once, most, F.desc("score"), F.asc("id")).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 

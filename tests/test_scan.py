@@ -104,3 +104,20 @@ def test_sources_of_payloads_are_read_once_a_response(spark):
     lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     above = [lines[i - 1] for i, line in enumerate(lines) if "Generate explode(_items" in line]
     assert len(above) == 4 and not any("get_json_object" in line for line in above)
+
+
+def test_scoped_pairs_carry_no_vectors_and_contents(spark):
+    from mnemolake.operators import memory as M
+
+    asked = spark.createDataFrame([(1, "u1", "alpha", [1.0, 0.0])], "query_id long, user_id string, query string, vector array<double>")
+    sent = spark.createDataFrame([("r", "u1", "s", i, "user", f"alpha {i % 2}", "0") for i in range(4)], "request_id string, user_id string, session_id string, message_index int, role string, content string, timestamp string")
+    records = M.scoped_ingest(sent).select("*", F.lit(0.0).alias("at"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    found = M.scoped_search(asked, records)
+    assert found.count() == 2  # the first of each content
+    nodes, joined = [found._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Join" and node.joinType().toString() == "LeftOuter":
+            joined.append(node.left().output().mkString(","))
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert joined and not any("vector" in names or "content" in names for names in joined)
