@@ -84,10 +84,10 @@ def refresh(docs: DataFrame, root: str, listing: DataFrame | None = None) -> dic
         changed = materialised(changed_paths(spark, f"{root}/{state['tree']}", f"{root}/{tree}")[0], "changed-paths")
         delta = docs.join(small(changed.where("change <> 'removed'").select("path")), "path", "left_semi")
     segments, indexed = list(state["segments"]), 0
-    delta = materialised(delta.select("doc_id", "path", "text"), "delta")
-    if changed is None or (indexed := delta.count()):
-        I.write_index(described(delta), f"{root}/{segment}", salt=segment)
-        indexed, segments = delta.count(), [*segments, segment]
+    if changed is None or changed.where("change <> 'removed'").head(1):
+        I.write_index(described(delta.select("doc_id", "path", "text")), f"{root}/{segment}", salt=segment)
+        indexed = I.read_index(spark, f"{root}/{segment}").total.first()["total"]
+        segments = [*segments, segment] if indexed or changed is None else segments
     dead = state["dead"]
     if changed is not None:
         places = read_segments(spark, root, state).pages.join(small(changed.select("path")), "path").select("block", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot")).alias("dead"))
@@ -105,23 +105,13 @@ def _published(spark: SparkSession, root: str, content: dict, after: int) -> dic
 def read_segments(spark: SparkSession, root: str, state: dict | None = None) -> I.Index:
     """The index under root, of its newest version or a given one."""
     state = state or manifest.current(spark, root)
-    parts = [I.read_index(spark, f"{root}/{s}") for s in state["segments"]]
-    every = lambda name: reduce(DataFrame.unionByName, (getattr(p, name) for p in parts))
-    pages = every("pages")
-    if state["dead"] is None:
-        return I.Index(pages, every("postings"), every("blocks"))
-    dead = spark.read.parquet(f"{root}/{state['dead']}")
-    live = pages.join(small(dead), "block", "left").where("dead is null or dead & shiftleft(1L, slot) = 0").drop("dead")
-    return I.Index(live, every("postings"), every("blocks"), dead)
+    rows = reduce(DataFrame.unionByName, (I.read_index(spark, f"{root}/{s}").rows for s in state["segments"]))
+    return I.Index(rows, None if state["dead"] is None else spark.read.parquet(f"{root}/{state['dead']}"))
 
 
 def merge_segments(spark: SparkSession, root: str) -> dict:
     """One segment in place of all, from what they hold: postings without dead documents, words that are left."""
     state = manifest.current(spark, root)
     whole, segment = read_segments(spark, root, state), f"segments/{uuid.uuid4().hex}"
-    rows = I.live(whole.postings, whole)
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x)
-    left = F.filter(F.arrays_zip("slots", "counts"), lambda x: F.col("mask").bitwiseAND(bit(x["slots"])) != 0)
-    rows = rows.withColumn("_c", left).select("word", "block", "mask", "path_mask", "head_mask", F.array_max("_c.counts").alias("top"), F.col("_c.slots").alias("slots"), F.col("_c.counts").alias("counts"))
-    I.write_tables(whole.pages, rows, f"{root}/{segment}")
+    I.living(whole).write.parquet(f"{root}/{segment}/blocks")
     return _published(spark, root, state | {"segments": [segment], "dead": None, "indexed": 0}, state["version"])

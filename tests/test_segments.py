@@ -104,3 +104,27 @@ def test_a_refreshed_index_is_that_of_a_full_build(spark, two_states, tmp_path):
     assert len(want) > 9 and hits(G.read_segments(spark, root)) == want
     merged = G.merge_segments(spark, root)
     assert len(merged["segments"]) == 1 and merged["dead"] is None and hits(G.read_segments(spark, root)) == want
+
+
+def test_an_index_is_written_in_one_pass_without_a_shuffle(spark):
+    """Texts stay in their tasks, and postings have each word of each document as often as it is there."""
+    from collections import Counter
+
+    from mnemolake.operators import index as I
+
+    texts = {k: "" if k % 9 == 0 else f"# head{k % 4}\nalpha beta{k % 5} alpha word{k}" for k in range(200)}
+    docs = spark.range(0, 200, 1, 4).selectExpr("id as doc_id", "concat('layer', id % 3, '/doc_', id, '.md') as path", "if(id % 9 = 0, '', concat('# head', id % 4, '\\nalpha beta', id % 5, ' alpha word', id)) as text")
+    rows = I.block_rows(K.described(docs))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    index = I.Index(rows)
+    placed = {(r["block"], r["slot"]): r["doc_id"] for r in index.pages.select("block", "slot", "doc_id").collect()}
+    assert sorted(placed.values()) == sorted(texts) and max(slot for _, slot in placed) < I.BLOCK
+    assert all(len({d % 3 for (b, _), d in placed.items() if b == block}) == 1 for block, _ in placed)
+    found = {d: Counter() for d in texts}
+    for r in index.postings.collect():
+        assert r["top"] == max(r["counts"]) and sum(1 << s for s in r["slots"]) == r["mask"]
+        for slot, n in zip(r["slots"], r["counts"], strict=True):
+            found[placed[r["block"], slot]][r["word"]] += n
+            in_path = r["word"] == f"layer{placed[r['block'], slot] % 3}/doc_{placed[r['block'], slot]}.md"
+            assert bool(r["path_mask"] >> slot & 1) == in_path and bool(r["head_mask"] >> slot & 1) == r["word"].startswith("head")
+    assert {d: +c for d, c in found.items()} == {d: Counter(t.replace("# ", "").split()) for d, t in texts.items()}
