@@ -125,12 +125,52 @@ def compacted(revisions: DataFrame, protected: DataFrame, keep: int) -> DataFram
     return marked.withColumn("_n", rank).where(F.col("_p").isNotNull() | (F.col("_n") <= keep)).drop("_p", "_n")
 
 
-def merge_plan(local: DataFrame, incoming: DataFrame, most_rounds: int = 64) -> DataFrame:
+#: Revisions of a memory up to which they are one row; memories with more go by joins.
+ROW_REVISIONS = 64
+
+
+def _long_memories(rows: DataFrame) -> DataFrame | None:
+    """memory_id of the memories with more than ROW_REVISIONS rows, or None if there are none."""
+    found = materialised(rows.groupBy("memory_id").agg(F.count("*").alias("_n")).where(F.col("_n") > ROW_REVISIONS).select("memory_id"), "long-memories")
+    return found if found.head(1) else None
+
+
+def merge_plan(local: DataFrame, incoming: DataFrame) -> DataFrame:
     """memory_id, revision, action of an incoming revision log, taken in order of revision.
 
     skip: known with equal content; conflict: known with other content, or its parent is neither known here nor a revision of the
-    bundle that comes before and goes in itself; insert: the rest. What a revision waits for is found by pointer jumping: rounds
-    grow with the logarithm of a chain's length."""
+    bundle that comes before and goes in itself; insert: the rest."""
+    return planned_revisions(local, incoming).select("memory_id", "revision", "action")
+
+
+def planned_revisions(local: DataFrame, incoming: DataFrame) -> DataFrame:
+    """merge_plan() with the incoming parent and payload_hash. Both logs meet once, by memory: a memory's revisions are folded in their order. Memories
+    with more than ROW_REVISIONS, and revisions without a key, go by joins."""
+    names = ["memory_id", "revision", "parent", "payload_hash"]
+    local, incoming = local.where("memory_id is not null and revision is not null").select(names), incoming.select(names)
+    both = local.withColumn("_new", F.lit(False)).unionByName(incoming.where("memory_id is not null and revision is not null").withColumn("_new", F.lit(True)))
+    more = incoming.where("memory_id is null or revision is null").withColumn("action", F.lit("conflict"))  # such meet nothing
+    many = _long_memories(both)
+    if many is not None:
+        long = lambda rows: rows.join(small(many), "memory_id", "left_semi")
+        more = more.unionByName(_plan_by_joins(long(local), long(incoming)))
+        both = both.join(small(many), "memory_id", "left_anti")
+    logs = both.groupBy("memory_id").agg(F.collect_list(F.struct("revision", "_new", "parent", "payload_hash")).alias("l"))
+    logs = logs.select("memory_id", F.filter("l", lambda x: ~x["_new"]).alias("home"), F.filter("l", lambda x: x["_new"]).alias("new")).where("size(new) > 0")
+    contents = F.filter("home", lambda h: h["payload_hash"].isNotNull())
+    logs = logs.withColumns({"contents": F.transform(contents, lambda h: h["payload_hash"]), "known": F.transform(contents, lambda h: h["revision"]), "home": F.transform("home", lambda h: h["revision"])})
+    fresh = F.array_sort(F.transform(F.filter("new", lambda x: ~F.array_contains(F.col("known"), x["revision"])), lambda x: F.struct(x["revision"].alias("revision"), x["parent"].alias("parent"))))
+    held = lambda a, x: F.coalesce(F.array_contains(a, x), F.lit(False))
+    goes = lambda s, x: x["parent"].isNull() | held(F.col("home"), x["parent"]) | (F.coalesce(x["parent"] < x["revision"], F.lit(False)) & held(s, x["parent"]))
+    taken = F.aggregate(fresh, F.expr(f"cast(array() as array<{local.schema['revision'].dataType.simpleString()}>)"), lambda s, x: F.when(goes(s, x), F.concat(s, F.array(x["revision"]))).otherwise(s))
+    rows = logs.withColumn("taken", taken).select("memory_id", "known", "contents", "taken", F.explode("new").alias("x"))
+    own = F.get("contents", (F.array_position(F.col("known"), F.col("x.revision")) - 1).cast("int"))
+    action = F.when(own == F.col("x.payload_hash"), "skip").when(own.isNotNull(), "conflict").when(held(F.col("taken"), F.col("x.revision")), "insert").otherwise("conflict")
+    return rows.select("memory_id", "x.revision", "x.parent", "x.payload_hash", action.alias("action")).unionByName(more)
+
+
+def _plan_by_joins(local: DataFrame, incoming: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """planned_revisions() of memories of any length: what a revision waits for is found by pointer jumping, in rounds that grow with the logarithm of a chain's length."""
     known = local.select("memory_id", "revision", F.col("payload_hash").alias("_local"))
     joined = incoming.join(known, ["memory_id", "revision"], "left")
     fresh = joined.where("_local is null").select("memory_id", "revision", "parent")
@@ -145,30 +185,56 @@ def merge_plan(local: DataFrame, incoming: DataFrame, most_rounds: int = 64) ->
         ahead = state.select("memory_id", F.col("revision").alias("at"), F.col("ok").alias("_ok"), F.col("at").alias("_at"))
         state = materialised(state.join(ahead, ["memory_id", "at"], "left").select("memory_id", "revision", F.coalesce("ok", "_ok").alias("ok"), F.when(F.coalesce("ok", "_ok").isNull(), F.col("_at")).alias("at")), "merge")
     action = F.when(F.col("_local") == F.col("payload_hash"), "skip").when(F.col("_local").isNotNull(), "conflict").when(F.col("ok"), "insert").otherwise("conflict")
-    return joined.join(state.select("memory_id", "revision", "ok"), ["memory_id", "revision"], "left").select("memory_id", "revision", action.alias("action"))
+    ok = state.where("ok").select("memory_id", "revision", "ok").distinct()
+    return joined.join(ok, ["memory_id", "revision"], "left").select("memory_id", "revision", "parent", "payload_hash", action.alias("action"))
 
 
 def merged_log(local: DataFrame, incoming: DataFrame, plan: DataFrame) -> DataFrame:
-    """The revision log after merge_plan(): memory_id, revision, parent, payload_hash."""
-    new = incoming.join(plan.where("action = 'insert'"), ["memory_id", "revision"], "left_semi")
+    """The revision log after a plan: memory_id, revision, parent, payload_hash. A plan of planned_revisions() has all of that and needs no look at incoming."""
     names = ["memory_id", "revision", "parent", "payload_hash"]
+    new = plan.where("action = 'insert'")
+    new = new if set(names) <= set(plan.columns) else incoming.join(new, ["memory_id", "revision"], "left_semi")
     return local.select(names).unionByName(new.select(names))
 
 
+def _record_action() -> Column:
+    return (
+        F.when(F.col("parent").isNotNull() & F.col("_parent").isNull(), "conflict").when(F.col("_r").isNull(), "insert").when(F.col("revision") < F.col("_r"), "stale_ignored")
+        .when(F.col("revision") == F.col("_r"), F.when(F.col("_h") == F.col("content_hash"), "skip").otherwise("conflict")).when(F.col("_based"), "update").otherwise("conflict")
+    )
+
+
 def record_plan(local: DataFrame, incoming: DataFrame, log: DataFrame) -> DataFrame:
     """memory_id, action of a bundle's records (memory_id, revision, parent, content_hash) against those at home; log: the merged revisions.
 
     conflict: the parent is not in the log; insert: not here; skip: the same revision and content; stale_ignored: a lower revision;
-    conflict: the same revision with other content, or the revision at home is not among the incoming one's ancestors; update: the rest."""
+    conflict: the same revision with other content, or the revision at home is not among the incoming one's ancestors; update: the rest.
+    A memory's log is one row, along which its parents are followed; memories with more than ROW_REVISIONS go by joins."""
+    log = materialised(log.where("memory_id is not null and revision is not null").select("memory_id", "revision", "parent"), "merged-log")
+    many, more = _long_memories(log), None
+    if many is not None:
+        long = lambda rows: rows.join(small(many), "memory_id", "left_semi")
+        more = _records_by_joins(local, long(incoming), long(log))
+        log, incoming = (rows.join(small(many), "memory_id", "left_anti") for rows in (log, incoming))
+    logs = log.groupBy("memory_id").agg(F.collect_list(F.struct("revision", "parent")).alias("l"))
+    here = local.select("memory_id", F.col("revision").alias("_r"), F.col("content_hash").alias("_h"))
+    rows = incoming.join(here, "memory_id", "left").join(logs, "memory_id", "left")
+    empty = F.array().cast(logs.schema["l"].dataType)
+    log_of = F.coalesce("l", empty)
+    up = lambda at: F.array_max(F.transform(F.filter(log_of, lambda x: (x["revision"] == at) & (x["parent"] != at)), lambda x: x["parent"]))
+    way = F.aggregate(log_of, F.struct(F.col("revision").cast("bigint").alias("at"), F.lit(False).alias("met")), lambda s, _: F.struct(up(s["at"]).cast("bigint").alias("at"), (s["met"] | F.coalesce(up(s["at"]) == F.col("_r"), F.lit(False))).alias("met")))
+    based = F.when(F.col("revision") > F.col("_r"), way["met"])
+    held = F.when(F.exists(log_of, lambda x: F.coalesce(x["revision"] == F.col("parent"), F.lit(False))), True)
+    found = rows.withColumns({"_based": based, "_parent": held}).select("memory_id", _record_action().alias("action"))
+    return found if more is None else found.unionByName(more)
+
+
+def _records_by_joins(local: DataFrame, incoming: DataFrame, log: DataFrame) -> DataFrame:
     here = local.select("memory_id", F.col("revision").alias("_r"), F.col("content_hash").alias("_h"))
     parents = log.select("memory_id", F.col("revision").alias("parent"), F.lit(True).alias("_parent"))
     based = chain_from(incoming, log).select("memory_id", F.col("revision").alias("_r"), F.lit(True).alias("_based"))
     joined = incoming.join(here, "memory_id", "left").join(parents, ["memory_id", "parent"], "left").join(based, ["memory_id", "_r"], "left")
-    action = (
-        F.when(F.col("parent").isNotNull() & F.col("_parent").isNull(), "conflict").when(F.col("_r").isNull(), "insert").when(F.col("revision") < F.col("_r"), "stale_ignored")
-        .when(F.col("revision") == F.col("_r"), F.when(F.col("_h") == F.col("content_hash"), "skip").otherwise("conflict")).when(F.col("_based"), "update").otherwise("conflict")
-    )
-    return joined.select("memory_id", action.alias("action"))
+    return joined.select("memory_id", _record_action().alias("action"))
 
 
 def replayed(records: DataFrame, known: DataFrame, incoming: DataFrame, bundled: DataFrame) -> DataFrame:

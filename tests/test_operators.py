@@ -419,3 +419,27 @@ def test_search_reads_blocks_that_can_reach_the_first_and_scores_few_documents(s
     assert rows(K.repository_hits(asked, docs, 2, index=index)) == want
     assert K.scored_pairs(asked, index, 1).count() < 0.1 * asked.count() * docs.count()
     assert K.stored_index(docs.limit(0), str(tmp_path / "index")).pages.count() == docs.count()  # what is stored is read
+
+
+def test_bundle_plans_of_short_and_long_memories_agree(spark, monkeypatch):
+    """A memory's log as one row and joins over logs say the same; short memories take one shuffle by memory, without rounds."""
+    rows = lambda made, what: spark.createDataFrame(made, f"memory_id bigint, revision bigint, parent bigint, {what} string")
+    here = [(m, r, r - 1 or None, f"{m}{r}") for m in range(1, 40) for r in range(1, 2 + m % 4)]
+    incoming = [(m, r, None if r == 1 or (m + r) % 11 == 0 else r - 2 if r % 3 == 0 else r - 1 + 3 * ((m + r) % 13 == 0), f"{m}{r}" if m % 5 else "other") for m in range(1, 45) for r in range(1, 2 + m * 5 % 8) if (m + r) % 7]
+    here, incoming = [*here, (None, 1, None, "x"), (50, None, None, "x"), (51, 1, None, None)], [*incoming, (None, 1, None, "x"), (50, None, None, "x"), (51, 1, None, "y"), (51, 2, 2, "y")]
+    tops = [rows([max((x for x in log if x[0] == m and x[1]), key=lambda x: x[1]) for m in {x[0] for x in log if x[0] and x[1]}], "content_hash") for log in (here, incoming)]
+    here, incoming = rows(here, "payload_hash"), rows(incoming, "payload_hash")
+    rounds = []
+    monkeypatch.setattr(T, "materialised", lambda df, tag, real=T.materialised: rounds.append(tag) or real(df, tag))
+    found = []
+    for most in (T.ROW_REVISIONS, 6, 0):
+        monkeypatch.setattr(T, "ROW_REVISIONS", most)
+        plan = T.planned_revisions(here, incoming)
+        records = T.record_plan(*tops, T.merged_log(here, incoming, plan))
+        assert T.merged_log(here, incoming, plan.select("memory_id", "revision", "action")).count() == T.merged_log(here, incoming, plan).count()
+        found.append([sorted(map(repr, x.collect())) for x in (plan.select("memory_id", "revision", "action"), records)])
+        if most == 64:
+            assert not {"merge", "jumps", "marks"} & set(rounds)
+    assert {"merge", "jumps", "marks"} <= set(rounds)
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == incoming.count()
+    assert {r.split("action='")[1][:-2] for r in found[0][1]} == {"conflict", "insert", "skip", "stale_ignored", "update"}
