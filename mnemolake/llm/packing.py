@@ -11,6 +11,7 @@ A task packs its own input partition, so nothing is shuffled and a lost task is
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -88,6 +89,36 @@ class Packer:
         yield from self._fill(last=True)
 
     def _fill(self, last: bool):
+        return self._fill_by_size(last) if all(x.loss is None for x in self.items) else self._fill_by_sizes(last)
+
+    def _fill_by_size(self, last: bool):
+        """_fill_by_sizes() where every id bears loss: the largest dot product is that of the longest item that fits, found in a sorted list."""
+        items, top = self.items, self.limits
+        order = sorted((len(x), -i) for i, x in enumerate(items))
+        left = sum(n for n, _ in order)
+        while left >= (1 if last else top.tokens * 4):
+            room, segments, loss, chosen = top.tokens, top.segments, top.loss_tokens, []
+            while room > 0 and segments > 0:
+                at = bisect_right(order, (min(room, loss), 0)) - 1
+                if at < 0 or segments == 1 and order[at][0] != room:  # the last segment: only what fills the gap is of use
+                    break
+                n, k = order.pop(at)
+                chosen.append(items[-k])
+                room, segments, loss, left = room - n, segments - 1, loss - n, left - n
+            n = min(room, loss)
+            if n > 0 and segments > 0 and order:  # cut the longest item into the gap
+                size, k = order.pop()
+                head = items[-k]
+                if n < size:
+                    head, items[-k] = items[-k].cut(n)
+                    insort(order, (size - n, k))
+                n = min(n, size)
+                chosen.append(head)
+                room, left = room - n, left - n
+            yield from [chosen] if room == 0 else self._powers(chosen)
+        self.items = [items[i] for i in sorted(-k for _, k in order)]
+
+    def _fill_by_sizes(self, last: bool):
         items, top = self.items, self.limits
         caps = np.array([top.tokens, top.segments, top.loss_tokens], np.float64)
         sizes = np.array([[len(x), 1, x.losses] for x in items], np.float64).reshape(-1, 3)

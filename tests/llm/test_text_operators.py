@@ -522,3 +522,21 @@ def test_sample_keeps_to_its_bytes():
         assert docs >= language_id.LEAST_DOCS and size >= language_id.LEAST_BYTES
         assert labels * docs * size <= language_id.SAMPLE_TOTAL or (docs, size) == (language_id.LEAST_DOCS, language_id.LEAST_BYTES)
     assert language_id.sample_bounds(4, 600, 20_000)[1] == 20_000
+
+
+def test_packing_by_size_takes_the_pieces_of_the_dot_product():
+    """Where every id bears loss, the sorted list gives the sequences that the largest dot product gives."""
+    import random
+
+    from mnemolake.llm import packing as K
+
+    def packed(limits, sizes, fill):
+        packer = K.Packer(limits)
+        packer._fill = getattr(packer, fill) if fill else packer._fill
+        sequences = [s for i, n in enumerate(sizes) for s in packer.add(K.Piece(i, 0, bytes(4 * n)))] + list(packer.finish())
+        return [[(x.doc, x.start, len(x)) for x in s] for s in sequences]
+
+    draw = random.Random(5)
+    for limits in (K.Limits(), K.Limits(64, 4, 64, 30), K.Limits(64, 8, 40, 50), K.Limits(64, 3, 100, 7)):
+        sizes = [max(1, int(draw.expovariate(4 / limits.tokens))) for _ in range(800)]
+        assert packed(limits, sizes, "_fill_by_size") == packed(limits, sizes, "_fill_by_sizes") == packed(limits, sizes, None)
