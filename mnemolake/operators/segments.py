@@ -113,5 +113,5 @@ def merge_segments(spark: SparkSession, root: str) -> dict:
     """One segment in place of all, from what they hold: postings without dead documents, words that are left."""
     state = manifest.current(spark, root)
     whole, segment = read_segments(spark, root, state), f"segments/{uuid.uuid4().hex}"
-    I.living(whole).write.parquet(f"{root}/{segment}/blocks")
+    I.living(whole).write.parquet(f"{root}/{segment}/rows")
     return _published(spark, root, state | {"segments": [segment], "dead": None, "indexed": 0}, state["version"])

@@ -128,3 +128,13 @@ def test_an_index_is_written_in_one_pass_without_a_shuffle(spark):
             in_path = r["word"] == f"layer{placed[r['block'], slot] % 3}/doc_{placed[r['block'], slot]}.md"
             assert bool(r["path_mask"] >> slot & 1) == in_path and bool(r["head_mask"] >> slot & 1) == r["word"].startswith("head")
     assert {d: +c for d, c in found.items()} == {d: Counter(t.replace("# ", "").split()) for d, t in texts.items()}
+
+
+def test_no_row_of_an_index_grows_with_its_block(spark):
+    """A reader holds some thousand rows at once: documents of many words make more rows, not greater ones."""
+    from mnemolake.operators import index as I
+
+    docs = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "concat('layer/doc_', id, '.md') as path", "concat_ws(' ', transform(sequence(1, 3000), i -> concat('word', id % 7, 'x', i))) as text")
+    rows = I.block_rows(K.described(docs))
+    most = rows.agg(F.max(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    assert most < 1000 and I.Index(rows).postings.count() >= 7 * 3000 and I.Index(rows).blocks.count() >= 3
