@@ -76,3 +76,41 @@ def test_messages_cut_at_every_byte(spark, tmp_path):
         got = sorted(tuple(r) for r in C.drained(St.framed_calls(stream)).collect())
     want = sorted(tuple(r) for r in St.decoded_calls(spark.createDataFrame(rows, "connection string, seq bigint, data binary")).collect())
     assert got == want and [r[:2] for r in got] == [("c", 0), ("c", 1), ("c", 2), ("other", 0)]
+
+
+def test_chunks_that_wait_share_round_trips_to_the_state():
+    """3000 chunks of a connection in three batches, the last first: far fewer accesses to the state than chunks, each message once."""
+    import pandas as pd
+
+    class State(dict):
+        calls = 0
+
+        def _of(self, key):
+            State.calls += 1
+            return super().get(key)
+
+        get, getValue, containsKey = lambda self: self._of(0), _of, lambda self, key: self._of(key) is not None
+        exists = lambda self: self._of(0) is not None
+
+        def updateValue(self, key, value):
+            State.calls += 1
+            self[key] = value
+
+        update = lambda self, value: self.updateValue(0, value)
+
+        def removeKey(self, key):
+            State.calls += 1
+            self.pop(key, None)
+
+    class Handle:
+        getValueState = getMapState = lambda self, name, *schemas: State()
+
+    data = "".join(f'{{"id": {i}, "method": "m"}}\n' for i in range(2000)).encode()
+    chunks = [(i // 17, data[i : i + 17]) for i in range(0, len(data), 17)]
+    framing, found = St.Framing(), []
+    framing.init(Handle())
+    for rest in (2, 0, 1):
+        own = pd.DataFrame([c for c in chunks if c[0] % 3 == rest], columns=["seq", "data"])
+        for out in framing.handleInputRows(("c",), iter([own.iloc[::-1], own.head(3)]), None):
+            found += list(zip(out["place"], out["id"], strict=True))
+    assert found == [(i, str(i)) for i in range(2000)] and len(chunks) > 2500 and State.calls < 40 and not framing.waiting
