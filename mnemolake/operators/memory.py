@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions import citations as C
+from mnemolake.functions import matching as P
 from mnemolake.functions import query as Q
 from mnemolake.functions import text as X
 from mnemolake.functions import vectors as V
-from mnemolake.functions.columns import collapsed, folded, stripped
-from mnemolake.operators.ranking import matched_terms, term_counts
-from mnemolake.operators.nearest import cosines
+from mnemolake.functions.columns import collapsed, folded, stripped, text_of
+from mnemolake.operators import nearest as N
+from mnemolake.operators.ranking import matched_terms, numbered, term_counts
 from mnemolake.operators.retrieval import mmr, small, top_k
 from mnemolake.sources.scratch import materialised
 
@@ -96,11 +99,18 @@ def bounded_recency(t: Column, low: Column, high: Column, weight: float = 0.35)
 
 def memory_relevance(similarity: Column, matched: Column, layer: Column, promoted: Column, fresh: Column, priority: Column) -> Column:
     """similarity + min(.65, .16 matched) + layer bonus (capped at .2 unless promoted) + recency + .12 priority within +-.2"""
+    return similarity + F.least(F.lit(0.65), 0.16 * matched) + layer_bonus(layer, promoted) + fresh + urgency(priority)
+
+
+def layer_bonus(layer: Column, promoted: Column) -> Column:
     bonus = F.lit(0.0)
     for name, value in LAYER_BONUS.items():
         bonus = F.when(layer == name, value).otherwise(bonus)
-    bonus = F.when(promoted, bonus).otherwise(F.least(bonus, F.lit(0.2)))
-    return similarity + F.least(F.lit(0.65), 0.16 * matched) + bonus + fresh + F.greatest(F.lit(-0.2), F.least(F.lit(0.2), 0.12 * F.coalesce(priority, F.lit(0.0))))
+    return F.when(promoted, bonus).otherwise(F.least(bonus, F.lit(0.2)))
+
+
+def urgency(priority: Column) -> Column:
+    return F.greatest(F.lit(-0.2), F.least(F.lit(0.2), 0.12 * F.coalesce(priority, F.lit(0.0))))
 
 
 def backpropagated(steps: DataFrame, reward: Column, age_days: Column, alpha: Column | None = None, gamma: float = GAMMA, half_life: float = PRIORITY_DAYS) -> DataFrame:
@@ -257,21 +267,127 @@ def _matched(queries: DataFrame, records: DataFrame, stop: tuple[str, ...]) -> D
     return term_counts(terms.select("term").distinct(), docs).join(small(terms), "term").groupBy(F.col("doc_id").alias("id"), "query_id").agg(F.count("*").alias("matched"))
 
 
+#: Copies of a content that one task compares; of more, tasks compare parts, and the best ones of the parts meet.
+MOST_COPIES = 1024
+
+
 def memory_candidates(queries: DataFrame, records: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
-    """query_id, id, relevance, matched, cos, promoted, vector: records for each question, the best copy of each stripped content.
+    """query_id, id, relevance, matched, cos, promoted, and with limit vector: records for each question, the best copy of each stripped content.
 
-    queries: query_id, query, vector; records: id, layer, role, content, status, accepted, at (epoch seconds), priority, vector. A question
+    queries: query_id (distinct), query, vector; records: id, layer, role, content, status, accepted, at (epoch seconds), priority, vector. A question
     that a user asked is no answer; a record needs a matched term or a cosine of .12. All records are looked at, or with limit
-    (hits that a question is to have) only the newest ones, see newest()."""
-    told = materialised((records if limit is None else newest(records, limit, "at")).where(~X.is_question_turn("role", "content")), "told")
-    pairs = cosines(queries, told).join(_matched(queries, told, X.MEMORY_STOP_WORDS), ["query_id", "id"], "left").fillna(0, ["matched"]).where((F.col("matched") > 0) | (F.col("cos") >= LEAST_COSINE))
+    (hits that a question is to have) only the newest ones, see newest().
+
+    Records are dealt by their content, so copies meet in a task, which scores them for all questions and hands on the best: no pair is shuffled or stored before."""
+    own = (records if limit is None else newest(records, limit, "at")).where(~X.is_question_turn("role", "content"))
+    told = materialised(own.withColumn("_h", F.coalesce(F.sha2(stripped("content").cast("binary"), 256), F.lit(""))), "told")
+    terms = queries.select("query_id", F.filter(F.coalesce(Q.plane_terms("query", X.MEMORY_STOP_WORDS), F.array().cast("array<string>")), lambda t: t != "").alias("terms"), F.coalesce(X.is_latest("query"), F.lit(False)).alias("latest"))
+    few, asked = P.few_terms(terms.select(F.explode("terms").alias("term"))), numbered(terms, "query_id", "terms", "latest")
+    found = _joined_candidates(queries, told, now) if few is None or asked is None else _dealt_candidates(queries, told, now, few, {r["query_id"]: (r["terms"], r["latest"]) for r in asked})
+    return found if limit is None else found.join(told.select("id", "vector").dropDuplicates(["id"]), "id").select(*found.columns, "vector")
+
+
+def _joined_candidates(queries: DataFrame, told: DataFrame, now: Column) -> DataFrame:
+    """memory_candidates() for more questions or terms than a task may hold."""
+    pairs = N.cosines(queries, told).join(_matched(queries, told, X.MEMORY_STOP_WORDS), ["query_id", "id"], "left").fillna(0, ["matched"]).where((F.col("matched") > 0) | (F.col("cos") >= LEAST_COSINE))
     latest = queries.select("query_id", X.is_latest("query").alias("_latest"))
     rows = pairs.join(told, "id").join(small(latest), "query_id").withColumn("promoted", C.promoted(F.col("accepted"), F.col("status")))
     age = (now - F.col("at")) / 86400.0
     scored = rows.withColumn("relevance", memory_relevance(F.col("cos"), F.col("matched"), F.col("layer"), F.col("promoted"), recency(age, F.col("_latest")), F.col("priority")))
-    copies = scored.withColumn("_h", F.sha2(stripped("content").cast("binary"), 256))
-    best = copies.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_h").orderBy(F.desc("relevance"), "id"))).where("_n = 1")
-    return best.select("query_id", "id", "relevance", "matched", "cos", "promoted", "vector")
+    return _best_of(scored).select("query_id", "id", "relevance", "matched", "cos", "promoted")
+
+
+def _best_of(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_h").orderBy(F.desc("relevance"), "id"))).where("_n = 1")
+
+
+def _dealt_candidates(queries: DataFrame, told: DataFrame, now: Column, terms: list[str], asked: dict) -> DataFrame:
+    promoted = C.promoted(F.col("accepted"), F.col("status"))
+    fresh = F.pow(F.lit(0.5), F.greatest((now - F.col("at")) / 86400.0, F.lit(0.0)) / HALF_LIFE_DAYS)
+    rows = told.select("_h", "id", F.lower(text_of("content")).alias("text"), "vector", promoted.alias("promoted"), layer_bonus(F.col("layer"), promoted).alias("bonus"), fresh.alias("fresh"), urgency(F.col("priority")).alias("urgency"))
+    many = materialised(told.groupBy("_h").agg(F.count("*").alias("_copies")).where(F.col("_copies") > MOST_COPIES), "many-copies")
+    if not many.head(1):
+        return _scored_groups(queries, rows, terms, asked).drop("_h")
+    rows = rows.join(small(many), "_h", "left")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("_copies") / MOST_COPIES))
+    split = rows.where("_copies is not null").withColumn("_h", F.concat_ws(":", "_h", part.cast("string")))
+    parts = _scored_groups(queries, split.drop("_copies"), terms, asked).withColumn("_h", F.substring_index("_h", ":", 1))
+    return _scored_groups(queries, rows.where("_copies is null").drop("_copies"), terms, asked).unionByName(_best_of(parts).drop("_n")).drop("_h")
+
+
+def _scored_groups(queries: DataFrame, rows: DataFrame, terms: list[str], asked: dict) -> DataFrame:
+    """query_id, id, relevance, matched, cos, promoted, _h: the best of each _h of rows for each question, by relevance and id."""
+    spark, out = rows.sparkSession, None
+    dealt = rows.repartition("_h").sortWithinPartitions("_h", "id")
+    kind = rows.schema["id"].dataType.simpleString()
+    for ids, vectors in N.blocks_of(queries):
+        known = [asked[i] for i in ids]
+        shared = spark.sparkContext.broadcast((terms, P.Questions(terms, [(own, []) for own, _ in known]), N.matrices_of(ids, vectors), [LATEST_WEIGHT if latest else USUAL_WEIGHT for _, latest in known]))
+        found = dealt.mapInArrow(_group_scores(shared), f"q int, id {kind}, relevance double, matched bigint, cos double, promoted boolean, _h string")
+        names = spark.createDataFrame(list(enumerate(ids)), f"q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
+        found = found.join(F.broadcast(names), "q").select("query_id", "id", "relevance", "matched", "cos", "promoted", "_h")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, relevance double, matched bigint, cos double, promoted boolean, _h string")
+
+
+def _group_scores(shared):
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        terms, questions, matrices, weights = shared.value
+        finder, n, weights = P.Finder(terms) if terms else None, questions.n, np.array(weights)
+        names = ["q", "id", "relevance", "matched", "cos", "promoted", "_h"]
+        held = None  # the best ones of the last group, which may go on in the next batch
+
+        def best(batch):
+            """The best ones of each group of a batch, with _key, what they are compared by, and _g, the number of the group."""
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            matched = np.zeros((len(batch), n), np.int64)
+            if finder is not None:
+                matched = questions.sums(len(batch), *finder.counted(batch.column("text").to_pylist()))[0].reshape(len(batch), n)
+            cos = np.concatenate([x for _, x in N.products_of(batch, batch.schema.get_field_index("vector"), n, matrices)])
+            aged = np.asarray(batch.column("fresh").is_null())
+            fresh = np.nan_to_num(column("fresh").astype(float))
+            relevance = cos + np.minimum(0.65, 0.16 * matched) + column("bonus")[:, None] + fresh[:, None] * weights + column("urgency")[:, None]
+            key = np.where(np.isnan(relevance), np.inf, relevance)
+            key[aged] = np.finfo(float).min  # of unknown age: after all others
+            key[(matched == 0) & (cos < LEAST_COSINE)] = -np.inf
+            code = batch.column("_h").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            most = np.maximum.reduceat(key, starts, axis=0)
+            group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(code)]))
+            first = np.minimum.reduceat(np.where(key == most[group], np.arange(len(code))[:, None], len(code)), starts, axis=0)  # rows are in order of id
+            g, q = np.nonzero(most > -np.inf)
+            r = first[g, q]
+            values = [pa.array(q, pa.int32()), batch.column("id").take(pa.array(r)), pa.array(relevance[r, q], mask=aged[r]), pa.array(matched[r, q], pa.int64()), pa.array(cos[r, q]), batch.column("promoted").take(pa.array(r)), batch.column("_h").take(pa.array(r))]
+            return pa.table([*values, pa.array(most[g, q]), pa.array(g)], names=[*names, "_key", "_g"]), len(starts), batch.column("_h")[0].as_py(), batch.column("_h")[len(batch) - 1].as_py()
+
+        def handed_on(table):
+            return table.select(names).combine_chunks().to_batches(max_chunksize=P.HELD_ROWS)
+
+        last = None
+        for whole in batches:
+            step = max(1, P.CELLS // max(1, n))
+            for start in range(0, len(whole), step):
+                found, groups, first_h, last_h = best(whole.slice(start, step))
+                g = found.column("_g").to_numpy()
+                if held is not None and first_h == last:  # the group goes on: of each question the better one, of equal ones the earlier
+                    both = pa.concat_tables([held, found.filter(pa.array(g == 0))])
+                    q = both.column("q").to_numpy()
+                    order = np.lexsort((np.arange(len(q)), -both.column("_key").to_numpy(), q))
+                    held = both.take(pa.array(order[np.r_[True, np.diff(q[order]) != 0] if len(q) else np.zeros(0, bool)]))
+                    found, g = found.filter(pa.array(g > 0)), g[g > 0]
+                    if groups == 1:
+                        continue
+                if held is not None:
+                    yield from handed_on(held)
+                held, last = found.filter(pa.array(g == groups - 1)), last_h
+                yield from handed_on(found.filter(pa.array(g < groups - 1)))
+        if held is not None:
+            yield from handed_on(held)
+
+    return run
 
 
 def two_pools(picked: DataFrame, spare: DataFrame, k: int) -> DataFrame:

@@ -15,7 +15,7 @@ BLOCK_ROWS, BLOCK_FLOATS = 4096, 1 << 22
 DIGITS = 9
 
 
-def _blocks(queries: DataFrame):
+def blocks_of(queries: DataFrame):
     """(ids, vectors) of the questions (query_id, vector), block by block; one is on the driver at a time."""
     n, widest = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
     blocks = max(1, -(-n // BLOCK_ROWS), -(-n * max(1, widest or 1) * 2 // BLOCK_FLOATS))
@@ -25,7 +25,7 @@ def _blocks(queries: DataFrame):
             yield [r["query_id"] for r in rows], [np.asarray(r["vector"] or [], np.float64) for r in rows]
 
 
-def _matrices(ids: list, vectors: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def matrices_of(ids: list, vectors: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By width: places of the questions, and their vectors as columns."""
     widths: dict[int, list[int]] = {}
     for i, v in enumerate(vectors):
@@ -33,7 +33,7 @@ def _matrices(ids: list, vectors: list[np.ndarray]) -> dict[int, tuple[np.ndarra
     return {w: (np.array(at), np.stack([vectors[i] for i in at], axis=1)) for w, at in widths.items() if w}
 
 
-def _products(batch: pa.RecordBatch, column: int, n: int, matrices: dict):
+def products_of(batch: pa.RecordBatch, column: int, n: int, matrices: dict):
     """(first row, cosines) of parts of a batch: rows times questions, 0 where widths differ or vectors are null or empty, held within [-1, 1]."""
     lists = batch.column(column)
     lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
@@ -55,8 +55,8 @@ def _mapped(queries: DataFrame, rows: DataFrame, body: Callable, schema: str) ->
     spark = rows.sparkSession
     narrow = rows.select("id", "vector")
     out = None
-    for ids, vectors in _blocks(queries):
-        shared = spark.sparkContext.broadcast((ids, _matrices(ids, vectors)))
+    for ids, vectors in blocks_of(queries):
+        shared = spark.sparkContext.broadcast((ids, matrices_of(ids, vectors)))
 
         def task(batches, shared=shared):
             yield from body(batches, *shared.value)
@@ -96,7 +96,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float | None = N
 
         for batch in batches:
             names = np.array(batch.column(0).to_pylist())
-            for at, cos in _products(batch, 1, len(ids), matrices):
+            for at, cos in products_of(batch, 1, len(ids), matrices):
                 near = np.round(cos, DIGITS)
                 hit = near >= least
                 if floor is not None:
@@ -124,7 +124,7 @@ def count_near(queries: DataFrame, rows: DataFrame, floor: float, but_itself: bo
         own_ids = np.array([str(x) for x in ids])
         for batch in batches:
             names = np.array(batch.column(0).to_pylist()).astype(str)
-            for at, cos in _products(batch, 1, len(ids), matrices):
+            for at, cos in products_of(batch, 1, len(ids), matrices):
                 hit = cos >= floor
                 if but_itself:
                     hit &= names[at : at + len(cos), None] != own_ids
@@ -142,7 +142,7 @@ def cosines(queries: DataFrame, rows: DataFrame) -> DataFrame:
     def body(batches, ids, matrices):
         questions = pa.array(ids)
         for batch in batches:
-            for at, cos in _products(batch, 1, len(ids), matrices):
+            for at, cos in products_of(batch, 1, len(ids), matrices):
                 n = len(cos)
                 yield pa.RecordBatch.from_arrays(
                     [questions.take(pa.array(np.tile(np.arange(len(ids)), n))), batch.column(0).take(pa.array(np.repeat(np.arange(at, at + n), len(ids)))), pa.array(cos.ravel())], names=["query_id", "id", "cos"]

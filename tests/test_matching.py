@@ -76,3 +76,30 @@ def test_memory_candidates_look_at_all_records(spark):
     asked = spark.createDataFrame([(1, "zebra", [1.0, 0.0])], "query_id long, query string, vector array<double>")
     assert [r["id"] for r in M.memory_candidates(asked, told, F.lit(2000.0)).collect()] == ["0"]
     assert M.memory_candidates(asked, told, F.lit(2000.0), 5).count() == 0
+
+
+def test_memory_candidates_shuffle_records_not_pairs(spark, monkeypatch):
+    """Copies meet in the task that scores them, whatever the batches and parts they come in: the best ones are those of the joined pairs, and no pair is shuffled."""
+    from mnemolake.operators import memory as M
+
+    records = spark.range(400).selectExpr(
+        "concat('r', id) as id", "if(id % 2 = 0, 'L0', 'L1') as layer", "if(id % 9 = 0, 'user', 'assistant') as role", "case when id % 3 = 0 then ' the same reward ' when id % 11 = 0 then null else concat('note ', id % 40, ' alpha') end as content",
+        "if(id % 4 = 1, 'candidate', 'verified') as status", "id % 4 <> 1 as accepted", "if(id % 13 = 0, null, 1.7e9D + id % 5) as at", "id % 7 - 3.0D as priority", "array(cos(id * 1.0D), sin(id * 1.0D)) as vector",
+    )
+    asked = spark.createDataFrame([(1, "latest reward", [1.0, 0.0]), (2, "alpha note 7", [0.0, 1.0]), (3, None, [0.6, 0.8]), (4, "the", None)], "query_id bigint, query string, vector array<double>")
+    now, rows = F.lit(1.705e9), lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    found = M.memory_candidates(asked, records, now)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Window" not in above and "LeftOuter" not in above
+    with monkeypatch.context() as m:
+        m.setattr(M.P, "few_terms", lambda terms: None)  # more than a task may hold
+        want = rows(M.memory_candidates(asked, records, now))
+    assert len(want) > 60 and rows(found) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert rows(M.memory_candidates(asked, records, now)) == want
+        monkeypatch.setattr(M, "MOST_COPIES", 7)
+        assert rows(M.memory_candidates(asked, records, now)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
