@@ -121,3 +121,19 @@ def test_scoped_pairs_carry_no_vectors_and_contents(spark):
             joined.append(node.left().output().mkString(","))
         nodes += [node.children().apply(i) for i in range(node.children().size())]
     assert joined and not any("vector" in names or "content" in names for names in joined)
+
+
+def test_hits_of_sources_need_no_index(spark, sf_dir, duck, monkeypatch):
+    """Tasks hand on the first five of a question and a source: no index is made or read, and no pair of a question and a document is shuffled."""
+    from mnemolake.operators import index as I
+    from mnemolake.plans import surfaces
+    from tests.conftest import rows_of
+
+    def no_index(*args, **more):
+        raise AssertionError("an index")
+
+    for name in ("write_index", "read_index"):
+        monkeypatch.setattr(I, name, no_index)
+    for name in ("source_routing", "source_round_robin"):
+        found, want = getattr(surfaces, name)(spark, sf_dir), duck.execute(surfaces.L.query.__globals__["ORACLES"][name])
+        assert rows_of(found.columns, found.collect()) == rows_of([c[0] for c in want.description], want.fetchall())
