@@ -138,3 +138,16 @@ def test_no_row_of_an_index_grows_with_its_block(spark):
     rows = I.block_rows(K.described(docs))
     most = rows.agg(F.max(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
     assert most < 1000 and I.Index(rows).postings.count() >= 7 * 3000 and I.Index(rows).blocks.count() >= 3
+
+
+def test_searches_read_a_stored_index_by_small_rows(spark, tmp_path):
+    """What repository_search and search read of a stored index: no row holds other rows, and the widest is that of a word in a block."""
+    from mnemolake.operators import index as I
+
+    docs = spark.range(0, 32, 1, 1).selectExpr("id as doc_id", "concat('papers/doc_', id, '.md') as path", "concat_ws(' ', transform(sequence(1, 1500), i -> concat('w', id % 5, 'x', i))) as text")
+    index = K.stored_index(docs, str(tmp_path / "index"))
+    assert not any(f.dataType.simpleString().startswith("array<struct") for f in index.rows.schema.fields)
+    asked = spark.createDataFrame([(1, "w3x1500 w3x7"), (2, "papers about w1x9")], "query_id bigint, query string")
+    found = K.search(asked, docs, index=index).where("doc_id is not null").groupBy("query_id").agg(F.collect_set(F.col("doc_id") % 5).alias("r"), F.count("*").alias("n"))
+    assert rows_of(found.selectExpr("query_id", "r[0]", "size(r)", "n")) == [(1, 3, 1, 5), (2, 1, 1, 5)]
+    assert index.rows.agg(F.max(F.octet_length(F.to_json(F.struct("*"))))).first()[0] < 1000 and I.living(index) is index.rows
